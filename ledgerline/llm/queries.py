@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerline.llm import chat, secrets
 from ledgerline.llm.mixing import MIXING_SQL, mixing_plan
 
 
@@ -18,8 +20,25 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_plan(_table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base digest and all spans of secrets by document."""
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("secrets", lambda s: s["kind"] != "entropy")
+    digest = F.sha2(F.encode(secrets.joined(base), "UTF-8"), 256).alias("base_sha256")
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), digest, secrets.joined(F.col("secrets")).alias("spans"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings, formatted and read back."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT -1L AS conv_id, pos AS turn, col AS role, '{said}' AS text FROM (SELECT posexplode(array('user', 'assistant')))")
+    turns = chat.canonical_turns(_table(spark, sf_dir, "conversations")).unionByName(chat.canonical_turns(extra))
+    return chat.digest_parts(chat.format_turns(turns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing}
+    return {"op1_mixing": op1_mixing, "op9_secrets": op9_secrets, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
