@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, secrets
+from ledgerline.llm import chat, secrets, warc
+from ledgerline.llm.common import new_path
 from ledgerline.llm.mixing import MIXING_SQL, mixing_plan
 
 
@@ -20,6 +21,26 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_plan(_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back: digests, sizes and revisits."""
+    place = new_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), place)
+    records = warc.read_archives(spark, place, payloads=False)
+    return records.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+#: What the archives hold, worked out from the pages alone.
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS latest FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> latest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> latest THEN latest END AS refers_to
+FROM g
+"""
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base digest and all spans of secrets by document."""
     found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -38,8 +59,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op9_secrets": op9_secrets, "op10_chat": op10_chat}
+    return {"op1_mixing": op1_mixing, "op7_warc": op7_warc, "op9_secrets": op9_secrets, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL}
+    return {"op1_mixing": MIXING_SQL, "op7_warc": WARC_SQL}
