@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, secrets, warc
+from ledgerline.llm import chat, media, secrets, warc
 from ledgerline.llm.common import new_path
 from ledgerline.llm.mixing import MIXING_SQL, mixing_plan
 
@@ -41,6 +41,16 @@ FROM g
 """
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as motion-JPEG in AVI and read back: digests, and the shots of its frames."""
+    docs = _table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    read = media.read_media(media.store_media(docs))
+    clips = F.array_join(F.transform("read.clips", lambda c: F.concat_ws("-", c["start_ms"].cast("string"), c["end_ms"].cast("string"))), ",")
+    feature = F.concat(F.col("read.frames").cast("string"), F.lit(" frames; ms "), clips).alias("feature")
+    return read.select("doc_id", "n_bytes", "read.payload_bytes", "read.payload_sha256", "read.tail_crc32", "read.media_bytes", "read.media_sha256", feature)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base digest and all spans of secrets by document."""
     found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -59,7 +69,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op7_warc": op7_warc, "op9_secrets": op9_secrets, "op10_chat": op10_chat}
+    return {"op1_mixing": op1_mixing, "op7_warc": op7_warc, "op8_media": op8_media, "op9_secrets": op9_secrets, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
