@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, media, secrets, warc
+from ledgerline.llm import chat, media, packing, secrets, warc
 from ledgerline.llm.common import new_path
 from ledgerline.llm.mixing import MIXING_SQL, mixing_plan
 
@@ -21,6 +21,15 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_plan(_table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and where they lie in sequences of 1024 tokens."""
+    import public_tokenizers
+
+    pieces = packing.tokenize_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("tokens").alias("ids_crc32"))
+    return packing.pack_pieces(pieces)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back: digests, sizes and revisits."""
     place = new_path(spark, "warc")
@@ -69,7 +78,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op7_warc": op7_warc, "op8_media": op8_media, "op9_secrets": op9_secrets, "op10_chat": op10_chat}
+    return {"op1_mixing": op1_mixing, "op3_packing": op3_packing, "op7_warc": op7_warc, "op8_media": op8_media, "op9_secrets": op9_secrets, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
