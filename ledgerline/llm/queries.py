@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, media, packing, secrets, warc
+from ledgerline.llm import chat, langid, media, packing, secrets, warc
 from ledgerline.llm.common import new_path
 from ledgerline.llm.mixing import MIXING_SQL, mixing_plan
 
@@ -30,6 +30,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(pieces)
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+    model = langid.fit(docs.filter("held_out IS NOT TRUE"))
+    out = langid.identify(docs.select("doc_id", "text", "held_out"), model)
+    return out.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back: digests, sizes and revisits."""
     place = new_path(spark, "warc")
@@ -78,7 +86,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op3_packing": op3_packing, "op7_warc": op7_warc, "op8_media": op8_media, "op9_secrets": op9_secrets, "op10_chat": op10_chat}
+    return {"op1_mixing": op1_mixing, "op3_packing": op3_packing, "op5_langid": op5_langid, "op7_warc": op7_warc, "op8_media": op8_media, "op9_secrets": op9_secrets, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
