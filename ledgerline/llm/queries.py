@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, langid, media, packing, secrets, warc
+from ledgerline.llm import chat, embeddings, langid, media, packing, secrets, warc
 from ledgerline.llm.common import new_path
 from ledgerline.llm.mixing import MIXING_SQL, mixing_plan
 
@@ -38,6 +38,11 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings with equal labels, at cosine 0.98."""
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back: digests, sizes and revisits."""
     place = new_path(spark, "warc")
@@ -86,7 +91,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op3_packing": op3_packing, "op5_langid": op5_langid, "op7_warc": op7_warc, "op8_media": op8_media, "op9_secrets": op9_secrets, "op10_chat": op10_chat}
+    return {"op1_mixing": op1_mixing, "op3_packing": op3_packing, "op5_langid": op5_langid, "op6_embeddings": op6_embeddings, "op7_warc": op7_warc, "op8_media": op8_media, "op9_secrets": op9_secrets, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
