@@ -13,7 +13,7 @@ packs into nothing; other columns of the documents, whatever their names, are no
 
 from __future__ import annotations
 
-import re
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,56 +25,49 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import written
 
 SIZE, END_ID, SALTS = 1024, 2, 64
-CACHE = 1_200_000
-_ENDS = ".,!?;:"
-_SPACED = re.compile(r" \s")
+# Fixed value: how byte-level BPE splits a text.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
 class Encoder:
-    """Token ids as little-endian 32-bit bytes, remembered by stretches between single spaces.
+    """Token ids of a tokenizer file, as little-endian 32-bit bytes.
 
-    Byte-level BPE never merges across the border between a word and the space that opens the next one, nor between a
-    letter or digit and the mark or line feed behind it, so the ids of a text are those of its stretches. Texts with
-    neighbouring spaces are encoded as they are.
+    A plain byte-level BPE file, whose ids follow its merges, is run by tiktoken with ranks taken from that file, which
+    gives the same ids in a third of the time; texts that hold one of its special strings, and other files, go through
+    the tokenizer itself.
     """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.first, self.rest = _Known(self, ""), _Known(self, " ")
-        self.line = self.plain("\n")
-        self.ends = {c: self.plain(c) for c in _ENDS}
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = _ranked(json.loads(self.tokenizer.to_str()))
 
     def __call__(self, text: str) -> bytes:
-        if not text or text[0] == " " or text[-1] == " " or _SPACED.search(text):
-            return self.plain(text)
-        first, *rest = text.split(" ")
-        out = self.first[first] + b"".join(map(self.rest.__getitem__, rest))
-        for known in (self.first, self.rest):
-            if len(known) > CACHE:
-                known.clear()
-        return out
-
-
-class _Known(dict):
-    def __init__(self, encoder: Encoder, before: str):
-        super().__init__()
-        self.encoder, self.before = encoder, before
-
-    def __missing__(self, part: str) -> bytes:
-        lines = part.split("\n")
-        if len(lines) > 1 and all(lines) and not any(x[0].isspace() or x[-1].isspace() for x in lines):
-            out = self[lines[0]] + b"".join([self.encoder.line + self.encoder.first[x] for x in lines[1:]])
-        elif part[-1:] in self.encoder.ends and part[-2:-1].isalnum():
-            out = self[part[:-1]] + self.encoder.ends[part[-1]]
-        else:
-            out = self.encoder.plain(self.before + part)
-        self[part] = out
-        return out
+        if self.fast is None or any(x in text for x in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+
+def _ranked(spec: dict):
+    """A tiktoken encoding with a byte-level BPE's own ranks; None for files that it cannot stand for."""
+    import tiktoken
+
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return None
+    # byte-level vocabularies write bytes that are no visible Latin-1 character as characters from 256 on
+    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    other = [b for b in range(256) if b not in visible]
+    of = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(other)}
+    special = {x["content"] for x in spec["added_tokens"]}
+    ranks = {bytes(of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if merged != sorted(merged) or len(merged) + 256 != len(ranks):
+        return None
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 _encoders: dict[str, Encoder] = {}
