@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, embeddings, langid, media, minhash, packing, secrets, warc
+from ledgerline.llm import chat, embeddings, langid, licenses, media, minhash, packing, secrets, warc
 from ledgerline.llm.common import new_path
 from ledgerline.llm.mixing import MIXING_SQL, mixing_plan
 
@@ -21,6 +21,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_plan(_table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License blocks of all documents with the best template, what it saves and how the wording differs."""
+    return licenses.find_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and where they lie in sequences of 1024 tokens."""
     import public_tokenizers
@@ -96,7 +101,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op3_packing": op3_packing, "op4_minhash": op4_minhash, "op5_langid": op5_langid, "op6_embeddings": op6_embeddings, "op7_warc": op7_warc, "op8_media": op8_media, "op9_secrets": op9_secrets, "op10_chat": op10_chat}
+    return {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_packing": op3_packing, "op4_minhash": op4_minhash, "op5_langid": op5_langid, "op6_embeddings": op6_embeddings, "op7_warc": op7_warc, "op8_media": op8_media, "op9_secrets": op9_secrets, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
