@@ -100,8 +100,27 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_parts(chat.format_turns(turns))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_packing": op3_packing, "op4_minhash": op4_minhash, "op5_langid": op5_langid, "op6_embeddings": op6_embeddings, "op7_warc": op7_warc, "op8_media": op8_media, "op9_secrets": op9_secrets, "op10_chat": op10_chat}
+    return {
+        "op1_mixing": op1_mixing,
+        "op2_licenses": op2_licenses,
+        "op3_packing": op3_packing,
+        "op4_minhash": op4_minhash,
+        "op5_langid": op5_langid,
+        "op6_embeddings": op6_embeddings,
+        "op7_warc": op7_warc,
+        "op8_media": op8_media,
+        "op9_secrets": op9_secrets,
+        "op10_chat": op10_chat,
+        "pipeline": pipeline,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
