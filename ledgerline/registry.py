@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from ledgerline.plans import basket_queries, catalog, core_queries, model_queries, period_queries  # noqa: F401  they register
 
-from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+def queries() -> dict[str, catalog.Query]:
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(catalog.ORACLES)
