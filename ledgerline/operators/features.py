@@ -34,7 +34,7 @@ def customer_core(events: DataFrame, as_of: dt.date, least_days: int = 30, facto
         F.min("transaction_day").alias("first_day"),
         F.max("transaction_day").alias("last_day"),
         F.sum("trip_value").cast("double").alias("gross_spend"),
-        F.avg(F.col("trip_value").cast("double")).alias("mean_trip_value"),
+        (F.sum("trip_value").cast("double") / F.count(F.lit(1))).alias("mean_trip_value"),
         F.avg("n_products").alias("mean_products_per_trip"),
         F.percentile("n_products", F.lit(0.5)).alias("median_products_per_trip"),
         F.percentile("gap", F.lit(0.5)).alias("median_gap"),

@@ -1 +1,137 @@
-"""Pending."""
+"""Affinity, survival and cohorts as registered queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerline.operators import affinity as af
+from ledgerline.operators import events as ev
+from ledgerline.operators import survival as sv
+from ledgerline.plans.catalog import query
+from ledgerline.plans.core_queries import rounded
+from ledgerline.sources.star import star_lines
+
+#: Without budgets every basket counts, so that SQL can follow.
+FULL = af.AffinityConfig(max_baskets=None, max_pair_operations=None)
+
+_HALF = "('0x' || substr(md5(customer_id || ':42'), 1, 8))::BIGINT % 2"
+_PAIRS = f"""b AS (SELECT customer_id, transaction_day, list(DISTINCT category) AS items FROM lines WHERE quantity > 0 GROUP BY 1, 2), bi AS (SELECT customer_id, transaction_day, {_HALF} AS half, unnest(items) AS item FROM b),
+ i AS (SELECT item, count(*) AS baskets, count(DISTINCT customer_id) AS n, count(DISTINCT customer_id) FILTER (half = 0) AS n0, count(DISTINCT customer_id) FILTER (half = 1) AS n1 FROM bi GROUP BY 1),
+ t AS (SELECT count(*) AS total, count(DISTINCT customer_id) AS n_all, count(DISTINCT customer_id) FILTER ({_HALF} = 0) AS n_all0, count(DISTINCT customer_id) FILTER ({_HALF} = 1) AS n_all1 FROM b),
+ pc AS (SELECT x.item AS a, y.item AS b, count(*) AS pair_baskets, count(DISTINCT x.customer_id) AS n_ab, count(DISTINCT x.customer_id) FILTER (x.half = 0) AS ab0, count(DISTINCT x.customer_id) FILTER (x.half = 1) AS ab1
+   FROM bi x JOIN bi y ON x.customer_id = y.customer_id AND x.transaction_day = y.transaction_day AND x.item < y.item GROUP BY 1, 2),
+ st AS (SELECT pc.*, ia.baskets AS ba, ib.baskets AS bb, ia.n::DOUBLE AS na, ib.n::DOUBLE AS nb, n_all::DOUBLE AS nn, total, (ab0 / ia.n0) / (ib.n0 / n_all0) AS h0, (ab1 / ia.n1) / (ib.n1 / n_all1) AS h1 FROM pc JOIN i ia ON pc.a = ia.item JOIN i ib ON pc.b = ib.item, t WHERE pair_baskets >= total * 0.01),
+ sx AS (SELECT *, (n_ab / na) / (nb / nn) AS lift, ln((n_ab + 0.5) * (nn - na - nb + n_ab + 0.5) / ((na - n_ab + 0.5) * (nb - n_ab + 0.5))) AS lo, sqrt(1 / (n_ab + 0.5) + 1 / (na - n_ab + 0.5) + 1 / (nb - n_ab + 0.5) + 1 / (nn - na - nb + n_ab + 0.5)) AS se,
+   (abs(n_ab * nn - na * nb) - nn / 2) ** 2 * nn / nullif(na * nb * (nn - na) * (nn - nb), 0) AS chi2 FROM st),
+ dr AS (SELECT a AS antecedent, b AS consequent, ba AS base, bb AS other, * FROM sx UNION ALL SELECT b, a, bb, ba, * FROM sx)"""
+
+
+@query("affinity_pairs", f"{_PAIRS} SELECT a, b, pair_baskets, n_ab, ab0 AS n_ab_0, ab1 AS n_ab_1 FROM pc")
+def affinity_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return af.pair_counts(af.candidate_baskets(star_lines(spark, d), FULL))
+
+
+_RULES = ["antecedent", "consequent", "support", "confidence", "basket_lift", "pair_baskets", "n_ab", "lift", "odds_ratio", "or_ci_lower", "or_ci_upper", "chi2", "lift_half_0", "lift_half_1"]
+
+
+@query(
+    "affinity_pair_stats",
+    f"""{_PAIRS} SELECT antecedent, consequent, round(pair_baskets / total, 6) AS support, round(pair_baskets / base, 6) AS confidence, round((pair_baskets / base) / (other / total), 6) AS basket_lift, pair_baskets, n_ab, round(lift, 6) AS lift,
+    round(exp(lo), 6) AS odds_ratio, round(exp(lo - 1.96 * se), 6) AS or_ci_lower, round(exp(lo + 1.96 * se), 6) AS or_ci_upper, round(chi2, 6) AS chi2, round(h0, 6) AS lift_half_0, round(h1, 6) AS lift_half_1 FROM dr""",
+)
+def affinity_pair_stats(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(af.associations(star_lines(spark, d), FULL).select(*_RULES))
+
+
+@query("affinity_filtered")
+def affinity_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return af.associations(star_lines(spark, d)).filter("passes_all_filters")
+
+
+@query("affinity_status")
+def affinity_status(spark: SparkSession, d: str) -> DataFrame:
+    return af.affinity_status(star_lines(spark, d))
+
+
+@query(
+    "next_trip_transitions",
+    """b AS (SELECT customer_id, transaction_day, list(DISTINCT category) AS items FROM lines WHERE quantity > 0 GROUP BY 1, 2), m AS (SELECT items, lag(items) OVER (PARTITION BY customer_id ORDER BY transaction_day) AS before FROM b), mv AS (SELECT row_number() OVER () AS id, * FROM m WHERE before IS NOT NULL),
+    f AS (SELECT id, unnest(before) AS x FROM mv), g AS (SELECT id, unnest(items) AS y FROM mv), p AS (SELECT x, y, count(*) AS n_pair FROM f JOIN g USING (id) GROUP BY 1, 2)
+    SELECT x AS from_item, y AS to_item, n_pair, nf AS n_from_item, nt AS n_to_item, (SELECT count(*) FROM mv) AS "N", round(n_pair / nf, 6) AS probability, round((n_pair / nf) / (nt / (SELECT count(*) FROM mv)), 6) AS lift
+    FROM p JOIN (SELECT x, count(*) AS nf FROM f GROUP BY 1) USING (x) JOIN (SELECT y, count(*) AS nt FROM g GROUP BY 1) USING (y)""",
+)
+def next_trip_transitions(spark: SparkSession, d: str) -> DataFrame:
+    out = af.transitions(star_lines(spark, d), FULL)
+    return rounded(out.select("from_item", "to_item", "n_pair", "n_from_item", "n_to_item", "N", "probability", "lift"))
+
+
+@query("transition_significance")
+def transition_significance(spark: SparkSession, d: str) -> DataFrame:
+    return af.transitions(star_lines(spark, d)).select("from_item", "to_item", "chi2", "p_value", "q_value", "significant")
+
+
+@query("lift_matrix", f"{_PAIRS}, r AS (SELECT antecedent, consequent, (pair_baskets / base) / (other / total) AS v FROM dr), top AS (SELECT antecedent AS item FROM r GROUP BY 1 ORDER BY sum(v) DESC, 1 LIMIT 15) SELECT antecedent, consequent, round(v, 6) AS basket_lift FROM r WHERE antecedent IN (FROM top) AND consequent IN (FROM top)")
+def lift_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(af.lift_matrix(af.associations(star_lines(spark, d), FULL)))
+
+
+@query("affinity_network", f"{_PAIRS}, r AS (SELECT antecedent AS item, (pair_baskets / base) / (other / total) AS v FROM dr) SELECT item, count(*) AS degree, round(sum(v), 6) AS weight FROM r GROUP BY 1")
+def affinity_network(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(af.affinity_network(af.associations(star_lines(spark, d), FULL)))
+
+
+_INVOICE = """ib AS (SELECT DISTINCT transaction_id, category FROM lines WHERE quantity > 0), n AS (SELECT count(DISTINCT transaction_id) AS n FROM ib), c AS (SELECT category, count(*) AS k FROM ib GROUP BY 1),
+ ip AS (SELECT x.category AS a, y.category AS b, count(*) AS pair_count FROM ib x JOIN ib y ON x.transaction_id = y.transaction_id AND x.category < y.category GROUP BY 1, 2)"""
+
+
+@query("invoice_pair_lift", f"{_INVOICE} SELECT a, b, pair_count, round(pair_count / n, 6) AS support, round(pair_count::DOUBLE * n / (ca.k * cb.k), 6) AS lift FROM ip JOIN c ca ON a = ca.category JOIN c cb ON b = cb.category, n")
+def invoice_pair_lift(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(af.invoice_pairs(star_lines(spark, d)))
+
+
+@query(
+    "pair_joint_revenue",
+    """x AS (SELECT transaction_id, category, sum(line_revenue) AS v FROM lines WHERE quantity > 0 GROUP BY 1, 2), tv AS (SELECT transaction_id, sum(v) AS v FROM x GROUP BY 1)
+    SELECT p.category AS antecedent, q.category AS consequent, sum(tv.v)::DOUBLE AS joint_revenue FROM x p JOIN x q ON p.transaction_id = q.transaction_id AND p.category <> q.category JOIN tv ON tv.transaction_id = p.transaction_id GROUP BY 1, 2""",
+)
+def pair_joint_revenue(spark: SparkSession, d: str) -> DataFrame:
+    lines = star_lines(spark, d)
+    return rounded(af.joint_revenue(lines, af.associations(lines, FULL)).select("antecedent", "consequent", "joint_revenue"), 2)
+
+
+_TIMES = """f AS (SELECT customer_id, transaction_day, row_number() OVER (PARTITION BY customer_id ORDER BY transaction_day) AS i FROM trips), rt AS (SELECT customer_id, min(transaction_day) AS first_trip_day, max(transaction_day) FILTER (i = 2) AS second FROM f WHERE i <= 2 GROUP BY 1),
+ times AS (SELECT customer_id, first_trip_day, first_trip_day >= (SELECT min(transaction_day) FROM trips) + 90 AS is_new, date_diff('day', first_trip_day, coalesce(second, d)) AS duration, second IS NOT NULL AS repeated FROM rt, cutoff)"""
+
+
+@query("repeat_times", f"{_TIMES} SELECT customer_id, first_trip_day, is_new AS is_new_after_burn_in, duration::INTEGER AS duration, repeated FROM times", dates=("first_trip_day",))
+def repeat_times(spark: SparkSession, d: str) -> DataFrame:
+    lines = star_lines(spark, d)
+    return sv.repeat_times(ev.purchase_events(lines), ev.latest_day(lines))
+
+
+@query(
+    "repeat_survival",
+    f"""{_TIMES}, g AS (SELECT 'all' AS "group", * FROM times UNION ALL SELECT CASE WHEN is_new THEN 'new_after_burn_in' ELSE 'left_censored' END, * FROM times UNION ALL SELECT 'new_' || year(first_trip_day) || 'Q' || quarter(first_trip_day), * FROM times WHERE is_new),
+    k AS (SELECT "group", duration, count(*) AS n, count(*) FILTER (repeated) AS d FROM g GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (PARTITION BY "group" ORDER BY duration DESC) AS risk, sum(n) OVER (PARTITION BY "group") AS size, max(duration) OVER (PARTITION BY "group") AS longest FROM k),
+    s AS (SELECT *, product(1 - d / risk) OVER w AS surv, sum(CASE WHEN risk > d THEN d / (risk * (risk - d)) ELSE 0 END) OVER w AS v FROM r WHERE size >= 20 WINDOW w AS (PARTITION BY "group" ORDER BY duration)),
+    lm AS (SELECT s.*, landmark FROM s, (SELECT unnest([7, 14, 30, 60, 90, 180, 365]) AS landmark) WHERE landmark <= longest),
+    o AS (SELECT "group", landmark, any_value(size)::BIGINT AS customers, coalesce(sum(n) FILTER (duration >= landmark), 0)::BIGINT AS at_risk, coalesce(arg_max(surv, duration) FILTER (duration <= landmark), 1.0) AS sv, coalesce(max(v) FILTER (duration <= landmark), 0.0) AS v FROM lm GROUP BY 1, 2)
+    SELECT "group", landmark, customers, at_risk, round(1 - sv, 6) AS repeat_probability, round(least(greatest(1 - sv - 1.96 * sv * sqrt(v), 0), 1), 6) AS ci95_lower, round(least(greatest(1 - sv + 1.96 * sv * sqrt(v), 0), 1), 6) AS ci95_upper FROM o""",
+)
+def repeat_survival(spark: SparkSession, d: str) -> DataFrame:
+    lines = star_lines(spark, d)
+    return rounded(sv.repeat_survival(ev.purchase_events(lines), ev.latest_day(lines)))
+
+
+@query(
+    "cohort_retention",
+    f"""{_TIMES}, nw AS (SELECT customer_id, date_trunc('month', first_trip_day)::DATE AS cohort FROM times WHERE is_new), sz AS (SELECT cohort, count(*) AS n FROM nw GROUP BY 1),
+    ac AS (SELECT cohort, date_diff('month', cohort, transaction_day) AS age, count(DISTINCT customer_id) AS k FROM trips JOIN nw USING (customer_id) GROUP BY 1, 2),
+    gr AS (SELECT cohort, n, unnest(range(date_diff('month', cohort, d) + 1)) AS age FROM sz, cutoff), x AS (SELECT cohort, gr.age, n::DOUBLE AS n, coalesce(k, 0) AS k, coalesce(k, 0) / n AS p, 1.959963984540054::DOUBLE AS z FROM gr LEFT JOIN ac USING (cohort, age))
+    SELECT strftime(cohort, '%Y-%m') AS cohort_month, age::INTEGER AS age, n::BIGINT AS cohort_customers, k AS active_customers, round(p, 6) AS retention_rate, round(greatest(0.0, (p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)), 6) AS ci95_lower,
+      round(least(1.0, (p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)), 6) AS ci95_upper, last_day((cohort + to_months(age::INTEGER))::DATE) <= d AS is_complete_month FROM x, cutoff""",
+)
+def cohort_retention(spark: SparkSession, d: str) -> DataFrame:
+    lines = star_lines(spark, d)
+    return rounded(sv.cohort_retention(ev.purchase_events(lines), ev.latest_day(lines)))

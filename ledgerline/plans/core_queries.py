@@ -272,7 +272,7 @@ core AS (SELECT c.*, n_trips - 1 AS x, date_diff('day', first_day, last_day) AS
   date_diff('day', last_day, d) > CASE WHEN median_gap > 0 THEN greatest(30.0, 2 * median_gap) ELSE 90.0 END AS inactive_by_heuristic,
   (n_gaps * coalesce(CASE WHEN n_gaps >= 3 AND std_gap > 0 THEN (mean_gap / std_gap) ** 2 END, 1.0) + 3) / (n_gaps + 3) AS regularity_shape_shrunk FROM c, cutoff)"""
 _CORE = ["customer_id", "n_trips", "first_day", "last_day", "gross_spend", "mean_trip_value", "median_gap", "mean_gap", "std_gap", "n_gaps", "x", "t_x", "T", "recency_days", "interpurchase_cv", "heuristic_threshold_days", "inactive_by_heuristic", "regularity_shape_shrunk"]
-_ROUNDED = {"gross_spend": 2, "mean_trip_value": 4, "median_gap": 4, "mean_gap": 4, "std_gap": 4, "interpurchase_cv": 4, "heuristic_threshold_days": 4, "regularity_shape_shrunk": 4}
+_ROUNDED = {"gross_spend": 2, "median_gap": 4, "mean_gap": 4, "std_gap": 4, "interpurchase_cv": 4, "heuristic_threshold_days": 4, "regularity_shape_shrunk": 4}
 
 
 def core(lines: DataFrame) -> tuple[DataFrame, object]:
