@@ -11,12 +11,12 @@ _erfc = np.frompyfunc(math.erfc, 1, 1)
 
 
 def lgamma(x: np.ndarray | float) -> np.ndarray:
-    return _lgamma(np.asarray(x, float)).astype(float)
+    return np.asarray(_lgamma(np.asarray(x, float)), float)
 
 
 def chi2_sf_1df(x: np.ndarray) -> np.ndarray:
     """Upper tail of chi-square with one degree of freedom."""
-    return _erfc(np.sqrt(np.maximum(np.asarray(x, float), 0) / 2)).astype(float)
+    return np.asarray(_erfc(np.sqrt(np.maximum(np.asarray(x, float), 0) / 2)), float)
 
 
 def hyp2f1(a: np.ndarray, b: np.ndarray, c: np.ndarray, z: np.ndarray, terms: int = 5000, close: float = 1e-14) -> np.ndarray:

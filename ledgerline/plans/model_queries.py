@@ -1 +1,223 @@
-"""Pending."""
+"""Models, validation, segments and actions as registered queries."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerline.operators import actions as ac
+from ledgerline.operators import events as ev
+from ledgerline.operators import models as mo
+from ledgerline.operators import periods as pr
+from ledgerline.operators import scoring as sc
+from ledgerline.plans.catalog import query
+from ledgerline.plans.core_queries import CORE_SQL, RFM_SQL, rounded, scored
+from ledgerline.plans.period_queries import _lines
+from ledgerline.sources.star import star_lines
+
+HORIZON = 90
+
+_CUT = "ct AS (SELECT d - 90 AS c FROM cutoff), known AS (SELECT trips.* FROM trips, ct WHERE transaction_day <= c)"
+
+
+@query("population_mean_baseline", f"{_CUT} SELECT count(DISTINCT customer_id) AS customers, count(*) FILTER (transaction_day > c - 90) AS trips, round(count(*) FILTER (transaction_day > c - 90) / count(DISTINCT customer_id), 6) AS mean_trips FROM known, ct")
+def population_mean_baseline(spark: SparkSession, d: str) -> DataFrame:
+    lines = star_lines(spark, d)
+    cut = ev.latest_day(lines) - dt.timedelta(days=HORIZON)
+    return rounded(mo.population_mean(ev.purchase_events(lines), cut, HORIZON))
+
+
+_ACTUAL = """act AS (SELECT customer_id, count(*) FILTER (transaction_day > c AND transaction_day <= c + 90) AS actual_trips, coalesce(sum(trip_value) FILTER (transaction_day > c AND transaction_day <= c + 90), 0)::DOUBLE AS actual_value FROM trips, ct GROUP BY 1 HAVING min(transaction_day) <= any_value(c)),
+ nv AS (SELECT customer_id, (count(*) - 1) / greatest(date_diff('day', min(transaction_day), any_value(c)), 1)::DOUBLE * 90 AS naive_trips, (count(*) - 1) AS x, date_diff('day', max(transaction_day), any_value(c)) AS recency FROM known, ct GROUP BY 1)"""
+
+
+@query("holdout_actuals", f"{_CUT}, {_ACTUAL} SELECT * FROM act")
+def holdout_actuals(spark: SparkSession, d: str) -> DataFrame:
+    lines = star_lines(spark, d)
+    return rounded(mo.holdout_actuals(ev.purchase_events(lines), ev.latest_day(lines) - dt.timedelta(days=HORIZON), HORIZON), 2)
+
+
+def _naive(spark: SparkSession, d: str) -> DataFrame:
+    lines = star_lines(spark, d)
+    as_of = ev.latest_day(lines)
+    cut = as_of - dt.timedelta(days=HORIZON)
+    core = mo.customer_core(ev.purchase_events(lines, cut), cut).select("customer_id", (F.col("x") / F.greatest("T", F.lit(1)) * HORIZON).alias("naive_trips"))
+    return core.join(mo.holdout_actuals(ev.purchase_events(lines, as_of), cut, HORIZON), "customer_id")
+
+
+@query(
+    "holdout_naive_metrics",
+    f"{_CUT}, {_ACTUAL}, e AS (SELECT naive_trips AS p, actual_trips AS a, naive_trips - actual_trips AS e FROM nv JOIN act USING (customer_id)) SELECT count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(sum(abs(e)) / sum(abs(a)), 6) AS wape, round(avg(e), 6) AS bias, round(sum(p), 4) AS predicted_total, sum(a)::DOUBLE AS actual_total FROM e",
+)
+def holdout_naive_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mo.error_metrics(_naive(spark, d), "naive_trips", "actual_trips")).withColumn("predicted_total", F.round("predicted_total", 4))
+
+
+@query(
+    "auc_naive",
+    f"{_CUT}, {_ACTUAL}, r AS (SELECT (rank() OVER (ORDER BY naive_trips)) + (count(*) OVER (PARTITION BY naive_trips) - 1) / 2.0::DOUBLE AS r, actual_trips > 0 AS p FROM nv JOIN act USING (customer_id)) SELECT round((sum(r) FILTER (p) - count(*) FILTER (p) * (count(*) FILTER (p) + 1) / 2.0::DOUBLE) / (count(*) FILTER (p) * count(*) FILTER (NOT p)), 6) AS auc, count(*) FILTER (p) AS n1, count(*) FILTER (NOT p) AS n0 FROM r",
+)
+def auc_naive(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(sc.auc(_naive(spark, d).withColumn("again", F.col("actual_trips") > 0), "naive_trips", "again"))
+
+
+@query(
+    "spearman_naive",
+    f"{_CUT}, {_ACTUAL}, r AS (SELECT (rank() OVER (ORDER BY naive_trips)) + (count(*) OVER (PARTITION BY naive_trips) - 1) / 2.0::DOUBLE AS a, (rank() OVER (ORDER BY actual_trips)) + (count(*) OVER (PARTITION BY actual_trips) - 1) / 2.0::DOUBLE AS b FROM nv JOIN act USING (customer_id)) SELECT round(corr(a, b), 6) AS spearman FROM r",
+)
+def spearman_naive(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(sc.spearman(_naive(spark, d), "naive_trips", "actual_trips"))
+
+
+@query(
+    "decile_calibration_naive",
+    f"{_CUT}, {_ACTUAL}, i AS (SELECT naive_trips, actual_trips, row_number() OVER (ORDER BY naive_trips, customer_id) AS i, count(*) OVER () AS n FROM nv JOIN act USING (customer_id)) SELECT greatest(ceil((i - 1) * 10 / greatest(n - 1, 1)::DOUBLE), 1)::INTEGER AS decile, count(*) AS customers, round(avg(naive_trips), 6) AS mean_predicted, round(avg(actual_trips), 6) AS mean_actual FROM i GROUP BY 1",
+)
+def decile_calibration_naive(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mo.calibration(_naive(spark, d), "naive_trips", "actual_trips"))
+
+
+def _scores(spark: SparkSession, d: str) -> tuple[DataFrame, list[mo.Fit], DataFrame]:
+    lines = star_lines(spark, d)
+    out, fits = mo.score_customers(scored(lines), HORIZON)
+    return out, fits, lines
+
+
+@query("bgnbd_scores")
+def bgnbd_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d)[0].select("customer_id", "x", "t_x", "T", "p_alive", "expected_trips", "prediction_source")
+
+
+@query("gamma_gamma_scores")
+def gamma_gamma_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d)[0].select("customer_id", "n_trips", "mean_trip_value", "expected_trip_value", "expected_value")
+
+
+@query("model_parameters")
+def model_parameters(spark: SparkSession, d: str) -> DataFrame:
+    _, fits, _ = _scores(spark, d)
+    return fits[0].row(spark).unionByName(fits[1].row(spark)).select("model", "status", "reason", "converged", F.to_json("params").alias("params"), "value", "rows")
+
+
+@query("holdout_metrics")
+def holdout_metrics(spark: SparkSession, d: str) -> DataFrame:
+    lines = star_lines(spark, d)
+    return mo.holdout_metrics(lines, ev.latest_day(lines), HORIZON)
+
+
+@query("rolling_origin")
+def rolling_origin(spark: SparkSession, d: str) -> DataFrame:
+    lines = star_lines(spark, d)
+    return mo.aggregate_origins(mo.rolling_origins(lines, ev.latest_day(lines), HORIZON))
+
+
+def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mo.choose_clusters(_scores(spark, d)[0], range(3, 5), bootstraps=2)
+
+
+@query("cluster_assignments")
+def cluster_assignments(spark: SparkSession, d: str) -> DataFrame:
+    return _clusters(spark, d)[0].select("customer_id", "cluster", "cluster_label")
+
+
+@query("cluster_diagnostics")
+def cluster_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return _clusters(spark, d)[1]
+
+
+@query("cluster_profiles")
+def cluster_profiles(spark: SparkSession, d: str) -> DataFrame:
+    return mo.cluster_profiles(_clusters(spark, d)[0])
+
+
+@query("rfm_cluster_comparison")
+def rfm_cluster_comparison(spark: SparkSession, d: str) -> DataFrame:
+    return sc.compare_segments(_clusters(spark, d)[0], "rfm_segment", "cluster_label")
+
+
+@query("snapshot_stability")
+def snapshot_stability(spark: SparkSession, d: str) -> DataFrame:
+    lines = star_lines(spark, d)
+    last = ev.latest_day(lines)
+    return mo.snapshot_stability(lines, mo.quarter_ends(last - dt.timedelta(days=200), last))
+
+
+@query("category_components")
+def category_components(spark: SparkSession, d: str) -> DataFrame:
+    lines = star_lines(spark, d)
+    return mo.clr_components(lines, ev.latest_day(lines))
+
+
+@query(
+    "segment_agreement",
+    f"""{RFM_SQL}, l AS (SELECT customer_id, rfm_segment AS a, CASE WHEN recency_days <= 90 THEN 'recent' ELSE 'away' END AS b FROM rfm), cl AS (SELECT a, b, count(*)::DOUBLE AS n FROM l GROUP BY 1, 2),
+    x AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n) AS t, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM cl GROUP BY a)) AS sa, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM cl GROUP BY b)) AS sb FROM cl)
+    SELECT round((s - sa * sb / (t * (t - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (t * (t - 1) / 2)), 6) AS ari FROM x""",
+)
+def segment_agreement(spark: SparkSession, d: str) -> DataFrame:
+    rows = scored(star_lines(spark, d)).withColumn("b", F.when(F.col("recency_days") <= 90, "recent").otherwise("away"))
+    return rounded(mo.adjusted_rand(rows, "rfm_segment", "b"))
+
+
+@query(
+    "segment_comparison",
+    f"""{RFM_SQL}, cs AS (SELECT rfm_segment, CASE WHEN n_trips > 1 THEN 'repeat' ELSE 'single' END AS buyer, count(*) AS customers, round(quantile_cont(net_spend, 0.5), 4) AS median_net_spend, quantile_cont(recency_days, 0.5) AS median_recency_days, round(avg((n_trips > 1)::INTEGER), 6) AS repeat_rate FROM rfm GROUP BY 1, 2)
+    SELECT *, round(customers / sum(customers) OVER (PARTITION BY rfm_segment), 6) AS share_of_rfm_segment, round(customers / sum(customers) OVER (PARTITION BY buyer), 6) AS share_of_buyer FROM cs""",
+)
+def segment_comparison(spark: SparkSession, d: str) -> DataFrame:
+    rows = scored(star_lines(spark, d)).withColumn("buyer", F.when(F.col("n_trips") > 1, "repeat").otherwise("single"))
+    return rounded(sc.compare_segments(rows, "rfm_segment", "buyer")).withColumn("median_net_spend", F.round("median_net_spend", 4))
+
+
+_NUM = ["n_trips", "recency_days", "gross_spend", "mean_trip_value"]
+_CORR = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS correlation FROM core" for i, a in enumerate(_NUM) for b in _NUM[i:])
+
+
+@query("correlation_matrix", f"{CORE_SQL}, r AS ({_CORR}) SELECT * FROM r")
+def correlation_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ac.correlation_matrix(scored(star_lines(spark, d)), _NUM))
+
+
+@query("explorer_filter", f"{RFM_SQL} SELECT customer_id, rfm_segment, round(net_spend, 2) AS net_spend FROM rfm WHERE rfm_segment IN ('Champions', 'Potential loyalists') AND net_spend >= 500000 ORDER BY net_spend DESC, customer_id LIMIT 1000")
+def explorer_filter(spark: SparkSession, d: str) -> DataFrame:
+    out = ac.explorer(scored(star_lines(spark, d)), ["Champions", "Potential loyalists"], least_value=500_000.0)
+    return rounded(out.select("customer_id", "rfm_segment", "net_spend"), 2)
+
+
+@query("customer_record", f"{RFM_SQL} SELECT customer_id, feature, value FROM (SELECT customer_id, n_trips::VARCHAR AS n_trips, recency_days::VARCHAR AS recency_days, rfm_segment FROM rfm WHERE customer_id = '7') UNPIVOT (value FOR feature IN (n_trips, recency_days, rfm_segment))")
+def customer_record(spark: SparkSession, d: str) -> DataFrame:
+    return ac.record(scored(star_lines(spark, d)).select("customer_id", "n_trips", "recency_days", "rfm_segment"), "7")
+
+
+@query("segment_quartiles", f"{RFM_SQL} SELECT rfm_segment, count(*) AS n, round(quantile_cont(recency_days, 0.25), 4) AS q1, round(quantile_cont(recency_days, 0.5), 4) AS median, round(quantile_cont(recency_days, 0.75), 4) AS q3 FROM rfm GROUP BY 1")
+def segment_quartiles(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ac.quartiles(scored(star_lines(spark, d)), "rfm_segment", "recency_days"), 4)
+
+
+@query("segment_z_scores", f"{RFM_SQL}, w AS (SELECT avg(n_trips) AS m, stddev_samp(n_trips) AS s, avg(recency_days) AS mr, stddev_samp(recency_days) AS sr FROM rfm), gs AS (SELECT rfm_segment, avg(n_trips) AS a, avg(recency_days) AS b FROM rfm GROUP BY 1) SELECT rfm_segment, 'n_trips' AS feature, round((a - m) / s, 6) AS z FROM gs, w UNION ALL SELECT rfm_segment, 'recency_days', round((b - mr) / sr, 6) FROM gs, w")
+def segment_z_scores(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ac.segment_z_scores(scored(star_lines(spark, d)), "rfm_segment", ["n_trips", "recency_days"]))
+
+
+@query("mean_by_segment", f"{RFM_SQL} SELECT rfm_segment, round(avg(n_trips), 6) AS mean, count(*) AS rows FROM rfm GROUP BY 1 ORDER BY 2 DESC LIMIT 20")
+def mean_by_segment(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ac.mean_by(scored(star_lines(spark, d)), "rfm_segment", "n_trips"))
+
+
+@query("action_matrix")
+def action_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return ac.action_matrix(*_lines(spark, d))
+
+
+@query("executive_narrative")
+def executive_narrative(spark: SparkSession, d: str) -> DataFrame:
+    lines, p = _lines(spark, d)
+    return ac.narrative(pr.revenue_drivers(pr.period_kpis(lines, p)))
+
+
+@query("action_quadrant")
+def action_quadrant(spark: SparkSession, d: str) -> DataFrame:
+    rows = _scores(spark, d)[0].filter("p_alive IS NOT NULL")
+    return pr.quadrants(rows, "p_alive", "net_spend", ("Nurture", "Grow", "Win back", "Let go")).select("customer_id", "p_alive", "net_spend", "quadrant")
