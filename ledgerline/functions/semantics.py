@@ -57,6 +57,11 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     return F.when(ok, F.greatest(F.lit(0.0), centre - half)), F.when(ok, F.least(F.lit(1.0), centre + half))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation; null where a side does not vary."""
+    return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def most_frequent(df: DataFrame, by: list[str], c: str, into: str) -> DataFrame:
     """The most frequent value of a group, the smallest among equals."""
     counts = df.filter(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count(F.lit(1)).alias("__n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.semantics import correlation
 from ledgerline.operators import periods as pr
 
 
@@ -61,7 +62,7 @@ def record(customers: DataFrame, customer_id: str) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlations of column pairs, from one aggregate."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = df.agg(*[F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
+    wide = df.agg(*[correlation(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
     return wide.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("correlation")) for k, (a, b) in enumerate(pairs)])))
 
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.semantics import average_rank, quantiles, ratio, right_closed_bin
+from ledgerline.functions.semantics import average_rank, correlation, quantiles, ratio, right_closed_bin
 
 
 def edge_scores(df: DataFrame, value: str, reverse: bool = False) -> Column:
@@ -137,4 +137,4 @@ def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return rows.select(average_rank(F.col(a)).alias("a"), average_rank(F.col(b)).alias("b")).agg(F.corr("a", "b").alias("spearman"))
+    return rows.select(average_rank(F.col(a)).alias("a"), average_rank(F.col(b)).alias("b")).agg(correlation("a", "b").alias("spearman"))
