@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,9 +76,16 @@ def _clear() -> None:
             return
 
 
-def one_row_sum(df: DataFrame, *cols: Column) -> tuple:
-    """The single row of an aggregate over the whole table, on the driver."""
-    return tuple(df.agg(*cols).first())
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Few rows to an Arrow batch, for plans that run inside and whose rows are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def word_count(text: str | Column) -> Column:

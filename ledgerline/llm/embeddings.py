@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import dropped, written
+from ledgerline.llm.common import dropped, small_batches, written
 from ledgerline.llm.components import connected_components
 
 THRESHOLD = 0.98
@@ -161,12 +161,8 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
                 yield pd.DataFrame({"id": ids[at], "links": links[at].astype(np.int64), "hub": ids[least[at]]})
 
     # a row holds two tiles: a few to a batch keep the workers small
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    try:
+    with small_batches(spark, 8):
         found = written(pairs.mapInPandas(compare, "id long, links long, hub long"), "found")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     dropped(tiles)
     members = rows.join(classes.select("label", "dim", "hash", F.col("id").alias("class"), "size"), ["label", "dim", "hash"], "left")
     counts = found.groupBy(F.col("id").alias("class")).agg(F.sum("links").alias("links"))

@@ -6,9 +6,9 @@ bands which candidates can still be as similar as asked: matching bits are count
 wide margin is kept. What passes is confirmed on the full sets.
 
 Only components are asked for, so a bucket of any size is worked off without all its pairs. First every document is linked
-to the least member of a bucket that passes the estimate, at first one such link a document and then the rest that would
-join components. Then, in buckets whose members still lie in several components, members of different components are
-compared by their packed signatures, in blocks, and what passes is confirmed too. No bucket is capped.
+to the least member of each of its buckets, where that passes the estimate. Then, in buckets whose members still lie in
+several components, members of different components are compared by their packed signatures, in blocks, and what passes
+is confirmed too. No bucket is capped.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; so do rows without a doc_id, whose
 component is null and which are kept; rows that repeat a doc_id are one node; texts are read whole; an empty table gives
@@ -18,15 +18,17 @@ an empty result; other columns, whatever their names, are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import dropped, written
+from ledgerline.llm.common import dropped, small_batches, written
 from ledgerline.llm.components import connected_components
 
 WORDS = 5
@@ -44,7 +46,7 @@ class _Words(dict):
     """Hashes of words, remembered up to a number of them."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -97,16 +99,17 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal - chance) / (1 - chance)
 
 
-SIGNED = "doc_id long, n_shingles long, set_key string, bands array<long>, bits binary"
+SIGNED = "doc_id long, n_shingles long, set_key string, bands array<long>, bits binary, packed binary"
 
 
 def sign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS) -> DataFrame:
-    """Set size, a key of the whole set, band keys and packed signature of each row."""
+    """Set size, a key of the whole set, band keys, packed signature and compressed text of each row."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                sizes, keys, bands, bits = [], [], [], []
+                sizes, keys, bands, bits, texts = [], [], [], [], []
                 for t in part.column("text").to_pylist():
                     s = shingles(t, words)
                     m = minima(s) if len(s) else None
@@ -114,9 +117,9 @@ def sign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int
                     keys.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
                     bands.append(_bands(m) if len(s) else None)
                     bits.append(packed(m) if len(s) else None)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "set_key", "bands", "bits"]
-                )
+                    texts.append(pack.compress(t.encode("utf-8", "surrogatepass")) if len(s) else None)
+                columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(texts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "bands", "bits", "packed"])
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(signed, SIGNED)
 
@@ -134,90 +137,135 @@ def _close(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(estimates(at(a), at(b)) >= PERCENT / 100 - MARGIN) if len(a) else pd.Series([], dtype=bool)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, words: int, percent: int = PERCENT) -> DataFrame:
-    """The pairs (u, v) of doc_ids whose full sets are similar enough."""
-    ends = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).join(ends, "doc_id", "left_semi")
+def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sets share enough of their union."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common * 100 >= (len(a) + len(b) - common) * percent
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                found = [shingles(t, words).view(np.int64) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "s"])
 
-    found = texts.mapInArrow(sets, "doc_id long, s array<long>")
-    both = pairs.join(found.select(F.col("doc_id").alias("u"), F.col("s").alias("su")), "u").join(found.select(F.col("doc_id").alias("v"), F.col("s").alias("sv")), "v")
-    common = F.size(F.array_intersect("su", "sv"))
-    return both.filter(common * 100 >= (F.size("su") + F.size("sv") - common) * percent).select("u", "v").distinct()
+class _Sets:
+    """Full sets of compressed texts, the latest of them remembered."""
+
+    def __init__(self, words: int, remember: int = 128):
+        unpack = zstandard.ZstdDecompressor()
+        self.of = lru_cache(maxsize=remember)(lambda z: shingles(unpack.decompress(z).decode("utf-8", "surrogatepass"), words))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose full sets are similar enough; ``texts`` has node and its compressed text."""
+
+    def check(a: pd.Series, b: pd.Series) -> pd.Series:
+        sets = _Sets(words)
+        return pd.Series([similar(sets.of(x), sets.of(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    # callers write the result with few pairs to a batch, since texts may be long
+    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("packed").alias("pu")), "u").join(texts.select(F.col("node").alias("v"), F.col("packed").alias("pv")), "v")
+    return both.filter(F.pandas_udf(check, "boolean")("pu", "pv")).select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     signed = written(sign(docs, text, doc_id, words), "signed")
-    classes = signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("bits", "doc_id").alias("bits")).filter("node IS NOT NULL")
-    classes = written(classes, "classes")
-    slots = classes.select("node", "bits", F.explode("bands").alias("band"))
-    buckets = slots.groupBy("band").agg(F.min(F.struct("node", "bits")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    named = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
+    classes = written(named.groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
+    of_class = lambda which, *columns: named.select("set_key", "doc_id", *columns).join(which.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"]).withColumnRenamed("doc_id", "node")
+    # 16 bytes for each band; signatures and texts follow for those that share a bucket
+    slots = of_class(classes, "bands").select("node", F.explode("bands").alias("band"))
+    buckets = slots.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     slots = written(slots.join(buckets, "band"), "slots")
-
-    close = F.pandas_udf(_close, "boolean")
-    stars = slots.filter("node <> hub.node").select(F.col("node").alias("u"), F.col("hub.node").alias("v"), "bits", F.col("hub.bits").alias("hub_bits"))
-    stars = stars.groupBy("u", "v").agg(F.min("bits").alias("bits"), F.min("hub_bits").alias("hub_bits"))
-    stars = written(stars.filter(close("bits", "hub_bits")).select("u", "v"), "stars")
-    first = stars.groupBy("u").agg(F.min("v").alias("v"))
-    links = written(confirmed(first, docs, text, doc_id, words), "links")
-    links = _more(links, stars.join(first, ["u", "v"], "left_anti"), docs, text, doc_id, words)
-    links = _more(links, _across(slots, links).join(stars, ["u", "v"], "left_anti"), docs, text, doc_id, words)
+    texts = written(of_class(classes.join(slots.select("node").distinct(), "node", "left_semi"), "bands", "bits", "packed").dropDuplicates(["node"]), "texts")
+
+    stars = slots.filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    bits = lambda c: texts.select(F.col("node").alias(c), F.col("bits").alias("b" + c))
+    stars = written(stars.join(bits("u"), "u").join(bits("v"), "v").filter(F.pandas_udf(_close, "boolean")("bu", "bv")).select("u", "v"), "stars")
+    with small_batches(docs.sparkSession, 256):
+        links = written(confirmed(stars, texts, words), "links")
+    nodes = written(connected_components(links), "nodes")
+    across = _across(slots, texts, nodes, words)
     dropped(slots)
-
-    nodes = connected_components(links)
+    if not across.isEmpty():
+        nodes = _merged(nodes, across)
     component = F.coalesce("component", "node", "doc_id")
     out = signed.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "node"), "set_key", "left").join(nodes, "node", "left")
+    component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _labelled(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs that lie in two components."""
+def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """node and component after further links, found between the components alone."""
     of = lambda c: nodes.select(F.col("node").alias(c), F.col("component").alias("c" + c))
-    return pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
-
-
-def _more(links: DataFrame, pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
-    """The links and those of the pairs that join their components."""
-    left = written(_labelled(pairs, connected_components(links)), "open")
-    out = written(links.unionByName(confirmed(left, docs, text, doc_id, words)), "links") if not left.isEmpty() else links
-    dropped(left)
-    return out
+    ends = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    over = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    known = nodes.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    new = over.join(nodes, over["component"] == nodes["node"], "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))
+    return known.unionByName(new)
 
 
-def _across(slots: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of bucket members in different components whose signatures are close, other than those with the hub.
+def _block_pairs(members: DataFrame, *columns: str) -> DataFrame:
+    """Pairs of blocks of a bucket's members that can hold two components, with arrays of the columns of both.
 
-    Components with many members in a bucket form blocks of their own, the others share blocks, and only blocks that can
-    hold two components are compared, so a large group that is one component costs nothing.
+    Components with many members in a bucket form blocks of their own and the others share blocks, so a large group that
+    is one component is compared with the rest of its bucket only.
     """
-    nodes = connected_components(links)
-    members = slots.filter("n > 2").select("band", "node", "bits").join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.when(F.col("n") < BLOCK, F.col("n")).otherwise(0)).alias("rest")).filter("parts > 1").drop("parts")
     own = F.col("n") >= BLOCK
     placed = members.join(counts.join(mixed, "band"), ["band", "component"])
     placed = placed.withColumns({"owner": F.when(own, F.col("component")), "block": F.pmod(F.xxhash64("node"), F.ceil(F.when(own, F.col("n")).otherwise(F.col("rest")) / BLOCK))})
-    blocks = placed.groupBy("band", "owner", "block").agg(F.collect_list(F.struct("node", "component", "bits")).alias("m"))
-    blocks = written(blocks.withColumn("at", F.xxhash64("owner", "block")), "blocks")
-    a, b = blocks.select("band", F.col("owner").alias("o1"), F.col("at").alias("a1"), F.col("m").alias("m1")), blocks.select("band", F.col("owner").alias("o2"), F.col("at").alias("a2"), F.col("m").alias("m2"))
+    blocks = placed.groupBy("band", "owner", "block").agg(F.collect_list(F.struct(*columns)).alias("m")).withColumn("at", F.xxhash64("owner", "block"))
+    a, b = (blocks.select("band", F.col("owner").alias(f"o{k}"), F.col("at").alias(f"a{k}"), F.col("m").alias(f"m{k}")) for k in (1, 2))
     pairs = a.join(b, "band").filter("a1 <= a2").filter(F.coalesce(F.col("o1") != F.col("o2"), F.lit(True)))
-    pairs = pairs.select(*[F.col(f"m{k}.{c}").alias(f"{c}{k}") for k in (1, 2) for c in ("node", "component", "bits")])
+    return pairs.select("band", *[F.col(f"m{k}.{c}").alias(f"{c}{k}") for k in (1, 2) for c in columns])
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _near(p) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of members of two blocks in different components whose signatures are close and whose first common
+    bucket this is."""
+    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (p.bits1, p.bits2))
+    near = (estimates(x[:, None, :], y[None, :, :]) >= PERCENT / 100 - MARGIN) & (np.asarray(p.component1)[:, None] != np.asarray(p.component2)[None, :])
+    i, j = np.nonzero(near)
+    if len(i):
+        b1, b2 = np.stack(p.bands1), np.stack(p.bands2)
+        keep = np.concatenate([b1[i[s : s + 65536]][np.arange(len(i[s : s + 65536])), (b1[i[s : s + 65536]] == b2[j[s : s + 65536]]).argmax(axis=1)] == p.band for s in range(0, len(i), 65536)])
+        i, j = i[keep], j[keep]
+    return i, j
+
+
+def _across(slots: DataFrame, texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """Links between components, from members of a bucket other than its hub.
+
+    A first pass over packed signatures finds who has a close partner in another component; only these take their texts to
+    a second pass, which confirms on full sets inside the task and returns one link for each pair of components at most.
+    """
+    members = slots.filter("n > 2").select("band", "node").join(texts.select("node", "bands", "bits"), "node").join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = written(members, "members")
+
+    def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
             for p in batch.itertuples():
-                x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (p.bits1, p.bits2))
-                near = (estimates(x[:, None, :], y[None, :, :]) >= PERCENT / 100 - MARGIN) & (np.asarray(p.component1)[:, None] != np.asarray(p.component2)[None, :])
-                i, j = np.nonzero(near)
-                u, v = np.asarray(p.node1)[i], np.asarray(p.node2)[j]
-                out.append(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1))
-            yield pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["u", "v"])
-
-    return pairs.mapInPandas(compare, "u long, v long").distinct()
+                i, j = _near(p)
+                if len(i):
+                    found = np.unique(np.concatenate([np.asarray(p.node1)[np.unique(i)], np.asarray(p.node2)[np.unique(j)]]))
+                    yield pd.DataFrame({"band": np.full(len(found), p.band), "node": found})
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets = _Sets(words, 2 * BLOCK)
+        for batch in batches:
+            for p in batch.itertuples():
+                done, out = set(), []
+                for i, j in zip(*_near(p), strict=True):
+                    ends = (p.component1[i], p.component2[j])
+                    if ends not in done and similar(sets.of(p.packed1[i]), sets.of(p.packed2[j])):
+                        done |= {ends, ends[::-1]}
+                        out.append((p.node1[i], p.node2[j]))
+                if out:
+                    yield pd.DataFrame(out, columns=["u", "v"])
+
+    with small_batches(slots.sparkSession, 64):
+        busy = written(_block_pairs(members, "node", "component", "bits", "bands").mapInPandas(partners, "band long, node long").distinct(), "busy")
+    carried = members.join(busy, ["band", "node"]).join(texts.select("node", "packed"), "node")
+    with small_batches(slots.sparkSession, 8):
+        out = written(_block_pairs(carried, "node", "component", "bits", "bands", "packed").mapInPandas(check, "u long, v long").distinct(), "across")
+    dropped(members)
+    dropped(busy)
+    return out
