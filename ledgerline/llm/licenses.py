@@ -1,20 +1,20 @@
-"""License scans: blocks ranked by compression against each template, and confirmed by their wording.
+"""License scans: stretches around cue words, confirmed by their wording and ranked by compression against each template.
 
-Sentences and lines with a cue word, together with cue neighbours, are candidate blocks. A block is compressed as it is and
-with each template as a zstandard raw dictionary; what a template saves, as a share, ranks it. The leading templates are
-compared with the block word by word, and the one with the fewest differences wins if the block holds nearly all of its
-words in order.
+The words around each cue word, as many as the longest template can take, are a block; blocks that meet are one. Every
+template most of whose words occur in a block is aligned with it word by word, and a stretch that holds nearly all of its
+words in order confirms it. A stretch is compressed as it is and with each template as a zstandard raw dictionary; what a
+template saves, as a share, ranks it among those with equally few differences.
 
-Defined cases: null, empty and cue-free texts give no rows; a block of any number of licenses names the best one; blocks
-longer than ``LONGEST`` characters are cut at sentences, never dropped; ties go to the template named first; repeated rows
-give repeated results; other columns, whatever their names, are not read; an empty table gives an empty result.
+Defined cases: null, empty and cue-free texts give no rows; a block of any number of licenses names the best one; line
+ends, punctuation and the length of a block do not matter; ties go to the template named first; repeated rows give
+repeated results; other columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
@@ -45,32 +45,37 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "Proprietary": "All rights reserved.",
 }
-CUES = r"(?i)licen[cs]|copyright|permission (?:is|to use)|redistribut|spdx|rights reserved|public domain|\bcc[0 -]by|\bcc0\b|gnu (?:\w+ )?general public"
-_CUE = re.compile(CUES)
-_SENTENCE = re.compile(r"[^\n]+?(?:[.;!?](?=\s)|\n|$)")
-_WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
-LONGEST, LEAST_SAVED, LEADING, LEAST_HELD = 4000, 0.15, 4, 0.9
-
-
-def blocks(text: str) -> list[tuple[int, int]]:
-    """[start, end) of neighbouring sentences or lines with cues, in code points."""
-    out: list[list[int]] = []
-    before = False
-    for m in _SENTENCE.finditer(text):
-        if not _CUE.search(m[0]):
-            before = before and not m[0].strip()
-            continue
-        start, end = m.start() + len(m[0]) - len(m[0].lstrip()), m.start() + len(m[0].rstrip())
-        if before and end - out[-1][0] <= LONGEST:
-            out[-1][1] = end
-        else:
-            out.append([start, end])
-        before = True
-    return [(a, b) for a, b in out if b > a]
+# words of a cue may stand on two lines with marks of comments between them
+CUES = r"(?i)licen[cs]|copyright|permission[^a-z0-9]+(?:is|to[^a-z0-9]+use)|redistribut|spdx|rights[^a-z0-9]+reserved|public[^a-z0-9]+domain|\bcc(?:0|[^a-z0-9]+)by|\bcc0\b|gnu[^a-z0-9]+(?:\w+[^a-z0-9]+)?general[^a-z0-9]+public"
+_CUE = re.compile(CUES, re.ASCII)
+_WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w.lower() for w in _WORD.findall(text)]
+
+
+_TEMPLATE_WORDS = {name: words(t) for name, t in TEMPLATES.items()}
+# wording that tells licenses apart, such as names and versions, is short: one word in ten may be missing
+_SLACK = {name: len(t) // 10 for name, t in _TEMPLATE_WORDS.items()}
+AROUND = max(len(t) + _SLACK[name] for name, t in _TEMPLATE_WORDS.items())
+
+
+def blocks(text: str) -> list[list[tuple[str, int, int]]]:
+    """(word, start, end) of the words around cues, in code points; blocks that overlap or touch are one."""
+    cues = [m.span() for m in _CUE.finditer(text)]
+    if not cues:
+        return []
+    spans = [m.span() for m in _WORD.finditer(text)]
+    starts, ends = [a for a, _ in spans], [b for _, b in spans]
+    ranges: list[list[int]] = []
+    for a, b in cues:
+        low, high = max(bisect_right(ends, a) - AROUND, 0), min(bisect_left(starts, b) + AROUND, len(spans))
+        if ranges and low <= ranges[-1][1]:
+            ranges[-1][1] = max(ranges[-1][1], high)
+        else:
+            ranges.append([low, high])
+    return [[(text[a:b].lower(), a, b) for a, b in spans[low:high]] for low, high in ranges]
 
 
 @lru_cache(maxsize=1)
@@ -81,46 +86,85 @@ def _compressors():
     return make(), {name: make(dict_data=dictionary(t)) for name, t in TEMPLATES.items()}
 
 
-def savings(block: str) -> list[tuple[float, str]]:
-    """Share of the compressed size that each template saves, largest first."""
+def saving(said: list[str], name: str) -> float:
+    """Share of the compressed size of a stretch that a template saves."""
     plain, by_name = _compressors()
-    data = " ".join(words(block)).encode()
-    size = len(plain.compress(data))
-    order = {name: k for k, name in enumerate(TEMPLATES)}
-    return sorted(((1 - len(c.compress(data)) / size, name) for name, c in by_name.items()), key=lambda x: (-x[0], order[x[1]]))
+    data = " ".join(said).encode()
+    return 1 - len(by_name[name].compress(data)) / len(plain.compress(data))
+
+
+def aligned(said: list[str], template: list[str], missing: int, added: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, missing, added) of stretches that hold the template's words in order.
+
+    At most ``missing`` words of it are missing, and of the words between the first and the last held at most ``added``
+    more than are missing do not belong to it. Of each end and number of missing words the shortest stretch is given.
+    """
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(template):
+        places.setdefault(w, []).append(i)
+    n, most = len(template), missing + added
+    found, live = [], {}  # live: (words of the template passed, missing of them) -> fewest added; the last state ends here
+    for j, word in enumerate(said):
+        now = {state: more + 1 for state, more in live.items() if more < most}
+        for p in places.get(word, ()):
+            # from nothing, or from a state some words before p, which are then missing
+            got = {p: 0} if p <= missing else {}
+            for gap in range(min(missing, p) + 1):
+                for m in range(missing - gap + 1):
+                    more = live.get((p - gap, m))
+                    if more is not None and more < got.get(m + gap, most + 1):
+                        got[m + gap] = more
+            for m, more in got.items():
+                now[p + 1, m] = min(more, now.get((p + 1, m), most))
+                lacking = m + n - p - 1
+                if lacking <= missing and more <= lacking + added:
+                    found.append((j + m - p - more, j + 1, lacking, more))
+        live = now
+    return found
 
 
 def differences(block: list[str], template: list[str]) -> tuple[int, int]:
-    """Words of the template that the block lacks, and words of the block within the matched stretch that it adds."""
-    runs = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
-    held = sum(m.size for m in runs)
-    inside = runs[-1].b + runs[-1].size - runs[0].b if runs else 0
-    return len(template) - held, inside - held
-
-
-def classify(block: str) -> tuple[str, float, int, int] | None:
-    """(license, saved, missing, added) of the best confirmed template."""
-    said, found = words(block), []
-    leading = [x for x in savings(block)[:LEADING] if x[0] >= LEAST_SAVED] if said else []
-    for rank, (saved, name) in enumerate(leading):
-        template = words(TEMPLATES[name])
-        missing, added = differences(said, template)
-        # wording that tells licenses apart, such as names and versions, is short: one word in ten may be missing
-        if missing <= (1 - LEAST_HELD) * len(template) and added <= missing + len(template) // 10:
-            found.append((missing + added, -len(template), rank, name, saved, missing, added))
-    return min(found)[3:] if found else None
+    """Words of the template that the block lacks, and words that it adds, in the stretch with the fewest of both."""
+    best = min(aligned(block, template, len(template), len(block)), key=lambda x: (x[2] + x[3], x[2]), default=None)
+    return best[2:] if best else (len(template), 0)
+
+
+def confirmed(said: list[str]) -> list[tuple[int, int, str, float, int, int]]:
+    """(start, end, license, saved, missing, added) of confirmed stretches, best first; those of one template lie apart."""
+    here, out = set(said), []
+    order = {name: k for k, name in enumerate(TEMPLATES)}
+    for name, template in _TEMPLATE_WORDS.items():
+        slack = _SLACK[name]
+        if sum(w not in here for w in template) > slack:
+            continue
+        found = sorted(aligned(said, template, slack, slack), key=lambda x: (x[2] + x[3], x[2], x[0]))
+        out += [(a, b, name, saving(said[a:b], name), lacking, more) for a, b, lacking, more in apart(found)]
+    return sorted(out, key=lambda x: (x[4] + x[5], -len(_TEMPLATE_WORDS[x[2]]), -x[3], order[x[2]], x[0]))
+
+
+def apart(found: list[tuple]) -> list[tuple]:
+    """Of stretches [start, end), best first, those that overlap no better one."""
+    kept: list[tuple] = []  # by start
+    for x in found:
+        k = bisect_left(kept, x[:2], key=lambda y: y[:2])
+        if (k == 0 or kept[k - 1][1] <= x[0]) and (k == len(kept) or x[1] <= kept[k][0]):
+            kept.insert(k, x)
+    return kept
 
 
 RESULT = "doc_id long, block long, start long, end long, license string, saved double, missing long, added long"
 
 
 def scan(text: str | None) -> list[tuple]:
-    found = [(k, a, b, classify(text[a:b])) for k, (a, b) in enumerate(blocks(text))] if text else []
-    return [(k, a, b, c[0], round(c[1], 6), c[2], c[3]) for k, a, b, c in found if c]
+    out = []
+    for k, block in enumerate(blocks(text) if text else []):
+        for a, b, name, saved, missing, added in confirmed([w for w, _, _ in block])[:1]:
+            out.append((k, block[a][1], block[b - 1][2], name, round(saved, 6), missing, added))
+    return out
 
 
 def find_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, block, start, end, license, saved share, and missing and added words of each confirmed block."""
+    """doc_id, block, start, end, license, saved share, and missing and added words of the best stretch of each block."""
     rows = docs.select(docs[doc_id].cast("string").alias("doc_id"), docs[text].alias("text")).filter(F.col("text").rlike(CUES))
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -90,6 +90,46 @@ def test_licenses_spans_and_exhaustive_ranking(spark):
     assert licenses.find_licenses(clash).count() == 2 * len(licenses.scan(text))
 
 
+def test_licenses_in_long_blocks_and_wrapped_or_unpunctuated_text():
+    named = lambda t: [(x[3], t[x[1] : x[2]]) for x in licenses.scan(t)]
+    mit = "under the MIT License"
+    for t in ("Copyright (c) 2019 Jane Roe and the project contributors.\nReleased under the MIT License.", "You may use, copy and change the accompanying source files under the MIT License.", "copyright notices " * 300 + mit + " and more words" * 300):
+        assert ("MIT", mit) in named(t)
+    wrapped = "\n * ".join(licenses.TEMPLATES["MIT-text"].replace("merge", "fuse").split())
+    assert named(f"x {wrapped} y") == [("MIT-text", wrapped[:-1])]
+    assert licenses.scan(f"x {wrapped} y")[0][5:] == (1, 1)
+    assert named("all rights\n# reserved") == [("Proprietary", "all rights\n# reserved")]
+
+
+def test_license_alignment_against_all_stretches():
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *_row(row, x, b)]
+        return row[-1]
+
+    def _row(row, x, b):
+        left = 0
+        for j, y in enumerate(b):
+            left = row[j] + 1 if x == y else max(left, row[j + 1])
+            yield left
+
+    random.seed(5)
+    for _ in range(300):
+        said, template = (random.choices("abcde", k=random.randint(1, n)) for n in (14, 8))
+        m, more = random.randint(0, 2), random.randint(0, 2)
+        want = {}
+        for a in range(len(said)):
+            for b in range(a + 1, len(said) + 1):
+                held = longest(template, said[a:b])
+                missing, added = len(template) - held, b - a - held
+                if held and missing <= m and added <= missing + more:
+                    want[missing + added] = want.get(missing + added, 0) + 1
+        got = licenses.aligned(said, template, m, more)
+        assert min((x[2] + x[3] for x in got), default=None) == min(want, default=None), (said, template, m, more)
+        assert all(longest(template, said[a:b]) >= len(template) - missing and b - a == len(template) - missing + added for a, b, missing, added in got)
+
+
 # -- packing
 
 
