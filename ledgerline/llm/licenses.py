@@ -5,9 +5,10 @@ template most of whose words occur in a block is aligned with it word by word, a
 words in order confirms it. A stretch is compressed as it is and with each template as a zstandard raw dictionary; what a
 template saves, as a share, ranks it among those with equally few differences.
 
-Defined cases: null, empty and cue-free texts give no rows; a block of any number of licenses names the best one; line
-ends, punctuation and the length of a block do not matter; ties go to the template named first; repeated rows give
-repeated results; other columns, whatever their names, are not read; an empty table gives an empty result.
+Defined cases: null, empty and cue-free texts give no rows; each of a block's licenses is a row, and of stretches that
+overlap the one with fewer differences, then of the longer template, stays; line ends, punctuation and the length of a
+block do not matter; ties go to the template named first; repeated rows give repeated results; other columns, whatever
+their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -158,13 +159,13 @@ RESULT = "doc_id long, block long, start long, end long, license string, saved d
 def scan(text: str | None) -> list[tuple]:
     out = []
     for k, block in enumerate(blocks(text) if text else []):
-        for a, b, name, saved, missing, added in confirmed([w for w, _, _ in block])[:1]:
+        for a, b, name, saved, missing, added in apart(confirmed([w for w, _, _ in block])):
             out.append((k, block[a][1], block[b - 1][2], name, round(saved, 6), missing, added))
     return out
 
 
 def find_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, block, start, end, license, saved share, and missing and added words of the best stretch of each block."""
+    """doc_id, block, start, end, license, saved share, and missing and added words of each confirmed stretch."""
     rows = docs.select(docs[doc_id].cast("string").alias("doc_id"), docs[text].alias("text")).filter(F.col("text").rlike(CUES))
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -22,7 +22,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License blocks of all documents with the best template, what it saves and how the wording differs."""
+    """License stretches of all documents with their template, what it saves and how the wording differs."""
     return licenses.find_licenses(_table(spark, sf_dir, "documents"))
 
 

@@ -130,6 +130,15 @@ def test_license_alignment_against_all_stretches():
         assert all(longest(template, said[a:b]) >= len(template) - missing and b - a == len(template) - missing + added for a, b, missing, added in got)
 
 
+def test_every_license_of_a_block_is_a_row(spark):
+    dual = "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."
+    notices = ". ".join(licenses.TEMPLATES.values()) + "."
+    got = licenses.find_licenses(docs(spark, [dual, notices, dual + "\n" + dual])).orderBy("doc_id", "start").collect()
+    assert [(r["license"], dual[r["start"] : r["end"]]) for r in got if r["doc_id"] == 0] == [("MIT", "under the MIT License"), ("Apache-2.0", "under the Apache License, Version 2.0")]
+    assert [r["license"] for r in got if r["doc_id"] == 1] == list(licenses.TEMPLATES)
+    assert [r["license"] for r in got if r["doc_id"] == 2] == ["MIT", "Apache-2.0"] * 2
+
+
 # -- packing
 
 
