@@ -46,7 +46,7 @@ def affinity_pair_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("affinity_filtered")
 def affinity_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return af.associations(star_lines(spark, d)).filter("passes_all_filters")
+    return af.associations(star_lines(spark, d), FULL).filter("passes_all_filters")
 
 
 @query("affinity_status")
@@ -68,7 +68,7 @@ def next_trip_transitions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("transition_significance")
 def transition_significance(spark: SparkSession, d: str) -> DataFrame:
-    return af.transitions(star_lines(spark, d)).select("from_item", "to_item", "chi2", "p_value", "q_value", "significant")
+    return af.transitions(star_lines(spark, d), FULL).select("from_item", "to_item", "chi2", "p_value", "q_value", "significant")
 
 
 @query("lift_matrix", f"{_PAIRS}, r AS (SELECT antecedent, consequent, (pair_baskets / base) / (other / total) AS v FROM dr), top AS (SELECT antecedent AS item FROM r GROUP BY 1 ORDER BY sum(v) DESC, 1 LIMIT 15) SELECT antecedent, consequent, round(v, 6) AS basket_lift FROM r WHERE antecedent IN (FROM top) AND consequent IN (FROM top)")

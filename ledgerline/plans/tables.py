@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators import affinity, features, models, scoring, summaries, survival
 from ledgerline.operators import events as ev
 from ledgerline.operators import quality as qa
+from ledgerline.plans.basket_queries import FULL
 from ledgerline.session import get_spark, ship
 from ledgerline.sources import readers
 
@@ -54,9 +55,9 @@ def result_tables(lines: DataFrame, as_of: dt.date, horizon: int = 90) -> dict[s
         "repeat_survival": lambda: survival.repeat_survival(events, as_of),
         "cohort_retention_new_customers": lambda: survival.cohort_retention(events, as_of),
         "interpurchase_intervals": lambda: features.interpurchase_intervals(events),
-        "basket_affinity": lambda: affinity.associations(lines),
-        "next_trip_affinity": lambda: affinity.transitions(lines).filter("significant"),
-        "affinity_status": lambda: affinity.affinity_status(lines),
+        "basket_affinity": lambda: affinity.associations(lines, FULL),
+        "next_trip_affinity": lambda: affinity.transitions(lines, FULL).filter("significant"),
+        "affinity_status": lambda: affinity.affinity_status(lines, FULL),
         "customer_revenue_concentration": lambda: summaries.revenue_concentration(summaries.customer_spend(events)),
         "transaction_summary": lambda: summaries.transaction_summary(lines),
         "product_summary": lambda: summaries.product_summary(lines),

@@ -34,3 +34,28 @@ def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() > 0
     names = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(names) and len(names) > 90
+
+
+def test_affinity_queries_take_all_baskets(spark, monkeypatch):
+    from ledgerline.operators import affinity as af
+
+    real, used = af.candidate_baskets, []
+
+    def spied(lines, c):
+        used.append((c.max_baskets, c.max_pair_operations))
+        return real(lines, c)
+
+    monkeypatch.setattr(af, "candidate_baskets", spied)
+    for name in ("affinity_filtered", "transition_significance"):
+        assert registry.queries()[name](spark, SF).count() >= 0
+    assert used == [(None, None)] * 2
+
+
+def test_transition_significance_follows_the_counts_of_all_baskets(spark):
+    sf = "/root/testdata/sf0.1"  # more baskets than the operator's default budget
+    n = registry.queries()["next_trip_transitions"](spark, sf).toPandas().set_index(["from_item", "to_item"])
+    got = registry.queries()["transition_significance"](spark, sf).toPandas().set_index(["from_item", "to_item"])
+    assert len(got) == len(n)
+    ab, a, b, total = (n[c].astype(float) for c in ("n_pair", "n_from_item", "n_to_item", "N"))
+    want = (abs(ab * total - a * b) - total / 2) ** 2 * total / (a * b * (total - a) * (total - b))
+    assert (abs(want - got.chi2.reindex(n.index)) <= 1e-6 * (1 + want)).all()
