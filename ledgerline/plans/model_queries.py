@@ -114,7 +114,7 @@ def rolling_origin(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return mo.choose_clusters(_scores(spark, d)[0], range(3, 5), bootstraps=2)
+    return mo.choose_clusters(_scores(spark, d)[0])
 
 
 @query("cluster_assignments")
@@ -140,8 +140,7 @@ def rfm_cluster_comparison(spark: SparkSession, d: str) -> DataFrame:
 @query("snapshot_stability")
 def snapshot_stability(spark: SparkSession, d: str) -> DataFrame:
     lines = star_lines(spark, d)
-    last = ev.latest_day(lines)
-    return mo.snapshot_stability(lines, mo.quarter_ends(last - dt.timedelta(days=200), last))
+    return mo.snapshot_stability(lines, mo.snapshot_days(lines, HORIZON), HORIZON)
 
 
 @query("category_components")

@@ -50,7 +50,7 @@ def result_tables(lines: DataFrame, as_of: dt.date, horizon: int = 90) -> dict[s
         "cluster_diagnostics": lambda: clusters(1),
         "cluster_profiles": lambda: models.cluster_profiles(clusters(0)),
         "rfm_cluster_comparison": lambda: scoring.compare_segments(clusters(0), "rfm_segment", "cluster_label"),
-        "cluster_stability": lambda: models.snapshot_stability(lines, models.quarter_ends(as_of - dt.timedelta(days=365), as_of)),
+        "cluster_stability": lambda: models.snapshot_stability(lines, models.snapshot_days(lines, horizon), horizon),
         "rfm_segment_profiles": lambda: scoring.segment_profile(scored(), "rfm_segment"),
         "repeat_survival": lambda: survival.repeat_survival(events, as_of),
         "cohort_retention_new_customers": lambda: survival.cohort_retention(events, as_of),

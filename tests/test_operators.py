@@ -240,6 +240,44 @@ def test_models_recover_and_fall_back(spark):
     assert [f.status for f in fits] == ["skipped", "skipped"] and few.filter("prediction_source <> 'naive_rate'").count() == 0
 
 
+def test_clusters_try_every_k_over_all_customers(spark):
+    from ledgerline import registry
+
+    sf = "/root/testdata/sf0.001"
+    got = registry.queries()["cluster_diagnostics"](spark, sf).orderBy("k").collect()
+    assert [r["k"] for r in got] == [3, 4, 5, 6, 7] and sum(r["chosen"] for r in got) == 1
+    assert all(-1 <= r["silhouette"] <= 1 and -0.1 <= r["bootstrap_ari"] <= 1 and 0 < r["smallest_share"] <= 1 for r in got)
+
+
+def test_bootstrap_centres_and_cells_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(m, 0.3, (40, 2)) for m in (0, 3, 6)])
+    w = rng.poisson(1, (len(x), 2))
+    rows = spark.createDataFrame([(list(map(float, a)), list(map(int, b))) for a, b in zip(x, w, strict=True)], "x array<double>, w array<int>")
+    start = x[[0, 40, 80]]
+    got = mo._bootstrap_centres(rows, {(3, 0): start, (3, 1): start})
+    for b in (0, 1):
+        c = start
+        for _ in range(50):
+            label = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            c = np.array([np.average(x[label == i], axis=0, weights=w[label == i, b]) for i in range(3)])
+        assert np.allclose(got[3, b], c, atol=1e-3)
+    cells = mo._contingency(rows, {3: start}, got)
+    assert cells[3, 0].sum() == len(x) and mo._ari(cells[3, 0]) == pytest.approx(1.0)
+
+
+def test_snapshots_cover_all_quarters_with_agreement_and_persistence(spark):
+    from ledgerline.sources.star import star_lines
+
+    df = star_lines(spark, "/root/testdata/sf0.001")
+    days = mo.snapshot_days(df)
+    assert len(days) > 20 and (days[0].month, days[0].day) in {(3, 31), (6, 30), (9, 30), (12, 31)}
+    got = mo.snapshot_stability(df, days[-2:], ks=range(3, 4), bootstraps=1).toPandas()
+    pair, parts = got[got.cluster.isna()].iloc[0], got[got.cluster.notna()]
+    assert len(got) == 1 + len(parts) and 0 <= pair.label_agreement <= 1 and -0.5 <= pair.ari <= 1
+    assert parts.customers.sum() == pair.common_customers and parts.persistence.between(1 / 3 - 1e-9, 1).all()
+
+
 def test_short_histories_are_skipped_with_a_reason(spark):
     df = lines(spark, [("C1", "T1", "P1", "2024-01-01", 1.0, 1.0), ("C1", "T2", "P1", "2024-01-20", 1.0, 1.0)])
     got = one(mo.holdout_metrics(df, dt.date(2024, 1, 20), 30))
