@@ -68,3 +68,38 @@ def minimise(f, starts: list[np.ndarray], low: np.ndarray, high: np.ndarray, ste
         if best is None or values[k] < best[1]:
             best = points[k], float(values[k]), settled
     return best
+
+
+def descend(f, start: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int = 60, close: float = 1e-10, h: float = 1e-3) -> tuple[np.ndarray, float, bool]:
+    """Bounded damped Newton steps with differences as derivatives: point, value and whether it settled.
+
+    ``f`` takes a batch of points as rows and gives their values, so that a step needs two calls.
+    """
+    n = len(start)
+    e = h * np.eye(n)
+    pairs = [(i, j) for i in range(n) for j in range(i)]
+    p, value, settled = np.clip(start, low, high), None, False
+    for _ in range(steps):
+        v = f(np.array([p, *(p + x for x in e), *(p - x for x in e), *(p + e[i] + e[j] for i, j in pairs), *(p - e[i] - e[j] for i, j in pairs)]))
+        value, up, down, both, neither = v[0], v[1 : n + 1], v[n + 1 : 2 * n + 1], v[2 * n + 1 : 2 * n + 1 + len(pairs)], v[2 * n + 1 + len(pairs) :]
+        g, hess = (up - down) / (2 * h), np.diag((up - 2 * value + down) / h**2)
+        for (i, j), a, b in zip(pairs, both, neither, strict=True):
+            hess[i, j] = hess[j, i] = (a + b - up[i] - up[j] - down[i] - down[j] + 2 * value) / (2 * h**2)
+        free = ~((p <= low) & (g > 0) | (p >= high) & (g < 0))
+        if not free.any():
+            return p, float(value), True
+        w, q = np.linalg.eigh(hess[np.ix_(free, free)])
+        w = np.maximum(np.abs(w), 1e-8 * max(np.abs(w).max(), 1e-300))
+        step = np.zeros(n)
+        step[free] = -q @ ((q.T @ g[free]) / w)
+        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
+        tries = np.array([np.clip(p + step * 0.5**k, low, high) for k in range(12)])
+        v = f(tries)
+        k = int(np.argmin(v))
+        if v[k] >= value - close * (abs(value) + close):
+            settled = bool(np.abs(step).max() < 1e-2 or v[k] >= value)
+            if v[k] < value:
+                p, value = tries[k], v[k]
+            break
+        p, value = tries[k], v[k]
+    return p, float(value), settled

@@ -240,6 +240,27 @@ def test_models_recover_and_fall_back(spark):
     assert [f.status for f in fits] == ["skipped", "skipped"] and few.filter("prediction_source <> 'naive_rate'").count() == 0
 
 
+def test_fits_take_all_customers_without_collecting_them(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rate = rng.gamma(2.0, 1 / 60.0, 3000)
+    x = rng.poisson(rate * 300)
+    data = [(str(i), int(k), float(rng.uniform(0, 300)) if k else 0.0, 300.0 + i % 50, int(k) + 1, float(rng.gamma(3.0, 10.0 / (1 + i % 3)))) for i, k in enumerate(x)]
+    df = spark.createDataFrame(data, "customer_id string, x long, t_x double, T double, n_trips long, mean_trip_value double")
+    pdf = df.toPandas()
+    monkeypatch.setattr(mo, "START_ROWS", 300)
+    trips, value = mo.fit_bgnbd(df), mo.fit_gamma_gamma(df)
+    assert trips.rows == 3000 and value.rows == int((pdf.n_trips >= 2).sum()) and trips.converged and value.converged
+    a = [pdf[c].to_numpy(float) for c in ("x", "t_x", "T")]
+    rich = pdf[pdf.n_trips >= 2]
+    b = [rich[c].to_numpy(float) for c in ("n_trips", "mean_trip_value")]
+    one_ = lambda p: -mo.bgnbd_loglik(np.exp(p), *a).sum() + 1e-3 * 3000 * (p**2).sum()
+    two_ = lambda p: -mo.gamma_gamma_loglik(np.exp(p), *b).sum()
+    for fit, f, low, high in ((trips, one_, np.full(4, -7.0), np.full(4, 7.0)), (value, two_, np.array([-5.0, np.log(1.05), -5.0]), np.array([5.0, 6.0, 12.0]))):
+        at = np.log([v for _, v in fit.params])
+        want = special.minimise(f, [at, at + 0.2], low, high)[1]
+        assert fit.value == pytest.approx(f(at), rel=1e-9) and fit.value <= want + 1e-6 * abs(want)
+
+
 def test_clusters_try_every_k_over_all_customers(spark):
     from ledgerline import registry
 
