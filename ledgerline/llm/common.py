@@ -21,15 +21,16 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares for intermediate tables (spark.checkpoint.dir).
 
-    Where the setting is missing, as in local tests, a temporary folder of this process is used.
+    Where the setting is missing and Spark runs in this process alone, as in tests, a temporary folder is used; on a cluster
+    no machine's own folder can stand for it, and the missing setting is an error.
     """
     global _own_dir
-    try:
-        found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    except Exception:  # the setting is static and may be unreadable through the session
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
     return _own_dir
@@ -88,6 +89,23 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def bounded_batches(spark: SparkSession, size: int = 8 << 20, rows: int = 2000) -> None:
+    """Bound the Arrow batches of this session by bytes as well as rows, so that long texts do not fill a worker.
+
+    The settings apply when a plan runs, which for a returned table is after its operator has ended; they only ever shrink.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", size), ("spark.sql.execution.arrow.maxRecordsPerBatch", rows)):
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not use, whatever the case of its names."""
+    used = {c.lower() for c in df.columns}
+    return next(n for n in (name + "_" * k for k in range(len(used) + 1)) if n.lower() not in used)
+
+
 def word_count(text: str | Column) -> Column:
     """Words of a text (null: 0), counted inside the JVM."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

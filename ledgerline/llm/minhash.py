@@ -11,8 +11,9 @@ several components, members of different components are compared by their packed
 is confirmed too. No bucket is capped.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; so do rows without a doc_id, whose
-component is null and which are kept; rows that repeat a doc_id are one node; texts are read whole; an empty table gives
-an empty result; other columns, whatever their names, are not read.
+component is null and which are kept; rows with equal sets are one class, whatever their doc_ids, and rows that share a
+doc_id but not their set are looked at on their own; texts are read whole; an empty table gives an empty result; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import dropped, small_batches, written
+from ledgerline.llm.common import bounded_batches, dropped, small_batches, written
 from ledgerline.llm.components import connected_components
 
 WORDS = 5
@@ -121,6 +122,7 @@ def sign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int
                 columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(texts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "bands", "bits", "packed"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(signed, SIGNED)
 
 
@@ -151,51 +153,67 @@ class _Sets:
         self.of = lru_cache(maxsize=remember)(lambda z: shingles(unpack.decompress(z).decode("utf-8", "surrogatepass"), words))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose full sets are similar enough; ``texts`` has node and its compressed text."""
+def confirmed(pairs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose packed signatures are close and whose full sets are similar enough."""
 
     def check(a: pd.Series, b: pd.Series) -> pd.Series:
         sets = _Sets(words)
         return pd.Series([similar(sets.of(x), sets.of(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     # callers write the result with few pairs to a batch, since texts may be long
-    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("packed").alias("pu")), "u").join(texts.select(F.col("node").alias("v"), F.col("packed").alias("pv")), "v")
-    return both.filter(F.pandas_udf(check, "boolean")("pu", "pv")).select("u", "v").distinct()
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("bits").alias("b" + c), F.col("packed").alias("p" + c))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").filter(F.pandas_udf(_close, "boolean")("bu", "bv"))
+    return both.filter(F.pandas_udf(check, "boolean")("pu", "pv")).select("u", "v")
+
+
+def _classes(signed: DataFrame) -> DataFrame:
+    """One row for each distinct set: a number of its own (node), the least doc_id, and signature and text of that row.
+
+    The numbers hold because the table is written: they are read from there and never made again.
+    """
+    named = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
+    one = named.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.min_by(F.struct("bands", "bits", "packed"), "doc_id").alias("x"))
+    return written(one.select(F.monotonically_increasing_id().alias("node"), "set_key", "doc", "x.bands", "x.bits", "x.packed"), "classes")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
+    out = components(docs, text, doc_id, words)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, set_key and component_id of every row."""
     signed = written(sign(docs, text, doc_id, words), "signed")
-    named = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(named.groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
-    of_class = lambda which, *columns: named.select("set_key", "doc_id", *columns).join(which.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"]).withColumnRenamed("doc_id", "node")
+    classes = _classes(signed)
     # 16 bytes for each band; signatures and texts follow for those that share a bucket
-    slots = of_class(classes, "bands").select("node", F.explode("bands").alias("band"))
+    slots = classes.select("node", F.explode("bands").alias("band"))
     buckets = slots.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     slots = written(slots.join(buckets, "band"), "slots")
-    texts = written(of_class(classes.join(slots.select("node").distinct(), "node", "left_semi"), "bands", "bits", "packed").dropDuplicates(["node"]), "texts")
-
     stars = slots.filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    bits = lambda c: texts.select(F.col("node").alias(c), F.col("bits").alias("b" + c))
-    stars = written(stars.join(bits("u"), "u").join(bits("v"), "v").filter(F.pandas_udf(_close, "boolean")("bu", "bv")).select("u", "v"), "stars")
     with small_batches(docs.sparkSession, 256):
-        links = written(confirmed(stars, texts, words), "links")
+        links = written(confirmed(stars, classes, words), "links")
     nodes = written(connected_components(links), "nodes")
-    across = _across(slots, texts, nodes, words)
+    across = _across(slots, classes, nodes, words)
     dropped(slots)
+    dropped(links)
     if not across.isEmpty():
-        nodes = _merged(nodes, across)
-    component = F.coalesce("component", "node", "doc_id")
-    out = signed.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "node"), "set_key", "left").join(nodes, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        nodes = written(_merged(nodes, across), "nodes")
+    # a component goes by its least doc_id; classes without links are their own
+    placed = classes.select("node", "set_key", "doc").join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("doc").alias("component_id"))
+    placed = placed.join(least, "component").select("set_key", "component_id")
+    row = signed.select("doc_id", "n_shingles", "set_key")
+    found = row.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").join(placed, "set_key").select("doc_id", "n_shingles", "set_key", "component_id")
+    return found.unionByName(row.filter("set_key IS NULL OR doc_id IS NULL").withColumn("component_id", F.col("doc_id")))
 
 
 def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """node and component after further links, found between the components alone."""
     of = lambda c: nodes.select(F.col("node").alias(c), F.col("component").alias("c" + c))
     ends = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-    over = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    over = written(connected_components(ends), "over").select(F.col("node").alias("component"), F.col("component").alias("top"))
     known = nodes.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     new = over.join(nodes, over["component"] == nodes["node"], "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))
     return known.unionByName(new)
@@ -205,16 +223,28 @@ def _block_pairs(members: DataFrame, *columns: str) -> DataFrame:
     """Pairs of blocks of a bucket's members that can hold two components, with arrays of the columns of both.
 
     Components with many members in a bucket form blocks of their own and the others share blocks, so a large group that
-    is one component is compared with the rest of its bucket only.
+    is one component is compared with the rest of its bucket only. A pair meets under the key of its left block; the right
+    ones are copied to these keys, so no key holds a bucket.
     """
     counts = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = counts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.when(F.col("n") < BLOCK, F.col("n")).otherwise(0)).alias("rest")).filter("parts > 1").drop("parts")
-    own = F.col("n") >= BLOCK
-    placed = members.join(counts.join(mixed, "band"), ["band", "component"])
-    placed = placed.withColumns({"owner": F.when(own, F.col("component")), "block": F.pmod(F.xxhash64("node"), F.ceil(F.when(own, F.col("n")).otherwise(F.col("rest")) / BLOCK))})
-    blocks = placed.groupBy("band", "owner", "block").agg(F.collect_list(F.struct(*columns)).alias("m")).withColumn("at", F.xxhash64("owner", "block"))
-    a, b = (blocks.select("band", F.col("owner").alias(f"o{k}"), F.col("at").alias(f"a{k}"), F.col("m").alias(f"m{k}")) for k in (1, 2))
-    pairs = a.join(b, "band").filter("a1 <= a2").filter(F.coalesce(F.col("o1") != F.col("o2"), F.lit(True)))
+    large = F.col("n") >= BLOCK
+    mixed = counts.groupBy("band").agg(
+        F.coalesce(F.sum(F.when(~large, F.col("n"))), F.lit(0)).alias("rest"),
+        F.collect_list(F.when(large, F.struct(F.col("component").alias("owner"), F.ceil(F.col("n") / BLOCK).alias("blocks")))).alias("owners"),
+    )
+    shared = F.ceil(F.col("rest") / BLOCK)
+    # owner -1 stands for the shared blocks; nodes and components count from 0
+    mixed = mixed.select("band", F.concat("owners", F.when(shared > 0, F.array(F.struct(F.lit(-1).cast("long").alias("owner"), shared.alias("blocks")))).otherwise(F.expr("cast(array() AS array<struct<owner:bigint,blocks:bigint>>)"))).alias("all"))
+    own = F.filter("all", lambda o: o["owner"] == F.col("component"))
+    mine = F.when(F.size(own) > 0, own[0]).otherwise(F.filter("all", lambda o: o["owner"] == -1)[0])
+    placed = members.join(mixed, "band").withColumn("mine", mine)
+    placed = placed.withColumns({"owner": F.col("mine.owner"), "block": F.pmod(F.xxhash64("node"), F.col("mine.blocks"))})
+    blocks = placed.groupBy("band", "owner", "block").agg(F.collect_list(F.struct(*columns)).alias("m"))
+    lefts = F.flatten(F.transform("all", lambda o: F.transform(F.sequence(F.lit(0).cast("long"), o["blocks"] - 1), lambda k: F.struct(o["owner"].alias("owner"), k.alias("block")))))
+    me = F.struct("owner", "block")
+    meets = F.filter(lefts, lambda o: ((o < me) & (o["owner"] != F.col("owner"))) | ((o <= me) & (o["owner"] == -1) & (F.col("owner") == -1)))
+    right = blocks.join(mixed, "band").select("band", F.col("m").alias("m2"), F.explode(meets).alias("k")).select("band", "k.owner", "k.block", "m2")
+    pairs = blocks.withColumnRenamed("m", "m1").join(right, ["band", "owner", "block"])
     return pairs.select("band", *[F.col(f"m{k}.{c}").alias(f"{c}{k}") for k in (1, 2) for c in columns])
 
 
@@ -231,14 +261,16 @@ def _near(p) -> tuple[np.ndarray, np.ndarray]:
     return i, j
 
 
-def _across(slots: DataFrame, texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+def _across(slots: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """Links between components, from members of a bucket other than its hub.
 
-    A first pass over packed signatures finds who has a close partner in another component; only these take their texts to
-    a second pass, which confirms on full sets inside the task and returns one link for each pair of components at most.
+    Only buckets whose members lie in several components are looked at. A first pass over packed signatures finds who has a
+    close partner in another component; only these take their texts to a second pass, which confirms on full sets inside the
+    task and returns one link for each pair of components at most.
     """
-    members = slots.filter("n > 2").select("band", "node").join(texts.select("node", "bands", "bits"), "node").join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    members = written(members, "members")
+    placed = slots.filter("n > 2").select("band", "node").join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band")
+    members = written(placed.join(several, "band"), "members")
 
     def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -261,11 +293,12 @@ def _across(slots: DataFrame, texts: DataFrame, nodes: DataFrame, words: int) ->
                 if out:
                     yield pd.DataFrame(out, columns=["u", "v"])
 
+    signed = members.join(classes.select("node", "bands", "bits"), "node")
     with small_batches(slots.sparkSession, 64):
-        busy = written(_block_pairs(members, "node", "component", "bits", "bands").mapInPandas(partners, "band long, node long").distinct(), "busy")
-    carried = members.join(busy, ["band", "node"]).join(texts.select("node", "packed"), "node")
+        busy = written(_block_pairs(signed, "node", "component", "bits", "bands").mapInPandas(partners, "band long, node long").distinct(), "busy")
+    carried = members.join(busy, ["band", "node"]).join(classes.select("node", "bands", "bits", "packed"), "node")
     with small_batches(slots.sparkSession, 8):
-        out = written(_block_pairs(carried, "node", "component", "bits", "bands", "packed").mapInPandas(check, "u long, v long").distinct(), "across")
+        out = written(_block_pairs(carried, "node", "component", "bits", "bands", "packed").mapInPandas(check, "u long, v long"), "across")
     dropped(members)
     dropped(busy)
     return out
