@@ -7,7 +7,9 @@ with L1 and L2 penalties, and a temperature is then fitted on sample rows that t
 
 Defined cases: a text that is null, empty or without a letter is ``und`` with score 0; null languages and texts are not
 learned from; without any row to learn from, every text is ``und``; a single language is predicted with score 1; repeated
-rows get equal results; other columns, whatever their names, pass through.
+rows get equal results, and equal texts of a language are in the sample once; texts of any length are read whole; a column
+that is named as the result is replaced, and other columns, whatever their names, pass through; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import bounded_batches
+
 UNKNOWN = "und"
 BITS = 15
 SAMPLE = 1500
@@ -129,13 +133,14 @@ def calibrate(rows: list[tuple[np.ndarray, np.ndarray, int]], model: LanguageMod
     return float(np.exp((low + high) / 2))
 
 
-def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", bits: int = BITS, sample: int = SAMPLE) -> LanguageModel:
+def fit(rows: DataFrame, text: str = "text", lang: str = "lang", bits: int = BITS, sample: int = SAMPLE) -> LanguageModel:
     """A model of ``rows``, all of which may be learned from.
 
     The driver gets vectors of document frequencies (one, after a tree of sums) and the sample's sparse features; both are
     bounded by the parameters and the number of languages.
     """
-    labelled = rows.select(rows[text].alias("text"), rows[lang].alias("lang"), rows[key].cast("string").alias("key")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    bounded_batches(rows.sparkSession)
+    labelled = rows.select(rows[text].cast("string").alias("text"), rows[lang].cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     size = 1 << bits
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,21 +176,21 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     share = F.lit(0.0)
     for k, c in seen.items():
         share = F.when(F.col("lang") == k, F.lit(min(1.0, sample / c))).otherwise(share)
-    chosen = labelled.filter(_unit("s:", F.col("key")) < share).limit(2 * sample * len(languages))
-    chosen = chosen.withColumn("later", _unit("c:", F.col("key")) < 0.2)
+    # a text's hash decides, so the sample neither depends on tasks nor grows by copies
+    chosen = labelled.filter(_unit(1) < share).dropDuplicates(["lang", "text"]).withColumn("later", _unit(2) < 0.2)
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for t, x, later, key in zip(batch["text"], batch["lang"], batch["later"], batch["key"], strict=True):
+            for t, x, later in zip(batch["text"], batch["lang"], batch["later"], strict=True):
                 counts = features(t, bits)
                 if counts is not None:
                     at = np.flatnonzero(counts)
-                    out.append((key, x, bool(later), at.astype(np.int32).tobytes(), counts[at].astype(np.int32).tobytes()))
-            yield pd.DataFrame(out, columns=["key", "lang", "later", "at", "counts"])
+                    out.append((x, bool(later), at.astype(np.int32).tobytes(), counts[at].astype(np.int32).tobytes()))
+            yield pd.DataFrame(out, columns=["lang", "later", "at", "counts"])
 
-    got = chosen.mapInPandas(sparse, "key string, lang string, later boolean, at binary, counts binary").toPandas()
-    got = got.sort_values(["key", "lang", "at"], kind="stable")  # the order of training must not depend on tasks
+    got = chosen.mapInPandas(sparse, "lang string, later boolean, at binary, counts binary").toPandas()
+    got = got.sort_values(["at", "counts", "lang"], kind="stable")  # the order of training must not depend on tasks
     use: dict[bool, list] = {False: [], True: []}
     for x in got.itertuples():
         counts = np.zeros(size, np.int64)
@@ -196,13 +201,14 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return model
 
 
-def _unit(seed: str, key: Column) -> Column:
-    """A number from 0 to 1 that depends on the key alone."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(key, F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+def _unit(seed: int) -> Column:
+    """A number from 0 to 1 that depends on the text alone."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("text")), 11).cast("double") / F.lit(float(1 << 53))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", into: str = "language") -> DataFrame:
     """``docs`` with a column of (lang, score)."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits x languages numbers
 
     def predict(texts: pd.Series) -> pd.DataFrame:

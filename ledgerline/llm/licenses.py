@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import bounded_batches
+
 # License notices and headings, in their published wording.
 TEMPLATES = {
     "MIT": "under the MIT License",
@@ -166,6 +168,7 @@ def scan(text: str | None) -> list[tuple]:
 
 def find_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, block, start, end, license, saved share, and missing and added words of each confirmed stretch."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(docs[doc_id].cast("string").alias("doc_id"), docs[text].alias("text")).filter(F.col("text").rlike(CUES))
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

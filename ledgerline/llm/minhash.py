@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import bounded_batches, dropped, small_batches, written
@@ -100,11 +100,12 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal - chance) / (1 - chance)
 
 
-SIGNED = "doc_id long, n_shingles long, set_key string, bands array<long>, bits binary, packed binary"
+SIGNED = "doc_id long, text_key string, n_shingles long, set_key string, bands array<long>, bits binary, packed binary"
 
 
 def sign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS) -> DataFrame:
-    """Set size, a key of the whole set, band keys, packed signature and compressed text of each row."""
+    """Set size, a key of the whole set, band keys, packed signature and compressed text of each row; the key of the text
+    (see :func:`text_key`) comes along."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
@@ -119,11 +120,16 @@ def sign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int
                     bands.append(_bands(m) if len(s) else None)
                     bits.append(packed(m) if len(s) else None)
                     texts.append(pack.compress(t.encode("utf-8", "surrogatepass")) if len(s) else None)
-                columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(texts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "bands", "bits", "packed"])
+                columns = [part.column("doc_id"), part.column("text_key"), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(texts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_shingles", "set_key", "bands", "bits", "packed"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(signed, SIGNED)
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), text_key(docs[text]).alias("text_key")).mapInArrow(signed, SIGNED)
+
+
+def text_key(text: Column) -> Column:
+    """A hash by which rows with equal texts are found."""
+    return F.md5(F.encode(F.coalesce(text.cast("string"), F.lit("")), "UTF-8"))
 
 
 def _bands(m: np.ndarray) -> np.ndarray:
@@ -184,7 +190,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, set_key and component_id of every row."""
+    """doc_id, text_key, n_shingles, component_id and component of every row.
+
+    The component's number tells apart components whose least doc_id is the same, as when rows share a doc_id; it is null
+    for rows that link with nothing because they have no words or no doc_id.
+    """
     signed = written(sign(docs, text, doc_id, words), "signed")
     classes = _classes(signed)
     # 16 bytes for each band; signatures and texts follow for those that share a bucket
@@ -203,10 +213,11 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     # a component goes by its least doc_id; classes without links are their own
     placed = classes.select("node", "set_key", "doc").join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("doc").alias("component_id"))
-    placed = placed.join(least, "component").select("set_key", "component_id")
-    row = signed.select("doc_id", "n_shingles", "set_key")
-    found = row.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").join(placed, "set_key").select("doc_id", "n_shingles", "set_key", "component_id")
-    return found.unionByName(row.filter("set_key IS NULL OR doc_id IS NULL").withColumn("component_id", F.col("doc_id")))
+    placed = placed.join(least, "component").select("set_key", "component", "component_id")
+    row = signed.select("doc_id", "text_key", "n_shingles", "set_key")
+    found = row.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").join(placed, "set_key").drop("set_key")
+    alone = row.filter("set_key IS NULL OR doc_id IS NULL").drop("set_key")
+    return found.unionByName(alone.withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")}))
 
 
 def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:

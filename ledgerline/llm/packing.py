@@ -3,12 +3,14 @@
 How pieces can share sequences depends on their lengths only, and there are at most ``size`` lengths, so the bins are
 planned from a table of counts that does not grow with the corpus. Each bin starts from the longest length that is left; a
 bitset subset-sum over the available lengths then finds the fullest combination for its room, and that combination is taken
-as often as the counts allow and removed. Pieces are numbered within their length on Spark, by (length, salt) so that a
-length which a third of all pieces share is no bottleneck, and a piece's number tells its bin and place.
+as often as the counts allow and removed. Pieces are numbered within their length on Spark, and a piece's number tells its
+bin and place. A length has as many salts as its count asks for, so a group to number stays at some hundred thousand rows
+however many pieces share a length; a full piece fills a sequence by itself and is not numbered at all.
 
 Defined cases: a null or empty text is the end token alone; longer documents are cut so that only the first piece is
 short; documents that repeat are packed as often as they occur; pieces of equal length are interchangeable; an empty table
-packs into nothing; other columns of the documents, whatever their names, are not read.
+packs into nothing; other columns of the documents, whatever their names, are not read; columns of the pieces that are named
+sequence_id or offset are replaced.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import written
+from ledgerline.llm.common import bounded_batches, written
 
-SIZE, END_ID, SALTS = 1024, 2, 64
+SIZE, END_ID = 1024, 2
+GROUP = 250_000  # pieces that are numbered together
 # Fixed value: how byte-level BPE splits a text.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
@@ -76,6 +79,7 @@ _encoders: dict[str, Encoder] = {}
 def tokenize_documents(docs: DataFrame, tokenizer_file: str, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length and tokens (little-endian unsigned 32-bit ids) of each piece."""
     end = np.array([end_id], "<u4").tobytes()
+    bounded_batches(docs.sparkSession)
     fields = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
     schema = f"doc_id {fields.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, tokens binary"
 
@@ -156,19 +160,27 @@ def _segments(plan: list, size: int) -> dict[int, np.ndarray]:
     return {length: np.array(rows, np.int64) for length, rows in out.items()}
 
 
-def pack_pieces(pieces: DataFrame, length: str = "length", key: tuple[str, ...] = ("doc_id", "piece"), size: int = SIZE, salts: int = SALTS) -> DataFrame:
-    """``pieces`` with sequence_id and offset. Its rows are written first, so that counting and placing see the same."""
-    salt = F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int")
-    pieces = written(pieces.withColumn("__salt", salt), "pieces")
-    # at most size x salts rows, however many pieces there are
-    table = pieces.groupBy(length, "__salt").count().toPandas().sort_values([length, "__salt"])
-    if len(table) and (table[length].max() > size or table[length].min() < 1):
+def pack_pieces(pieces: DataFrame, length: str = "length", key: tuple[str, ...] = ("doc_id", "piece"), size: int = SIZE, group: int = GROUP) -> DataFrame:
+    """``pieces`` with sequence_id and offset. Its rows are written first, so that counting and placing see the same.
+
+    Full pieces have negative sequence_ids.
+    """
+    rows = written(pieces.select(F.struct(*[pieces[c] for c in pieces.columns]).alias("row"), pieces[length].cast("long").alias("n"), F.monotonically_increasing_id().alias("at")), "pieces")
+    by_length = {r["n"]: r["count"] for r in rows.groupBy("n").count().collect()}  # at most `size` rows
+    if by_length and (min(by_length) < 1 or max(by_length) > size):
         raise ValueError(f"lengths must be from 1 to {size}")
-    ahead = np.zeros((size + 1, salts), np.int64)
-    ahead[table[length], table["__salt"]] = table["count"]
-    counts = {n: int(c) for n, c in enumerate(ahead.sum(axis=1)) if c}
+    short = rows.filter(F.col("n") < size)
+    salts = np.ones(size + 1, np.int64)
+    for n, count in by_length.items():
+        salts[n] = -(-count // group)
+    of_length = F.element_at(F.array(*[F.lit(int(k)) for k in salts[1:]]), F.col("n").cast("int"))
+    short = short.withColumn("salt", F.pmod(F.xxhash64("at"), of_length).cast("int"))
+    # a row for each length, and one more for each `group` pieces
+    table = short.groupBy("n", "salt").count().toPandas().sort_values(["n", "salt"])
+    ahead = np.zeros((size + 1, int(salts[:size].max())), np.int64)
+    ahead[table["n"], table["salt"]] = table["count"]
     ahead = np.cumsum(ahead, axis=1) - ahead
-    segments = _segments(plan_bins(counts, size), size)
+    segments = _segments(plan_bins({n: c for n, c in by_length.items() if n < size}, size), size)
 
     def place(lengths: pd.Series, salt: pd.Series, number: pd.Series) -> pd.DataFrame:
         n = lengths.to_numpy()
@@ -183,10 +195,11 @@ def pack_pieces(pieces: DataFrame, length: str = "length", key: tuple[str, ...]
             offset[at] = rows[:, 3] + inside % rows[:, 1] * one
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    number = F.row_number().over(Window.partitionBy(length, "__salt").orderBy(*key)).cast("long")
-    placed = F.pandas_udf(place, "sequence_id long, offset long")(F.col(length), F.col("__salt"), F.col("__number"))
-    out = pieces.withColumn("__number", number).withColumn("__place", placed)
-    return out.select(*[c for c in pieces.columns if c != "__salt"], "__place.sequence_id", "__place.offset")
+    number = F.row_number().over(Window.partitionBy("n", "salt").orderBy(*[f"row.{c}" for c in key], "at")).cast("long")
+    placed = short.withColumn("number", number).select("row", F.pandas_udf(place, "sequence_id long, offset long")("n", "salt", "number").alias("place"))
+    full = rows.filter(F.col("n") == size).select("row", F.struct((-1 - F.col("at")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")).alias("place"))
+    kept = [F.col(f"row.`{c}`") for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    return placed.unionByName(full).select(*kept, "place.sequence_id", "place.offset")
 
 
 def build_sequences(pieces: DataFrame, tokens: str = "tokens") -> DataFrame:

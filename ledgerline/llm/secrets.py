@@ -7,7 +7,8 @@ threshold merge into one span. Candidates that the allow-list knows (UUIDs, date
 entropy spans; it never touches base spans.
 
 Defined cases: a null text is empty and has no spans; long texts are scanned whole; repeated rows give repeated results;
-other columns, whatever their names, pass through; an empty table gives an empty result.
+a column that is named as the result is replaced, and other columns, whatever their names, pass through; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import bounded_batches
+
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -36,7 +39,7 @@ CLASSES = (
 ALLOWED = re.compile(
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUIDs
     r"|[0-9]{4}-[0-9]{2}-[0-9]{2}[T_0-9-]*"  # dates and times
-    r"|[0-9]+|[A-Za-z]+(?:[-_/=+][A-Za-z]+)*[-_/=+]*"  # numbers; words and paths of words
+    r"|[0-9]+|(?:[A-Z]?[a-z]{1,20}|[A-Z]{1,20})(?:[-_/=+](?:[A-Z]?[a-z]{1,20}|[A-Z]{1,20}))*[-_/=+]*"  # numbers; words and paths of words
     r"|[-_=+/]+|(?:[A-Za-z]+[-_/]){2,}[A-Za-z0-9]{0,12}"  # rules; names with a short tail
 )
 
@@ -97,6 +100,7 @@ def _spans(texts: pd.Series) -> pd.Series:
 
 def find_secrets(docs: DataFrame, text: str = "text", into: str = "secrets") -> DataFrame:
     """``docs`` with a column of spans."""
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(into, F.pandas_udf(_spans, SPANS_TYPE)(docs[text]))
 
 
@@ -120,6 +124,7 @@ def mask(text: str | None) -> str | None:
 
 def mask_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the secrets in ``text`` masked; texts without any, and nulls, stay as they are."""
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(text, F.pandas_udf(_masked, "string")(docs[text]))
 
 
