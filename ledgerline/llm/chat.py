@@ -1,8 +1,8 @@
 """Chat formatting: layouts recognised by schema fingerprints, canonical turns, and a reversible template.
 
-A layout is a set of nested field paths and a declarative mapping. The fingerprint is a hash of the paths; a table (or a
-JSON record) takes the first layout whose fingerprint equals that of its own paths, restricted to the layout's. Other
-fields, whatever their names, play no part.
+A layout is a set of nested field paths and a declarative mapping, found by the hash of the paths, its fingerprint. A table
+(or a JSON record) has its own paths normalised, which leaves out wrappers and fields that no layout speaks of, and their
+fingerprint selects the mapping.
 
 The template writes a turn as ``<|turn|>role<|text|>text<|end|>``. Inside roles and texts, a backslash goes behind every
 backslash and behind the first character of every control string, so no control string is left in them, and dropping
@@ -12,21 +12,26 @@ Output comes in parts of bounded size, in order, so a conversation of any length
 of one conversation, joined, are its formatted text. ``mask`` holds the [start, end) of assistant texts in a part.
 
 Defined cases: a null text or role is empty; rows with equal turns are ordered by role and text, nulls first; a null
-conv_id is a conversation of its own; an empty table gives an empty result; repeated rows are repeated turns.
+conv_id is a conversation of its own; an empty table gives an empty result; repeated rows are repeated turns; texts of any
+length are formatted whole. The digests of a conversation run along its turns, so one task reads a conversation, in parts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.llm.common import bounded_batches
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: First characters of control strings (this template's and other common ones), and the backslash.
 _TO_ESCAPE = r"(\\|<(?=\||/?s>|</?SYS>>)|\[(?=/?INST\]))"
@@ -52,12 +57,37 @@ def fingerprint(paths: set[str] | list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-_PRINTS = [(fingerprint(x["paths"]), frozenset(x["paths"]), x) for x in LAYOUTS]
+_BY_PRINT = {fingerprint(x["paths"]): x for x in LAYOUTS}
+_NAMES = {re.split(r"\.", p)[-1] for x in LAYOUTS for p in x["paths"]}
+_ARRAYS = {p.split("[]")[0] for x in LAYOUTS for p in x["paths"] if "[]" in p}
+
+
+def canonical_path(path: str) -> str | None:
+    """A nested path without what wraps it: from the last array on, or its last name; None where no layout speaks of it."""
+    steps = path.split(".")
+    at = max((k for k, step in enumerate(steps) if step.endswith("[]")), default=len(steps) - 1)
+    rest = steps[at:]
+    known = rest[0][:-2] in _ARRAYS if rest[0].endswith("[]") else True
+    return ".".join(rest) if known and len(rest) <= 2 and rest[-1] in _NAMES else None
 
 
-def layout_of(paths: set[str]) -> dict | None:
-    """The first layout whose fingerprint is that of these paths, as far as it names them."""
-    return next((x for known, own, x in _PRINTS if fingerprint(paths & own) == known), None)
+@lru_cache(maxsize=4096)
+def layout_of(paths: frozenset[str]) -> dict | None:
+    """The layout whose fingerprint the paths have, and where each of its paths is found.
+
+    Metadata and wrappers are normalised away first. Should fields of several layouts meet, the largest set of paths that has
+    a known fingerprint counts, the first in order of names among equals; of several paths that are canonically the same, the
+    shortest.
+    """
+    where: dict[str, str] = {}
+    for p in sorted(paths, key=lambda p: (p.count("."), p)):
+        if (c := canonical_path(p)) is not None:
+            where.setdefault(c, p)
+    for size in range(len(where), 0, -1):
+        for some in itertools.combinations(sorted(where), size):
+            if (layout := _BY_PRINT.get(fingerprint(list(some)))) is not None:
+                return layout | {"where": {c: where[c] for c in some}}
+    return None
 
 
 def schema_paths(schema: T.DataType, at: str = "") -> set[str]:
@@ -78,19 +108,28 @@ def value_paths(value: object, at: str = "") -> set[str]:
     return {at}
 
 
+def _column(df: DataFrame, path: str) -> Column:
+    names = path.split(".")
+    out = df[f"`{names[0]}`"]
+    for name in names[1:]:
+        out = out[name]
+    return out
+
+
 def canonical_turns(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     """conv_id, turn, role, text of a table in any known layout, by the fingerprint of its schema."""
-    layout = layout_of(schema_paths(df.schema))
+    layout = layout_of(frozenset(schema_paths(df.schema)))
     if layout is None:
         raise ValueError(f"no layout has the fingerprint of {sorted(schema_paths(df.schema))}")
+    at = layout["where"]
     if "rows" in layout:
-        i, n, role, text = (df[c] for c in layout["rows"])
+        i, n, role, text = (_column(df, at[c]) for c in layout["rows"])
         return df.select(i.alias("conv_id"), n.cast("long").alias("turn"), _role(role).alias("role"), text.alias("text"))
     if "items" in layout:
         top, role, text = layout["items"]
-        rows = df.select(df[conv_id].alias("conv_id"), F.posexplode(df[top]).alias("turn", "item"))
+        rows = df.select(df[conv_id].alias("conv_id"), F.posexplode(_column(df, at[f"{top}[].{role}"].split("[]")[0])).alias("turn", "item"))
         return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), _role(F.col("item")[role]).alias("role"), F.col("item")[text].alias("text"))
-    turns = [F.struct(F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.concat_ws("\n", *[F.when(df[c] != "", df[c]) for c in cols]).alias("text")) for k, (role, cols) in enumerate(layout["fields"])]
+    turns = [F.struct(F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.concat_ws("\n", *[F.when(_column(df, at[c]) != "", _column(df, at[c])) for c in cols]).alias("text")) for k, (role, cols) in enumerate(layout["fields"])]
     return df.select(df[conv_id].alias("conv_id"), F.inline(F.array(*turns)))
 
 
@@ -101,14 +140,22 @@ def _role(role):
     return out
 
 
+def _inside(record: dict, path: str) -> object:
+    for name in path.split("."):
+        record = record.get(name) if isinstance(record, dict) else None
+    return record
+
+
 def _record_turns(record: object) -> list[tuple[str, str]]:
-    layout = layout_of(value_paths(record)) if isinstance(record, dict) else None
+    layout = layout_of(frozenset(value_paths(record))) if isinstance(record, dict) else None
     if layout is None or "rows" in layout:
         return []
+    at = layout["where"]
     if "items" in layout:
         top, role, text = layout["items"]
-        return [(ROLES.get(m.get(role), m.get(role)), m.get(text)) for m in record[top] if isinstance(m, dict)]
-    return [(role, "\n".join(str(record[c]) for c in cols if record[c])) for role, cols in layout["fields"]]
+        return [(ROLES.get(m.get(role), m.get(role)), m.get(text)) for m in _inside(record, at[f"{top}[].{role}"].split("[]")[0]) or [] if isinstance(m, dict)]
+    said = {c: _inside(record, at[c]) for _, cols in layout["fields"] for c in cols}
+    return [(role, "\n".join(str(said[c]) for c in cols if said[c])) for role, cols in layout["fields"]]
 
 
 def canonical_turns_json(df: DataFrame, conv_id: str, record: str) -> DataFrame:
@@ -165,6 +212,7 @@ def format_turns(turns: DataFrame, part_chars: int = 1_000_000) -> DataFrame:
         if held:
             yield _parts([(now, part, "".join(held), mask)])
 
+    bounded_batches(turns.sparkSession)
     rows = turns.select(turns["conv_id"].cast("string").alias("c"), turns["turn"].alias("n"), turns["role"].alias("r0"), turns["text"].alias("t0"))
     rows = rows.repartition("c").sortWithinPartitions("c", "n", "r0", "t0")
     # ids travel as text: a column of integers with nulls would become floats

@@ -52,12 +52,18 @@ def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
                 sums[dim] = sums.get(dim, 0) + x.T @ x
         yield pd.DataFrame({"dim": list(sums), "sums": [s.tobytes() for s in sums.values()]})
 
-    total: dict[int, np.ndarray] = {}
-    # one matrix of dim x dim from each task, however many vectors there are
-    parts = vectors.select("dim", "x").mapInPandas(moments, "dim int, sums binary").coalesce(64)
-    for x in parts.toLocalIterator():
-        s = np.frombuffer(x["sums"], "<f8").reshape(x["dim"] + 1, x["dim"] + 1)
-        total[x["dim"]] = total.get(x["dim"], 0) + s
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for dim, s in zip(batch["dim"], batch["sums"], strict=True):
+                sums[dim] = sums.get(dim, 0) + np.frombuffer(s, "<f8")
+        yield pd.DataFrame({"dim": list(sums), "sums": [s.tobytes() for s in sums.values()]})
+
+    # a matrix of dim x dim from each task, and of their sums a few to the driver, however many vectors there are
+    parts = vectors.select("dim", "x").mapInPandas(moments, "dim int, sums binary").repartition(16).mapInPandas(summed, "dim int, sums binary")
+    total = {}
+    for dim, s in next(summed(iter([parts.toPandas()]))).itertuples(index=False, name=None):
+        total[dim] = np.frombuffer(s, "<f8").reshape(dim + 1, dim + 1)
     axes = {}
     for dim, s in total.items():
         mean = s[-1, :-1] / s[-1, -1]

@@ -165,7 +165,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", bits: int = BIT
         yield pd.DataFrame({"df": [df.tobytes()], "n": [n], "langs": [list(langs)], "counts": [list(langs.values())]})
 
     vector = "df binary, n long, langs array<string>, counts array<long>"
-    parts = labelled.mapInPandas(frequencies, vector).coalesce(64).mapInPandas(summed, vector)
+    parts = labelled.mapInPandas(frequencies, vector).repartition(16).mapInPandas(summed, vector)
     total = next(summed(iter([parts.toPandas()])))
     df, n = np.frombuffer(total["df"][0], np.int64), int(total["n"][0])
     seen = dict(sorted(zip(total["langs"][0], total["counts"][0], strict=True)))

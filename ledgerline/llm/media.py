@@ -5,19 +5,26 @@ cosine transform. A byte becomes the magnitude bits of a category-8 coefficient,
 32 x 32; category 8 has the one-bit code 0 for DC and AC, and a restart marker behind each block resets the prediction. The
 entropy-coded segment of a block is therefore 72 bytes before byte stuffing, so coding and decoding run over whole arrays.
 
-Shots are found from histograms of neighbouring frames: a cut lies where their difference passes both a floor and the mean
+Reading follows the index, parses a frame's segments, decodes its Huffman codes with the tables found there, dequantises and
+inversely transforms. Where the tables leave nine bits to every coefficient, as the writer's do, all codes of a file are taken
+apart as one array; other frames are decoded symbol by symbol.
+
+Shots are found from histograms of the samples of neighbouring frames: a cut lies where their difference passes both a floor and the mean
 plus three deviations of the differences just before it. Clips carry their times at 25 frames a second.
 
 Defined cases: a null text is an empty payload; the payload is padded with zero bytes to a positive multiple of 64, so an
-empty text has 64 of them; texts of any length are stored whole; equal texts have equal media, digests and clips; other
-columns, whatever their names, pass through; an empty table gives an empty result.
+empty text has 64 of them; texts of any length are stored whole; equal texts have equal media, digests and clips; a column
+that is named as the result is replaced, and other columns, whatever their names, pass through; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import bounded_batches
+
 UNIT, FRAME, SIDE, FRAME_MS = 64, 1024, 32, 40
 BINS, WINDOW, FLOOR, DEVIATIONS = 16, 8, 0.12, 3.0
 _BLOCKS = FRAME // UNIT
@@ -107,17 +116,135 @@ def encode(payload: bytes) -> bytes:
     return _chunk(b"RIFF", body)
 
 
+@dataclass(frozen=True)
+class Frame:
+    """What the segments of a baseline JPEG frame say."""
+
+    start: int  # of the entropy-coded segment
+    height: int
+    width: int
+    quantisers: np.ndarray  # 64, in zigzag order
+    dc: dict[tuple[int, int], int]  # (bits, code) -> symbol
+    ac: dict[tuple[int, int], int]
+    restart: int
+
+    @property
+    def fixed(self) -> bool:
+        """Whether every coefficient has a one-bit code and eight bits of magnitude, and every block a restart marker."""
+        return self.dc == {(1, 0): 8} and self.ac == {(1, 0): 8} and self.restart == 1
+
+
+def _codes(body: bytes) -> dict[tuple[int, int], int]:
+    """A Huffman table's symbols by length and code, which counts on through the lengths."""
+    out, code, at = {}, 0, 16
+    for bits in range(1, 17):
+        for symbol in body[at : at + body[bits - 1]]:
+            out[bits, code] = symbol
+            code += 1
+        at += body[bits - 1]
+        code <<= 1
+    return out
+
+
 @lru_cache(maxsize=64)
-def _checked(head: bytes) -> None:
-    """Walk a frame's segments; this reader knows baseline frames with the tables that the writer makes."""
+def _parsed(head: bytes) -> Frame:
     at, found = 2, {}
     while at < len(head):
         marker, length = struct.unpack(">xBH", head[at : at + 4])
         found.setdefault(marker, []).append(head[at + 4 : at + 2 + length])
         at += 2 + length
-    tables = {x[0]: x[1:] for x in found.get(0xC4, [])}
-    if head[:2] != b"\xff\xd8" or 0xC0 not in found or [tables.get(k, b"")[16:] for k in (0x00, 0x10)] != [b"\x08", b"\x08"] or found.get(0xDD) != [b"\0\1"]:
-        raise ValueError("not a frame of category-8 coefficients")
+    if 0xC0 not in found or found[0xC0][0][5] != 1:
+        raise ValueError("not a baseline frame of one component")
+    _, height, width, _, _, _, table = struct.unpack(">BHHBBBB", found[0xC0][0])
+    quantisers, codes = {}, {}
+    for body in found.get(0xDB, []):
+        while body:
+            quantisers[body[0]], body = np.frombuffer(body[1:65], np.uint8).astype(np.int64), body[65:]
+    for body in found.get(0xC4, []):
+        while body:
+            size = 17 + sum(body[1:17])
+            codes[body[0]], body = _codes(body[1:size]), body[size:]
+    scan = found[0xDA][0][2]
+    restart = struct.unpack(">H", found[0xDD][0])[0] if 0xDD in found else 0
+    return Frame(at, height, width, quantisers[table], codes[scan >> 4], codes[0x10 | scan & 15], restart)
+
+
+def parse_frame(frame: bytes) -> Frame:
+    """The segments of a frame, up to its entropy-coded one."""
+    if frame[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG frame")
+    at = 2
+    while True:
+        marker, length = struct.unpack(">xBH", frame[at : at + 4])
+        at += 2 + length
+        if marker == 0xDA:
+            return _parsed(frame[:at])
+
+
+def coefficients(frame: bytes) -> np.ndarray:
+    """Quantised coefficients of a frame's blocks in zigzag order, symbol by symbol, with any Huffman tables."""
+    f = parse_frame(frame)
+    blocks = -(-f.height // 8) * -(-f.width // 8)
+    out = np.zeros((blocks, 64), np.int64)
+    parts = re.split(rb"\xff[\xd0-\xd7]", frame[f.start : -2])
+    each = f.restart or blocks
+    for p, part in enumerate(parts):
+        bits = "".join(f"{x:08b}" for x in part.replace(b"\xff\x00", b"\xff"))
+        at = last = 0
+
+        def symbol(codes: dict, at: int, bits: str = bits) -> tuple[int, int]:
+            for n in range(1, 17):
+                found = codes.get((n, int(bits[at : at + n], 2)))
+                if found is not None:
+                    return found, at + n
+            raise ValueError("a code that no table has")
+
+        def value(n: int, at: int, bits: str = bits) -> int:
+            v = int(bits[at : at + n], 2) if n else 0
+            return v if not n or v >> (n - 1) else v - (1 << n) + 1
+
+        for b in range(p * each, min((p + 1) * each, blocks)):
+            n, at = symbol(f.dc, at)
+            last += value(n, at)
+            at += n
+            out[b, 0], k = last, 1
+            while k < 64:
+                s, at = symbol(f.ac, at)
+                if s == 0:
+                    break
+                k += s >> 4
+                if s & 15:
+                    out[b, k] = value(s & 15, at)
+                    at += s & 15
+                k += 1
+    return out
+
+
+_ZIGZAG = sorted(((v, u) for v in range(8) for u in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))
+_SHIFT = 11
+
+
+def _basis() -> np.ndarray:
+    """The inverse cosine transform from zigzag order to a block's 64 samples, in whole numbers of 2^-11.
+
+    Sums of whole numbers are exact in floating point, so equal frames give equal samples wherever they are decoded.
+    """
+    scale, angle = np.where(np.arange(8) == 0, np.sqrt(0.5), 1.0), np.pi / 16
+    wave = scale[:, None] * np.cos((2 * np.arange(8)[None, :] + 1) * np.arange(8)[:, None] * angle)  # frequency, place
+    return np.stack([np.rint(np.outer(wave[v], wave[u]).ravel() / 4 * (1 << _SHIFT)) for v, u in _ZIGZAG])
+
+
+_BASIS = _basis()
+_BASIS32 = _BASIS.astype(np.float32)
+
+
+def samples(blocks: np.ndarray, quantisers: np.ndarray) -> np.ndarray:
+    """Dequantised and inversely transformed blocks: rows of 64 samples from 0 to 255."""
+    if (quantisers == 1).all() and np.abs(blocks).max(initial=0) <= 255:  # every sum stays below 2^24
+        raw = blocks.astype(np.float32) @ _BASIS32
+    else:
+        raw = (blocks * quantisers).astype(np.float64) @ _BASIS
+    return np.clip((raw.astype(np.int64) + (1 << (_SHIFT - 1)) >> _SHIFT) + 128, 0, 255).astype(np.uint8)
 
 
 def chunks(data: bytes, at: int, end: int) -> dict[bytes, tuple[int, int]]:
@@ -133,39 +260,51 @@ def chunks(data: bytes, at: int, end: int) -> dict[bytes, tuple[int, int]]:
     return out
 
 
-def decode(media: bytes) -> tuple[bytes, np.ndarray]:
-    """The payload of an AVI file and the coefficients' bytes of each frame."""
+def frames_of(media: bytes) -> tuple[list[bytes], dict[bytes, tuple[int, int]]]:
+    """The frames of an AVI file by its index, and its chunks."""
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     top = chunks(media, 12, 8 + struct.unpack_from("<I", media, 4)[0])
     start, size = top[b"idx1"]
-    base, scans = top[b"movi"][0] - 4, []
-    for _, _, offset, length in struct.iter_unpack("<4sIII", media[start : start + size]):
-        frame = media[base + offset + 8 : base + offset + 8 + length]
-        head = frame[: len(_HEAD)]
-        _checked(head)
-        scans.append(frame[len(_HEAD) : -2])
-    data = np.frombuffer(b"".join(scans), np.uint8)
-    behind = np.concatenate([[False], data[:-1] == 0xFF])
-    marker = behind & (data >= 0xD0) & (data <= 0xD7)
-    keep = ~(marker | (behind & (data == 0)))
-    keep[:-1] &= ~marker[1:]
-    values = _decoded(data[keep].reshape(-1, 9)).reshape(len(scans), -1)
+    base = top[b"movi"][0] - 4
+    return [media[base + at + 8 : base + at + 8 + n] for _, _, at, n in struct.iter_unpack("<4sIII", media[start : start + size])], top
+
+
+def decode(media: bytes) -> tuple[bytes, np.ndarray]:
+    """The payload that :func:`encode` put into an AVI file, and the samples of its blocks."""
+    frames, top = frames_of(media)
+    first = parse_frame(frames[0])
+    head = frames[0][: first.start]
+    if not first.fixed or any(not x.startswith(head) for x in frames):
+        blocks = np.concatenate([coefficients(x) for x in frames])
+        values = np.where(blocks < 0, blocks + 255, blocks).astype(np.uint8)
+    else:  # all codes have nine bits: the frames' segments are decoded as one array
+        data = np.frombuffer(b"".join(x[first.start : -2] for x in frames), np.uint8)
+        behind = np.concatenate([[False], data[:-1] == 0xFF])
+        marker = behind & (data >= 0xD0) & (data <= 0xD7)
+        keep = ~(marker | (behind & (data == 0)))
+        keep[:-1] &= ~marker[1:]
+        values = _decoded(data[keep].reshape(-1, 9)).reshape(-1, UNIT)
+        blocks = values.astype(np.int64) - 255 * (values < 128)
     payload = values.tobytes()[: struct.unpack_from("<Q", media, top[b"plen"][0])[0]]
-    return payload, values
+    return payload, samples(blocks, first.quantisers)
+
+
+def histograms(values: np.ndarray, frames: int) -> np.ndarray:
+    """Counts of samples by brightness of each frame; ``values`` are the samples in order, of which the last may be missing."""
+    at = np.arange(len(values)) // FRAME * BINS + (values >> 4)
+    return np.bincount(at, minlength=frames * BINS).reshape(frames, BINS)
 
 
-def shots(frames: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """First frame and end of each shot. Only the payload's ``length`` units count; a last frame with less than a quarter
-    of its units stays in the shot before it."""
-    n = len(frames)
+def shots(counts: np.ndarray) -> list[tuple[int, int]]:
+    """First frame and end of each shot, from the frames' histograms. A last frame with less than a quarter of its samples
+    stays in the shot before it."""
+    n = len(counts)
     if n < 2:
         return [(0, n)]
-    at = np.arange(n)[:, None] * BINS + (frames >> 4)
-    counts = np.bincount(at.ravel()[:length], minlength=n * BINS).reshape(n, BINS)
     shares = counts / counts.sum(axis=1, keepdims=True)
     moved = np.abs(np.diff(shares, axis=0)).sum(axis=1) / 2
-    if counts[-1].sum() * 4 < FRAME:
+    if counts[-1].sum() * 4 < counts[0].sum():
         moved[-1] = 0
     first = np.maximum(np.arange(n - 1) - WINDOW, 0)
     seen = np.arange(n - 1) - first
@@ -192,19 +331,23 @@ READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes
 def _read(media: pd.Series) -> pd.DataFrame:
     out = []
     for m in media:
-        payload, frames = decode(m)
-        clips = [{"start_ms": a * FRAME_MS, "end_ms": b * FRAME_MS} for a, b in shots(frames, len(payload))]
-        out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), len(frames), clips))
+        payload, values = decode(m)
+        frames = -(-len(payload) // FRAME)
+        counts = histograms(values.ravel()[: len(payload)], frames)  # without the filling of the last frame
+        clips = [{"start_ms": a * FRAME_MS, "end_ms": b * FRAME_MS} for a, b in shots(counts)]
+        out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), frames, clips))
     return pd.DataFrame(out, columns=[x.split()[0] for x in READ.split(", ")])
 
 
 def store_media(docs: DataFrame, text: str = "text", into: str = "media") -> DataFrame:
     """``docs`` with a column of AVI files that hold the texts."""
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(into, F.pandas_udf(_store, "binary")(docs[text]))
 
 
 def read_media(df: DataFrame, media: str = "media", into: str = "read") -> DataFrame:
     """``df`` with what the files give back: digests of payload and file, and the timed clips."""
+    bounded_batches(df.sparkSession)
     return df.withColumn(into, F.pandas_udf(_read, READ)(df[media]))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import chat, embeddings, langid, licenses, media, minhash, packing, secrets, warc
-from ledgerline.llm.common import new_path
+from ledgerline.llm.common import new_path, written
 from ledgerline.llm.mixing import MIXING_SQL, mixing_plan
 
 
@@ -77,7 +77,8 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as motion-JPEG in AVI and read back: digests, and the shots of its frames."""
     docs = _table(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    read = media.read_media(media.store_media(docs))
+    stored = written(media.store_media(docs).drop("text"), "media")
+    read = media.read_media(stored)
     clips = F.array_join(F.transform("read.clips", lambda c: F.concat_ws("-", c["start_ms"].cast("string"), c["end_ms"].cast("string"))), ",")
     feature = F.concat(F.col("read.frames").cast("string"), F.lit(" frames; ms "), clips).alias("feature")
     return read.select("doc_id", "n_bytes", "read.payload_bytes", "read.payload_sha256", "read.tail_crc32", "read.media_bytes", "read.media_sha256", feature)
@@ -95,7 +96,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one of control strings, formatted and read back."""
     said = "</s>[INST] ok [/INST]"
-    extra = spark.sql(f"SELECT -1L AS conv_id, pos AS turn, col AS role, '{said}' AS text FROM (SELECT posexplode(array('user', 'assistant')))")
+    extra = spark.sql(f"SELECT -1L AS conv_id, transform(array('user', 'assistant'), r -> named_struct('role', r, 'content', '{said}')) AS messages")
     turns = chat.canonical_turns(_table(spark, sf_dir, "conversations")).unionByName(chat.canonical_turns(extra))
     return chat.digest_parts(chat.format_turns(turns))
 

@@ -1,8 +1,9 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Records are range-sorted by page_id, so the shards and their files follow from the rows alone. A task writes its shard's
-records as separate gzip members into files under a temporary name of this attempt, and starts another file when the
-compressed size reaches a limit. Its only result is the manifest: a row for each file with its temporary and final name.
+Records are range-sorted by page_id. The ranges come from exact payload sizes of blocks of ids, not from a sample, and files
+are named by their range, so the archives follow from the rows alone, whatever the partitions of input or shuffle. A task
+writes one shard after another, its records as separate gzip members into files under a temporary name of this attempt, and
+starts another file when the compressed size reaches a limit. Its only result is the manifest: a row for each file with its temporary and final name.
 The manifest is written first; a second job then renames what it lists, skipping what is there already. Files of lost or
 repeated attempts are in no manifest and go with the temporary folder. Headers and digests are made anew for each record.
 
@@ -10,10 +11,13 @@ Equal payloads of ``least`` bytes or more are stored once: the row with the larg
 are revisits of it. Who revisits whom is found from (page_id, digest) alone, and these notes are range-sorted together with
 the records, each just ahead of its own, so the payloads are shuffled once and a group of copies may have any size.
 
+A block of ids that holds more than a shard should, as when one page_id has many rows, is dealt into several shards by a hash
+of page_id and digest.
+
 Defined cases: a null html is an empty payload; a null page_id is written without one and comes back as null, never as
 the target of a revisit; rows that repeat a page_id and payload are revisits of their first; control characters and blanks
 in URLs are percent-encoded and a null url leaves its header out; an empty table gives empty archives; other columns of the
-table, whatever their names, are not written.
+table, whatever their names, are not written; ids may be numbers or text, and payloads of any length.
 """
 
 from __future__ import annotations
@@ -28,14 +32,16 @@ from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerline.llm.common import remove
+from ledgerline.llm.common import bounded_batches, remove
 
 LEAST_REVISIT = 1000
 FILE_BYTES = 32 * 1024 * 1024
+SHARD_BYTES = (4 << 20, 1 << 30)  # payload of a shard: a 256th of all, within these bounds
+BLOCKS = 1 << 16
 DATE = "2000-01-01T00:00:00Z"  # archives do not depend on when they are written
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard long, file long, temporary string, final string, records long, bytes long, sha1 string"
@@ -66,17 +72,20 @@ def _member(page_id: str | None, url: str | None, payload: bytes, digest: str, r
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + packer.flush()
 
 
-class _Shard:
-    """The files of one task; records go in, and a manifest row comes out whenever a file is full."""
+class _Writer:
+    """The files of one task; records go in, and a manifest row comes out whenever a file is full or its shard ends."""
 
-    def __init__(self, place: str, shard: int, limit: int):
+    def __init__(self, place: str, limit: int):
         self.files, root = fs.FileSystem.from_uri(place)
-        self.root, self.shard, self.limit, self.file = root, shard, limit, 0
-        self.attempt, self.out = uuid.uuid4().hex, None
+        self.root, self.limit = root, limit
+        self.attempt, self.out, self.shard = uuid.uuid4().hex, None, None
 
-    def add(self, member: bytes) -> Iterator[tuple]:
+    def add(self, shard: int, member: bytes) -> Iterator[tuple]:
+        if shard != self.shard:
+            yield from self.close()
+            self.shard, self.file = shard, 0
         if self.out is None:
-            self.temporary = f"_temporary/{self.attempt}-{self.shard:05d}-{self.file:05d}.warc.gz"
+            self.temporary = f"_temporary/{self.attempt}-{shard:07d}-{self.file:05d}.warc.gz"
             self.files.create_dir(posixpath.join(self.root, "_temporary"), recursive=True)
             self.out = self.files.open_output_stream(posixpath.join(self.root, self.temporary), compression=None)
             self.bytes = self.records = 0
@@ -92,34 +101,70 @@ class _Shard:
         if self.out is not None:
             self.out.close()
             self.out = None
-            yield self.shard, self.file, self.temporary, f"part-{self.shard:05d}-{self.file:05d}.warc.gz", self.records, self.bytes, self.sha1.hexdigest()
+            yield self.shard, self.file, self.temporary, f"part-{self.shard:07d}-{self.file:05d}.warc.gz", self.records, self.bytes, self.sha1.hexdigest()
             self.file += 1
 
 
-def write_archives(pages: DataFrame, place: str, least: int = LEAST_REVISIT, file_bytes: int = FILE_BYTES, shards: int | None = None) -> DataFrame:
+def _position(ids: Column, kind: T.DataType) -> Column:
+    """A number that rises with the id; texts go by their first seven bytes, nulls first."""
+    if not isinstance(kind, T.NumericType):
+        ids = F.conv(F.rpad(F.hex(F.substring(F.encode(ids.cast("string"), "UTF-8"), 1, 7)), 14, "0"), 16, 10)
+    return ids.cast("long")
+
+
+def shard_numbers(rows: DataFrame, shard_bytes: int | None) -> tuple[DataFrame, Column]:
+    """A table of block, its first shard and its number of shards, and the column that says a row's block.
+
+    The exact sizes of at most BLOCKS blocks are put together in order, so the table is bounded and may be broadcast.
+
+    ``rows`` have at (position of the id, may be null) and bytes.
+    """
+    low, high, total = rows.agg(F.min("at"), F.max("at"), F.sum("bytes")).first()
+    low, high, total = low or 0, high or 0, total or 0
+    shift = max((high - low).bit_length() - BLOCKS.bit_length() + 1, 0)
+    share = shard_bytes or min(max(total // 256, SHARD_BYTES[0]), SHARD_BYTES[1])
+    block = F.coalesce(F.floor((F.col("at").cast("decimal(20,0)") - low) / (1 << shift)).cast("long"), F.lit(-1))
+    sizes = sorted(tuple(r) for r in rows.groupBy(block.alias("block")).agg(F.sum("bytes").alias("bytes")).collect())
+    out, shard, held = [], 0, 0
+    for b, n in sizes:
+        parts = -(-n // share) if n > share else 1
+        if held and held + n > share:
+            shard, held = shard + 1, 0
+        out.append((b, shard, parts))
+        held += n
+        if parts > 1:
+            shard, held = shard + parts, 0
+    numbers = rows.sparkSession.createDataFrame(out, "block long, shard long, parts long")
+    return F.broadcast(numbers), block
+
+
+def write_archives(pages: DataFrame, place: str, least: int = LEAST_REVISIT, file_bytes: int = FILE_BYTES, shard_bytes: int | None = None) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as WARC files under ``place``; returns the committed manifest.
 
     ``place`` is a URI that pyarrow's file systems know and all executors share.
     """
     spark = pages.sparkSession
-    html = F.encode(F.coalesce(pages["html"], F.lit("")), "UTF-8")
-    rows = pages.select(pages["page_id"].alias("k"), pages["url"].alias("url"), html.alias("payload"), F.sha1(html).alias("digest"))
-    copies = rows.filter((F.octet_length("payload") >= least) & F.col("k").isNotNull()).select("k", "digest")
+    bounded_batches(spark)
+    html = F.encode(F.coalesce(pages["html"].cast("string"), F.lit("")), "UTF-8")
+    kind = pages.schema["page_id"].dataType
+    rows = pages.select(pages["page_id"].alias("k"), _position(pages["page_id"], kind).alias("at"), pages["url"].cast("string").alias("url"), html.alias("payload"), F.sha1(html).alias("digest"))
+    numbers, block = shard_numbers(rows.select("at", F.octet_length("payload").alias("bytes")), shard_bytes)
+    copies = rows.filter((F.octet_length("payload") >= least) & F.col("k").isNotNull()).select("k", "at", "digest")
     groups = copies.groupBy("digest").agg(F.max("k").alias("target"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    notes = copies.join(groups, "digest").select("k", "digest", "target")
-    # a note goes ahead of the records with its page_id, in the same partition of the range
-    both = rows.select("k", F.lit(1).alias("part"), "digest", "url", "payload", F.lit(None).cast(rows.schema["k"].dataType).alias("target"))
-    both = both.unionByName(notes.select("k", F.lit(0).alias("part"), "digest", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "target"))
-    dealt = both.repartitionByRange(shards, "k") if shards else both.repartitionByRange("k")
-    dealt = dealt.sortWithinPartitions("k", "part", "digest", "url").select(F.col("k").cast("string").alias("k"), "part", "digest", "url", "payload", F.col("target").cast("string").alias("target"))
+    notes = copies.join(groups, "digest").select("k", "at", "digest", "target")
+    # a note goes ahead of the records with its page_id and digest, in the same shard
+    both = rows.select("k", "at", F.lit(1).alias("part"), "digest", "url", "payload", F.lit(None).cast(kind).alias("target"))
+    both = both.unionByName(notes.select("k", "at", F.lit(0).alias("part"), "digest", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "target"))
+    both = both.withColumn("block", block).join(numbers, "block").withColumn("shard", F.col("shard") + F.pmod(F.xxhash64("k", "digest"), F.col("parts")))
+    dealt = both.repartition("shard").sortWithinPartitions("shard", "k", "part", "digest", "url").select("shard", F.col("k").cast("string").alias("k"), "part", "digest", "url", "payload", F.col("target").cast("string").alias("target"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, now, targets, seen = _Shard(place, TaskContext.get().partitionId(), file_bytes), None, {}, set()
+        out, now, targets, seen = _Writer(place, file_bytes), None, {}, set()
         for batch in batches:
             done = []
-            for k, part, digest, url, payload, target in batch.itertuples(index=False, name=None):
-                if k != now:
-                    now, targets, seen = k, {}, set()
+            for shard, k, part, digest, url, payload, target in batch.itertuples(index=False, name=None):
+                if (shard, k) != now:
+                    now, targets, seen = (shard, k), {}, set()
                 if part == 0:
                     targets[digest] = target
                     continue
@@ -127,9 +172,9 @@ def write_archives(pages: DataFrame, place: str, least: int = LEAST_REVISIT, fil
                 if refers is not None and refers == k:  # the response, unless its like has been written
                     refers = k if digest in seen else None
                     seen.add(digest)
-                done += shard.add(_member(k, url, bytes(payload), digest, refers))
+                done += out.add(shard, _member(k, url, bytes(payload), digest, refers))
             yield pd.DataFrame(done, columns=_MANIFEST)
-        yield pd.DataFrame(list(shard.close()), columns=_MANIFEST)
+        yield pd.DataFrame(list(out.close()), columns=_MANIFEST)
 
     path = f"{place}/_manifest"
     dealt.mapInPandas(write, MANIFEST).write.mode("overwrite").parquet(path)

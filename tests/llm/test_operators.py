@@ -62,7 +62,11 @@ def test_mixing_odd_rows_and_other_columns(spark):
     assert mixed.columns == df.columns
     assert mixed.filter("text <> ''").count() == sum(t // n for _, n, t in plan if n)
     assert mixing.mixing_plan(df.limit(0)).count() == 0
-    assert rows(mixing.mixing_plan(df), "doc_id", "taken") == rows(mixing.mixing_plan(df), "doc_id", "taken")
+    assert sorted(rows(mixing.mixing_plan(df), "doc_id", "taken"), key=str) == sorted(rows(mixing.mixing_plan(df.repartition(3)), "doc_id", "taken"), key=str)
+    clash = df.select("*", *[F.lit(c).alias(c) for c in ("__size", "__src", "__copies", "__row", "__place")])
+    assert all(r["__size"] == "__size" and r["__row"] == "__row" for r in mixing.repeat_documents(clash).collect())
+    long = docs(spark, ["w " * 300_000, "w"], "t")
+    assert sorted(rows(mixing.mixing_plan(long), "doc_id", "size")) == [(0, 300_000), (1, 1)]
 
 
 def test_mixing_without_words(spark):
@@ -171,6 +175,29 @@ def test_pieces_and_packing(spark):
     assert packing.pack_pieces(packing.tokenize_documents(df.limit(0), TOKENIZER)).count() == 0
 
 
+def test_packing_query_against_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(TOKENIZER).encode
+    out = queries.op3_packing(spark, SF).toPandas()
+    for doc_id, text in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        ids = np.array([*encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        part = out[out.doc_id == doc_id].sort_values("piece")
+        cuts = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
+        assert list(zip(part.piece, part.start, part.length, part.ids_crc32, strict=True)) == [(k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    for _, part in out.sort_values("offset").groupby("sequence_id"):
+        assert list(part.offset) == [0, *np.cumsum(part.length)[:-1]] and part.length.sum() <= 1024
+
+
+def test_full_and_repeated_pieces(spark):
+    data = [(1, 0, 1024)] * 40 + [(2, 0, 512)] * 60 + [(None, 0, 300)] * 30 + [(3, k, 724) for k in range(30)]
+    df = spark.createDataFrame(data, "doc_id long, piece int, length long")
+    out = packing.pack_pieces(df, group=7).toPandas()
+    assert sorted(out.groupby("sequence_id").length.sum()) == [1024] * 100 and len(out) == len(data)
+    for _, part in out.sort_values("offset").groupby("sequence_id"):
+        assert list(part.offset) == [0, *np.cumsum(part.length)[:-1]]
+
+
 def test_fullest_is_the_best_subset():
     random.seed(1)
     for _ in range(60):
@@ -241,6 +268,26 @@ def test_minhash_large_groups_repeats_and_nulls(spark):
     assert minhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_looked_at_on_their_own(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    df = spark.createDataFrame([(1, a), (1, b), (2, b), (3, a), (4, ""), (4, "x y")], "doc_id long, text string")
+    found = {(r["doc_id"], r["text_key"]): r for r in minhash.components(df).collect()}
+    key = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert {k: r["component_id"] for k, r in found.items()} == {(1, key(a)): 1, (1, key(b)): 1, (2, key(b)): 1, (3, key(a)): 1, (4, key("")): 4, (4, key("x y")): 4}
+    assert found[1, key(a)]["component"] == found[3, key(a)]["component"] != found[2, key(b)]["component"] == found[1, key(b)]["component"]
+
+
+def test_blocks_of_a_bucket_meet_once_and_under_many_keys(spark):
+    # 5,000 members of one bucket: a component of 400, one of 130, and 4,470 on their own
+    part = lambda n: 0 if n < 400 else 400 if n < 530 else n
+    data = [(9, n, part(n)) for n in range(5000)]
+    met = minhash._block_pairs(spark.createDataFrame(data, "band long, node long, component long"), "node", "component")
+    sizes = [(len(r["node1"]), len(r["node2"]), sum(a != b for a in r["component1"] for b in r["component2"]), r["node1"][0] == r["node2"][0]) for r in met.collect()]
+    across = sum(n if not same else n // 2 for _, _, n, same in sizes)
+    assert across == (5000 * 5000 - 400 * 400 - 130 * 130 - 4470) // 2
+    assert max(max(x[:2]) for x in sizes) < 3 * minhash.BLOCK
+
+
 def test_estimates_follow_similarity():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 1 << 62, 4000, dtype=np.uint64)
@@ -307,9 +354,9 @@ def test_warc_round_trip_and_revisits(spark):
     big, other = "<p>" + "x" * 2000, "<q>" + "é" * 700
     data = [(1, "http://a/ b\n", big), (5, None, big), (3, "u", big), (2, "u", "small"), (4, "u", "small"), (6, "u", None), (7, "u", other), (7, "u", other), (None, "u", big), (8, "u", "")]
     df = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("digest", F.lit("z")).withColumn("payload", F.lit(1))
-    for size in (1 << 25, 300):
+    for size, shard in ((1 << 25, None), (300, 2500)):
         place = new_path(spark, "test-warc")
-        manifest = warc.write_archives(df, place, file_bytes=size, shards=3)
+        manifest = warc.write_archives(df, place, file_bytes=size, shard_bytes=shard)
         assert manifest.agg(F.sum("records")).first()[0] == len(data)
         got = warc.read_archives(spark, place).collect()
         want = [(str(i) if i is not None else None, len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest()) for i, _, h in data]
@@ -324,9 +371,66 @@ def test_warc_round_trip_and_revisits(spark):
     assert warc.read_archives(spark, place).count() == 0
 
 
+def test_warc_files_follow_from_the_rows_alone(spark):
+    rng = random.Random(3)
+    data = [(i if i % 3 else 7, f"http://a/{i}", f"<p>{rng.randrange(900)} " + "x" * rng.randrange(1800)) for i in range(3000)]
+    data += [(None, "u", f"{i}" * 300) for i in range(50)]
+    seen, kept = set(), spark.conf.get("spark.sql.shuffle.partitions")
+    for parts, deal in ((1, "4"), (7, "13"), (5, "2")):
+        spark.conf.set("spark.sql.shuffle.partitions", deal)
+        rng.shuffle(data)
+        df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(parts)
+        manifest = warc.write_archives(df, new_path(spark, "test-warc"), file_bytes=20_000, shard_bytes=100_000)
+        seen.add(tuple(sorted((r["final"], r["records"], r["bytes"], r["sha1"]) for r in manifest.collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert len(seen) == 1 and len(next(iter(seen))) > 20
+    texts = spark.createDataFrame([("b", "u", "1"), ("a", "u", "2"), (None, None, "3")], "page_id string, url string, html string")
+    place = new_path(spark, "test-warc")
+    warc.write_archives(texts, place, shard_bytes=1)
+    assert sorted(rows(warc.read_archives(spark, place), "page_id", "payload"), key=str) == sorted([("a", b"2"), ("b", b"1"), (None, b"3")], key=str)
+
+
 # -- media
 
 
+def by_hand(block):
+    """Samples of one block of 64 coefficients in row order, by the defining sum."""
+    scale = lambda k: np.sqrt(0.5) if k == 0 else 1.0
+    out = np.zeros((8, 8))
+    for y, x in itertools.product(range(8), repeat=2):
+        out[y, x] = sum(scale(u) * scale(v) / 4 * block[v][u] * np.cos((2 * x + 1) * u * np.pi / 16) * np.cos((2 * y + 1) * v * np.pi / 16) for u, v in itertools.product(range(8), repeat=2))
+    return np.clip(np.rint(out + 128), 0, 255)
+
+
+def test_frames_with_other_tables_and_the_transform():
+    zigzag = [0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28, 35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63]
+    dc, ac = {0: "00", 3: "01", 6: "100"}, {0x00: "00", 0x03: "01", 0xF0: "100", 0x25: "1010"}
+    bits = lambda v, n: f"{v if v > 0 else v + (1 << n) - 1:0{n}b}"
+    # two blocks: DC 40 and then 40 + 5; values behind runs of zeros, and an end of block
+    code = dc[6] + bits(40, 6) + ac[0x03] + bits(-6, 3) + ac[0xF0] + ac[0x25] + bits(19, 5) + ac[0x00] + dc[3] + bits(5, 3) + ac[0x00]
+    code += "1" * (-len(code) % 8)
+    body = bytes(int(code[i : i + 8], 2) for i in range(0, len(code), 8)).replace(b"\xff", b"\xff\0")
+    table = lambda kind, t: bytes([kind, *[sum(len(c) == n for c in t.values()) for n in range(1, 17)], *t])
+    part = lambda m, b: bytes([0xFF, m]) + (len(b) + 2).to_bytes(2, "big") + b
+    quant = bytes([0, *range(1, 65)])
+    head = b"\xff\xd8" + part(0xDB, quant) + part(0xC0, bytes([8, 0, 8, 0, 16, 1, 1, 0x11, 0])) + part(0xC4, table(0, dc) + table(16, ac)) + part(0xDA, bytes([1, 1, 0, 0, 63, 0]))
+    got = media.coefficients(head + body + b"\xff\xd9")
+    want = np.zeros((2, 64), int)
+    want[0, [0, 1, 20]], want[1, 0] = [40, -6, 19], 45
+    assert (got == want).all()
+    quantisers = media.parse_frame(head + body + b"\xff\xd9").quantisers
+    for block, out in zip(got, media.samples(got, quantisers), strict=True):
+        square = np.zeros(64)
+        square[zigzag] = block * quantisers
+        assert np.abs(by_hand(square.reshape(8, 8)) - out.reshape(8, 8)).max() <= 1
+    # the frames that the writer makes, symbol by symbol, hold the bytes
+    random.seed(2)
+    x = random.randbytes(2048)
+    blocks = np.concatenate([media.coefficients(f) for f in media.frames_of(media.encode(x))[0]])
+    assert np.where(blocks < 0, blocks + 255, blocks).astype(np.uint8).tobytes() == x
+    assert (media.samples(blocks, np.ones(64, int)) == media.decode(media.encode(x))[1]).all()
+
+
 def test_media_round_trip():
     random.seed(7)
     for n in (64, 128, 1024, 1088, 4096, 20032):
@@ -348,7 +452,8 @@ def test_media_columns(spark):
         assert len(payload) % 64 == 0 and len(payload) >= max(64, n)
         assert r["media_sha256"] == hashlib.sha256(got[i]["media"]).hexdigest()
         assert r["clips"][0]["start_ms"] == 0 and r["clips"][-1]["end_ms"] == r["frames"] * 40
-    assert got[4]["read"] == got[5]["read"] and len(got[4]["read"]["clips"]) == 2
+    assert got[4]["read"] == got[5]["read"] and len(got[4]["read"]["clips"]) >= 2
+    assert media.read_media(media.store_media(df.limit(0))).count() == 0
     assert media.clip_rows(media.read_media(media.store_media(df)), "doc_id").count() == sum(len(r["read"]["clips"]) for r in got.values())
 
 
@@ -386,6 +491,65 @@ def test_secret_patterns(spark):
     assert secrets.find_secrets(df.limit(0)).count() == 0
 
 
+def base_by_hand(text):
+    """Base spans without regular expressions: tries each start in turn and takes the longest run of allowed characters."""
+    low, out = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text), []
+    letters = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    at = 0
+    while at < len(text):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(word, at):
+                break
+        else:
+            at += 1
+            continue
+        end = at + len(word)
+        end += text[end : end + 1] in ("'", '"') and end < len(text)
+        while text[end : end + 1] == " ":
+            end += 1
+        if text[end : end + 1] not in (":", "="):
+            at += 1
+            continue
+        end += 1
+        while text[end : end + 1] == " ":
+            end += 1
+        end += text[end : end + 1] in ("'", '"') and end < len(text)
+        first = end
+        while end < len(text) and text[end] in letters:
+            end += 1
+        if end == first:
+            at += 1
+            continue
+        if end - first >= 12:
+            out.append(("assign", at, end))
+        at = end
+    for kind, head, allowed, least in (("access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 18), ("hex", "", "0123456789abcdef", 16)):
+        at = 0
+        while at < len(text):
+            end = at + len(head)
+            while text.startswith(head, at) and end < len(text) and text[end] in allowed:
+                end += 1
+            if not text.startswith(head, at) or end == at + len(head):
+                at += 1
+                continue
+            if end - at >= least:
+                out.append((kind, at, end))
+            at = end
+    return sorted(out, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+def test_base_spans_against_brute_force(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op9_secrets(spark, SF).collect():
+        base = base_by_hand(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+    random.seed(12)
+    pieces = ["token", "PassWd", "api_key", "apikey", "secret", "'", '"', " ", ":", "=", "AKIA", "B2", "abcdef0123456789", "é", "x", "=="]
+    for _ in range(400):
+        text = "".join(random.choices(pieces, k=random.randint(1, 14)))
+        assert [s for s in secrets.scan(text) if s[0] != "entropy"] == base_by_hand(text), text
+
+
 def test_secret_query_digests(spark):
     for r in queries.op9_secrets(spark, SF).collect():
         base = [s for s in r["spans"].split(",") if s and not s.startswith("entropy")]
@@ -431,4 +595,9 @@ def test_chat_layouts(spark):
         chat.canonical_turns(spark.range(1))
     records = [json.dumps({"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}], "id": 1}), json.dumps({"prompt": "p", "completion": "c"}), "broken", None, json.dumps({"what": 1})]
     df = spark.createDataFrame(list(enumerate(records)), "id long, record string")
+    wrapped = spark.sql("SELECT 3L AS conv_id, named_struct('messages', array(named_struct('role', 'user', 'content', 'a'))) AS data, 'x' AS license")
+    assert rows(chat.canonical_turns(wrapped), "turn", "role", "text") == [(0, "user", "a")]
+    several = spark.sql("SELECT 4L AS conv_id, 's' AS system, 'p' AS prompt, 'r' AS response, 't' AS text")
+    assert rows(chat.canonical_turns(several), "role", "text") == [("system", "s"), ("user", "p"), ("assistant", "r")]
+    assert chat.layout_of(frozenset({"record.prompt", "record.completion", "id"}))["name"] == "prompt and completion" and chat.layout_of(frozenset({"id"})) is None
     assert sorted(rows(chat.canonical_turns_json(df, "id", "record"), "conv_id", "role", "text")) == [(0, "assistant", "b"), (0, "user", "a"), (1, "assistant", "c"), (1, "user", "p")]
