@@ -20,6 +20,22 @@ def amount(c: Column) -> Column:
     return F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
 
 
+def steady_sum(c: Column | str, scale: int = 12) -> Column:
+    """A sum of doubles that does not depend on the order of rows: of decimals with ``scale`` places, as a double."""
+    return F.sum((F.col(c) if isinstance(c, str) else c).cast(f"decimal(38,{scale})")).cast("double")
+
+
+def steady_mean(c: Column | str, scale: int = 12) -> Column:
+    return ratio(steady_sum(c, scale), F.count(c))
+
+
+def steady_deviation(c: Column | str, scale: int = 6) -> Column:
+    """The sample deviation from sums that do not depend on the order of rows; null for fewer than two values."""
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    n, s, ss = F.count(c).cast("double"), steady_sum(x, scale), steady_sum(x * x, scale)
+    return F.when(n > 1, F.sqrt(F.greatest(ss - s * s / n, F.lit(0.0)) / (n - 1)))
+
+
 def when_sum(condition: Column, c: Column) -> Column:
     return amount(F.when(condition, c))
 

@@ -33,43 +33,6 @@ def hyp2f1(a: np.ndarray, b: np.ndarray, c: np.ndarray, z: np.ndarray, terms: in
     return (1 - z) ** (c - a - b) * total
 
 
-def minimise(f, starts: list[np.ndarray], low: np.ndarray, high: np.ndarray, steps: int = 2000, close: float = 1e-9) -> tuple[np.ndarray, float, bool]:
-    """The best of several bounded Nelder-Mead searches: point, value and whether it settled."""
-    best: tuple[np.ndarray, float, bool] | None = None
-    for start in starts:
-        n = len(start)
-        points = [np.clip(start, low, high)] + [np.clip(start + 0.3 * (np.arange(n) == i), low, high) for i in range(n)]
-        values, settled = [f(p) for p in points], False
-        for _ in range(steps):
-            order = np.argsort(values)
-            points, values = [points[i] for i in order], [values[i] for i in order]
-            if abs(values[-1] - values[0]) <= close * (abs(values[0]) + close) and max(np.abs(p - points[0]).max() for p in points) < 1e-5:
-                settled = True
-                break
-            centre = np.mean(points[:-1], axis=0)
-            try_at = lambda k, c=centre, w=points[-1]: np.clip(c + k * (c - w), low, high)
-            x = try_at(1.0)
-            v = f(x)
-            if v < values[0]:
-                y = try_at(2.0)
-                w = f(y)
-                points[-1], values[-1] = (y, w) if w < v else (x, v)
-            elif v < values[-2]:
-                points[-1], values[-1] = x, v
-            else:
-                x = try_at(0.5 if v < values[-1] else -0.5)
-                w = f(x)
-                if w < min(v, values[-1]):
-                    points[-1], values[-1] = x, w
-                else:
-                    points = [points[0]] + [(p + points[0]) / 2 for p in points[1:]]
-                    values = [values[0]] + [f(p) for p in points[1:]]
-        k = int(np.argmin(values))
-        if best is None or values[k] < best[1]:
-            best = points[k], float(values[k]), settled
-    return best
-
-
 def descend(f, start: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int = 60, close: float = 1e-10, h: float = 1e-3) -> tuple[np.ndarray, float, bool]:
     """Bounded damped Newton steps with differences as derivatives: point, value and whether it settled.
 

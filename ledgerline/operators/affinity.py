@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.semantics import hash_half, ratio
+from ledgerline.functions.semantics import hash_half, ratio, steady_sum
 from ledgerline.functions.special import chi2_sf_1df
 from ledgerline.operators.events import DAY, baskets
+from ledgerline.storage import settled
 
 
 @dataclass(frozen=True)
@@ -22,9 +23,9 @@ class AffinityConfig:
     min_confidence: float = 0.20
     min_lift: float = 1.0
     fdr_alpha: float = 0.05
-    max_items: int = 100
+    max_items: int | None = 100  # budgets; None is without bound
     max_baskets: int | None = 50_000
-    max_items_per_basket: int = 30
+    max_items_per_basket: int | None = 30
     max_pair_operations: int | None = 1_000_000
     min_customers: int = 30
     seed: int = 42
@@ -45,14 +46,17 @@ def candidate_baskets(lines: DataFrame, c: AffinityConfig) -> DataFrame:
     """
     all_ = baskets(lines, c.level, c.grain, c.key_mode).filter("customer_id IS NOT NULL")
     reach = all_.select("customer_id", F.explode("items").alias("item")).distinct().groupBy("item").agg(F.count(F.lit(1)).alias("reach"))
-    ranks = reach.orderBy(F.desc("reach"), "item").limit(c.max_items).withColumn("ix", F.row_number().over(Window.orderBy(F.desc("reach"), "item")))
+    order = F.struct((-F.col("reach")).alias("r"), "item")
+    ranks = reach.select("item", order.alias("ix"))
+    if c.max_items is not None:
+        ranks = F.broadcast(ranks.orderBy("ix").limit(c.max_items))  # at most max_items rows
     hashed = F.conv(F.substring(F.md5(F.concat("customer_id", F.lit(f":{c.seed}"))), 1, 8), 16, 10).cast("long")
     if c.max_baskets is not None:
         sizes = all_.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")).withColumn("h", hashed)
         all_ = all_.join(sizes.withColumn("run", _running("h", "n")).filter(F.col("run") <= c.max_baskets).select("customer_id"), "customer_id", "left_semi")
-    # at most max_items rows to broadcast
-    held = all_.select("customer_id", "basket_key", F.explode("items").alias("item")).join(F.broadcast(ranks), "item")
-    out = held.groupBy("customer_id", "basket_key").agg(F.slice(F.array_sort(F.collect_list(F.struct("ix", "item"))), 1, c.max_items_per_basket).alias("p"))
+    held = all_.select("customer_id", "basket_key", F.explode("items").alias("item")).join(ranks, "item")
+    common = F.array_sort(F.collect_list(F.struct("ix", "item")))
+    out = held.groupBy("customer_id", "basket_key").agg((common if c.max_items_per_basket is None else F.slice(common, 1, c.max_items_per_basket)).alias("p"))
     out = out.select("customer_id", "basket_key", F.transform("p", lambda x: x["item"]).alias("items"))
     if c.max_pair_operations is not None:
         cost = out.groupBy("customer_id").agg(F.sum(F.size("items") * (F.size("items") - 1) / 2).alias("n")).withColumn("h", hashed)
@@ -110,11 +114,11 @@ def benjamini_hochberg(df: DataFrame, p: str = "p_value", into: str = "q_value",
 
 def associations(lines: DataFrame, c: AffinityConfig = AffinityConfig(), held: DataFrame | None = None) -> DataFrame:
     """Directed rules with basket measures, customer statistics, q-values, persistence over halves and the joint filter."""
-    held = candidate_baskets(lines, c) if held is None else held
+    held = settled(candidate_baskets(lines, c)) if held is None else held
     items, whole = item_counts(held, c.seed), totals(held, c.seed)
     side = lambda k: items.select(F.col("item").alias(k), *[F.col(x).alias(f"{y}_{k}" if not z else f"n_{k}_{z}") for x, y, z in (("baskets", "baskets", ""), ("n", "n", ""), ("n_0", "", "0"), ("n_1", "", "1"))])
-    # items are at most max_items rows, and the totals one
-    rows = pair_counts(held, c.seed).join(F.broadcast(side("a")), "a").join(F.broadcast(side("b")), "b").crossJoin(F.broadcast(whole))
+    small = F.broadcast if c.max_items is not None else lambda df: df  # at most max_items rows
+    rows = pair_counts(held, c.seed).join(small(side("a")), "a").join(small(side("b")), "b").crossJoin(F.broadcast(whole))  # totals are one row
     rows = rows.filter((F.col("N") >= c.min_customers) & (F.col("pair_baskets") >= F.col("total_baskets") * c.min_support))
     rows = benjamini_hochberg(pair_statistics(rows), order=("a", "b"))
     for h in ("0", "1"):
@@ -134,11 +138,12 @@ def transitions(lines: DataFrame, c: AffinityConfig = AffinityConfig(), least: i
     """Items of a basket against those of the customer's next one, with q-values over all pairs."""
     held = candidate_baskets(lines, c) if held is None else held
     order = Window.partitionBy("customer_id").orderBy("basket_key")
-    moves = held.select("customer_id", "items", F.lag("items").over(order).alias("before")).filter("before IS NOT NULL")
+    moves = settled(held.select("items", F.lag("items").over(order).alias("before")).filter("before IS NOT NULL"))
     whole = moves.agg(F.count(F.lit(1)).alias("N"))
     count = lambda column, name: moves.select(F.explode(column).alias(name)).groupBy(name).agg(F.count(F.lit(1)).alias("n_" + name))
     pairs = moves.select(F.explode("before").alias("from_item"), "items").select("from_item", F.explode("items").alias("to_item")).groupBy("from_item", "to_item").agg(F.count(F.lit(1)).alias("n_pair"))
-    rows = pairs.join(F.broadcast(count("before", "from_item")), "from_item").join(F.broadcast(count("items", "to_item")), "to_item").crossJoin(F.broadcast(whole))  # few items
+    small = F.broadcast if c.max_items is not None else lambda df: df  # at most max_items rows
+    rows = pairs.join(small(count("before", "from_item")), "from_item").join(small(count("items", "to_item")), "to_item").crossJoin(F.broadcast(whole))
     rows = pair_statistics(rows.filter(F.col("N") >= least), "n_pair", "n_from_item", "n_to_item", "N")
     rows = benjamini_hochberg(rows, order=("from_item", "to_item"))
     return rows.withColumns({"probability": ratio(F.col("n_pair"), F.col("n_from_item")), "significant": (F.col("q_value") <= c.fdr_alpha) & (F.col("or_ci_lower") > 1)})
@@ -147,9 +152,11 @@ def transitions(lines: DataFrame, c: AffinityConfig = AffinityConfig(), least: i
 def affinity_status(lines: DataFrame, c: AffinityConfig = AffinityConfig()) -> DataFrame:
     """One row: how many baskets and customers there are and were used, and what that means."""
     whole = baskets(lines, c.level, c.grain, c.key_mode).filter("customer_id IS NOT NULL").agg(F.count(F.lit(1)).alias("all_baskets"), F.countDistinct("customer_id").alias("all_customers"))
+    within = replace(c, max_pair_operations=None)  # what the budget of baskets leaves, before that of pairs
+    kept = candidate_baskets(lines, within).agg(F.countDistinct("customer_id").alias("kept_customers"))
     used = candidate_baskets(lines, c).agg(F.count(F.lit(1)).alias("used_baskets"), F.countDistinct("customer_id").alias("used_customers"))
-    status = F.when(F.col("used_customers") < c.min_customers, "skipped").when(F.col("used_customers") < F.col("all_customers"), "sampled").otherwise("completed")
-    return whole.crossJoin(used).withColumn("status", status)  # one row each
+    status = F.when(F.col("used_customers") < c.min_customers, "skipped").when(F.col("used_customers") < F.col("kept_customers"), "truncated").when(F.col("used_customers") < F.col("all_customers"), "sampled").otherwise("completed")
+    return whole.crossJoin(kept).crossJoin(used).withColumn("status", status).drop("kept_customers")  # one row each
 
 
 def invoice_pairs(lines: DataFrame, item: str = "category", least_support: float = 0.0) -> DataFrame:
@@ -174,7 +181,7 @@ def affinity_network(rules: DataFrame) -> DataFrame:
     """Items with their number of partners and the sum of lifts, over undirected pairs."""
     edges = rules.filter("antecedent < consequent").select("antecedent", "consequent", "basket_lift")
     ends = edges.select(F.col("antecedent").alias("item"), "basket_lift").unionByName(edges.select(F.col("consequent").alias("item"), "basket_lift"))
-    return ends.groupBy("item").agg(F.count(F.lit(1)).alias("degree"), F.sum("basket_lift").alias("weight"))
+    return ends.groupBy("item").agg(F.count(F.lit(1)).alias("degree"), steady_sum("basket_lift").alias("weight"))
 
 
 def joint_revenue(lines: DataFrame, rules: DataFrame, level: str = "category") -> DataFrame:

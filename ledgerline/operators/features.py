@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.semantics import ratio
+from ledgerline.functions.semantics import ratio, steady_deviation, steady_mean, steady_sum
 from ledgerline.operators.events import DAY, match_returns, purchase_events, purchases
 
 KEY = "customer_id"
@@ -39,7 +39,7 @@ def customer_core(events: DataFrame, as_of: dt.date, least_days: int = 30, facto
         F.percentile("n_products", F.lit(0.5)).alias("median_products_per_trip"),
         F.percentile("gap", F.lit(0.5)).alias("median_gap"),
         F.avg("gap").alias("mean_gap"),
-        F.stddev_samp("gap").alias("std_gap"),
+        steady_deviation("gap").alias("std_gap"),
         F.count("gap").alias("n_gaps"),
     )
     threshold = F.when(F.col("median_gap") > 0, F.greatest(F.lit(float(least_days)), factor * F.col("median_gap"))).otherwise(float(default_days))
@@ -83,7 +83,7 @@ def top_component(lines: DataFrame, by: str) -> DataFrame:
     spend = lines.filter(F.col(by).isNotNull()).groupBy(KEY, by).agg(F.sum(value).alias("v"))
     share = ratio(F.col("v"), F.sum("v").over(Window.partitionBy(KEY)))
     return spend.withColumn("s", share).groupBy(KEY).agg(
-        F.count(F.lit(1)).alias(f"distinct_{by}"), F.min_by(by, F.struct(-F.col("v"), F.col(by))).alias(f"top_{by}"), F.sum(F.col("s") * F.col("s")).alias(f"{by}_hhi")
+        F.count(F.lit(1)).alias(f"distinct_{by}"), F.min_by(by, F.struct(-F.col("v"), F.col(by))).alias(f"top_{by}"), steady_sum(F.col("s") * F.col("s"), 18).alias(f"{by}_hhi")
     )
 
 
@@ -100,7 +100,7 @@ def promo_features(lines: DataFrame, as_of: dt.date, least: int = 1, threshold:
     rows = rows.join(reference, "product_id").withColumn("idx", F.col("price") / F.col("__ref"))
     rev = F.col("line_revenue").cast("double")
     promo = F.sum(F.when(F.col("idx") <= 1 - threshold, F.col("line_revenue")))
-    return rows.groupBy(KEY).agg(ratio(F.coalesce(promo, F.lit(0)), F.sum("line_revenue")).alias("promo_spend_share"), ratio(F.sum(F.col("idx") * rev), F.sum("line_revenue")).alias("mean_price_index"), F.percentile("idx", F.lit(0.5)).alias("median_price_index"))
+    return rows.groupBy(KEY).agg(ratio(F.coalesce(promo, F.lit(0)), F.sum("line_revenue")).alias("promo_spend_share"), ratio(steady_sum(F.col("idx") * rev), F.sum("line_revenue")).alias("mean_price_index"), F.percentile("idx", F.lit(0.5)).alias("median_price_index"))
 
 
 def return_features(lines: DataFrame, as_of: dt.date) -> DataFrame:
@@ -133,7 +133,7 @@ def category_affinity(shares: DataFrame, categories: list[str] | None = None) ->
 def category_entropy(shares: DataFrame) -> DataFrame:
     """The top category and -sum s ln(s + 1e-10) of a customer's shares."""
     s = F.col("share")
-    return shares.groupBy(KEY).agg(F.min_by("category", F.struct(-s, F.col("category"))).alias("top_category_by_share"), (-F.sum(s * F.log(s + 1e-10))).alias("category_entropy"))
+    return shares.groupBy(KEY).agg(F.min_by("category", F.struct(-s, F.col("category"))).alias("top_category_by_share"), (-steady_sum(s * F.log(s + 1e-10), 18)).alias("category_entropy"))
 
 
 def trend_features(lines: DataFrame, as_of: dt.date, months: int = 13) -> DataFrame:
@@ -148,7 +148,7 @@ def trend_features(lines: DataFrame, as_of: dt.date, months: int = 13) -> DataFr
     inside = F.col("i") >= 0
     y, i, v = F.when(inside, F.log1p(F.greatest(F.col("v"), F.lit(0.0)))), F.col("i"), F.when(inside, F.col("v"))
     n, si, sii = float(months), sum(range(months)), sum(k * k for k in range(months))
-    out = monthly.groupBy(KEY).agg(F.count_if(inside & (F.col("v") > 0)).alias("active"), F.coalesce(F.sum(y), F.lit(0.0)).alias("sy"), F.coalesce(F.sum(i * y), F.lit(0.0)).alias("siy"), F.coalesce(F.sum(v), F.lit(0.0)).alias("sv"), F.coalesce(F.sum(v * v), F.lit(0.0)).alias("svv"))
+    out = monthly.groupBy(KEY).agg(F.count_if(inside & (F.col("v") > 0)).alias("active"), *[F.coalesce(steady_sum(c), F.lit(0.0)).alias(n) for c, n in ((y, "sy"), (i * y, "siy"), (v, "sv"), (v * v, "svv"))])
     slope = (n * F.col("siy") - si * F.col("sy")) / (n * sii - si * si)
     mean = F.col("sv") / n
     spread = F.sqrt(F.greatest(F.col("svv") / n - mean * mean, F.lit(0.0)))
@@ -159,8 +159,8 @@ def trend_features(lines: DataFrame, as_of: dt.date, months: int = 13) -> DataFr
 def basket_composition(lines: DataFrame, as_of: dt.date) -> DataFrame:
     """Means over customer-days of distinct products, categories and units, and the variation of their revenue."""
     days = purchases(lines, as_of).groupBy(KEY, "transaction_day").agg(F.countDistinct("product_id").alias("p"), F.countDistinct("category").alias("c"), F.sum("quantity").alias("u"), F.sum("line_revenue").cast("double").alias("v"))
-    cv = F.when(F.avg("v") > 0, F.stddev_samp("v") / F.avg("v"))
-    return days.groupBy(KEY).agg(F.avg("p").alias("mean_products_per_day"), F.avg("c").alias("mean_categories_per_day"), F.avg("u").alias("mean_units_per_day"), cv.alias("day_revenue_cv"))
+    cv = F.when(steady_mean("v") > 0, steady_deviation("v") / steady_mean("v"))
+    return days.groupBy(KEY).agg(F.avg("p").alias("mean_products_per_day"), F.avg("c").alias("mean_categories_per_day"), steady_mean("u").alias("mean_units_per_day"), cv.alias("day_revenue_cv"))
 
 
 def customer_snapshot(lines: DataFrame, as_of: dt.date, grain: str = DAY, windows: tuple[int, ...] = (30, 90, 365), recent: int = 90) -> DataFrame:

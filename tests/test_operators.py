@@ -14,6 +14,7 @@ from ledgerline.functions.semantics import average_rank
 from ledgerline.operators import affinity as af
 from ledgerline.operators import events as ev
 from ledgerline.operators import features as ft
+from ledgerline.operators import lifetime as lt
 from ledgerline.operators import models as mo
 from ledgerline.operators import periods as pr
 from ledgerline.operators import quality as qa
@@ -214,10 +215,47 @@ def test_special_functions():
     assert np.allclose(special.hyp2f1(1.5, 2.0, 2.0, z), (1 - z) ** -1.5, rtol=1e-9)
     assert special.hyp2f1(1.0, 1.0, 2.0, 0.5) == pytest.approx(-math.log(0.5) / 0.5)
     assert special.chi2_sf_1df(np.array([3.841458820694124]))[0] == pytest.approx(0.05, rel=1e-6)
-    best, value, settled = special.minimise(lambda p: ((p - 1.5) ** 2).sum(), [np.zeros(3)], np.full(3, -5.0), np.full(3, 5.0))
+    quartic = lambda ps: ((ps - 1.5) ** 4 + (ps - 1.5) ** 2).sum(axis=1)
+    best, value, settled = special.descend(quartic, np.zeros(3), np.full(3, -5.0), np.full(3, 5.0))
     assert settled and np.allclose(best, 1.5, atol=1e-3) and value < 1e-5
 
 
+def test_purchase_model_against_the_published_formulas():
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 9, 300).astype(float)
+    T = rng.uniform(30, 400, 300)
+    t_x = np.where(x > 0, T * rng.uniform(0.05, 1, 300), 0)
+    for r, alpha, a, b in ((0.7, 25.0, 0.8, 2.5), (2.0, 90.0, 1.0, 1.5), (0.3, 4.0, 3.0, 0.9)):
+        total = 0.0
+        for k, u, w in zip(x, t_x, T, strict=True):
+            beta = lambda p, q: math.exp(math.lgamma(p) + math.lgamma(q) - math.lgamma(p + q))
+            stay = beta(a, b + k) / beta(a, b) * math.exp(math.lgamma(r + k) - math.lgamma(r)) * alpha**r / (alpha + w) ** (r + k)
+            left = beta(a + 1, b + k - 1) / beta(a, b) * math.exp(math.lgamma(r + k) - math.lgamma(r)) * alpha**r / (alpha + u) ** (r + k) if k else 0.0
+            total += math.log(stay + left)
+        params = np.array([r, alpha, a, b])
+        assert lt.bgnbd_loglik(params, x, t_x, T) == pytest.approx(total, rel=1e-10)
+        fit = lt.Fit("bgnbd", "fitted", params=tuple(zip(("r", "alpha", "a", "b"), params, strict=True)))
+        alive, expected = lt.bgnbd_predict(fit, x, t_x, T, 90.0)
+        if a != 1:
+            z = 90.0 / (alpha + T + 90.0)
+            closed = (a + b + x - 1) / (a - 1) * (1 - ((alpha + T) / (alpha + T + 90.0)) ** (r + x) * special.hyp2f1(r + x, b + x, a + b + x - 1, z)) * alive
+            assert np.allclose(expected, closed, rtol=1e-6)
+        assert (alive[x == 0] == 1).all() and ((alive > 0) & (alive <= 1)).all()
+    low = lt.Fit("bgnbd", "fitted", params=(("r", 1.0), ("alpha", 10.0), ("a", 0.3), ("b", 0.4)))
+    assert np.isnan(lt.bgnbd_predict(low, np.zeros(1), np.zeros(1), np.ones(1), 90.0)[1]).all()
+
+
+def test_spend_model_against_its_density():
+    n, m = np.array([2.0, 3.0, 7.0]), np.array([12.0, 4.0, 30.0])
+    p, q, g = 1.7, 3.2, 15.0
+    want = 0.0
+    for k, v in zip(n, m, strict=True):  # the mean's density, by integrating over the rate
+        nu = np.linspace(1e-6, 4, 400_001)
+        f = np.exp(p * k * np.log(k * nu) + (p * k - 1) * np.log(v) - k * nu * v - math.lgamma(p * k) + q * np.log(g) + (q - 1) * np.log(nu) - g * nu - math.lgamma(q))
+        want += math.log(np.trapezoid(f, nu))
+    assert lt.gamma_gamma_loglik(np.array([p, q, g]), n, m) == pytest.approx(want, rel=1e-5)
+
+
 def test_models_recover_and_fall_back(spark):
     rng = np.random.default_rng(1)
     data = []
@@ -240,25 +278,28 @@ def test_models_recover_and_fall_back(spark):
     assert [f.status for f in fits] == ["skipped", "skipped"] and few.filter("prediction_source <> 'naive_rate'").count() == 0
 
 
-def test_fits_take_all_customers_without_collecting_them(spark, monkeypatch):
+def test_fits_take_all_customers_without_collecting_them(spark):
     rng = np.random.default_rng(4)
     rate = rng.gamma(2.0, 1 / 60.0, 3000)
     x = rng.poisson(rate * 300)
     data = [(str(i), int(k), float(rng.uniform(0, 300)) if k else 0.0, 300.0 + i % 50, int(k) + 1, float(rng.gamma(3.0, 10.0 / (1 + i % 3)))) for i, k in enumerate(x)]
     df = spark.createDataFrame(data, "customer_id string, x long, t_x double, T double, n_trips long, mean_trip_value double")
     pdf = df.toPandas()
-    monkeypatch.setattr(mo, "START_ROWS", 300)
-    trips, value = mo.fit_bgnbd(df), mo.fit_gamma_gamma(df)
+    trips, value = lt.fit_bgnbd(df), lt.fit_gamma_gamma(df)
     assert trips.rows == 3000 and value.rows == int((pdf.n_trips >= 2).sum()) and trips.converged and value.converged
     a = [pdf[c].to_numpy(float) for c in ("x", "t_x", "T")]
     rich = pdf[pdf.n_trips >= 2]
     b = [rich[c].to_numpy(float) for c in ("n_trips", "mean_trip_value")]
-    one_ = lambda p: -mo.bgnbd_loglik(np.exp(p), *a).sum() + 1e-3 * 3000 * (p**2).sum()
-    two_ = lambda p: -mo.gamma_gamma_loglik(np.exp(p), *b).sum()
-    for fit, f, low, high in ((trips, one_, np.full(4, -7.0), np.full(4, 7.0)), (value, two_, np.array([-5.0, np.log(1.05), -5.0]), np.array([5.0, 6.0, 12.0]))):
-        at = np.log([v for _, v in fit.params])
-        want = special.minimise(f, [at, at + 0.2], low, high)[1]
-        assert fit.value == pytest.approx(f(at), rel=1e-9) and fit.value <= want + 1e-6 * abs(want)
+    one_ = lambda p: -lt.bgnbd_loglik(np.exp(p), *a) + 1e-3 * 3000 * (p**2).sum()
+    two_ = lambda p: -lt.gamma_gamma_loglik(np.exp(p), *b) + 1e-3 * len(rich) * (p**2).sum()
+    for fit, f in ((trips, one_), (value, two_)):
+        at = np.log([v for k, v in fit.params if not k.startswith("spearman")])
+        assert fit.value == pytest.approx(f(at), rel=1e-9)
+        for width in (0.01, 0.1, 0.5):  # no better place near or far
+            assert all(f(at + rng.normal(0, width, len(at))) >= fit.value - 1e-6 * abs(fit.value) for _ in range(150))
+    assert not value.independence_warning
+    tied = df.withColumn("mean_trip_value", F.col("n_trips") * 3.0 + 0.01 * F.col("mean_trip_value"))
+    assert lt.fit_gamma_gamma(tied).independence_warning
 
 
 def test_clusters_try_every_k_over_all_customers(spark):
