@@ -13,7 +13,7 @@ from ledgerline.plans.core_queries import rounded
 from ledgerline.sources.star import star_lines
 
 #: Without budgets every basket counts, so that SQL can follow.
-FULL = af.AffinityConfig(max_baskets=None, max_pair_operations=None)
+FULL = af.AffinityConfig(max_items=None, max_baskets=None, max_items_per_basket=None, max_pair_operations=None)
 
 _HALF = "('0x' || substr(md5(customer_id || ':42'), 1, 8))::BIGINT % 2"
 _PAIRS = f"""b AS (SELECT customer_id, transaction_day, list(DISTINCT category) AS items FROM lines WHERE quantity > 0 GROUP BY 1, 2), bi AS (SELECT customer_id, transaction_day, {_HALF} AS half, unnest(items) AS item FROM b),
@@ -49,7 +49,7 @@ def affinity_filtered(spark: SparkSession, d: str) -> DataFrame:
     return af.associations(star_lines(spark, d), FULL).filter("passes_all_filters")
 
 
-@query("affinity_status")
+@query("affinity_status", f"{_PAIRS}, u AS (SELECT sum(n * (n - 1) / 2) AS operations FROM (SELECT len(items) AS n FROM b)) SELECT total AS all_baskets, n_all AS all_customers, total AS used_baskets, n_all AS used_customers, CASE WHEN n_all < 30 THEN 'skipped' ELSE 'completed' END AS status FROM t, u WHERE total <= 50000 AND operations <= 1000000")
 def affinity_status(spark: SparkSession, d: str) -> DataFrame:
     return af.affinity_status(star_lines(spark, d))
 

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import actions as ac
 from ledgerline.operators import events as ev
+from ledgerline.operators import joining, survival
 from ledgerline.operators import models as mo
+from ledgerline.operators import overview as ov
 from ledgerline.operators import periods as pr
 from ledgerline.operators import scoring as sc
 from ledgerline.plans.catalog import query
 from ledgerline.plans.core_queries import CORE_SQL, RFM_SQL, rounded, scored
 from ledgerline.plans.period_queries import _lines
+from ledgerline.sources import synthetic as sy
 from ledgerline.sources.star import star_lines
 
 HORIZON = 90
@@ -98,7 +101,7 @@ def gamma_gamma_scores(spark: SparkSession, d: str) -> DataFrame:
 @query("model_parameters")
 def model_parameters(spark: SparkSession, d: str) -> DataFrame:
     _, fits, _ = _scores(spark, d)
-    return fits[0].row(spark).unionByName(fits[1].row(spark)).select("model", "status", "reason", "converged", F.to_json("params").alias("params"), "value", "rows")
+    return fits[0].row(spark).unionByName(fits[1].row(spark)).select("model", "status", "reason", "converged", F.to_json("params").alias("params"), "value", "rows", "independence_warning")
 
 
 @query("holdout_metrics")
@@ -107,6 +110,12 @@ def holdout_metrics(spark: SparkSession, d: str) -> DataFrame:
     return mo.holdout_metrics(lines, ev.latest_day(lines), HORIZON)
 
 
+@query("holdout_calibration")
+def holdout_calibration(spark: SparkSession, d: str) -> DataFrame:
+    lines = star_lines(spark, d)
+    return mo.holdout_calibration(lines, ev.latest_day(lines), HORIZON)
+
+
 @query("rolling_origin")
 def rolling_origin(spark: SparkSession, d: str) -> DataFrame:
     lines = star_lines(spark, d)
@@ -205,6 +214,69 @@ def mean_by_segment(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ac.mean_by(scored(star_lines(spark, d)), "rfm_segment", "n_trips"))
 
 
+_PCT = "CASE WHEN a <> 0 THEN round((b - a) / a * 100, 4) END"
+_MEANS = " UNION ALL ".join(f"SELECT '{m}' AS metric, avg({m}) FILTER (rfm_segment = 'Champions') AS a, avg({m}) FILTER (rfm_segment = 'Hibernating / low frequency') AS b FROM rfm" for m in _NUM)
+
+
+@query("segment_difference", f"{RFM_SQL}, md AS ({_MEANS}) SELECT metric, round(a, 4) AS mean_a, round(b, 4) AS mean_b, {_PCT} AS difference_pct FROM md")
+def segment_difference(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ov.segment_difference(scored(star_lines(spark, d)), "rfm_segment", "Champions", "Hibernating / low frequency", _NUM), 4)
+
+
+@query(
+    "segment_crosstab",
+    f"""{RFM_SQL}, l AS (SELECT rfm_segment AS a, CASE WHEN n_trips > 1 THEN 'repeat' ELSE 'single' END AS b FROM rfm)
+    SELECT coalesce(a, 'All') AS rfm_segment, coalesce(b, 'All') AS buyer, count(*) AS customers FROM l GROUP BY CUBE (a, b)""",
+)
+def segment_crosstab(spark: SparkSession, d: str) -> DataFrame:
+    rows = scored(star_lines(spark, d)).withColumn("buyer", F.when(F.col("n_trips") > 1, "repeat").otherwise("single"))
+    return ov.crosstab(rows, "rfm_segment", "buyer")
+
+
+@query("cohort_sizes", f"{RFM_SQL}, f AS (SELECT customer_id, strftime(min(transaction_day), '%Y-%m') AS cohort_month FROM trips GROUP BY 1) SELECT cohort_month, count(*) AS customers, round(sum(net_spend), 2) AS revenue FROM rfm JOIN f USING (customer_id) GROUP BY 1")
+def cohort_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ov.cohort_sizes(scored(star_lines(spark, d))), 2)
+
+
+@query("dashboard_cards")
+def dashboard_cards(spark: SparkSession, d: str) -> DataFrame:
+    rows, _, lines = _scores(spark, d)
+    as_of = ev.latest_day(lines)
+    events = ev.purchase_events(lines, as_of)
+    return ov.dashboard_cards(rows, survival.repeat_survival(events, as_of), mo.holdout_metrics(lines, as_of, HORIZON))
+
+
+_CHECKS = """dup AS (SELECT transaction_id, product_id FROM lines GROUP BY 1, 2 HAVING count(*) > 1),
+ mixed AS (SELECT transaction_id FROM lines GROUP BY 1 HAVING count(DISTINCT customer_id) > 1 OR count(DISTINCT transaction_date) > 1),
+ prod AS (SELECT product_id FROM lines GROUP BY 1 HAVING count(DISTINCT product_description) > 1 OR count(DISTINCT department) > 1 OR count(DISTINCT category) > 1)
+ SELECT 'missing values' AS constraint_name, (SELECT count(*) FROM lines WHERE customer_id IS NULL OR transaction_date IS NULL OR transaction_id IS NULL OR product_id IS NULL OR product_description IS NULL OR department IS NULL OR category IS NULL OR price IS NULL OR quantity IS NULL) AS violations
+ UNION ALL SELECT 'price not above 0 or quantity 0', (SELECT count(*) FROM lines WHERE NOT (price > 0 AND quantity <> 0))
+ UNION ALL SELECT 'repeated product in a transaction', (SELECT count(*) FROM dup)
+ UNION ALL SELECT 'transaction with several customers or times', (SELECT count(*) FROM mixed)
+ UNION ALL SELECT 'product with several descriptions', (SELECT count(*) FROM prod)"""
+
+
+@query("constraint_violations", _CHECKS)
+def constraint_violations(spark: SparkSession, d: str) -> DataFrame:
+    return sy.constraint_violations(star_lines(spark, d))
+
+
+@query("synthetic_lines")
+def synthetic_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A generated history for as many customers as the table has."""
+    n = spark.read.parquet(f"{d}/customer.parquet").count()
+    return sy.synthetic_lines(spark, n)[0]
+
+
+@query("returns_to_purchases", "b AS (SELECT customer_id, product_id, max(transaction_date) AS last_bought FROM lines WHERE quantity > 0 GROUP BY 1, 2) SELECT customer_id, product_id, transaction_id, strftime(last_bought, '%Y-%m-%d') AS last_bought FROM lines JOIN b USING (customer_id, product_id) WHERE quantity < 0")
+def returns_to_purchases(spark: SparkSession, d: str) -> DataFrame:
+    lines = star_lines(spark, d)
+    bought = lines.filter("quantity > 0").groupBy("customer_id", "product_id").agg(F.max("transaction_date").alias("last_bought"))
+    back = lines.filter("quantity < 0").select("customer_id", "product_id", "transaction_id")
+    out = joining.checked_join(back, bought, ["customer_id", "product_id"], "many_to_one")
+    return out.withColumn("last_bought", F.date_format("last_bought", "yyyy-MM-dd"))
+
+
 @query("action_matrix")
 def action_matrix(spark: SparkSession, d: str) -> DataFrame:
     return ac.action_matrix(*_lines(spark, d))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.schema import DATE_PATTERNS, IDS, NULL_TOKENS, NUMBERS, REQUIRED, TEXTS, map_columns
 
@@ -75,10 +77,19 @@ def demo_lines(lines: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, folder: str, name: str, kind: str = "parquet") -> str:
-    """A result table as zstd Parquet or CSV with header; returns the path."""
+    """A result table as zstd Parquet or CSV with header; returns the path.
+
+    A table with a column that Parquet cannot hold is written as CSV instead, with such columns as text.
+    """
     path = f"{folder}/{name}.{kind}"
     if kind == "parquet":
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        except AnalysisException as e:
+            if "UNSUPPORTED_DATA_TYPE_FOR_DATASOURCE" not in str(e):
+                raise
+            simple = df.select(*[F.col(f"`{c}`").cast("string") if not isinstance(df.schema[c].dataType, T.NumericType) else F.col(f"`{c}`") for c in df.columns])
+            return write_table(simple, folder, name, "csv")
     elif kind == "csv":
         df.write.mode("overwrite").option("header", True).csv(path)
     else:
@@ -106,9 +117,14 @@ def json_safe(value: object) -> object:
     return value if value is None or isinstance(value, bool | int | float | str) else str(value)
 
 
-def write_json(spark: SparkSession, value: dict, path: str) -> None:
-    """A small record as one JSON file, through Spark's file system layer."""
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text as one file, through Spark's file system layer."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-    out.write(bytearray(json.dumps(json_safe(value), indent=2).encode()))
+    out.write(bytearray(text.encode()))
     out.close()
+
+
+def write_json(spark: SparkSession, value: dict, path: str) -> None:
+    """A small record as one JSON file."""
+    write_text(spark, json.dumps(json_safe(value), indent=2, sort_keys=True) + "\n", path)

@@ -13,15 +13,19 @@ from ledgerline.functions import special
 from ledgerline.functions.semantics import average_rank
 from ledgerline.operators import affinity as af
 from ledgerline.operators import events as ev
+from ledgerline.operators import joining
 from ledgerline.operators import features as ft
 from ledgerline.operators import lifetime as lt
 from ledgerline.operators import models as mo
+from ledgerline.operators import overview as ov
 from ledgerline.operators import periods as pr
 from ledgerline.operators import quality as qa
 from ledgerline.operators import scoring as sc
 from ledgerline.operators import summaries as sm
 from ledgerline.operators import survival as sv
+from ledgerline.schema import map_columns
 from ledgerline.sources import readers
+from ledgerline.sources import synthetic as sy
 
 SCHEMA = "customer_id string, transaction_id string, product_id string, category string, department string, product_description string, price double, quantity double, transaction_date timestamp_ntz"
 
@@ -353,3 +357,80 @@ def test_population_mean_of_a_strict_window(spark):
     begin = dt.date(2024, 1, 1)
     df = lines(spark, [(c, f"{c}{d}", "P", (begin + dt.timedelta(days=d)).isoformat(), 1.0, 1.0) for c, d in days])
     assert one(mo.population_mean(ev.purchase_events(df), begin + dt.timedelta(days=90), 30))["mean_trips"] == 1.5
+
+
+def test_joins_check_their_keys(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "k long, a string")
+    b = spark.createDataFrame([(1, "p"), (2, "q")], "k long, b string")
+    assert joining.checked_join(a, b, ["k"], "many_to_one").count() == 3
+    for left, right, kind in ((a, b, "one_to_one"), (b, a, "many_to_one"), (a, a, "one_to_many")):
+        with pytest.raises(ValueError, match="not unique"):
+            joining.checked_join(left, right, ["k"], kind)
+    assert joining.optional_join(a, None, ["k"], "left") is a and joining.optional_join(a, None, ["k"]) is None and joining.optional_join(None, b, ["k"], "outer") is b
+    assert joining.optional_join(a, b, ["k"], "outer").count() == 3
+
+
+def test_segments_side_by_side(spark):
+    df = spark.createDataFrame([("A", "u", 10.0), ("A", "v", 20.0), ("B", "u", 30.0), ("B", None, 0.0), ("C", "u", 1.0)], "s string, t string, m double")
+    got = one(ov.segment_difference(df, "s", "A", "B", ["m"]))
+    assert (got["mean_a"], got["mean_b"], got["difference_pct"]) == (15.0, 15.0, 0.0)
+    table = {(r["s"], r["t"]): r["customers"] for r in ov.crosstab(df, "s", "t").collect()}
+    assert table == {("A", "u"): 1, ("A", "v"): 1, ("A", "All"): 2, ("B", "u"): 1, ("B", "All"): 1, ("C", "u"): 1, ("C", "All"): 1, ("All", "u"): 3, ("All", "v"): 1, ("All", "All"): 4}
+
+
+def test_generated_lines_keep_the_constraints(spark):
+    df, links = sy.synthetic_lines(spark, 300, days=200)
+    df = df.persist()
+    assert all(r["violations"] == 0 for r in sy.constraint_violations(df).collect())
+    assert links.count() > 5 and sy.return_violations(df, links).count() == 0
+    assert df.agg(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first() == sy.synthetic_lines(spark, 300, days=200)[0].repartition(3).agg(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+    broken = df.unionByName(df.limit(1)).unionByName(df.limit(1).withColumn("price", F.lit(-1.0)).withColumn("product_description", F.lit("other")))
+    assert all(r["violations"] >= 1 for r in sy.constraint_violations(broken).collect() if not r["constraint_name"].startswith(("missing", "transaction")))
+    assert sy.return_violations(df.withColumn("price", F.when(F.col("quantity") < 0, 1e6).otherwise(F.col("price"))), links).count() == links.count()
+
+
+def test_error_intervals_by_bootstrap(spark):
+    rng = np.random.default_rng(6)
+    rows = [(str(i), float(rng.gamma(2.0)), float(rng.gamma(2.0))) for i in range(800)] + [("null", None, 1.0)]
+    df = spark.createDataFrame(rows, "customer_id string, p double, a double")
+    low, high = mo.mae_intervals(df, [("p", "a")])["p", "a"]
+    e = np.abs([p - a for _, p, a in rows if p is not None])
+    again = [rng.choice(e, len(e)).mean() for _ in range(2000)]
+    want = np.percentile(again, [2.5, 97.5])
+    assert low < e.mean() < high and abs(low - want[0]) < 0.04 and abs(high - want[1]) < 0.04
+    assert mo.mae_intervals(df.repartition(7), [("p", "a")])["p", "a"] == pytest.approx((low, high))
+    assert mo.mae_intervals(df.limit(5), [("p", "a")])["p", "a"] is None
+
+
+def test_validation_has_every_model_and_target(spark):
+    from ledgerline.sources.star import star_lines
+
+    df = star_lines(spark, "/root/testdata/sf0.001")
+    day = ev.latest_day(df)
+    got = mo.holdout_metrics(df, day).toPandas().set_index(["model", "target"])
+    assert len(got) == 7 and (got.status == "completed").all()
+    assert got.loc[[k for k in got.index if k[1] == "revenue_in_horizon"]].auc.isna().all() and got.drop([k for k in got.index if k[1] == "revenue_in_horizon"]).auc.between(0, 1).all()
+    assert ((got.mae_ci95_lower <= got.mae) & (got.mae <= got.mae_ci95_upper)).all()
+    tenths = mo.holdout_calibration(df, day).toPandas()
+    assert list(tenths.sort_values("decile").decile) == list(range(1, 11)) and tenths.customers.sum() == got.loc[("BG/NBD", "trips_in_horizon"), "n"]
+    assert tenths.sort_values("decile").mean_predicted_trips.is_monotonic_increasing
+    short = df.filter(F.col("transaction_day") >= F.lit(day - dt.timedelta(days=100)))
+    single = mo.rolling_origins(short, day).collect()
+    assert [(r["model"], r["status"]) for r in single] == [("all", "skipped")]
+
+
+def test_budgets_that_are_off_keep_everything(spark):
+    rows = [(f"C{c}", f"T{c}", f"P{p}", "2024-01-01", 1.0, 1.0, f"K{p:03d}") for c in range(3) for p in range(120)]
+    df = lines(spark, rows)
+    off = dict(max_baskets=None, max_pair_operations=None)
+    cut = af.candidate_baskets(df, af.AffinityConfig(**off)).collect()
+    assert all(len(r["items"]) == 30 for r in cut)
+    whole = af.candidate_baskets(df, af.AffinityConfig(max_items=None, max_items_per_basket=None, **off)).collect()
+    assert all(len(set(r["items"])) == 120 for r in whole)
+    few = lambda **k: one(af.affinity_status(df, af.AffinityConfig(min_customers=1, **k)))["status"]
+    assert few() == "completed" and few(max_baskets=2) == "sampled" and few(max_pair_operations=500) == "truncated"
+
+
+def test_headers_map_to_the_alias_listed_first():
+    got = map_columns(["Order Date", " DATE ", "Qty", "units", "other", "Unit  Price", "SKU"])
+    assert got == {"transaction_date": " DATE ", "product_id": "SKU", "price": "Unit  Price", "quantity": "Qty"}
