@@ -4,38 +4,20 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.storage import remove, shared_dir
+
 #: A word, as every operator here counts it: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: str | None = None
 _written: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for intermediate tables (spark.checkpoint.dir).
-
-    Where the setting is missing and Spark runs in this process alone, as in tests, a temporary folder is used; on a cluster
-    no machine's own folder can stand for it, and the missing setting is an error.
-    """
-    global _own_dir
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
-    return _own_dir
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it is removed when the driver ends."""
     path = f"{shared_dir(spark)}/ledgerline/{name}-{uuid.uuid4().hex}"
@@ -43,12 +25,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path in the shared folder through Spark's own file system layer."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df``: write it as Parquet to the shared folder and read it back.
 

@@ -214,4 +214,6 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", into: st
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang", "score"])
 
-    return docs.withColumn(into, F.pandas_udf(predict, "lang string, score double")(docs[text]))
+    # kept from being evaluated again by filters on its result
+    predicted = F.pandas_udf(predict, "lang string, score double").asNondeterministic()
+    return docs.withColumn(into, predicted(docs[text]))

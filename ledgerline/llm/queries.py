@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm import chat, embeddings, langid, licenses, media, minhash, packing, secrets, warc
 from ledgerline.llm.common import new_path, written
 from ledgerline.llm.mixing import MIXING_SQL, mixing_plan
+from ledgerline.llm.oracles import CHAT_SQL, EMBEDDINGS_SQL, MINHASH_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,4 +126,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL, "op7_warc": WARC_SQL}
+    return {"op1_mixing": MIXING_SQL, "op4_minhash": MINHASH_SQL, "op6_embeddings": EMBEDDINGS_SQL, "op7_warc": WARC_SQL, "op10_chat": CHAT_SQL}
