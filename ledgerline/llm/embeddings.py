@@ -7,6 +7,9 @@ only; a cell's vectors are dealt into tiles. In a pair of tiles, products of the
 pairs whose product cannot reach the threshold by the norms of what follows are dropped, and the rest go on. What is left
 is confirmed by the cosine of the vectors themselves.
 
+Tiles of neighbouring cells meet in squares of a bounded number of tiles, so a cell may hold any share of the vectors: its
+tiles are copied to as many squares as the other side has groups, and each square is a key of its own.
+
 A pair of tiles returns a row for each linked vector: how many others it links with there, and the least vector of its
 part of the links. These suffice for counts and components, and their number does not grow with the square of a group.
 
@@ -32,6 +35,7 @@ from ledgerline.llm.components import connected_components
 THRESHOLD = 0.98
 GRID = 3  # leading components of the grid
 TILE = 512
+SQUARE = 16  # tiles of each side that meet under one key
 STEP = 16
 
 
@@ -110,7 +114,7 @@ def _least_of_parts(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return least
 
 
-def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, grid: int = GRID, tile: int = TILE) -> DataFrame:
+def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, grid: int = GRID, tile: int = TILE, square: int = SQUARE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     spark = df.sparkSession
     x = F.col("e")
@@ -143,11 +147,7 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     # tiles hold about `tile` vectors each, however many a cell has
     tiles = dealt.groupBy("label", "dim", "cell", "tile").agg(F.collect_list(F.struct("id", "size", "x")).alias("v"))
     tiles = written(tiles.withColumn("tile", F.struct("cell", "tile")), "tiles")
-    ahead = [s for s in itertools.product((-1, 0, 1), repeat=grid) if s >= (0,) * grid]
-    shifts = F.array(*[F.array(*[F.lit(c) for c in s]) for s in ahead])
-    left = tiles.select("label", "dim", F.col("tile").alias("t1"), F.col("v").alias("v1"), F.explode(F.transform(shifts, lambda s: F.zip_with("cell", s, lambda a, b: a + b))).alias("cell"))
-    right = tiles.select("label", "dim", F.col("tile").alias("t2"), F.col("v").alias("v2"), "cell")
-    pairs = left.join(right, ["label", "dim", "cell"]).filter((F.col("t1.cell") != F.col("t2.cell")) | (F.col("t1") <= F.col("t2")))
+    pairs = _meetings(tiles, crowd, grid, square)
     pairs = pairs.select("dim", (F.col("t1") == F.col("t2")).alias("same"), *[F.col(f"{v}.{c}").alias(f"{c}{k}") for k, v in enumerate(("v1", "v2")) for c in ("id", "size", "x")])
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,9 +170,29 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     with small_batches(spark, 8):
         found = written(pairs.mapInPandas(compare, "id long, links long, hub long"), "found")
     dropped(tiles)
-    members = rows.join(classes.select("label", "dim", "hash", F.col("id").alias("class"), "size"), ["label", "dim", "hash"], "left")
+    members = rows.filter("good").join(classes.select("label", "dim", "hash", F.col("id").alias("class"), "size"), ["label", "dim", "hash"]).select("id", "class", "size")
     counts = found.groupBy(F.col("id").alias("class")).agg(F.sum("links").alias("links"))
     nodes = connected_components(found.select(F.col("id").alias("u"), F.col("hub").alias("v")))
     out = members.join(counts, "class", "left").join(nodes.select(F.col("node").alias("class"), "component"), "class", "left")
-    component = F.coalesce("component", "class", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce(F.col("size") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    component, links = F.coalesce("component", "class"), F.col("size") - 1 + F.coalesce("links", F.lit(0))
+    linked = out.select(F.col("id").alias("vec_id"), links.cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    alone = rows.filter("NOT good").select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(alone)
+
+
+def _meetings(tiles: DataFrame, crowd: DataFrame, grid: int, square: int) -> DataFrame:
+    """Pairs of tiles of the same or of neighbouring cells, each once, with both tiles' vectors (v1, v2)."""
+    cells = crowd.select("label", "dim", "cell", F.ceil(F.col("tiles") / square).alias("groups"))
+    ahead = [s for s in itertools.product((-1, 0, 1), repeat=grid) if s >= (0,) * grid]
+    shifts = F.array(*[F.array(*[F.lit(c) for c in s]) for s in ahead])
+    to = F.explode(F.transform(shifts, lambda s: F.zip_with("cell", s, lambda a, b: a + b)))
+    routes = cells.select("label", "dim", F.col("cell").alias("from"), F.col("groups").alias("gl"), to.alias("cell")).join(cells, ["label", "dim", "cell"])
+    # at most half of the neighbours for each cell, and one row for each cell that is met
+    outward = routes.groupBy("label", "dim", F.col("from").alias("cell")).agg(F.collect_list(F.struct(F.col("cell").alias("to"), F.col("groups").alias("gr"))).alias("routes"))
+    inward = routes.groupBy("label", "dim", "cell").agg(F.max("gl").alias("gl"))
+    group = F.floor(F.col("tile.tile") / square)
+    count = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = tiles.join(outward, ["label", "dim", "cell"]).select("label", "dim", F.col("tile").alias("t1"), F.col("v").alias("v1"), group.alias("l"), F.inline("routes"))
+    left = left.select("label", "dim", "t1", "v1", F.col("to").alias("cell"), "l", count("gr").alias("r"))
+    right = tiles.join(inward, ["label", "dim", "cell"]).select("label", "dim", F.col("tile").alias("t2"), F.col("v").alias("v2"), "cell", group.alias("r"), count("gl").alias("l"))
+    return left.join(right, ["label", "dim", "cell", "l", "r"]).filter((F.col("t1.cell") != F.col("t2.cell")) | (F.col("t1") <= F.col("t2")))

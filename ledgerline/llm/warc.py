@@ -41,7 +41,7 @@ from ledgerline.llm.common import bounded_batches, remove
 LEAST_REVISIT = 1000
 FILE_BYTES = 32 * 1024 * 1024
 SHARD_BYTES = (4 << 20, 1 << 30)  # payload of a shard: a 256th of all, within these bounds
-BLOCKS = 1 << 16
+BLOCKS = 1 << 14
 DATE = "2000-01-01T00:00:00Z"  # archives do not depend on when they are written
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard long, file long, temporary string, final string, records long, bytes long, sha1 string"

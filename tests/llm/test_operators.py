@@ -313,8 +313,8 @@ def test_embeddings_against_all_pairs(spark):
     linked = [(a, b) for a, b in itertools.combinations(good, 2) if good[a][1] == good[b][1] and len(good[a][0]) == len(good[b][0]) and good[a][0] @ good[b][0] >= 0.98]
     want = components([i for i, *_ in data], linked)
     degree = {i: sum(i in p for p in linked) for i in want}
-    for tile in (512, 16):
-        got = {r["vec_id"]: r for r in embeddings.near_duplicates(df, tile=tile).collect()}
+    for tile, square in ((512, 16), (4, 2)):
+        got = {r["vec_id"]: r for r in embeddings.near_duplicates(df, tile=tile, square=square).collect()}
         assert {i: r["component_id"] for i, r in got.items()} == want
         assert {i: r["n_links"] for i, r in got.items()} == degree
         assert all(r["kept"] == (i == want[i]) for i, r in got.items())
