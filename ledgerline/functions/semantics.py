@@ -57,6 +57,12 @@ def quantiles(df: DataFrame, c: str, shares: Sequence[float]) -> list[float]:
     return list(row["q"]) if row["q"] else []
 
 
+def quantile_table(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list[float]]:
+    """The same for several columns, from one pass; a column without values has none."""
+    row = df.agg(*[F.percentile(F.col(c), F.array(*[F.lit(s) for s in shares])).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    return {c: list(row[f"q{i}"] or []) for i, c in enumerate(columns)}
+
+
 def right_closed_bin(value: Column, edges: Sequence[float]) -> Column:
     """Bins (e0, e1], (e1, e2], ... from 0, the first closed on the left too; equal edges count once."""
     inner = sorted(set(edges))[1:-1]

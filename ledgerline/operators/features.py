@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.semantics import ratio, steady_deviation, steady_mean, steady_sum
 from ledgerline.operators.events import DAY, match_returns, purchase_events, purchases
+from ledgerline.storage import settled
 
 KEY = "customer_id"
+NEEDED = (KEY, "transaction_id", "transaction_date", "transaction_day", "product_id", "category", "department", "price", "quantity", "line_revenue")
 
 
 def _days_before(as_of: dt.date, days: int) -> Column:
@@ -164,7 +166,11 @@ def basket_composition(lines: DataFrame, as_of: dt.date) -> DataFrame:
 
 
 def customer_snapshot(lines: DataFrame, as_of: dt.date, grain: str = DAY, windows: tuple[int, ...] = (30, 90, 365), recent: int = 90) -> DataFrame:
-    """All families side by side; each is keyed by customer, so the joins share one partitioning."""
+    """All families side by side; each is keyed by customer, so the joins share one partitioning.
+
+    The columns that the families read are written once, so what makes the lines runs once for all of them.
+    """
+    lines = settled(lines.select(*[c for c in NEEDED if c in lines.columns]))
     events = purchase_events(lines, as_of, grain)
     out = customer_core(events, as_of)
     out = out.join(return_features(lines, as_of), KEY, "left").fillna(0, ["return_lines", "return_value", "matched_return_value", "unmatched_return_value"])

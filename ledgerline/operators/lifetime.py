@@ -24,8 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.functions.semantics import average_rank, correlation
 from ledgerline.functions.special import descend, lgamma
+from ledgerline.operators.scoring import spearman
 from ledgerline.storage import settled
 
 RIDGE = 1e-3
@@ -209,8 +209,7 @@ def fit_gamma_gamma(customers: DataFrame, penalizer: float = RIDGE, least: int =
     q = 2 + mean * mean / max(spread or 0.0, 1e-6 * mean * mean)
     starts = _around([1.0, min(q, 50.0), mean * (min(q, 50.0) - 1)])
     p, value, done = _search(rows, _spend_term, lambda p: _events_term(p, kinds, counts), starts, n, penalizer, np.array([1e-3, 1.01, 1e-3]))
-    ranked = rows.select(average_rank(F.col("n_trips")).alias("a"), average_rank(F.col("mean_trip_value")).alias("b"))
-    rho = ranked.agg(correlation("a", "b")).first()[0]
+    rho = spearman(rows, "n_trips", "mean_trip_value").first()[0]
     found = (*zip(("p", "q", "gamma"), map(float, p), strict=True), ("spearman_trips_vs_mean_value", float("nan") if rho is None else float(rho)))
     return Fit("gamma_gamma", "fitted", "", done, found, float(value), n, rho is not None and abs(rho) > DEPENDENT)
 

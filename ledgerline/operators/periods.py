@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.ranking import numbered, value_ranks
 from ledgerline.functions.semantics import ratio
 
 
@@ -118,15 +119,15 @@ def product_period_features(lines: DataFrame, p: Period) -> DataFrame:
     now, prior = _compared(lines, p, "product_id")
     totals = in_period(lines, p.start, p.end).agg(F.countDistinct("transaction_id").alias("__orders"), F.sum("line_revenue").cast("double").alias("__revenue"))
     out = now.join(prior, "product_id", "left").fillna(0, ["prior_revenue", "prior_orders", "prior_units"]).crossJoin(F.broadcast(totals))  # one row
-    down = lambda c: F.rank().over(Window.orderBy(F.desc(c)))
+    for c, into in (("revenue", "revenue_rank"), ("prior_revenue", "prior_revenue_rank")):
+        ranks = value_ranks(out.select((-F.col(c)).alias("__down")), "__down").select("__down", (F.col("before_n") + 1).cast("int").alias(into))
+        out = out.withColumn("__down", -F.col(c)).join(ranks, "__down").drop("__down")
     out = out.withColumns({
         "basket_penetration": F.coalesce(ratio(F.col("orders"), F.col("__orders")) * 100, F.lit(0.0)),
         "rev_per_order": ratio(F.col("revenue"), F.col("orders")),
         "avg_selling_price": ratio(F.col("revenue"), F.col("units")),
         "revenue_share": F.when(F.col("__revenue") > 0, F.col("revenue") / F.col("__revenue") * 100).otherwise(0.0),
         "revenue_change": F.col("revenue") - F.col("prior_revenue"),
-        "revenue_rank": down("revenue"),
-        "prior_revenue_rank": down("prior_revenue"),
     })
     out = out.withColumns({"pct_change": ratio(F.col("revenue_change"), F.col("prior_revenue")) * 100, "rank_change": F.col("prior_revenue_rank") - F.col("revenue_rank")})
     return out.drop("__orders", "__revenue")
@@ -223,7 +224,7 @@ def retention_metrics(lines: DataFrame, p: Period, inactivity: int = 90) -> Data
         F.countDistinct("transaction_id").alias("orders"),
         F.sum("line_revenue").cast("double").alias("revenue"),
     )
-    c = c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("revenue"), "customer_id"))).crossJoin(F.broadcast(c.agg(F.floor(F.count(F.lit(1)) * 0.2).alias("top"))))
+    c = numbered(c.withColumn("down", -F.col("revenue")), "down", "customer_id", "rank").crossJoin(F.broadcast(c.agg(F.floor(F.count(F.lit(1)) * 0.2).alias("top"))))  # one row
     n = lambda condition: F.count_if(condition)
     now, prior, ever, recent, again = (F.col(k) for k in ("now", "prior", "ever", "recent", "orders"))
     away = (F.col("rank") <= F.col("top")) & ~now
@@ -258,7 +259,7 @@ def reactivated_customers(lines: DataFrame, p: Period, inactivity: int = 90) ->
 def inactive_valuable(lines: DataFrame, p: Period, share: float = 0.2) -> DataFrame:
     """The leading fifth of customers by revenue up to the period's end who bought nothing in it."""
     spend = lines.filter(F.col("customer_id").isNotNull() & (F.col("transaction_day") <= F.lit(p.end))).groupBy("customer_id").agg(F.sum("line_revenue").alias("revenue"))
-    ranked = spend.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("revenue"), "customer_id"))).crossJoin(F.broadcast(spend.agg(F.floor(F.count(F.lit(1)) * share).alias("top"))))
+    ranked = numbered(spend.withColumn("down", -F.col("revenue")), "down", "customer_id", "rank").crossJoin(F.broadcast(spend.agg(F.floor(F.count(F.lit(1)) * share).alias("top"))))  # one row
     return ranked.filter("rank <= top").join(customers_between(lines, p.start, p.end), "customer_id", "left_anti").select("customer_id", "revenue")
 
 

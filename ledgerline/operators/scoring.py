@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.semantics import average_rank, correlation, quantiles, ratio, right_closed_bin
+from ledgerline.functions.ranking import numbered, running, value_ranks
+from ledgerline.functions.semantics import quantile_table, quantiles, ratio, right_closed_bin
+from ledgerline.storage import settled
 
 
-def edge_scores(df: DataFrame, value: str, reverse: bool = False) -> Column:
+def edge_scores(value: str, quintiles: Sequence[float], reverse: bool = False) -> Column:
     """1 to 5 by distinct quintile edges: what lies above an edge scores more; levels spread evenly, halves to even."""
-    edges = sorted(set(quantiles(df, value, (0.2, 0.4, 0.6, 0.8))))
+    edges = sorted(set(quintiles))
     levels = len(edges) + 1
     if levels == 1:
         return F.lit(3)
@@ -60,9 +63,10 @@ def segment_v2(r: Column, f: Column, m: Column) -> Column:
 
 
 def rfm_scores(customers: DataFrame) -> DataFrame:
-    """Variant 1 over recency_days, n_trips and net_spend."""
-    r, f, m = edge_scores(customers, "recency_days", True), edge_scores(customers, "n_trips"), edge_scores(customers, "net_spend")
-    out = customers.withColumns({"r_score": r, "f_score": f, "m_score": m})
+    """Variant 1 over recency_days, n_trips and net_spend; the customers are written once, and one pass gives all edges."""
+    customers = settled(customers)
+    edges = quantile_table(customers, ["recency_days", "n_trips", "net_spend"], (0.2, 0.4, 0.6, 0.8))
+    out = customers.withColumns({n: edge_scores(c, edges[c], c == "recency_days") for n, c in (("r_score", "recency_days"), ("f_score", "n_trips"), ("m_score", "net_spend"))})
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
     return out.withColumns({"rfm_score": F.concat(*[c.cast("string") for c in (r, f, m)]), "rfm_segment": segment_v1(r, f, m)})
 
@@ -72,14 +76,12 @@ def rank_scores(df: DataFrame, value: str, q: int = 5, reverse: bool = False) ->
 
     Ranks go by the distinct values, of which there are few; the rows get theirs by a join.
     """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(value, "__n", (before + (F.col("__n") + 1) / 2.0).alias(f"__rank_{value}"))
-    distinct = counts.count()
+    ranks = value_ranks(df, value).select(value, (F.col("before_n") + (F.col("n") + 1) / 2.0).alias(f"__rank_{value}"))
+    distinct = df.agg(F.countDistinct(value)).first()[0]
     if distinct < 2:
         return df, F.lit((q + 1) // 2)
     bins = min(q, distinct)
-    ranked = df.join(ranks.drop("__n"), value)
+    ranked = df.join(ranks, value)
     edges = quantiles(ranked, f"__rank_{value}", [k / bins for k in range(bins + 1)])
     kept = len(set(edges)) - 1
     score = right_closed_bin(F.col(f"__rank_{value}"), edges) + 1
@@ -90,7 +92,7 @@ def rfm_app(lines: DataFrame, as_of: dt.date) -> DataFrame:
     """Variant 2: recency, distinct transactions and revenue of each customer, scores and segment."""
     rows = lines.filter(F.col("customer_id").isNotNull() & (F.col("transaction_day") <= F.lit(as_of)))
     out = rows.groupBy("customer_id").agg(F.datediff(F.lit(as_of), F.max("transaction_day")).alias("recency"), F.countDistinct("transaction_id").alias("frequency"), F.sum("line_revenue").cast("double").alias("monetary"))
-    scores = {}
+    out, scores = settled(out), {}
     for name, value, reverse in (("r_score", "recency", True), ("f_score", "frequency", False), ("m_score", "monetary", False)):
         out, scores[name] = rank_scores(out, value, reverse=reverse)
     out = out.withColumns(scores)
@@ -103,7 +105,8 @@ TIERS = ((0, 1, "Top 1%"), (1, 5, "Top 1-5%"), (5, 10, "Top 5-10%"), (10, 20, "T
 
 def value_tiers(df: DataFrame, key: str, value: str) -> DataFrame:
     """Tiers as slices of the customers in order of value, highest first."""
-    rows = df.withColumn("__i", F.row_number().over(Window.orderBy(F.desc(value), key)) - 1).crossJoin(df.agg(F.count(F.lit(1)).alias("__n")))
+    down = numbered(df.select(key, value, (-F.col(value)).alias("__down")), "__down", key, "__i").withColumn("__i", F.col("__i") - 1)
+    rows = down.crossJoin(df.agg(F.count(F.lit(1)).alias("__n")))  # one row
     upto = lambda p: F.floor(F.col("__n") * p / 100)
     tier = _labels([(F.col("__i") < upto(b), name) for _, b, name in TIERS[:-1]], TIERS[-1][2])
     return rows.select(key, value, tier.alias("value_tier"))
@@ -130,11 +133,17 @@ def compare_segments(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """Area under the ROC curve from average ranks; null if one class is missing. ``positive`` is boolean."""
-    rows = df.filter(F.col(score).isNotNull()).select(average_rank(F.col(score)).alias("r"), F.col(positive).alias("p"))
-    out = rows.agg(F.coalesce(F.sum(F.when(F.col("p"), F.col("r"))), F.lit(0.0)).alias("s"), F.count_if("p").alias("n1"), F.count_if(~F.col("p")).alias("n0"))
+    counts = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("o"))
+    rows = running(counts, [score], ["n"])
+    out = rows.agg(F.coalesce(F.sum(F.col("p") * (F.col("before_n") + (F.col("n") + 1) / 2.0)), F.lit(0.0)).alias("s"), F.coalesce(F.sum("p"), F.lit(0)).alias("n1"), F.coalesce(F.sum("o"), F.lit(0)).alias("n0"))
     return out.select(ratio(F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2.0, F.col("n1") * F.col("n0")).alias("auc"), "n1", "n0")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return rows.select(average_rank(F.col(a)).alias("a"), average_rank(F.col(b)).alias("b")).agg(correlation("a", "b").alias("spearman"))
+    """Correlation of average ranks, from counts of pairs of values; null where a side does not vary."""
+    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
+    twice = lambda c: value_ranks(rows, c).select(c, (2 * F.col("before_n") + F.col("n") + 1).cast("decimal(20,0)").alias("r" + c))  # noqa: E731  whole numbers
+    pairs = rows.groupBy("a", "b").agg(F.count(F.lit(1)).cast("decimal(20,0)").alias("w")).join(twice("a"), "a").join(twice("b"), "b")
+    total = lambda *c: F.sum(reduce(lambda x, y: (x * y).cast("decimal(38,0)"), [F.col(x) for x in ("w", *c)])).cast("double")
+    n, x, y, xx, yy, xy = total(), total("ra"), total("rb"), total("ra", "ra"), total("rb", "rb"), total("ra", "rb")
+    return pairs.agg(ratio(xy - x * y / n, F.sqrt((xx - x * x / n) * (yy - y * y / n))).alias("spearman"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.ranking import numbered, running
 from ledgerline.functions.semantics import ratio, when_sum, wilson
 from ledgerline.operators.events import DAY
 
@@ -90,20 +91,23 @@ def customer_spend(events: DataFrame) -> DataFrame:
 def revenue_concentration(spend: DataFrame, value: str = "gross_spend") -> DataFrame:
     """Shares of the leading 1, 5 and 10 percent, Gini and Herfindahl index of customers' spend.
 
-    Customers are ranked in one order; everything else is aggregated from the ranks.
+    Customers are counted by value; a value's rows have the ranks that follow those with less.
     """
     v = F.greatest(F.col(value).cast("double"), F.lit(0.0))
-    ranked = spend.select(v.alias("v"), "customer_id").withColumns({"up": F.row_number().over(Window.orderBy("v", "customer_id"))})
-    total = spend.select(v.alias("v")).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
-    rows = ranked.crossJoin(total)  # one row
-    top = lambda share: (F.sum(F.when(F.col("up") > F.col("n") - F.greatest(F.lit(1), F.ceil(F.col("n") * share)), F.col("v"))) / F.first("total"))
+    counts = spend.groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    total = counts.agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("v")).alias("total"))
+    rows = running(counts, ["v"], ["k"]).crossJoin(F.broadcast(total))  # one row
+    least = lambda share: F.col("n") - F.greatest(F.lit(1), F.ceil(F.col("n") * share))
+    inside = lambda share: F.least(F.greatest(F.col("before_k") + F.col("k") - least(share), F.lit(0)), F.col("k"))
+    top = lambda share: F.sum(inside(share) * F.col("v")) / F.first("total")
+    ranks = F.col("k") * F.col("before_k") + F.col("k") * (F.col("k") + 1) / 2
     out = rows.groupBy("n").agg(
         F.first("total").alias("total_gross_spend"),
         top(0.01).alias("top_1pct_share"),
         top(0.05).alias("top_5pct_share"),
         top(0.10).alias("top_10pct_share"),
-        (2.0 * F.sum(F.col("up") * F.col("v")) / (F.col("n") * F.first("total")) - (F.col("n") + 1.0) / F.col("n")).alias("gini"),
-        F.sum(F.pow(F.col("v") / F.col("total"), 2.0)).alias("hhi"),
+        (2.0 * F.sum(ranks * F.col("v")) / (F.col("n") * F.first("total")) - (F.col("n") + 1.0) / F.col("n")).alias("gini"),
+        F.sum(F.col("k") * F.pow(F.col("v") / F.col("total"), 2.0)).alias("hhi"),
     )
     return out.filter("total_gross_spend > 0").withColumnRenamed("n", "customers")
 
@@ -118,10 +122,13 @@ def pareto(df: DataFrame, key: str, value: str, n: int = 50) -> DataFrame:
 
 def lorenz(df: DataFrame, key: str, value: str, by: list[str] | None = None) -> DataFrame:
     """The Lorenz curve: shares of customers and of value, from the least value on, by group where asked."""
-    by = by or []
+    rows = df.withColumn("__v", F.greatest(F.col(value), F.lit(0)))
+    if not by:
+        whole = rows.agg(F.count(F.lit(1)).alias("__n"), F.sum("__v").alias("__t"))
+        rows = numbered(rows.select(key, value, "__v"), "__v", key, "__i", "__s").crossJoin(F.broadcast(whole))  # one row
+        return rows.select(key, value, ratio(F.col("__i"), F.col("__n")).alias("customer_share"), ratio(F.col("__s"), F.col("__t")).alias("value_share"))
     part = Window.partitionBy(*by)
     order = part.orderBy(value, key)
-    rows = df.withColumn("__v", F.greatest(F.col(value), F.lit(0)))
     share = ratio(F.row_number().over(order), F.count(F.lit(1)).over(part))
     held = ratio(F.sum("__v").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.sum("__v").over(part))
     return rows.select(*by, key, value, share.alias("customer_share"), held.alias("value_share"))

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import special
+from ledgerline.functions.ranking import numbered, value_ranks
 from ledgerline.functions.semantics import average_rank
 from ledgerline.operators import affinity as af
 from ledgerline.operators import events as ev
@@ -434,3 +435,21 @@ def test_budgets_that_are_off_keep_everything(spark):
 def test_headers_map_to_the_alias_listed_first():
     got = map_columns(["Order Date", " DATE ", "Qty", "units", "other", "Unit  Price", "SKU"])
     assert got == {"transaction_date": " DATE ", "product_id": "SKU", "price": "Unit  Price", "quantity": "Qty"}
+
+
+def test_ranks_without_a_single_task(spark):
+    rng = np.random.default_rng(3)
+    values = [float(v) for v in np.concatenate([np.zeros(200), rng.normal(0, 50, 300).round(1), rng.lognormal(5, 2, 300)])] + [None, None]
+    df = spark.createDataFrame([(f"k{i * 7919 % 1000:04d}", v) for i, v in enumerate(values)], "k string, v double")
+    got = {r["v"]: (r["n"], r["before_n"]) for r in value_ranks(df, "v").collect()}
+    key = lambda v: (v is not None, v or 0.0)
+    assert got == {v: (values.count(v), sum(key(w) < key(v) for w in values)) for v in set(values)}
+    order = sorted(df.collect(), key=lambda r: (*key(r["v"]), r["k"]))
+    rows = {r["k"]: r for r in numbered(df.filter("v IS NOT NULL"), "v", "k", "i", "s").collect()}
+    total = 0.0
+    for i, r in enumerate(order[2:]):
+        total += r["v"]
+        assert rows[r["k"]]["i"] == i + 1 and rows[r["k"]]["s"] == pytest.approx(total, abs=1e-6)
+    ids = spark.createDataFrame([(i * 40_000, 1.0) for i in range(20)], "k long, v double")
+    assert [r["k"] for r in numbered(ids, "v", "k", "i").orderBy("i").collect()] == [i * 40_000 for i in range(20)]
+    assert numbered(df.limit(0), "v", "k", "i").count() == 0
