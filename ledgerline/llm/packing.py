@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import bounded_batches, written
 
 SIZE, END_ID = 1024, 2
-GROUP = 250_000  # pieces that are numbered together
+GROUP = 250_000  # pieces that are numbered together at the most
+SPREAD = 64  # groups that a length of some hundred pieces or more has at the least
 # Fixed value: how byte-level BPE splits a text.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
@@ -172,10 +173,10 @@ def pack_pieces(pieces: DataFrame, length: str = "length", key: tuple[str, ...]
     short = rows.filter(F.col("n") < size)
     salts = np.ones(size + 1, np.int64)
     for n, count in by_length.items():
-        salts[n] = -(-count // group)
+        salts[n] = max(min(SPREAD, -(-count // 256)), -(-count // group))
     of_length = F.element_at(F.array(*[F.lit(int(k)) for k in salts[1:]]), F.col("n").cast("int"))
     short = short.withColumn("salt", F.pmod(F.xxhash64("at"), of_length).cast("int"))
-    # a row for each length, and one more for each `group` pieces
+    # at most SPREAD rows for each length, and one more for each `group` pieces
     table = short.groupBy("n", "salt").count().toPandas().sort_values(["n", "salt"])
     ahead = np.zeros((size + 1, int(salts[:size].max())), np.int64)
     ahead[table["n"], table["salt"]] = table["count"]
