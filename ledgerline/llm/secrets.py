@@ -36,10 +36,12 @@ CLASSES = (
     ("hex", re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{24,}(?![A-Za-z0-9])"), 24, 3.0),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 3.9),
 )
+# words, also run together with capitals; random letters of both cases have too few small ones behind theirs
+_WORDS = r"(?:(?:[A-Z]?[a-z]{2,}+)++|[A-Z]++|[a-z]++)"
 ALLOWED = re.compile(
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUIDs
     r"|[0-9]{4}-[0-9]{2}-[0-9]{2}[T_0-9-]*"  # dates and times
-    r"|[0-9]+|(?:[A-Z]?[a-z]{1,20}|[A-Z]{1,20})(?:[-_/=+](?:[A-Z]?[a-z]{1,20}|[A-Z]{1,20}))*[-_/=+]*"  # numbers; words and paths of words
+    rf"|[0-9]+|{_WORDS}(?:[-_/=+]{_WORDS})*[-_/=+]*"  # numbers; words and paths of words
     r"|[-_=+/]+|(?:[A-Za-z]+[-_/]){2,}[A-Za-z0-9]{0,12}"  # rules; names with a short tail
 )
 

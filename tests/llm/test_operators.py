@@ -491,6 +491,16 @@ def test_secret_patterns(spark):
     assert secrets.find_secrets(df.limit(0)).count() == 0
 
 
+def test_words_are_allowed_and_random_letters_are_not():
+    random.seed(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(random.sample(letters, 32)) for _ in range(200)]
+    assert all([s for s in secrets.scan(f"the key {k} here") if s[0] == "entropy"] for k in keys)
+    for words in ("thisNameStandsForSomethingQuiteLongIndeed", "donaudampfschifffahrtsgesellschaftskapitaen", "some/path/to-a_file=with+parts", "SHOUTING_WORDS_IN_A_VERY_LONG_ROW"):
+        assert secrets.scan(f"a {words} b") == []
+    assert secrets.scan("w" * 200_000 + "1") == []
+
+
 def base_by_hand(text):
     """Base spans without regular expressions: tries each start in turn and takes the longest run of allowed characters."""
     low, out = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text), []
