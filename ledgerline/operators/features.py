@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.semantics import ratio, steady_deviation, steady_mean, steady_sum
-from ledgerline.operators.events import DAY, match_returns, purchase_events, purchases
+from ledgerline.operators.events import DAY, match_returns, price_index_info, purchase_events, purchases
 from ledgerline.storage import settled
 
 KEY = "customer_id"
@@ -105,6 +105,15 @@ def promo_features(lines: DataFrame, as_of: dt.date, least: int = 1, threshold:
     return rows.groupBy(KEY).agg(ratio(F.coalesce(promo, F.lit(0)), F.sum("line_revenue")).alias("promo_spend_share"), ratio(steady_sum(F.col("idx") * rev), F.sum("line_revenue")).alias("mean_price_index"), F.percentile("idx", F.lit(0.5)).alias("median_price_index"))
 
 
+def gated_promo_features(lines: DataFrame, as_of: dt.date, least: int = 5, threshold: float = 0.10) -> DataFrame:
+    """The two measures of spend for every purchasing customer, over products with ``least`` priced purchases; null for all
+    where the prices of too few products vary to tell a promotion."""
+    rows = purchases(lines, as_of)
+    usable = F.broadcast(price_index_info(rows, least).select("usable"))  # one row
+    found = rows.select(KEY).distinct().join(promo_features(lines, as_of, least, threshold), KEY, "left").crossJoin(usable)
+    return found.select(KEY, *[F.when(F.col("usable"), F.col(c)).alias(c) for c in ("promo_spend_share", "mean_price_index")])
+
+
 def return_features(lines: DataFrame, as_of: dt.date) -> DataFrame:
     """All return value, and what of it has or lacks a purchase before."""
     value = -F.col("line_revenue")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.ranking import numbered, value_ranks
 from ledgerline.functions.semantics import ratio
 
+LOG = logging.getLogger(__name__)
 
 @dataclass(frozen=True)
 class Period:
@@ -57,6 +59,19 @@ def preset(name: str, last: dt.date) -> tuple[dt.date, dt.date]:
     raise ValueError(f"unknown preset {name!r}")
 
 
+def valid_range(start: dt.date, end: dt.date, first: dt.date, last: dt.date) -> bool:
+    """Whether the days from start to end are in order and within the data's first and last day."""
+    return first <= start <= end <= last
+
+
+def not_empty(df: DataFrame | None, what: str = "") -> bool:
+    """Whether there are rows to work on; ``what`` names the table in a warning where there are none."""
+    found = df is not None and not df.isEmpty()
+    if not found and what:
+        LOG.warning("no rows for %s", what)
+    return found
+
+
 def within(start: dt.date, end: dt.date) -> Column:
     return F.col("transaction_day").between(F.lit(start), F.lit(end))
 

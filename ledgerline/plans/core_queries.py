@@ -340,6 +340,19 @@ def promo_features(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ft.promo_features(lines, ev.latest_day(lines)), 4)
 
 
+@query(
+    "gated_promo_features",
+    f"""{_REF}, u AS (SELECT count(*) FILTER (k > 1) / count(*) >= 0.05 AS usable FROM ref),
+    pl AS (SELECT customer_id, line_revenue, price / reference_price AS idx FROM lines JOIN ref USING (product_id) WHERE quantity > 0 AND price > 0),
+    promo AS (SELECT customer_id, coalesce(sum(line_revenue) FILTER (idx <= 0.9), 0)::DOUBLE / sum(line_revenue)::DOUBLE AS share, sum(idx * line_revenue::DOUBLE) / sum(line_revenue)::DOUBLE AS mean FROM pl GROUP BY 1)
+    SELECT customer_id, CASE WHEN usable THEN round(share, 4) END AS promo_spend_share, CASE WHEN usable THEN round(mean, 4) END AS mean_price_index
+    FROM (SELECT DISTINCT customer_id FROM lines WHERE quantity > 0 AND customer_id IS NOT NULL) LEFT JOIN promo USING (customer_id) CROSS JOIN u""",
+)
+def gated_promo_features(spark: SparkSession, d: str) -> DataFrame:
+    lines = star_lines(spark, d)
+    return rounded(ft.gated_promo_features(lines, ev.latest_day(lines)), 4)
+
+
 RETURN_SQL = _ASOF + """, ret AS (SELECT customer_id, count(*) AS return_lines, sum(-line_revenue)::DOUBLE AS return_value, coalesce(sum(-line_revenue) FILTER (purchase_time IS NOT NULL), 0)::DOUBLE AS matched_return_value,
  coalesce(sum(-line_revenue) FILTER (purchase_time IS NULL), 0)::DOUBLE AS unmatched_return_value FROM m GROUP BY 1)"""
 

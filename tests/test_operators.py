@@ -173,6 +173,25 @@ def test_periods():
         pr.period(dt.date(2024, 2, 2), dt.date(2024, 2, 1))
 
 
+def test_ranges_and_empty_tables(spark, caplog):
+    first, last = dt.date(2024, 1, 1), dt.date(2024, 3, 31)
+    assert pr.valid_range(first, last, first, last)
+    assert not pr.valid_range(last, first, first, last)
+    assert not pr.valid_range(dt.date(2023, 12, 31), last, first, last) and not pr.valid_range(first, dt.date(2024, 4, 1), first, last)
+    assert pr.not_empty(spark.range(1)) and not pr.not_empty(None)
+    assert not pr.not_empty(spark.range(0), "orders") and "orders" in caplog.text
+
+
+def test_promotions_need_prices_that_vary(spark):
+    day = dt.date(2024, 1, 31)
+    steady = [(f"C{i % 2}", f"T{i}", "P1", f"2024-01-{i + 1:02d}", 10.0, 1.0) for i in range(6)]
+    assert {tuple(r) for r in ft.gated_promo_features(lines(spark, steady), day).collect()} == {("C0", None, None), ("C1", None, None)}
+    # C0 buys one of three at 5 instead of the median 10; C2's product has too few prices
+    varied = [*steady[2:], ("C0", "T8", "P1", "2024-01-20", 5.0, 1.0), ("C2", "T9", "P2", "2024-01-21", 3.0, 1.0)]
+    got = {r["customer_id"]: tuple(r)[1:] for r in ft.gated_promo_features(lines(spark, varied), day).collect()}
+    assert got["C0"] == (pytest.approx(0.2), pytest.approx(0.9)) and got["C1"] == (0.0, 1.0) and got["C2"] == (None, None)
+
+
 def test_drivers_add_up(spark):
     rows = [(f"C{i % 7}", f"T{i}", f"P{i % 5}", f"2024-0{1 + i % 2}-{1 + i % 28:02d}", 3.0 + i % 4, 1.0 + i % 3) for i in range(80)]
     kpis = pr.period_kpis(lines(spark, rows), pr.period(dt.date(2024, 2, 1), dt.date(2024, 2, 29), "custom", (dt.date(2024, 1, 1), dt.date(2024, 1, 31))))

@@ -20,7 +20,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["issue_counts", "category_summary", "returns_asof", "rfm_scores", "window_features", "trend_features", "period_kpis", "retention_metrics", "anomaly_daily", "affinity_pair_stats", "repeat_survival", "cohort_retention"])
+@pytest.mark.parametrize("name", ["issue_counts", "category_summary", "returns_asof", "rfm_scores", "window_features", "gated_promo_features", "trend_features", "period_kpis", "retention_metrics", "anomaly_daily", "affinity_pair_stats", "repeat_survival", "cohort_retention"])
 def test_query_equals_oracle(spark, duck, name):
     got = registry.queries()[name](spark, SF).toPandas()
     want = duck.sql(registry.oracle_sql()[name]).df()
