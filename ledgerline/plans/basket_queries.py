@@ -44,9 +44,22 @@ def affinity_pair_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(af.associations(star_lines(spark, d), FULL).select(*_RULES))
 
 
-@query("affinity_filtered")
+# the upper tail of chi-square with one degree of freedom by the power series of the error function, and its q-values
+_TAIL = "CASE WHEN coalesce({c}, 0) <= 0 THEN 1.0 WHEN {c} > 100 THEN 0.0 ELSE greatest(1 - exp(-{c} / 2) * sqrt(2 * {c} / pi()) * list_sum([exp(k * ln({c}) - lgamma(2.0 * k + 2) + k * ln(2) + lgamma(k + 1.0)) for k in range(400)]), 0) END"
+_Q = "least(min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0)"
+_TESTED = f"""{_PAIRS}, tp AS (SELECT a, b, {_TAIL.format(c="chi2")} AS p FROM sx), tr AS (SELECT *, row_number() OVER (ORDER BY p, a, b) AS r, count(*) OVER () AS m FROM tp), tq AS (SELECT *, {_Q} AS q FROM tr),
+ ds AS (SELECT antecedent, consequent, p, q, coalesce(pair_baskets / base >= 0.2 AND (pair_baskets / base) / (other / total) >= 1 AND q <= 0.05 AND exp(lo - 1.96 * se) > 1 AND h0 > 1 AND h1 > 1, false) AS passes FROM dr JOIN tq ON dr.a = tq.a AND dr.b = tq.b)"""
+
+
+@query("affinity_significance", f"{_TESTED} SELECT antecedent, consequent, round(p, 6) AS p_value, round(q, 6) AS q_value, passes AS passes_all_filters FROM ds")
+def affinity_significance(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(af.associations(star_lines(spark, d), FULL).select("antecedent", "consequent", "p_value", "q_value", "passes_all_filters"))
+
+
+@query("affinity_filtered", f"{_TESTED} SELECT antecedent, consequent, round(p, 6) AS p_value, round(q, 6) AS q_value FROM ds WHERE passes")
 def affinity_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return af.associations(star_lines(spark, d), FULL).filter("passes_all_filters")
+    out = af.associations(star_lines(spark, d), FULL).filter("passes_all_filters")
+    return rounded(out.select("antecedent", "consequent", "p_value", "q_value"))
 
 
 @query("affinity_status", f"{_PAIRS}, u AS (SELECT sum(n * (n - 1) / 2) AS operations FROM (SELECT len(items) AS n FROM b)) SELECT total AS all_baskets, n_all AS all_customers, total AS used_baskets, n_all AS used_customers, CASE WHEN n_all < 30 THEN 'skipped' ELSE 'completed' END AS status FROM t, u WHERE total <= 50000 AND operations <= 1000000")
@@ -54,21 +67,26 @@ def affinity_status(spark: SparkSession, d: str) -> DataFrame:
     return af.affinity_status(star_lines(spark, d))
 
 
-@query(
-    "next_trip_transitions",
-    """b AS (SELECT customer_id, transaction_day, list(DISTINCT category) AS items FROM lines WHERE quantity > 0 GROUP BY 1, 2), m AS (SELECT items, lag(items) OVER (PARTITION BY customer_id ORDER BY transaction_day) AS before FROM b), mv AS (SELECT row_number() OVER () AS id, * FROM m WHERE before IS NOT NULL),
-    f AS (SELECT id, unnest(before) AS x FROM mv), g AS (SELECT id, unnest(items) AS y FROM mv), p AS (SELECT x, y, count(*) AS n_pair FROM f JOIN g USING (id) GROUP BY 1, 2)
-    SELECT x AS from_item, y AS to_item, n_pair, nf AS n_from_item, nt AS n_to_item, (SELECT count(*) FROM mv) AS "N", round(n_pair / nf, 6) AS probability, round((n_pair / nf) / (nt / (SELECT count(*) FROM mv)), 6) AS lift
-    FROM p JOIN (SELECT x, count(*) AS nf FROM f GROUP BY 1) USING (x) JOIN (SELECT y, count(*) AS nt FROM g GROUP BY 1) USING (y)""",
-)
+_MOVES = """b AS (SELECT customer_id, transaction_day, list(DISTINCT category) AS items FROM lines WHERE quantity > 0 GROUP BY 1, 2), m AS (SELECT items, lag(items) OVER (PARTITION BY customer_id ORDER BY transaction_day) AS before FROM b), mv AS (SELECT row_number() OVER () AS id, * FROM m WHERE before IS NOT NULL),
+    f AS (SELECT id, unnest(before) AS x FROM mv), g AS (SELECT id, unnest(items) AS y FROM mv), p AS (SELECT x, y, count(*) AS n_pair FROM f JOIN g USING (id) GROUP BY 1, 2),
+    mt AS (SELECT x, y, n_pair, nf, nt, (SELECT count(*) FROM mv) AS nn FROM p JOIN (SELECT x, count(*) AS nf FROM f GROUP BY 1) USING (x) JOIN (SELECT y, count(*) AS nt FROM g GROUP BY 1) USING (y))"""
+
+
+@query("next_trip_transitions", f"""{_MOVES} SELECT x AS from_item, y AS to_item, n_pair, nf AS n_from_item, nt AS n_to_item, nn AS "N", round(n_pair / nf, 6) AS probability, round((n_pair / nf) / (nt / nn), 6) AS lift FROM mt""")
 def next_trip_transitions(spark: SparkSession, d: str) -> DataFrame:
     out = af.transitions(star_lines(spark, d), FULL)
     return rounded(out.select("from_item", "to_item", "n_pair", "n_from_item", "n_to_item", "N", "probability", "lift"))
 
 
-@query("transition_significance")
+@query(
+    "transition_significance",
+    f"""{_MOVES}, md AS (SELECT x, y, n_pair::DOUBLE AS ab, nf::DOUBLE AS na, nt::DOUBLE AS nb, nn::DOUBLE AS n FROM mt WHERE nn >= 30),
+    mc AS (SELECT *, (abs(ab * n - na * nb) - n / 2) ** 2 * n / nullif(greatest(na * nb * (n - na) * (n - nb), 0), 0) AS chi2, ln((ab + 0.5) * (n - na - nb + ab + 0.5) / ((na - ab + 0.5) * (nb - ab + 0.5))) - 1.96 * sqrt(1 / (ab + 0.5) + 1 / (na - ab + 0.5) + 1 / (nb - ab + 0.5) + 1 / (n - na - nb + ab + 0.5)) AS low FROM md),
+    mp AS (SELECT *, {_TAIL.format(c="chi2")} AS p FROM mc), mr AS (SELECT *, row_number() OVER (ORDER BY p, x, y) AS r, count(*) OVER () AS m FROM mp), mq AS (SELECT *, {_Q} AS q FROM mr)
+    SELECT x AS from_item, y AS to_item, round(chi2, 6) AS chi2, round(p, 6) AS p_value, round(q, 6) AS q_value, q <= 0.05 AND exp(low) > 1 AS significant FROM mq""",
+)
 def transition_significance(spark: SparkSession, d: str) -> DataFrame:
-    return af.transitions(star_lines(spark, d), FULL).select("from_item", "to_item", "chi2", "p_value", "q_value", "significant")
+    return rounded(af.transitions(star_lines(spark, d), FULL).select("from_item", "to_item", "chi2", "p_value", "q_value", "significant"))
 
 
 @query("lift_matrix", f"{_PAIRS}, r AS (SELECT antecedent, consequent, (pair_baskets / base) / (other / total) AS v FROM dr), top AS (SELECT antecedent AS item FROM r GROUP BY 1 ORDER BY sum(v) DESC, 1 LIMIT 15) SELECT antecedent, consequent, round(v, 6) AS basket_lift FROM r WHERE antecedent IN (FROM top) AND consequent IN (FROM top)")

@@ -16,7 +16,7 @@ from ledgerline.operators import periods as pr
 from ledgerline.operators import scoring as sc
 from ledgerline.plans.catalog import query
 from ledgerline.plans.core_queries import CORE_SQL, RFM_SQL, rounded, scored
-from ledgerline.plans.period_queries import _lines
+from ledgerline.plans.period_queries import _ANOMALY, _C, _CMP, _DRIVERS, _K, _lines
 from ledgerline.sources import synthetic as sy
 from ledgerline.sources.star import star_lines
 
@@ -277,12 +277,25 @@ def returns_to_purchases(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("last_bought", F.date_format("last_bought", "yyyy-MM-dd"))
 
 
-@query("action_matrix")
+_ACTIONS = f"""{_K}, dl AS (SELECT (a.revenue - b.revenue) / b.revenue * 100 AS revenue, (a.aov - b.aov) / b.aov * 100 AS aov FROM (FROM k WHERE period = 'current') a, (FROM k WHERE period = 'prior') b),
+ {_C}, ret AS (SELECT count(*) FILTER (now AND prior) / count(*) FILTER (prior) AS rate, count(*) FILTER (k <= top AND NOT now) AS away FROM v),
+ {_CMP.format(key="category")}, cg AS (SELECT count(*) FILTER (g < -10) AS down, count(*) FILTER (g > 10) AS up FROM (SELECT (revenue - prior_revenue) / nullif(prior_revenue, 0) * 100 AS g FROM n LEFT JOIN o USING (category))),
+ {_ANOMALY}
+ SELECT 1 AS priority, 'Stop the revenue decline' AS action, 'revenue change in percent: ' || round(revenue, 2) AS evidence FROM dl WHERE revenue < -5
+ UNION ALL SELECT 2, 'Win back valuable customers', 'customers away: ' || away FROM ret WHERE away > 0
+ UNION ALL SELECT 3, 'Improve retention', 'retention rate: ' || round(rate, 2) FROM ret WHERE rate < 0.5
+ UNION ALL SELECT 4, 'Review shrinking categories', 'categories: ' || down FROM cg WHERE down > 0
+ UNION ALL SELECT 5, 'Invest in growing categories', 'categories: ' || up FROM cg WHERE up > 0
+ UNION ALL SELECT 6, 'Look into unusual days', 'findings: ' || count(*) FROM f HAVING count(*) > 0
+ UNION ALL SELECT 7, 'Raise the order value', 'order value change in percent: ' || round(aov, 2) FROM dl WHERE aov < -5"""
+
+
+@query("action_matrix", _ACTIONS)
 def action_matrix(spark: SparkSession, d: str) -> DataFrame:
     return ac.action_matrix(*_lines(spark, d))
 
 
-@query("executive_narrative")
+@query("executive_narrative", f"""{_DRIVERS} SELECT 'Revenue ' || CASE WHEN current_revenue >= prior_revenue THEN 'rose' ELSE 'fell' END || ' by ' || format('{{:,.2f}}', abs(current_revenue - prior_revenue)) || ', mostly through the ' || replace(primary_driver, '_', ' ') || '.' AS narrative FROM w""")
 def executive_narrative(spark: SparkSession, d: str) -> DataFrame:
     lines, p = _lines(spark, d)
     return ac.narrative(pr.revenue_drivers(pr.period_kpis(lines, p)))

@@ -41,12 +41,14 @@ def kpi_delta(spark: SparkSession, d: str) -> DataFrame:
     return rounded(pd_.kpi_delta(pd_.period_kpis(*_lines(spark, d))), 4)
 
 
+_DRIVERS = f"""{_K}, w0 AS (SELECT b.revenue AS prior_revenue, a.revenue AS current_revenue, (a.customers - b.customers) * b.orders_per_customer * b.aov AS customer_effect, a.customers * (a.orders_per_customer - b.orders_per_customer) * b.aov AS frequency_effect,
+      a.customers * a.orders_per_customer * (a.units_per_order - b.units_per_order) * b.price_per_unit AS units_effect, a.customers * a.orders_per_customer * a.units_per_order * (a.price_per_unit - b.price_per_unit) AS price_effect FROM (FROM k WHERE period = 'current') a, (FROM k WHERE period = 'prior') b),
+    w AS (SELECT *, (SELECT n FROM (VALUES ('customer_effect', abs(customer_effect)), ('frequency_effect', abs(frequency_effect)), ('units_effect', abs(units_effect)), ('price_effect', abs(price_effect))) t(n, v) ORDER BY v DESC LIMIT 1) AS primary_driver FROM w0)"""
+
+
 @query(
     "revenue_waterfall",
-    f"""{_K}, w AS (SELECT b.revenue AS prior_revenue, a.revenue AS current_revenue, (a.customers - b.customers) * b.orders_per_customer * b.aov AS customer_effect, a.customers * (a.orders_per_customer - b.orders_per_customer) * b.aov AS frequency_effect,
-      a.customers * a.orders_per_customer * (a.units_per_order - b.units_per_order) * b.price_per_unit AS units_effect, a.customers * a.orders_per_customer * a.units_per_order * (a.price_per_unit - b.price_per_unit) AS price_effect FROM (FROM k WHERE period = 'current') a, (FROM k WHERE period = 'prior') b)
-    SELECT round(prior_revenue, 2) AS prior_revenue, round(current_revenue, 2) AS current_revenue, round(customer_effect, 2) AS customer_effect, round(frequency_effect, 2) AS frequency_effect, round(units_effect, 2) AS units_effect, round(price_effect, 2) AS price_effect,
-      (SELECT n FROM (VALUES ('customer_effect', abs(customer_effect)), ('frequency_effect', abs(frequency_effect)), ('units_effect', abs(units_effect)), ('price_effect', abs(price_effect))) t(n, v) ORDER BY v DESC LIMIT 1) AS primary_driver FROM w""",
+    f"""{_DRIVERS} SELECT round(prior_revenue, 2) AS prior_revenue, round(current_revenue, 2) AS current_revenue, round(customer_effect, 2) AS customer_effect, round(frequency_effect, 2) AS frequency_effect, round(units_effect, 2) AS units_effect, round(price_effect, 2) AS price_effect, primary_driver FROM w""",
 )
 def revenue_waterfall(spark: SparkSession, d: str) -> DataFrame:
     return rounded(pd_.revenue_drivers(pd_.period_kpis(*_lines(spark, d))), 2)
