@@ -35,11 +35,11 @@ def affinity_pairs(spark: SparkSession, d: str) -> DataFrame:
 _RULES = ["antecedent", "consequent", "support", "confidence", "basket_lift", "pair_baskets", "n_ab", "lift", "odds_ratio", "or_ci_lower", "or_ci_upper", "chi2", "lift_half_0", "lift_half_1"]
 
 
-@query(
-    "affinity_pair_stats",
-    f"""{_PAIRS} SELECT antecedent, consequent, round(pair_baskets / total, 6) AS support, round(pair_baskets / base, 6) AS confidence, round((pair_baskets / base) / (other / total), 6) AS basket_lift, pair_baskets, n_ab, round(lift, 6) AS lift,
-    round(exp(lo), 6) AS odds_ratio, round(exp(lo - 1.96 * se), 6) AS or_ci_lower, round(exp(lo + 1.96 * se), 6) AS or_ci_upper, round(chi2, 6) AS chi2, round(h0, 6) AS lift_half_0, round(h1, 6) AS lift_half_1 FROM dr""",
-)
+_MEASURES = """antecedent, consequent, round(pair_baskets / total, 6) AS support, round(pair_baskets / base, 6) AS confidence, round((pair_baskets / base) / (other / total), 6) AS basket_lift, pair_baskets, n_ab, round(lift, 6) AS lift,
+    round(exp(lo), 6) AS odds_ratio, round(exp(lo - 1.96 * se), 6) AS or_ci_lower, round(exp(lo + 1.96 * se), 6) AS or_ci_upper, round(chi2, 6) AS chi2, round(h0, 6) AS lift_half_0, round(h1, 6) AS lift_half_1"""
+
+
+@query("affinity_pair_stats", f"{_PAIRS} SELECT {_MEASURES} FROM dr")
 def affinity_pair_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(af.associations(star_lines(spark, d), FULL).select(*_RULES))
 
@@ -48,7 +48,7 @@ def affinity_pair_stats(spark: SparkSession, d: str) -> DataFrame:
 _TAIL = "CASE WHEN coalesce({c}, 0) <= 0 THEN 1.0 WHEN {c} > 100 THEN 0.0 ELSE greatest(1 - exp(-{c} / 2) * sqrt(2 * {c} / pi()) * list_sum([exp(k * ln({c}) - lgamma(2.0 * k + 2) + k * ln(2) + lgamma(k + 1.0)) for k in range(400)]), 0) END"
 _Q = "least(min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0)"
 _TESTED = f"""{_PAIRS}, tp AS (SELECT a, b, {_TAIL.format(c="chi2")} AS p FROM sx), tr AS (SELECT *, row_number() OVER (ORDER BY p, a, b) AS r, count(*) OVER () AS m FROM tp), tq AS (SELECT *, {_Q} AS q FROM tr),
- ds AS (SELECT antecedent, consequent, p, q, coalesce(pair_baskets / base >= 0.2 AND (pair_baskets / base) / (other / total) >= 1 AND q <= 0.05 AND exp(lo - 1.96 * se) > 1 AND h0 > 1 AND h1 > 1, false) AS passes FROM dr JOIN tq ON dr.a = tq.a AND dr.b = tq.b)"""
+ ds AS (SELECT dr.*, p, q, coalesce(pair_baskets / base >= 0.2 AND (pair_baskets / base) / (other / total) >= 1 AND q <= 0.05 AND exp(lo - 1.96 * se) > 1 AND h0 > 1 AND h1 > 1, false) AS passes FROM dr JOIN tq ON dr.a = tq.a AND dr.b = tq.b)"""
 
 
 @query("affinity_significance", f"{_TESTED} SELECT antecedent, consequent, round(p, 6) AS p_value, round(q, 6) AS q_value, passes AS passes_all_filters FROM ds")
@@ -56,10 +56,10 @@ def affinity_significance(spark: SparkSession, d: str) -> DataFrame:
     return rounded(af.associations(star_lines(spark, d), FULL).select("antecedent", "consequent", "p_value", "q_value", "passes_all_filters"))
 
 
-@query("affinity_filtered", f"{_TESTED} SELECT antecedent, consequent, round(p, 6) AS p_value, round(q, 6) AS q_value FROM ds WHERE passes")
+@query("affinity_filtered", f"{_TESTED} SELECT {_MEASURES}, round(p, 6) AS p_value, round(q, 6) AS q_value FROM ds WHERE passes")
 def affinity_filtered(spark: SparkSession, d: str) -> DataFrame:
     out = af.associations(star_lines(spark, d), FULL).filter("passes_all_filters")
-    return rounded(out.select("antecedent", "consequent", "p_value", "q_value"))
+    return rounded(out.select(*_RULES, "p_value", "q_value"))
 
 
 @query("affinity_status", f"{_PAIRS}, u AS (SELECT sum(n * (n - 1) / 2) AS operations FROM (SELECT len(items) AS n FROM b)) SELECT total AS all_baskets, n_all AS all_customers, total AS used_baskets, n_all AS used_customers, CASE WHEN n_all < 30 THEN 'skipped' ELSE 'completed' END AS status FROM t, u WHERE total <= 50000 AND operations <= 1000000")
