@@ -14,6 +14,8 @@ from ledgerline.storage import remove, shared_dir
 
 #: A word, as every operator here counts it: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Letters that are lower-cased, and what they become; all others stay as they are.
+LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -82,6 +84,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return next(n for n in (name + "_" * k for k in range(len(used) + 1)) if n.lower() not in used)
 
 
+def lower_ascii(text: str | Column) -> Column:
+    """A text with A-Z lower-cased and nothing else."""
+    return F.translate(text, *LOWER)
+
+
 def word_count(text: str | Column) -> Column:
     """Words of a text (null: 0), counted inside the JVM."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

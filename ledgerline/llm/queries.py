@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, embeddings, langid, licenses, media, minhash, packing, secrets, warc
+from ledgerline.llm import chat, embeddings, langid, licenses, media, minhash, packing, resampling, secrets, spelling, urlfilter, warc
 from ledgerline.llm.common import new_path, written
 from ledgerline.llm.mixing import MIXING_SQL, mixing_plan
-from ledgerline.llm.oracles import CHAT_SQL, EMBEDDINGS_SQL, MINHASH_SQL
+from ledgerline.llm.oracles import CHAT_SQL, EMBEDDINGS_SQL, MINHASH_SQL, RESAMPLING_SQL, SPELLING_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +102,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_parts(chat.format_turns(turns))
 
 
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by rules, and where none fits by the trust and distrust of its host."""
+    return urlfilter.filter_urls(_table(spark, sf_dir, "pages"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of all documents with its near words, its form and the root of its forms."""
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight and score against the benchmark, and the ranks of those drawn."""
+    return resampling.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -121,9 +136,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media": op8_media,
         "op9_secrets": op9_secrets,
         "op10_chat": op10_chat,
+        "op11_urls": op11_urls,
+        "op12_spelling": op12_spelling,
+        "op13_resampling": op13_resampling,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL, "op4_minhash": MINHASH_SQL, "op6_embeddings": EMBEDDINGS_SQL, "op7_warc": WARC_SQL, "op10_chat": CHAT_SQL}
+    return {
+        "op1_mixing": MIXING_SQL,
+        "op4_minhash": MINHASH_SQL,
+        "op6_embeddings": EMBEDDINGS_SQL,
+        "op7_warc": WARC_SQL,
+        "op10_chat": CHAT_SQL,
+        "op11_urls": urlfilter.URL_SQL,
+        "op12_spelling": SPELLING_SQL,
+        "op13_resampling": RESAMPLING_SQL,
+    }
