@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Z95 = 1.959963984540054
 
@@ -51,18 +52,6 @@ def average_rank(value: Column, by: Sequence[Column | str] = ()) -> Column:
     return F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
 
 
-def quantiles(df: DataFrame, c: str, shares: Sequence[float]) -> list[float]:
-    """Exact quantiles with linear interpolation, as a few numbers on the driver."""
-    row = df.agg(F.percentile(F.col(c), F.array(*[F.lit(s) for s in shares])).alias("q")).first()
-    return list(row["q"]) if row["q"] else []
-
-
-def quantile_table(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list[float]]:
-    """The same for several columns, from one pass; a column without values has none."""
-    row = df.agg(*[F.percentile(F.col(c), F.array(*[F.lit(s) for s in shares])).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-    return {c: list(row[f"q{i}"] or []) for i, c in enumerate(columns)}
-
-
 def right_closed_bin(value: Column, edges: Sequence[float]) -> Column:
     """Bins (e0, e1], (e1, e2], ... from 0, the first closed on the left too; equal edges count once."""
     inner = sorted(set(edges))[1:-1]
@@ -102,3 +91,9 @@ def sample_by_hash(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
 def hash_half(key: Column, seed: int) -> Column:
     """0 or 1 by a hash of the key."""
     return F.pmod(F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long"), F.lit(2)).cast("int")
+
+
+def small_table(df: DataFrame, columns: Sequence[str], further: str, rows: Sequence[tuple]) -> DataFrame:
+    """A few rows from the driver, to be broadcast: columns typed as in ``df``, and ``further`` ones."""
+    schema = T.StructType([*df.select(*columns).schema.fields, *T.StructType.fromDDL(further).fields])
+    return F.broadcast(df.sparkSession.createDataFrame(list(rows), T.StructType([T.StructField(f.name, f.dataType) for f in schema])))

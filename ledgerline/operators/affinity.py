@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.ranking import least_from, running
 from ledgerline.functions.semantics import hash_half, ratio, steady_sum
 from ledgerline.functions.special import chi2_sf_1df
 from ledgerline.operators.events import DAY, baskets
@@ -34,8 +35,14 @@ class AffinityConfig:
         return asdict(self)
 
 
-def _running(by: str, value: str) -> Column:
-    return F.sum(value).over(Window.orderBy(by, "customer_id").rowsBetween(Window.unboundedPreceding, 0))
+def _within(sizes: DataFrame, most: int, seed: int) -> DataFrame:
+    """Customers in order of a hash of their id, as long as the sum of their ``n`` stays within ``most``.
+
+    Sums run over levels of the hash and then inside a level, so no task holds all customers.
+    """
+    hashed = F.conv(F.substring(F.md5(F.concat("customer_id", F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long")
+    rows = running(sizes.select("customer_id", F.col("n").cast("long").alias("n"), hashed.alias("h")), ["h", "customer_id"], ["n"])
+    return rows.filter(F.col("before_n") + F.col("n") <= most).select("customer_id")
 
 
 def candidate_baskets(lines: DataFrame, c: AffinityConfig) -> DataFrame:
@@ -50,17 +57,15 @@ def candidate_baskets(lines: DataFrame, c: AffinityConfig) -> DataFrame:
     ranks = reach.select("item", order.alias("ix"))
     if c.max_items is not None:
         ranks = F.broadcast(ranks.orderBy("ix").limit(c.max_items))  # at most max_items rows
-    hashed = F.conv(F.substring(F.md5(F.concat("customer_id", F.lit(f":{c.seed}"))), 1, 8), 16, 10).cast("long")
     if c.max_baskets is not None:
-        sizes = all_.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")).withColumn("h", hashed)
-        all_ = all_.join(sizes.withColumn("run", _running("h", "n")).filter(F.col("run") <= c.max_baskets).select("customer_id"), "customer_id", "left_semi")
+        all_ = all_.join(_within(all_.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")), c.max_baskets, c.seed), "customer_id", "left_semi")
     held = all_.select("customer_id", "basket_key", F.explode("items").alias("item")).join(ranks, "item")
     common = F.array_sort(F.collect_list(F.struct("ix", "item")))
     out = held.groupBy("customer_id", "basket_key").agg((common if c.max_items_per_basket is None else F.slice(common, 1, c.max_items_per_basket)).alias("p"))
     out = out.select("customer_id", "basket_key", F.transform("p", lambda x: x["item"]).alias("items"))
     if c.max_pair_operations is not None:
-        cost = out.groupBy("customer_id").agg(F.sum(F.size("items") * (F.size("items") - 1) / 2).alias("n")).withColumn("h", hashed)
-        out = out.join(cost.withColumn("run", _running("h", "n")).filter(F.col("run") <= c.max_pair_operations).select("customer_id"), "customer_id", "left_semi")
+        cost = out.groupBy("customer_id").agg(F.sum(F.size("items") * (F.size("items") - 1) / 2).alias("n"))
+        out = out.join(_within(cost, c.max_pair_operations, c.seed), "customer_id", "left_semi")
     return out
 
 
@@ -104,12 +109,18 @@ def pair_statistics(df: DataFrame, n_ab: str = "n_ab", n_a: str = "n_a", n_b: st
     return out.withColumn("p_value", F.coalesce(p(F.coalesce("chi2", F.lit(0.0))), F.lit(1.0)))
 
 
-def benjamini_hochberg(df: DataFrame, p: str = "p_value", into: str = "q_value", order: tuple[str, ...] = ()) -> DataFrame:
-    """q-values; the table has a row for each pair of at most a hundred items."""
-    up = Window.orderBy(p, *order)
-    ranked = df.withColumns({"__r": F.row_number().over(up), "__m": F.count(F.lit(1)).over(Window.partitionBy())})
-    raw = F.col(p) * F.col("__m") / F.col("__r")
-    return ranked.withColumn(into, F.least(F.min(raw).over(Window.orderBy("__r").rowsBetween(0, Window.unboundedFollowing)), F.lit(1.0))).drop("__r", "__m")
+def benjamini_hochberg(df: DataFrame, p: str = "p_value", into: str = "q_value") -> DataFrame:
+    """q-values of any number of rows: the least p * m / rank of those with the same or a larger p.
+
+    Rows are counted by p, and of equal p the last rank gives the least, so that a q-value belongs to a p-value; ranks and the
+    minimum from the right go by levels of p, and no task holds all of them.
+    """
+    counts = settled(df.groupBy(p).agg(F.count(F.lit(1)).alias("__n")))
+    whole = counts.agg(F.sum("__n").alias("__m"))  # one row
+    ranks = running(counts, [p], ["__n"]).crossJoin(F.broadcast(whole))
+    ranks = ranks.withColumn("__raw", F.col(p) * F.col("__m") / (F.col("before___n") + F.col("__n")))
+    table = least_from(ranks, p, "__raw", "__q").select(F.col(p).alias("__p"), F.least("__q", F.lit(1.0)).alias(into))
+    return df.join(table, F.col(p).eqNullSafe(F.col("__p"))).drop("__p")
 
 
 def associations(lines: DataFrame, c: AffinityConfig = AffinityConfig(), held: DataFrame | None = None) -> DataFrame:
@@ -120,7 +131,7 @@ def associations(lines: DataFrame, c: AffinityConfig = AffinityConfig(), held: D
     small = F.broadcast if c.max_items is not None else lambda df: df  # at most max_items rows
     rows = pair_counts(held, c.seed).join(small(side("a")), "a").join(small(side("b")), "b").crossJoin(F.broadcast(whole))  # totals are one row
     rows = rows.filter((F.col("N") >= c.min_customers) & (F.col("pair_baskets") >= F.col("total_baskets") * c.min_support))
-    rows = benjamini_hochberg(pair_statistics(rows), order=("a", "b"))
+    rows = benjamini_hochberg(settled(pair_statistics(rows)))
     for h in ("0", "1"):
         rows = rows.withColumn(f"lift_half_{h}", ratio(ratio(F.col(f"n_ab_{h}"), F.col(f"n_a_{h}")), ratio(F.col(f"n_b_{h}"), F.col(f"N_{h}"))))
     shared = ["pair_baskets", "n_ab", "N", "lift", "odds_ratio", "or_ci_lower", "or_ci_upper", "chi2", "p_value", "q_value", "lift_half_0", "lift_half_1"]
@@ -144,8 +155,7 @@ def transitions(lines: DataFrame, c: AffinityConfig = AffinityConfig(), least: i
     pairs = moves.select(F.explode("before").alias("from_item"), "items").select("from_item", F.explode("items").alias("to_item")).groupBy("from_item", "to_item").agg(F.count(F.lit(1)).alias("n_pair"))
     small = F.broadcast if c.max_items is not None else lambda df: df  # at most max_items rows
     rows = pairs.join(small(count("before", "from_item")), "from_item").join(small(count("items", "to_item")), "to_item").crossJoin(F.broadcast(whole))
-    rows = pair_statistics(rows.filter(F.col("N") >= least), "n_pair", "n_from_item", "n_to_item", "N")
-    rows = benjamini_hochberg(rows, order=("from_item", "to_item"))
+    rows = benjamini_hochberg(settled(pair_statistics(rows.filter(F.col("N") >= least), "n_pair", "n_from_item", "n_to_item", "N")))
     return rows.withColumns({"probability": ratio(F.col("n_pair"), F.col("n_from_item")), "significant": (F.col("q_value") <= c.fdr_alpha) & (F.col("or_ci_lower") > 1)})
 
 

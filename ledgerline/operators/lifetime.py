@@ -10,23 +10,25 @@ Gamma-Gamma (Fader and Hardie 2013) is used by its total: the spend n * m of a c
 distribution with shapes p * n and q. Its normalising constant depends on n alone and comes from a table as well.
 
 Both have a ridge on the logarithms of their parameters. The search starts from moments of the data, within a thousandfold of
-them, and takes damped Newton steps; a step asks Spark for the sums at a batch of points.
+them, and takes damped Newton steps; a step asks Spark for the sums at a batch of points. Both models of many groups of
+customers, such as those known at each of many days, are searched side by side: one job evaluates what all of them ask for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass
-from functools import lru_cache
+from collections.abc import Callable, Generator, Iterator
+from dataclasses import asdict, dataclass, replace
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.functions.special import descend, lgamma
+from ledgerline.functions.semantics import small_table
+from ledgerline.functions.special import descent, lgamma
 from ledgerline.operators.scoring import spearman
-from ledgerline.storage import settled
+from ledgerline.storage import dropped, settled
 
 RIDGE = 1e-3
 DEPENDENT = 0.3  # trips and values that are more correlated than this speak against the spend model
@@ -54,37 +56,66 @@ class Fit:
         return spark.createDataFrame([tuple(d.values())], "model string, status string, reason string, converged boolean, params map<string,double>, value double, rows long, independence_warning boolean")
 
 
-def _summed(rows: DataFrame, term: Callable[..., np.ndarray], points: np.ndarray) -> np.ndarray:
-    """The sum of a term over all rows at each of a batch of parameter vectors."""
+Search = Generator[np.ndarray, np.ndarray, tuple[np.ndarray, float, bool]]
+
+
+def _summed(rows: DataFrame, asked: dict[int, tuple[Callable[..., np.ndarray], int, np.ndarray]]) -> dict[int, np.ndarray]:
+    """For each search (term, number of its columns, points): the sum of the term over the search's rows at every point."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros(len(points))
+        sums = {s: np.zeros(len(points)) for s, (_, _, points) in asked.items()}
         for batch in batches:
-            columns = [batch[c].to_numpy(float) for c in batch.columns]
-            sums += [term(p, *columns).sum() for p in points]
-        yield pd.DataFrame({"i": np.arange(len(points)), "v": sums})
-
-    out = np.zeros(len(points))
-    for r in rows.mapInPandas(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():  # a row for each vector
-        out[r["i"]] = r["v"]
+            for s, part in batch.groupby("s", sort=False):
+                if s in asked:
+                    term, width, points = asked[s]
+                    columns = [part[c].to_numpy(float) for c in "abc"[:width]]
+                    sums[s] += [term(p, *columns).sum() for p in points]
+        yield pd.DataFrame([(s, i, x) for s, v in sums.items() for i, x in enumerate(v)], columns=["s", "i", "v"])
+
+    out = {s: np.zeros(len(points)) for s, (_, _, points) in asked.items()}
+    for r in rows.mapInPandas(partial, "s int, i int, v double").groupBy("s", "i").agg(F.sum("v").alias("v")).collect():  # a row for each vector
+        out[r["s"]][r["i"]] = r["v"]
     return out
 
 
-def _search(rows: DataFrame, term: Callable[..., np.ndarray], of_counts: Callable[[np.ndarray], float], starts: np.ndarray, n: int, ridge: float, least: np.ndarray) -> tuple[np.ndarray, float, bool]:
-    """Parameters with the largest penalised likelihood, its negative, and whether the search settled."""
-
-    def loss(logs: np.ndarray) -> np.ndarray:
-        points = np.exp(logs)
-        out = ridge * n * (logs**2).sum(axis=1) - _summed(rows, term, points) - np.array([of_counts(p) for p in points])
-        return np.where(np.isfinite(out), out, 1e300)
-
+def _search(starts: np.ndarray, least: np.ndarray) -> Search:
+    """Asks for points and is sent what to minimise; gives parameters, the least value, and whether the search settled."""
     logs = np.log(np.maximum(starts, least * 1.01))
-    best = logs[int(np.argmin(loss(logs)))]
+    v = yield logs
     low, high = np.maximum(logs.min(axis=0) - np.log(1e3), np.log(least)), logs.max(axis=0) + np.log(1e3)
-    at, value, settled_ = descend(loss, best, low, high)
+    at, value, settled_ = yield from descent(logs[int(np.argmin(v))], low, high)
     return np.exp(at), value, settled_
 
 
+@dataclass(frozen=True)
+class _Problem:
+    """One model of one group: where to begin, its term of a customer, and what numbers of purchases alone contribute."""
+
+    term: Callable[..., np.ndarray]
+    width: int
+    starts: np.ndarray
+    least: np.ndarray
+    of_counts: Callable[[np.ndarray], float]
+    n: int
+
+
+def _searched(rows: DataFrame, problems: dict[int, _Problem], ridge: float) -> dict[int, tuple[np.ndarray, float, bool]]:
+    """All searches side by side: each round is one job over all rows (s, a, b, c)."""
+    searches = {s: _search(p.starts, p.least) for s, p in problems.items()}
+    asked, done = {s: next(g) for s, g in searches.items()}, {}
+    while asked:
+        sums = _summed(rows, {s: (problems[s].term, problems[s].width, np.exp(logs)) for s, logs in asked.items()})
+        now, asked = asked, {}
+        for s, logs in now.items():
+            p = problems[s]
+            loss = ridge * p.n * (logs**2).sum(axis=1) - sums[s] - np.array([p.of_counts(x) for x in np.exp(logs)])
+            try:
+                asked[s] = searches[s].send(np.where(np.isfinite(loss), loss, 1e300))
+            except StopIteration as end:
+                done[s] = end.value
+    return done
+
+
 def _around(start: list[float], factor: float = 3.0) -> np.ndarray:
     """A start and what lies a factor to both sides of it, one parameter at a time."""
     base = np.array(start, float)
@@ -121,25 +152,74 @@ def bgnbd_loglik(params: np.ndarray, x: np.ndarray, t_x: np.ndarray, T: np.ndarr
     return float(_history_term(params, x, t_x, T).sum()) + _purchases_term(params, more, len(x))
 
 
-def fit_bgnbd(customers: DataFrame, penalizer: float = RIDGE, least: int = 50) -> Fit:
-    """The purchase model of customers with x, t_x and T."""
-    rows = settled(customers.select(*[F.col(c).cast("double").alias(c) for c in ("x", "t_x", "T")]).filter("x IS NOT NULL AND t_x IS NOT NULL AND T >= 0"))
-    seen, rate = F.col("T") > 0, F.when(F.col("T") > 0, F.col("x") / F.col("T"))
-    silent = F.count_if(seen & (F.col("x") > 0) & ((F.col("T") - F.col("t_x")) * F.col("x") > 3 * F.col("t_x")))
-    n, mean, spread, noise, gone, bought = rows.agg(F.count(F.lit(1)), F.avg(rate), F.var_samp(rate), F.avg(rate / F.col("T")), silent, F.sum("x")).first()
-    if n < least:
-        return Fit("bgnbd", "skipped", f"{n} customers are fewer than {least}", rows=n)
-    # a row for each number of purchases
-    by_x = {int(r["x"]): r["count"] for r in rows.groupBy("x").count().collect()}
+def _bgnbd_problem(n: int, mean: float, own: float, gone: float, bought: float, by_x: dict[int, int]) -> _Problem:
     more = np.zeros(max(by_x) if by_x else 0)
     for x, count in by_x.items():
         more[:x] += count
     mean = max(mean or 0.0, 1e-6)
-    own = max((spread or 0.0) - (noise or 0.0), 0.01 * mean * mean)  # of the rates themselves, without that of counting
+    own = max(own, 0.01 * mean * mean)
     leaving = min(max((gone or 0) / max(bought or 0.0, 1.0), 0.01), 0.9)
     starts = _around([mean * mean / own, mean / own, 2 * leaving, 2 * (1 - leaving)])
-    p, value, done = _search(rows, _history_term, lambda p: _purchases_term(p, more, n), starts, n, penalizer, np.full(4, 1e-3))
-    return Fit("bgnbd", "fitted", "", done, tuple(zip(("r", "alpha", "a", "b"), map(float, p), strict=True)), float(value), n)
+    return _Problem(_history_term, 3, starts, np.full(4, 1e-3), lambda p: _purchases_term(p, more, n), n)
+
+
+def _gamma_problem(n: int, mean: float, spread: float, by_n: dict[float, int]) -> _Problem:
+    kinds, counts = (np.array(c, float) for c in zip(*sorted(by_n.items()), strict=True))
+    q = 2 + mean * mean / max(spread or 0.0, 1e-6 * mean * mean)
+    starts = _around([1.0, min(q, 50.0), mean * (min(q, 50.0) - 1)])
+    return _Problem(_spend_term, 2, starts, np.array([1e-3, 1.01, 1e-3]), lambda p: _events_term(p, kinds, counts), n)
+
+
+def fit_groups(customers: DataFrame, by: str, models: tuple[str, ...] = ("bgnbd", "gamma_gamma"), penalizer: float = RIDGE, least: dict[str, int] | None = None) -> dict[object, dict[str, Fit]]:
+    """The models of each group of customers with x, t_x, T, n_trips and mean_trip_value; a group is told by ``by``.
+
+    Three jobs prepare all searches, and each of their rounds is one. The spend model takes customers with two events or more.
+    """
+    least = {"bgnbd": 50, "gamma_gamma": 30} | (least or {})
+    whole = lambda c: F.col(c).cast("double")
+    parts = {
+        "bgnbd": lambda: customers.filter("x IS NOT NULL AND t_x IS NOT NULL AND T >= 0").select(F.col(by).alias("g"), F.lit("bgnbd").alias("m"), whole("x").alias("a"), whole("t_x").alias("b"), whole("T").alias("c")),
+        "gamma_gamma": lambda: customers.filter("n_trips >= 2 AND mean_trip_value > 0").select(F.col(by).alias("g"), F.lit("gamma_gamma").alias("m"), whole("n_trips").alias("a"), whole("mean_trip_value").alias("b"), F.lit(0.0).alias("c")),
+    }
+    rows = settled(reduce(DataFrame.unionByName, [parts[m]() for m in models]))
+    rate = F.when(F.col("c") > 0, F.col("a") / F.col("c"))
+    silent = F.count_if((F.col("c") > 0) & (F.col("a") > 0) & ((F.col("c") - F.col("b")) * F.col("a") > 3 * F.col("b")))
+    stats = rows.groupBy("g", "m").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(rate).alias("rate"), F.var_samp(rate).alias("spread"), F.avg(rate / F.col("c")).alias("noise"), silent.alias("gone"), F.sum("a").alias("bought"), F.avg("b").alias("mean"), F.var_samp("b").alias("var")
+    ).collect()  # a row for each group and model
+    by_a: dict[tuple, dict[float, int]] = {}
+    for r in rows.groupBy("g", "m", "a").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each number of purchases
+        by_a.setdefault((r["g"], r["m"]), {})[r["a"]] = r["n"]
+    found: dict[object, dict[str, Fit]] = {}
+    problems, numbers = {}, []
+    for r in sorted(stats, key=lambda r: (str(r["g"]), r["m"])):
+        if r["n"] < least[r["m"]]:
+            what = "customers" if r["m"] == "bgnbd" else "repeat customers"
+            found.setdefault(r["g"], {})[r["m"]] = Fit(r["m"], "skipped", f"{r['n']} {what} are fewer than {least[r['m']]}", rows=r["n"])
+            continue
+        counts = by_a[r["g"], r["m"]]
+        if r["m"] == "bgnbd":  # the spread of the rates themselves, without that of counting
+            problem = _bgnbd_problem(r["n"], r["rate"], (r["spread"] or 0.0) - (r["noise"] or 0.0), r["gone"], r["bought"], {int(x): n for x, n in counts.items()})
+        else:
+            problem = _gamma_problem(r["n"], r["mean"], r["var"], counts)
+        problems[len(numbers)] = problem
+        numbers.append((r["g"], r["m"]))
+    if problems:
+        of = small_table(rows, ["g", "m"], "s int", [(g, m, i) for i, (g, m) in enumerate(numbers)])  # a row for each search
+        numbered = settled(rows.join(of, ["g", "m"]).select("s", "a", "b", "c"))
+        for s, (params, value, done) in _searched(numbered, problems, penalizer).items():
+            g, m = numbers[s]
+            names = ("r", "alpha", "a", "b") if m == "bgnbd" else ("p", "q", "gamma")
+            found.setdefault(g, {})[m] = Fit(m, "fitted", "", done, tuple(zip(names, map(float, params), strict=True)), float(value), problems[s].n)
+        dropped(numbered)
+    dropped(rows)
+    return found
+
+
+def fit_bgnbd(customers: DataFrame, penalizer: float = RIDGE, least: int = 50) -> Fit:
+    """The purchase model of customers with x, t_x and T."""
+    found = fit_groups(customers.withColumn("__one", F.lit(0)), "__one", ("bgnbd",), penalizer, {"bgnbd": least})
+    return found[0]["bgnbd"] if found else Fit("bgnbd", "skipped", f"0 customers are fewer than {least}")
 
 
 @lru_cache(maxsize=4096)
@@ -198,27 +278,28 @@ def gamma_gamma_loglik(params: np.ndarray, n: np.ndarray, m: np.ndarray) -> floa
     return float(_spend_term(params, n, m).sum()) + _events_term(params, kinds, counts)
 
 
+def with_independence(fit: Fit, customers: DataFrame) -> Fit:
+    """A fitted spend model with the rank correlation of trips and values, and whether it speaks against the model."""
+    if fit.status != "fitted":
+        return fit
+    rho = spearman(customers.filter("n_trips >= 2 AND mean_trip_value > 0"), "n_trips", "mean_trip_value").first()[0]
+    params = (*fit.params, ("spearman_trips_vs_mean_value", float("nan") if rho is None else float(rho)))
+    return replace(fit, params=params, independence_warning=rho is not None and abs(rho) > DEPENDENT)
+
+
 def fit_gamma_gamma(customers: DataFrame, penalizer: float = RIDGE, least: int = 30) -> Fit:
     """The spend model of customers with two events or more, and whether their trips and values are independent enough."""
-    rows = settled(customers.filter("n_trips >= 2 AND mean_trip_value > 0").select(*[F.col(c).cast("double").alias(c) for c in ("n_trips", "mean_trip_value")]))
-    n, mean, spread = rows.agg(F.count(F.lit(1)), F.avg("mean_trip_value"), F.var_samp("mean_trip_value")).first()
-    if n < least:
-        return Fit("gamma_gamma", "skipped", f"{n} repeat customers are fewer than {least}", rows=n)
-    by_n = sorted((r["n_trips"], r["count"]) for r in rows.groupBy("n_trips").count().collect())  # a row for each number
-    kinds, counts = (np.array(c, float) for c in zip(*by_n, strict=True))
-    q = 2 + mean * mean / max(spread or 0.0, 1e-6 * mean * mean)
-    starts = _around([1.0, min(q, 50.0), mean * (min(q, 50.0) - 1)])
-    p, value, done = _search(rows, _spend_term, lambda p: _events_term(p, kinds, counts), starts, n, penalizer, np.array([1e-3, 1.01, 1e-3]))
-    rho = spearman(rows, "n_trips", "mean_trip_value").first()[0]
-    found = (*zip(("p", "q", "gamma"), map(float, p), strict=True), ("spearman_trips_vs_mean_value", float("nan") if rho is None else float(rho)))
-    return Fit("gamma_gamma", "fitted", "", done, found, float(value), n, rho is not None and abs(rho) > DEPENDENT)
+    found = fit_groups(customers.withColumn("__one", F.lit(0)), "__one", ("gamma_gamma",), penalizer, {"gamma_gamma": least})
+    fit = found[0]["gamma_gamma"] if found else Fit("gamma_gamma", "skipped", f"0 repeat customers are fewer than {least}")
+    return with_independence(fit, customers)
 
 
-def gamma_gamma_predict(fit: Fit, n: Column, mean: Column) -> Column:
-    """Expected value of an event: the observed mean and that of all customers, the former counting more with each event;
-    the observed mean where there is no model."""
-    if fit.status != "fitted":
-        return mean
-    p, q, gamma = fit["p"], fit["q"], fit["gamma"]
+def gamma_gamma_mean(p: Column, q: Column, gamma: Column, n: Column, mean: Column) -> Column:
+    """Expected value of an event: the observed mean and that of all customers, the former counting more with each event."""
     own = p * n / (p * n + (q - 1))
-    return own * mean + (1 - own) * F.lit(p * gamma / (q - 1))
+    return own * mean + (1 - own) * p * gamma / (q - 1)
+
+
+def gamma_gamma_predict(fit: Fit, n: Column, mean: Column) -> Column:
+    """The same for a fit; the observed mean where there is no model."""
+    return gamma_gamma_mean(*[F.lit(fit[k]) for k in ("p", "q", "gamma")], n, mean) if fit.status == "fitted" else mean

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.ranking import running
+
 
 def segment_difference(df: DataFrame, segment: str, a: str, b: str, metrics: list[str]) -> DataFrame:
     """metric, its means in two segments and by how many percent the second differs; null where the first mean is 0."""
@@ -26,13 +28,21 @@ def cohort_sizes(customers: DataFrame) -> DataFrame:
     return customers.groupBy(month.alias("cohort_month")).agg(F.count(F.lit(1)).alias("customers"), F.sum("net_spend").alias("revenue"))
 
 
+def leading_sum(df: DataFrame, value: str, n: int) -> float:
+    """The sum of the n largest values: rows are counted by value, and sums over levels of it say which are among the n."""
+    counts = df.groupBy((-F.col(value)).alias("__down")).agg(F.count(F.lit(1)).alias("k"))
+    rows = running(counts, ["__down"], ["k"])
+    taken = F.least(F.greatest(F.lit(n) - F.col("before_k"), F.lit(0)), F.col("k"))
+    return rows.agg(F.sum(-F.col("__down") * taken)).first()[0]
+
+
 def dashboard_cards(scored: DataFrame, survival: DataFrame, metrics: DataFrame, day: int = 90) -> DataFrame:
     """card and value: customers, share likely to be active, value expected and the leading tenth's share of it, customers back
     within ``day`` days, and how well the purchase model ranks."""
     value = F.greatest(F.coalesce("expected_value", F.lit(0.0)), F.lit(0.0))
     whole = scored.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("p_alive").isNotNull(), (F.col("p_alive") >= 0.5).cast("double"))).alias("active"), F.sum(value).alias("v")).first()
     n = whole["n"]
-    top = scored.select(value.alias("v")).orderBy(F.desc("v")).limit(max(1, -(-n // 10))).agg(F.sum("v")).first()[0] if n >= 10 and whole["v"] else None
+    top = leading_sum(scored.select(value.alias("v")), "v", max(1, -(-n // 10))) if n >= 10 and whole["v"] else None
     back = survival.filter((F.col("group") == "all") & (F.col("landmark") == day)).select("repeat_probability").first()
     model = metrics.filter("model = 'BG/NBD' AND status = 'completed'").select("auc", "spearman").first()
     cards = [

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.ranking import numbered, running, value_ranks
-from ledgerline.functions.semantics import quantile_table, quantiles, ratio, right_closed_bin
+from ledgerline.functions.quantiles import quantile_table
+from ledgerline.functions.semantics import ratio, right_closed_bin
 from ledgerline.storage import settled
 
 
@@ -25,6 +26,7 @@ def edge_scores(value: str, quintiles: Sequence[float], reverse: bool = False) -
     return 6 - score if reverse else score
 
 
+# The names of segments and the scores that they stand for, in both variants below.
 def _labels(rules: Sequence[tuple[Column, str]], other: str) -> Column:
     out = F.when(*rules[0])
     for rule in rules[1:]:
@@ -71,35 +73,44 @@ def rfm_scores(customers: DataFrame) -> DataFrame:
     return out.withColumns({"rfm_score": F.concat(*[c.cast("string") for c in (r, f, m)]), "rfm_segment": segment_v1(r, f, m)})
 
 
-def rank_scores(df: DataFrame, value: str, q: int = 5, reverse: bool = False) -> tuple[DataFrame, Column]:
+def rank_scores(df: DataFrame, values: Sequence[str], q: int = 5, reverse: Sequence[str] = ()) -> tuple[DataFrame, dict[str, Column]]:
     """Variant 2: quantile bins of average ranks, with repeated edges dropped; one value scores 3.
 
-    Ranks go by the distinct values, of which there are few; the rows get theirs by a join.
+    Ranks go by the distinct values, of which there are fewer than rows; the rows get theirs by a join. The edges of all
+    measures come from the same passes.
     """
-    ranks = value_ranks(df, value).select(value, (F.col("before_n") + (F.col("n") + 1) / 2.0).alias(f"__rank_{value}"))
-    distinct = df.agg(F.countDistinct(value)).first()[0]
-    if distinct < 2:
-        return df, F.lit((q + 1) // 2)
-    bins = min(q, distinct)
-    ranked = df.join(ranks, value)
-    edges = quantiles(ranked, f"__rank_{value}", [k / bins for k in range(bins + 1)])
-    kept = len(set(edges)) - 1
-    score = right_closed_bin(F.col(f"__rank_{value}"), edges) + 1
-    return ranked, (kept + 1 - score if reverse else score)
+    distinct = df.agg(*[F.countDistinct(v).alias(v) for v in values]).first()
+    ranked = df
+    for v in values:
+        ranks = value_ranks(df, v).select(v, (F.col("before_n") + (F.col("n") + 1) / 2.0).alias(f"__rank_{v}"))
+        ranked = ranked.join(ranks, v)
+    ranked = settled(ranked)
+    bins = {v: min(q, distinct[v]) for v in values}
+    shares = sorted({k / b for b in bins.values() for k in range(b + 1)} | {0.0})
+    edges = quantile_table(ranked, [f"__rank_{v}" for v in values], shares)
+    out = {}
+    for v in values:
+        if distinct[v] < 2:
+            out[v] = F.lit((q + 1) // 2)
+            continue
+        at = dict(zip(shares, edges[f"__rank_{v}"], strict=True))
+        own = [at[k / bins[v]] for k in range(bins[v] + 1)]
+        score = right_closed_bin(F.col(f"__rank_{v}"), own) + 1
+        out[v] = len(set(own)) - score if v in reverse else score
+    return ranked, out
 
 
 def rfm_app(lines: DataFrame, as_of: dt.date) -> DataFrame:
     """Variant 2: recency, distinct transactions and revenue of each customer, scores and segment."""
     rows = lines.filter(F.col("customer_id").isNotNull() & (F.col("transaction_day") <= F.lit(as_of)))
     out = rows.groupBy("customer_id").agg(F.datediff(F.lit(as_of), F.max("transaction_day")).alias("recency"), F.countDistinct("transaction_id").alias("frequency"), F.sum("line_revenue").cast("double").alias("monetary"))
-    out, scores = settled(out), {}
-    for name, value, reverse in (("r_score", "recency", True), ("f_score", "frequency", False), ("m_score", "monetary", False)):
-        out, scores[name] = rank_scores(out, value, reverse=reverse)
-    out = out.withColumns(scores)
+    out, scores = rank_scores(settled(out), ["recency", "frequency", "monetary"], reverse=["recency"])
+    out = out.withColumns({f"{v[0]}_score": c for v, c in scores.items()})
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
     return out.select("customer_id", "recency", "frequency", "monetary", "r_score", "f_score", "m_score", F.concat(*[c.cast("string") for c in (r, f, m)]).alias("rfm_score"), segment_v2(r, f, m).alias("segment"))
 
 
+# The slices of customers and their names.
 TIERS = ((0, 1, "Top 1%"), (1, 5, "Top 1-5%"), (5, 10, "Top 5-10%"), (10, 20, "Top 10-20%"), (20, 70, "Middle 50%"), (70, 100, "Bottom 30%"))
 
 
@@ -131,19 +142,23 @@ def compare_segments(df: DataFrame, a: str, b: str) -> DataFrame:
     return out.withColumns({f"share_of_{k}": ratio(F.col("customers"), F.sum("customers").over(Window.partitionBy(k))) for k in (a, b)})
 
 
-def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
-    """Area under the ROC curve from average ranks; null if one class is missing. ``positive`` is boolean."""
-    counts = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("o"))
-    rows = running(counts, [score], ["n"])
-    out = rows.agg(F.coalesce(F.sum(F.col("p") * (F.col("before_n") + (F.col("n") + 1) / 2.0)), F.lit(0.0)).alias("s"), F.coalesce(F.sum("p"), F.lit(0)).alias("n1"), F.coalesce(F.sum("o"), F.lit(0)).alias("n0"))
-    return out.select(ratio(F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2.0, F.col("n1") * F.col("n0")).alias("auc"), "n1", "n0")
+def auc(df: DataFrame, score: str, positive: str, by: Sequence[str] = ()) -> DataFrame:
+    """Area under the ROC curve from average ranks, of each group of ``by``; null if one class is missing. ``positive`` is boolean."""
+    counts = df.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col(positive)).alias("__yes"), F.count_if(~F.col(positive)).alias("__no"))
+    rows = running(counts, [score], ["__n"], by)
+    out = rows.groupBy(*by).agg(F.coalesce(F.sum(F.col("__yes") * (F.col("before___n") + (F.col("__n") + 1) / 2.0)), F.lit(0.0)).alias("s"), F.coalesce(F.sum("__yes"), F.lit(0)).alias("n1"), F.coalesce(F.sum("__no"), F.lit(0)).alias("n0"))
+    return out.select(*by, ratio(F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2.0, F.col("n1") * F.col("n0")).alias("auc"), "n1", "n0")
 
 
-def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Correlation of average ranks, from counts of pairs of values; null where a side does not vary."""
-    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
-    twice = lambda c: value_ranks(rows, c).select(c, (2 * F.col("before_n") + F.col("n") + 1).cast("decimal(20,0)").alias("r" + c))  # noqa: E731  whole numbers
-    pairs = rows.groupBy("a", "b").agg(F.count(F.lit(1)).cast("decimal(20,0)").alias("w")).join(twice("a"), "a").join(twice("b"), "b")
+def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    """Correlation of average ranks, from counts of pairs of values, of each group of ``by``; null where a side does not vary."""
+    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).alias("a"), F.col(b).alias("b"))
+
+    def twice(c: str) -> DataFrame:  # ranks as whole numbers
+        counts = running(rows.groupBy(*by, c).agg(F.count(F.lit(1)).alias("n")), [c], ["n"], by)
+        return counts.select(*by, c, (2 * F.col("before_n") + F.col("n") + 1).cast("decimal(20,0)").alias("r" + c))
+
+    pairs = rows.groupBy(*by, "a", "b").agg(F.count(F.lit(1)).cast("decimal(20,0)").alias("w")).join(twice("a"), [*by, "a"]).join(twice("b"), [*by, "b"])
     total = lambda *c: F.sum(reduce(lambda x, y: (x * y).cast("decimal(38,0)"), [F.col(x) for x in ("w", *c)])).cast("double")
     n, x, y, xx, yy, xy = total(), total("ra"), total("rb"), total("ra", "ra"), total("rb", "rb"), total("ra", "rb")
-    return pairs.agg(ratio(xy - x * y / n, F.sqrt((xx - x * x / n) * (yy - y * y / n))).alias("spearman"))
+    return pairs.groupBy(*by).agg(ratio(xy - x * y / n, F.sqrt((xx - x * x / n) * (yy - y * y / n))).alias("spearman"))

@@ -121,23 +121,30 @@ def pareto(df: DataFrame, key: str, value: str, n: int = 50) -> DataFrame:
 
 
 def lorenz(df: DataFrame, key: str, value: str, by: list[str] | None = None) -> DataFrame:
-    """The Lorenz curve: shares of customers and of value, from the least value on, by group where asked."""
+    """The Lorenz curve: shares of customers and of value, from the least value on, by group where asked.
+
+    Numbers and sums go by levels of the value, within a group too, so a group of any size is in no single task.
+    """
+    by = list(by or [])
     rows = df.withColumn("__v", F.greatest(F.col(value), F.lit(0)))
-    if not by:
-        whole = rows.agg(F.count(F.lit(1)).alias("__n"), F.sum("__v").alias("__t"))
-        rows = numbered(rows.select(key, value, "__v"), "__v", key, "__i", "__s").crossJoin(F.broadcast(whole))  # one row
-        return rows.select(key, value, ratio(F.col("__i"), F.col("__n")).alias("customer_share"), ratio(F.col("__s"), F.col("__t")).alias("value_share"))
-    part = Window.partitionBy(*by)
-    order = part.orderBy(value, key)
-    share = ratio(F.row_number().over(order), F.count(F.lit(1)).over(part))
-    held = ratio(F.sum("__v").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.sum("__v").over(part))
-    return rows.select(*by, key, value, share.alias("customer_share"), held.alias("value_share"))
+    whole = rows.groupBy(*[F.col(b).alias(f"__of_{b}") for b in by]).agg(F.count(F.lit(1)).alias("__n"), F.sum("__v").alias("__t"))
+    rows = numbered(rows.select(*by, key, value, "__v"), "__v", key, "__i", "__s", by)
+    on = F.lit(True)
+    for b in by:
+        on = on & F.col(b).eqNullSafe(F.col(f"__of_{b}"))
+    rows = rows.join(F.broadcast(whole), on) if by else rows.crossJoin(F.broadcast(whole))  # a row for each group
+    return rows.select(*by, key, value, ratio(F.col("__i"), F.col("__n")).alias("customer_share"), ratio(F.col("__s"), F.col("__t")).alias("value_share"))
 
 
 def lorenz_gini(df: DataFrame, value: str, by: list[str], least: int = 10) -> DataFrame:
-    """Gini by the closed form of the trapezoid rule, for groups of more than ``least`` rows."""
-    order = Window.partitionBy(*by).orderBy(value)
-    rows = df.withColumn("__v", F.greatest(F.col(value), F.lit(0))).withColumn("__i", F.row_number().over(order))
-    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__i") * F.col("__v")).cast("double").alias("__w"), F.sum("__v").cast("double").alias("__t"))
+    """Gini by the closed form of the trapezoid rule, for groups of more than ``least`` rows.
+
+    Customers are counted by value; k equal values have the ranks that follow those with less.
+    """
+    v = F.greatest(F.col(value), F.lit(0))
+    counts = df.groupBy(*by, v.alias("__v")).agg(F.count(F.lit(1)).alias("__k"))
+    rows = running(counts, ["__v"], ["__k"], by)
+    ranks = (F.col("__k") * F.col("before___k") + F.col("__k") * (F.col("__k") + 1) / 2).cast("long")
+    out = rows.groupBy(*by).agg(F.sum("__k").alias("n"), F.sum(ranks * F.col("__v")).cast("double").alias("__w"), F.sum(F.col("__k") * F.col("__v")).cast("double").alias("__t"))
     gini = 2.0 * F.col("__w") / (F.col("n") * F.col("__t")) - (F.col("n") + 1.0) / F.col("n")
     return out.filter((F.col("n") > least) & (F.col("__t") > 0)).select(*by, "n", gini.alias("gini"))

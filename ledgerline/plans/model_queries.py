@@ -122,8 +122,24 @@ def rolling_origin(spark: SparkSession, d: str) -> DataFrame:
     return mo.aggregate_origins(mo.rolling_origins(lines, ev.latest_day(lines), HORIZON))
 
 
+@query("rolling_origin_metrics")
+def rolling_origin_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The metrics of each origin, of which rolling_origin gives the aggregate."""
+    lines = star_lines(spark, d)
+    return mo.rolling_origins(lines, ev.latest_day(lines), HORIZON)
+
+
+@query("rolling_origin_calibration")
+def rolling_origin_calibration(spark: SparkSession, d: str) -> DataFrame:
+    lines = star_lines(spark, d)
+    return mo.rolling_calibration(lines, ev.latest_day(lines), HORIZON)
+
+
 def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return mo.choose_clusters(_scores(spark, d)[0])
+    """The latest day's customers with their features of all families, RFM segments and clusters."""
+    lines = star_lines(spark, d)
+    table, pcs = mo.scored_snapshots(lines, [ev.latest_day(lines)], HORIZON)
+    return mo.choose_clusters(sc.rfm_scores(table).drop("as_of"), pcs=pcs.drop("as_of"))
 
 
 @query("cluster_assignments")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators import affinity, features, models, scoring, summaries, survival
 from ledgerline.operators import events as ev
 from ledgerline.operators import quality as qa
+from ledgerline.operators.snapshots import category_logs_at
 from ledgerline.plans.basket_queries import FULL
 from ledgerline.session import get_spark, ship
 from ledgerline.sources import readers
@@ -21,7 +22,7 @@ from ledgerline.storage import settled
 
 def result_tables(lines: DataFrame, as_of: dt.date, horizon: int = 90) -> dict[str, Callable[[], DataFrame]]:
     """Name of each table and what makes it; nothing runs before it is asked for."""
-    lines = ev.up_to(lines, as_of)
+    lines, spark = ev.up_to(lines, as_of), lines.sparkSession
     events = ev.purchase_events(lines, as_of)
     snapshot = features.customer_snapshot(lines, as_of)
     held: dict[str, DataFrame] = {}
@@ -38,9 +39,22 @@ def result_tables(lines: DataFrame, as_of: dt.date, horizon: int = 90) -> dict[s
 
     def clusters(part: int) -> DataFrame:
         if "clusters" not in held:
-            held["clusters"] = models.choose_clusters(scored())
+            pcs = models.components(settled(category_logs_at(lines, [as_of])[0])).drop("as_of")
+            held["clusters"] = models.choose_clusters(scored(), pcs=pcs)
         return held["clusters"][part]
 
+    def snapshots() -> DataFrame:
+        if "snapshots" not in held:
+            days = models.snapshot_days(lines, horizon)
+            held["snapshots"] = models.cluster_snapshots(lines, days, horizon)[0] if days else None
+        return held["snapshots"]
+
+    def stability() -> DataFrame:
+        return models.stability_of(snapshots()) if snapshots() is not None else models.snapshot_stability(lines, [], horizon)
+
+    def snapshot_labels() -> DataFrame:
+        return models.snapshot_labels(snapshots()) if snapshots() is not None else spark.createDataFrame([], "customer_id string, cluster int, cluster_label string, snapshot string")
+
     by = lambda c: lambda: summaries.dimension_summary(lines, **{c: F.col(c)})
     return {
         "data_quality_issues": lambda: qa.issue_counts(lines),
@@ -52,8 +66,8 @@ def result_tables(lines: DataFrame, as_of: dt.date, horizon: int = 90) -> dict[s
         "cluster_diagnostics": lambda: clusters(1),
         "cluster_profiles": lambda: models.cluster_profiles(clusters(0)),
         "rfm_cluster_comparison": lambda: scoring.compare_segments(clusters(0), "rfm_segment", "cluster_label"),
-        "cluster_stability": lambda: models.snapshot_stability(lines, models.snapshot_days(lines, horizon), horizon),
-        "cluster_labels_snapshots": lambda: models.snapshot_labels(lines, models.snapshot_days(lines, horizon), horizon),
+        "cluster_stability": stability,
+        "cluster_labels_snapshots": snapshot_labels,
         "rfm_segment_profiles": lambda: scoring.segment_profile(scored(), "rfm_segment"),
         "repeat_survival": lambda: survival.repeat_survival(events, as_of),
         "cohort_retention_new_customers": lambda: survival.cohort_retention(events, as_of),

@@ -34,13 +34,28 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, computed once; lost executors do not lose it, and it goes when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerline/table-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; it is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/ledgerline/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def settled(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` as a table in the shared folder, computed once; lost executors do not lose it, and it goes when the driver ends
+    or when :func:`dropped` takes it."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._ledgerline_path = path
+    return back
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove the files behind tables that :func:`settled` made, once nothing reads them."""
+    for df in tables:
+        remove(df.sparkSession, df._ledgerline_path)
+        _written[:] = [w for w in _written if w[1] != df._ledgerline_path]
 
 
 @atexit.register
