@@ -31,7 +31,7 @@ LEAST_LETTERS = 7
 LEAST_COUNT = 2
 TIMES = 10
 DAMAGED = 31
-POWER = 5
+WORDS_A_TASK = 50_000
 
 
 def words_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", damaged: int | None = DAMAGED) -> DataFrame:
@@ -61,27 +61,30 @@ def letter_value(letter: Column) -> Column:
 
 
 def _offers(words: DataFrame) -> DataFrame:
-    """What each word offers: a key, one half of its letters, and the word and its count."""
+    """What each word offers: twice a key, plus 1 for the second half, that half of its letters, and the word, its count and the
+    code of the letter that is left out (0 for none)."""
     letters = F.filter(F.split("word", ""), lambda c: c != "")
     keyed = words.select("word", "n", letters.alias("letters"))
     key = F.aggregate("letters", F.lit(0).cast("long"), lambda total, c: total + letter_value(c))
     each = keyed.select("word", "n", key.alias("key"), F.explode(F.array_union(F.array_distinct("letters"), F.array(F.lit("")))).alias("letter"))
-    each = each.withColumns({"key": F.when(F.col("letter") == "", F.col("key")).otherwise(F.col("key") - letter_value(F.col("letter"))), "m": F.length("word") - F.length("letter")})
+    value = F.when(F.col("letter") == "", F.lit(0).cast("long")).otherwise(letter_value(F.col("letter")))
+    each = each.select("word", "n", F.ascii("letter").alias("letter"), (F.col("key") - value).alias("key"), (F.length("word") - F.length("letter")).alias("m"))
     first = F.floor(F.col("m") / 2).cast("int")
-    halves = F.array(F.struct(F.lit(0).alias("side"), F.substring("word", F.lit(1), first).alias("half")), F.struct(F.lit(1).alias("side"), F.right("word", F.col("m") - first).alias("half")))
-    return each.select("key", F.inline(halves), "word", "n", "letter")
+    halves = F.array(F.struct((F.col("key") * 2).alias("at"), F.substring("word", F.lit(1), first).alias("half")), F.struct((F.col("key") * 2 + 1).alias("at"), F.right("word", F.col("m") - first).alias("half")))
+    return each.select(F.inline(halves), "word", "n", "letter")
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """word, n_near and the near word of largest count (near, near_n), for words with near words."""
     offers = _offers(words)
-    a = offers
-    b = offers.withColumnsRenamed({"word": "near", "n": "near_n", "letter": "other"})
-    first = lambda c: F.substring(c, F.lit(1), F.floor((F.length("word") - F.length("letter")) / 2).cast("int"))
-    once = (F.col("side") == 0) | (first("word") != first("near"))
-    met = a.join(b, ["key", "side", "half"]).filter((F.col("letter") != F.col("other")) & once & (F.levenshtein("word", "near", 1) == 1))
+    other = offers.withColumnsRenamed({"word": "near", "n": "near_n", "letter": "other"})
+    m = F.length("word") - (F.col("letter") > 0).cast("int")
+    first = lambda c: F.substring(c, F.lit(1), F.floor(m / 2).cast("int"))
+    once = (F.col("at") % 2 == 0) | (first("word") != first("near"))
+    met = offers.join(other, ["at", "half"]).filter((F.col("letter") != F.col("other")) & once & (F.levenshtein("word", "near", 1) == 1))
     best = F.min(F.struct((-F.col("near_n")).alias("d"), "near"))
-    return met.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("b")).select("word", "n_near", F.col("b.near").alias("near"), (-F.col("b.d")).alias("near_n"))
+    # with its own count each side needs the same columns, so that one exchange serves both
+    return met.groupBy("word", "n").agg(F.count(F.lit(1)).alias("n_near"), best.alias("b")).select("word", "n_near", F.col("b.near").alias("near"), (-F.col("b.d")).alias("near_n"))
 
 
 def last_forms(forms: DataFrame) -> DataFrame:
@@ -100,8 +103,11 @@ def last_forms(forms: DataFrame) -> DataFrame:
 
 def spelling_variants(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", damaged: int | None = DAMAGED, times: int = TIMES) -> DataFrame:
     """word, form, root, n, n_near and form_n of every word of the vocabulary."""
-    words = written(vocabulary(words_of(docs, text, doc_id, damaged)), "words")
-    found = words.join(near_words(words), "word", "left")
+    seen = Observation()
+    words = written(vocabulary(words_of(docs, text, doc_id, damaged)).observe(seen, F.count(F.lit(1)).alias("n")), "words")
+    # a word makes some twenty offers, so the words are dealt out before
+    dealt = words.repartition(1 + seen.get["n"] // WORDS_A_TASK, "word")
+    found = words.join(near_words(dealt), "word", "left")
     form = (F.col("near_n") >= F.col("n") * times) & F.col("near").isNotNull()
     found = written(found.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(form, F.col("near")).alias("form"), F.when(form, F.col("near_n")).alias("form_n")), "forms")
     roots = last_forms(found.filter("form IS NOT NULL").select("word", "form"))
