@@ -19,7 +19,6 @@ length are formatted whole. The digests of a conversation run along its turns, s
 from __future__ import annotations
 
 import hashlib
-import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -58,7 +57,9 @@ def fingerprint(paths: set[str] | list[str]) -> str:
 
 
 _BY_PRINT = {fingerprint(x["paths"]): x for x in LAYOUTS}
+_BY_LENGTH = sorted(LAYOUTS, key=lambda x: sorted(x["paths"]))  # of equal lengths the first in order of names
 _NAMES = {re.split(r"\.", p)[-1] for x in LAYOUTS for p in x["paths"]}
+_LEAVES = {p.split(".")[-1] for x in LAYOUTS if "items" in x for p in x["paths"]}  # role and content, from and value
 _ARRAYS = {p.split("[]")[0] for x in LAYOUTS for p in x["paths"] if "[]" in p}
 
 
@@ -83,11 +84,9 @@ def layout_of(paths: frozenset[str]) -> dict | None:
     for p in sorted(paths, key=lambda p: (p.count("."), p)):
         if (c := canonical_path(p)) is not None:
             where.setdefault(c, p)
-    for size in range(len(where), 0, -1):
-        for some in itertools.combinations(sorted(where), size):
-            if (layout := _BY_PRINT.get(fingerprint(list(some)))) is not None:
-                return layout | {"where": {c: where[c] for c in some}}
-    return None
+    fit = max((x for x in _BY_LENGTH if set(where) >= set(x["paths"])), key=lambda x: len(x["paths"]), default=None)
+    layout = _BY_PRINT[fingerprint(fit["paths"])] if fit else None
+    return layout | {"where": {c: where[c] for c in layout["paths"]}} if layout else None
 
 
 def schema_paths(schema: T.DataType, at: str = "") -> set[str]:
@@ -100,7 +99,9 @@ def schema_paths(schema: T.DataType, at: str = "") -> set[str]:
 
 
 def value_paths(value: object, at: str = "") -> set[str]:
-    """Nested field paths of a parsed JSON value."""
+    """Nested field paths of a parsed JSON value. What a message says is one value, whatever it is made of."""
+    if at.split(".")[-1] in _LEAVES:
+        return {at}
     if isinstance(value, dict):
         return set().union(*[value_paths(v, f"{at}.{k}" if at else k) for k, v in value.items()]) if value else set()
     if isinstance(value, list):
@@ -140,36 +141,48 @@ def _role(role):
     return out
 
 
-def _inside(record: dict, path: str) -> object:
+def _inside(record: object, path: str) -> object:
     for name in path.split("."):
         record = record.get(name) if isinstance(record, dict) else None
     return record
 
 
-def _record_turns(record: object) -> list[tuple[str, str]]:
+def _said(value: object) -> str | None:
+    """A value as text: texts as they are, a list of parts by the texts in it, anything else as JSON."""
+    if value is None or isinstance(value, str):
+        return value
+    if isinstance(value, list) and all(isinstance(p, str) or (isinstance(p, dict) and isinstance(p.get("text"), str)) for p in value):
+        return "\n".join(p if isinstance(p, str) else p["text"] for p in value)
+    return json.dumps(value, ensure_ascii=False, sort_keys=True)
+
+
+def _record_turns(record: object) -> list[tuple[str | None, str | None]]:
     layout = layout_of(frozenset(value_paths(record))) if isinstance(record, dict) else None
     if layout is None or "rows" in layout:
         return []
     at = layout["where"]
     if "items" in layout:
         top, role, text = layout["items"]
-        return [(ROLES.get(m.get(role), m.get(role)), m.get(text)) for m in _inside(record, at[f"{top}[].{role}"].split("[]")[0]) or [] if isinstance(m, dict)]
-    said = {c: _inside(record, at[c]) for _, cols in layout["fields"] for c in cols}
-    return [(role, "\n".join(str(said[c]) for c in cols if said[c])) for role, cols in layout["fields"]]
+        items = _inside(record, at[f"{top}[].{role}"].split("[]")[0])
+        return [(ROLES.get(r := _said(m.get(role)), r), _said(m.get(text))) for m in (items if isinstance(items, list) else []) if isinstance(m, dict)]
+    said = {c: _said(_inside(record, at[c])) for _, cols in layout["fields"] for c in cols}
+    return [(role, "\n".join(said[c] for c in cols if said[c])) for role, cols in layout["fields"]]
+
+
+def _parsed(text: str | None) -> list[tuple[str | None, str | None]]:
+    """The turns of a JSON record; none of what is broken, unknown or nested too deeply."""
+    try:
+        return _record_turns(json.loads(text)) if text else []
+    except (ValueError, RecursionError):
+        return []
 
 
 def canonical_turns_json(df: DataFrame, conv_id: str, record: str) -> DataFrame:
-    """The same for a column of JSON records, each with a layout of its own; unknown or broken records give no turns."""
+    """The same for a column of JSON records, each with a layout of its own; unknown or broken records give no turns, and values that are
+    not texts become texts."""
 
     def parsed(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            try:
-                value = json.loads(t) if t else None
-            except ValueError:
-                value = None
-            out.append([{"role": r, "text": x} for r, x in _record_turns(value)])
-        return pd.Series(out, dtype=object)
+        return pd.Series([[{"role": r, "text": x} for r, x in _parsed(t)] for t in texts], dtype=object)
 
     turns = F.pandas_udf(parsed, "array<struct<role:string,text:string>>")
     rows = df.select(df[conv_id].alias("conv_id"), F.posexplode(turns(df[record])).alias("turn", "item"))
