@@ -129,7 +129,9 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     blob = F.pandas_udf(packed, "binary")(F.when(F.col("good"), x))
     rows = rows.select("id", "label", "good", F.when(F.col("good"), F.size(x)).alias("dim"), blob.alias("x"))
     rows = rows.withColumn("hash", F.sha2("x", 256))
-    classes = written(rows.filter("good").groupBy("label", "dim", "hash").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"), F.min("x").alias("x")), "vectors")
+    # equal vectors of a label are a class with a number of its own: an id may stand for several vectors
+    classes = rows.filter("good").groupBy("label", "dim", "hash").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"), F.min("x").alias("x"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "vectors")
     axes = spark.sparkContext.broadcast(principal_axes(classes))
     width = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
 
@@ -170,16 +172,26 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     with small_batches(spark, 8):
         found = written(pairs.mapInPandas(compare, "id long, links long, hub long"), "found")
     dropped(tiles)
-    members = rows.filter("good").join(classes.select("label", "dim", "hash", F.col("id").alias("class"), "size"), ["label", "dim", "hash"]).select("id", "class", "size")
     counts = found.groupBy(F.col("id").alias("class")).agg(F.sum("links").alias("links"))
-    nodes = connected_components(found.select(F.col("id").alias("u"), F.col("hub").alias("v")))
-    out = members.join(counts, "class", "left").join(nodes.select(F.col("node").alias("class"), "component"), "class", "left")
-    component, links = F.coalesce("component", "class"), F.col("size") - 1 + F.coalesce("links", F.lit(0))
+    nodes = connected_components(found.select(F.col("id").alias("u"), F.col("hub").alias("v")).unionByName(_shared_ids(rows, classes)))
+    numbered = classes.select("label", "dim", "hash", F.col("id").alias("class"), "least", "size").join(counts, "class", "left").join(nodes.select(F.col("node").alias("class"), F.col("component").alias("root")), "class", "left")
+    numbered = numbered.withColumn("root", F.coalesce("root", "class"))
+    roots = numbered.groupBy("root").agg(F.min("least").alias("component"))
+    out = rows.filter("good").select("id", "label", "dim", "hash").join(numbered.join(roots, "root").drop("least"), ["label", "dim", "hash"])
+    component, links = F.col("component"), F.col("size") - 1 + F.coalesce("links", F.lit(0))
     linked = out.select(F.col("id").alias("vec_id"), links.cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
     alone = rows.filter("NOT good").select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     return linked.unionByName(alone)
 
 
+def _shared_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Classes that share an id are one component, since components are of ids: (u, v) with the least such class."""
+    good = rows.filter("good").select("id", "label", "dim", "hash")
+    repeated = good.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
+    held = good.join(repeated, "id", "left_semi").join(classes.select("label", "dim", "hash", F.col("id").alias("class")), ["label", "dim", "hash"]).select("id", "class").distinct()
+    return held.join(held.groupBy("id").agg(F.min("class").alias("v")), "id").filter("class <> v").select(F.col("class").alias("u"), "v")
+
+
 def _meetings(tiles: DataFrame, crowd: DataFrame, grid: int, square: int) -> DataFrame:
     """Pairs of tiles of the same or of neighbouring cells, each once, with both tiles' vectors (v1, v2)."""
     cells = crowd.select("label", "dim", "cell", F.ceil(F.col("tiles") / square).alias("groups"))
