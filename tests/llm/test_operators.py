@@ -12,9 +12,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, embeddings, langid, licenses, media, minhash, mixing, packing, queries, secrets, warc
+from ledgerline.llm import chat, embeddings, langid, licenses, media, minhash, mixing, packing, queries, resampling, secrets, spelling, urlfilter, warc
 from ledgerline.llm.common import new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -83,15 +84,100 @@ def test_licenses_against_naming_by_exact_text(spark):
     assert got == {0: "MIT", 1: "Apache-2.0", 2: "CC-BY-NC-4.0", 3: "GPL-3.0", 7: "CC-BY-SA-4.0"}
 
 
-def test_licenses_spans_and_exhaustive_ranking(spark):
-    text = "Copyright 2020 A.\nLicensed under CC BY 4.0. Then prose.\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
-    for k, a, b, name, *_ in licenses.scan(text):
-        block = text[a:b]
-        best = min((sum(licenses.differences(licenses.words(block), licenses.words(t))), -len(licenses.words(t)), i, n) for i, (n, t) in enumerate(licenses.TEMPLATES.items()) if licenses.differences(licenses.words(block), licenses.words(t))[0] <= 0.1 * len(licenses.words(t)))
-        assert name == best[3], (k, block)
-    assert licenses.find_licenses(docs(spark, [text]).limit(0)).count() == 0
-    clash = docs(spark, [text, text]).withColumn("license", F.lit(1)).withColumn("start", F.lit(2))
-    assert licenses.find_licenses(clash).count() == 2 * len(licenses.scan(text))
+def plain_scan(text):
+    """Licenses of a text by rule: blocks around cues, templates by the bytes they save, all their stretches by trying each."""
+    spans = [m.span() for m in re.finditer(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*", text or "")]
+    cues = [m.span() for m in re.finditer(licenses.CUES, text or "", re.ASCII)]
+    templates = {n: [w.lower() for w in re.findall(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*", t)] for n, t in licenses.TEMPLATES.items()}
+    around = max(len(t) + len(t) // 10 for t in templates.values())
+    at = [(sum(b <= c[0] for _, b in spans), sum(a < c[1] for a, _ in spans)) for c in cues]
+    held = []
+    for first, last in at:
+        low, high = max(first - around, 0), min(last + around, len(spans))
+        if held and low <= held[-1][1]:
+            held[-1] = [held[-1][0], max(high, held[-1][1]), held[-1][2] + [(first, last)]]
+        else:
+            held.append([low, high, [(first, last)]])
+    size = lambda said, dictionary: len(zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(compression_level=3, write_content_size=False, write_checksum=False, write_dict_id=False), dict_data=zstandard.ZstdCompressionDict(dictionary.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None).compress(said.encode()))
+    out = []
+    for k, (low, high, of) in enumerate(held):
+        said = [text[a:b].lower() for a, b in spans[low:high]]
+        ranks = []
+        for order, (name, t) in enumerate(templates.items()):
+            if sum(w not in said for w in t) > len(t) // 10:
+                continue
+            inside = np.zeros(len(said), bool)
+            for first, last in of:
+                inside[max(first - low - len(t) - 2 * (len(t) // 10), 0) : last - low + len(t) + 2 * (len(t) // 10)] = True
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(int), [0]])))
+            parts = [" ".join(said[a:b]) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+            ranks.append((-max(size(p, "") - size(p, " ".join(t)) for p in parts), order, name, t))
+        taken, met = [], []
+        for _, _, name, t in sorted(ranks):
+            slack, fits = len(t) // 10, []
+            for a in range(len(said)):
+                for b in range(a + len(t) - slack, min(a + len(t) + slack, len(said)) + 1):
+                    if said[a] in t and said[b - 1] in t:
+                        missing, added = lacking(said[a:b], t)
+                        if missing <= slack and added <= missing + slack:
+                            fits.append((missing + added, missing, a, b, added))
+            mine = []
+            for _, missing, a, b, added in sorted(fits):
+                if all(b <= x[0] or x[1] <= a for x in mine):
+                    mine.append((a, b, missing, added))
+            cut = lambda a, b: " ".join(said[a:b])
+            met += [(size(cut(a, b), " ".join(t)) - size(cut(a, b), ""), len(met), a, b, name, missing, added) for a, b, missing, added in mine]
+        for less, _, a, b, name, missing, added in sorted(met):
+            if all(b <= x[0] or x[1] <= a for x in taken):
+                taken.append((a, b, name, -less, missing, added))
+        out += [(k, spans[low + a][0], spans[low + b - 1][1], *rest) for a, b, *rest in sorted(taken)]
+    return out
+
+
+def lacking(said, template):
+    """Words of the template missing from, and words added in, a stretch, by the longest common subsequence."""
+    row = [0] * (len(template) + 1)
+    for w in said:
+        last, row = row, [0]
+        for i, t in enumerate(template):
+            row.append(last[i] + 1 if w == t else max(last[i + 1], row[-1]))
+    return len(template) - row[-1], len(said) - row[-1]
+
+
+LICENSED = [
+    None,
+    "",
+    "no cue here",
+    "Released under the MIT License. Also under CC BY-SA 4.0, all rights reserved.",
+    "x " * 30 + licenses.TEMPLATES["Apache-2.0-text"] + " http://example.org " + "y " * 20,
+    "Text licensed under the GNU Affero General Public License, version 3, or under the Apache License, Version 2.0.",
+    licenses.TEMPLATES["MPL-2.0-header"].replace("distributed", "given") + " license " + licenses.TEMPLATES["CC0-1.0"],
+    licenses.TEMPLATES["CC-BY-SA-4.0-name"] + " license " * 3 + licenses.TEMPLATES["Unlicense-text"].replace("compile", "build"),
+]
+
+
+def test_license_query_by_brute_force(spark):
+    got = {}
+    for r in licenses.find_licenses(docs(spark, LICENSED)).collect():
+        got.setdefault(r["doc_id"], []).append((r["block"], r["start"], r["end"], r["license"], r["saved"], r["missing"], r["added"]))
+    for i, text in enumerate(LICENSED):
+        short = lambda rows: [(k, a, b, n, v, m) for k, a, b, n, v, m, _ in rows]
+        assert sorted(short(got.get(i, []))) == sorted(short(plain_scan(text))), i
+    clash = docs(spark, LICENSED).withColumn("license", F.lit(1)).withColumn("start", F.lit(2))
+    assert licenses.find_licenses(clash).count() == sum(map(len, got.values())) and licenses.find_licenses(clash.limit(0)).count() == 0
+
+
+def test_savings_choose_among_licenses_that_overlap(monkeypatch):
+    whole = "Notice. " + licenses.TEMPLATES["Apache-2.0-header"] + " End. " + licenses.TEMPLATES["BSD-3-Clause-whole"] + " End. " + licenses.TEMPLATES["MIT-whole"] + " " + licenses.TEMPLATES["GPL-header"]
+    names = ["Apache-2.0-header", "BSD-3-Clause-whole", "MIT-whole", "GPL-header"]
+    assert [x[3] for x in licenses.scan(whole)] == names
+    for name, text in licenses.TEMPLATES.items():  # each whole template is named as itself, whatever it contains
+        assert [x[3] for x in licenses.scan(f"Some words before it. {text} And some more words after it.") if x[6] + x[5] == 0][0] == name, name
+    monkeypatch.setattr(licenses, "saving", lambda said, name: 1)
+    assert [x[3] for x in licenses.scan(whole)] != names
+    rng = random.Random(3)
+    monkeypatch.setattr(licenses, "saving", lambda said, name: rng.random())
+    assert any([x[3] for x in licenses.scan(whole)] != names for _ in range(5))
 
 
 def test_licenses_in_long_blocks_and_wrapped_or_unpunctuated_text():
@@ -611,3 +697,245 @@ def test_chat_layouts(spark):
     assert rows(chat.canonical_turns(several), "role", "text") == [("system", "s"), ("user", "p"), ("assistant", "r")]
     assert chat.layout_of(frozenset({"record.prompt", "record.completion", "id"}))["name"] == "prompt and completion" and chat.layout_of(frozenset({"id"})) is None
     assert sorted(rows(chat.canonical_turns_json(df, "id", "record"), "conv_id", "role", "text")) == [(0, "assistant", "b"), (0, "user", "a"), (1, "assistant", "c"), (1, "user", "p")]
+
+
+def test_chat_records_of_odd_values(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    rows = [
+        '{"messages": [{"role": "user", "content": 5}]}',
+        '{"messages": [{"role": "user", "content": "a"}, {"role": "gpt", "content": [{"type": "text", "text": "b"}, "c"]}]}',
+        '{"messages": [{"role": ["u"], "content": "d"}]}',
+        deep,
+        '{"messages": ' + deep + "}",
+        '{"prompt": {"x": [1, null]}, "response": false}',
+        '{"messages": {"role": "user", "content": "e"}}',
+        '{"messages": [{"role": null, "content": null}, 7]}',
+        "7",
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(rows)), "conv_id long, record string")
+    got = {}
+    for r in chat.canonical_turns_json(df, "conv_id", "record").orderBy("conv_id", "turn").collect():
+        got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    assert got[0] == [("user", "5")] and got[1] == [("user", "a"), ("assistant", "b\nc")] and got[2] == [("u", "d")]
+    assert 3 not in got and 4 not in got and 8 not in got and 9 not in got and got.get(7, []) == [(None, None)]
+    digests = chat.digest_parts(chat.format_turns(chat.canonical_turns_json(df, "conv_id", "record")))
+    assert digests.count() == len(got)
+
+
+def test_layouts_are_chosen_by_their_longest_paths():
+    for layout in chat.LAYOUTS:
+        assert chat.layout_of(frozenset(layout["paths"] + ["id", "meta.x"]))["name"] == layout["name"]
+    every = frozenset(p for x in chat.LAYOUTS for p in x["paths"])
+    assert len(chat.layout_of(every)["paths"]) == max(len(x["paths"]) for x in chat.LAYOUTS) and chat.layout_of(frozenset(["z"])) is None
+
+
+def test_chat_long_texts(spark):
+    long = "word </s> " * 120_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long + "x"), (1, 2, "user", None)], "conv_id long, turn long, role string, text string")
+    got = chat.digest_parts(chat.format_turns(chat.canonical_turns(df))).first()
+    assert got["n_turns"] == 3 and got["loss_chars"] == len(long) + 1 and got["loss_sha256"] == hashlib.sha256((long + "x").encode()).hexdigest()
+
+
+def test_warc_long_payloads(spark, tmp_path):
+    html = ["<p>" + "é" * 3_000_000, None, "<p>" + "é" * 3_000_000]
+    df = spark.createDataFrame([(i, f"http://a.org/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    warc.write_archives(df, str(tmp_path / "w"))
+    got = {int(r["page_id"]): r for r in warc.read_archives(spark, str(tmp_path / "w"), payloads=False).collect()}
+    assert got[0]["payload_bytes"] == 6_000_003 and got[0]["record_type"] == "revisit" and int(got[0]["refers_to"]) == 2 and got[1]["payload_bytes"] == 0
+
+
+def test_embeddings_that_share_an_id(spark):
+    rows = [(1, "a", [1.0, 0.0]), (1, "a", [0.0, 1.0]), (2, "a", [1.0, 0.01]), (3, "b", [1.0, 0.0]), (3, "c", [1.0, 0.0]), (4, "c", [1.0, 0.0]), (5, "a", [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3), (3, 1, 3), (4, 1, 3), (5, 0, 5)]
+
+
+# -- urls
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+
+
+def test_url_parts_and_rules(spark):
+    rows = [
+        ("http://A.ORG/x?y", "a.org", "/x", "org/", "allow"), ("https://sub.Example.org/es/1#t", "sub.example.org", "/es/1", "example.org/es/", "block"),
+        ("http://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"), ("http://example.org/en/2", "example.org", "/en/2", "org/", "allow"), ("http://org?/x", "org", "", None, "allow"),
+        ("x://notorg/", "notorg", "/", None, "allow"), ("http://b.com/fr/://q", "b.com", "/fr/://q", "com/fr/", "allow"), ("http://b.com/de/", "b.com", "/de/", "com/de/", "block"), ("b.com/de/", "", "", None, "allow"), (None, "", "", None, "allow"), ("", "", "", None, "allow"), ("://", "", "", None, "allow"),
+        ("http://É.COM/fr", "É.com", "/fr", None, "allow"), ("http://a\nb.org/\n", "a\nb.org", "/\n", "org/", "allow"),
+    ]
+    df = pages_of(spark, [(r[0], None) for r in rows]).withColumn("host", F.lit(1)).withColumn("trust", F.lit("x"))
+    got = {r["page_id"]: r for r in urlfilter.filter_urls(df).collect()}
+    for i, (_, host, path, rule, verdict) in enumerate(rows):
+        r = got[i]
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and (rule is None or r["verdict"] == verdict), rows[i]
+    assert urlfilter.filter_urls(df.limit(0)).count() == 0
+
+
+def link(*hosts):
+    return "".join(f'<a HREF="http://{h}/p">x</a>' for h in hosts) + '<a href="/own">y</a>'
+
+
+def test_reputation_follows_links_by_brute_force(spark):
+    rng = random.Random(5)
+    hosts = [f"h{i}.net" for i in range(12)] + ["good.org", "x.bad.com", "10.0.0.1"]
+    rows = []
+    for h in hosts:
+        for _ in range(rng.randrange(1, 4)):
+            to = [rng.choice(hosts) for _ in range(rng.randrange(0, 5))]
+            rows.append((f"http://{h}/" + ("de/" if "bad" in h else "q"), link(*to) + f"<img src='//{rng.choice(hosts).upper()}/i.png'>" if rng.random() < 0.8 else None))
+    rows += [("http://h3.net/q", link("good.org", "h1.net"))] * 3
+    df = pages_of(spark, rows)
+    got = urlfilter.filter_urls(df).toPandas()
+    weights = {}
+    for u, html in rows:
+        src = u.split("/")[2].lower()
+        for dst in re.findall(r"(?i)(?:href|src)\s*=\s*[\"']?(?:http:)?//([^/\"']+)", html or ""):
+            if dst.lower() != src:
+                weights[src, dst.lower()] = weights.get((src, dst.lower()), 0) + 1
+    for a, b in (("x.bad.com", "bad.com"), ("bad.com", "x.bad.com")):
+        weights[a, b] = weights.get((a, b), 0) + 1
+    for name, flip, seed in (("trust", False, "allow"), ("distrust", True, "block")):
+        edges = {((b, a) if flip else (a, b)): w for (a, b), w in weights.items()}
+        mass = {}
+        for r in got.itertuples():
+            if r.rule is not None and r.verdict == seed:
+                mass[r.host] = mass.get(r.host, 0) + urlfilter.UNIT
+        total = dict(mass)
+        for _ in range(urlfilter.ROUNDS):
+            now = {}
+            for (a, b), w in edges.items():
+                if a in mass:
+                    now[b] = now.get(b, 0) + mass[a] * urlfilter.DAMPING * w // (100 * sum(v for (x, _), v in edges.items() if x == a))
+            mass = now
+            for h, m in mass.items():
+                total[h] = total.get(h, 0) + m
+        assert {r.host: getattr(r, name) for r in got.itertuples()} == {h: total.get(h, 0) for h in set(got.host)}
+    free = got[got.rule.isna()]
+    assert ((free.verdict == "block") == (free.distrust > free.trust)).all() and len(got) == len(rows)
+    plan = urlfilter.filter_urls(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+# -- spelling variants
+
+
+def test_letter_values_tell_pairs_apart():
+    letters = [0, *range(97, 123), *range(65, 91), *range(192, 256)]
+    sums = {}
+    for a, b in itertools.combinations_with_replacement(letters, 2):
+        assert sums.setdefault(a**5 + b**5, (a, b)) == (a, b)
+
+
+def near(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def plain_variants(rows):
+    counts = {}
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] = counts.get(run, 0) + 1
+    words = {w: n for w, n in counts.items() if len(w) >= 7 and n >= 2}
+    out = {}
+    for w, n in words.items():
+        close = sorted((-m, v) for v, m in words.items() if near(w, v))
+        out[w] = [None, w, n, len(close), None]
+        if close and -close[0][0] >= 10 * n:
+            out[w][0], out[w][4] = close[0][1], -close[0][0]
+    for v in out.values():
+        while out[v[1]][0] is not None:
+            v[1] = out[v[1]][0]
+    return {w: tuple(v) for w, v in out.items()}
+
+
+def test_spelling_variants_by_brute_force(spark):
+    rng = random.Random(7)
+    base = ["alphabet", "alphabets", "Alphabet", "alphaßeta", "ÀLPHABET", "aaaaaaa", "aaaaaaaa", "aaaaaaaab", "listens", "tinsels", "silents", "commit", "commits", "übergabe"]
+    texts = []
+    for _ in range(60):
+        said = [rng.choice(base) for _ in range(40)]
+        for k, w in enumerate(said):
+            if rng.random() < 0.1:
+                i = rng.randrange(len(w))
+                said[k] = rng.choice([w[:i] + w[i + 1 :], w[:i] + rng.choice("abz") + w[i:], w[:i] + rng.choice("abz") + w[i + 1 :]])
+        texts.append(" ".join(said))
+    texts += ["commits " * 300, "commitz " * 25, "commixz commixz", None, "", "12 34", "q" * 60_000 + " " + "q" * 60_000, "q" * 59_999 + " and " + "q" * 59_999]
+    rows = [(i if i % 9 else None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, word string, n int")
+    got = {r["word"]: (r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in spelling.spelling_variants(df).collect()}
+    assert got == plain_variants(rows)
+    assert got["commixz"][:2] == ("commitz", "commits") if "commixz" in got else True
+    assert spelling.spelling_variants(df.limit(0)).count() == 0
+
+
+def test_forms_are_followed_to_the_last(spark):
+    forms = spark.createDataFrame([(f"w{i}", f"w{i + 1}") for i in range(11)] + [("x", "w4")], "word string, form string")
+    assert {r["word"]: r["root"] for r in spelling.last_forms(forms).collect()} == dict.fromkeys([f"w{i}" for i in range(11)] + ["x"], "w11")
+
+
+# -- resampling
+
+
+def plain_resample(rows, target):
+    lower = lambda t: "".join(c.lower() if c.isascii() else c for c in t or "")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    features = lambda w: [zlib.crc32(f.encode()) % 10000 for f in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))]]
+    s, t = np.zeros(10000), np.zeros(10000)
+    for _, text in rows:
+        np.add.at(s, features(words(text)), 1)
+    for text in target:
+        np.add.at(t, features(words(text)), 1)
+    gain = [int(np.floor(1000 * np.log((b + 1) * (s.sum() + 10000) / ((a + 1) * (t.sum() + 10000))))) for a, b in zip(s, t, strict=True)]
+    out = []
+    for doc_id, text in rows:
+        w = words(text)
+        f = features(w)
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"7:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        out.append([doc_id, len(f), weight, weight + int(np.floor(-1000 * np.log(-np.log((h + 0.5) / 4294967296.0)))), len(w)])
+    fit = sorted((r for r in out if r[4] >= 20), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1]))
+    drawn = [tuple(r[:4]) for r in fit[: 25 * len(fit) // 100]]
+    return sorted(map(str, (tuple(r[:4]) for r in out))), drawn
+
+
+def test_resampling_by_brute_force(spark):
+    rng = random.Random(11)
+    kinds = ["alpha beta gamma délta".split(), "one two three 4 five".split(), "Zed-YET x9 ñandú".split()]
+    rows = [(i, " ".join(rng.choice(kinds[i % 3]) for _ in range(rng.randrange(0, 60)))) for i in range(300)]
+    rows += [(7, rows[7][1])] * 40 + [(None, "alpha beta " * 30), (None, "alpha beta " * 30), (9, None), (10, ""), (-(2**62), "one " * 25), (2**62, "one two " * 25), (5, "w " * 400_000), (-3, "- . !")]
+    target = ["alpha beta gamma", None, "alpha alpha 4", ""]
+    df = spark.createDataFrame([(i, t, 1, "s") for i, t in rows], "doc_id long, text string, rank int, score string")
+    goal = spark.createDataFrame([(t,) for t in target], "text string")
+    all_, drawn = plain_resample(rows, target)
+    for parts in (1, 5):
+        got = resampling.importance_resample(df.repartition(parts), goal).collect()
+        assert sorted(str((r["doc_id"], r["n_features"], r["weight"], r["score"])) for r in got) == all_
+        ranked = sorted((r for r in got if r["rank"] is not None), key=lambda r: r["rank"])
+        assert [r["rank"] for r in ranked] == list(range(1, len(drawn) + 1))
+        assert [(r["doc_id"], r["n_features"], r["weight"], r["score"]) for r in ranked] == drawn
+    assert resampling.importance_resample(df.limit(0), goal).count() == 0
+    alone = resampling.importance_resample(df.filter("doc_id = 10 AND text = ''"), goal.limit(0)).collect()
+    assert [(r["n_features"], r["weight"], r["rank"]) for r in alone] == [(0, 0, None)]
+
+
+def test_radix_selection_finds_every_rank(spark):
+    rng = random.Random(13)
+    rows = [(rng.choice([-5, 3, 3, 2**62, -(2**63), 2**63 - 1]), rng.randrange(-4, 4)) for _ in range(150)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    order = sorted(rows)
+    for k in (1, 2, 50, 75, 149, 150):
+        key = resampling.kth_key(df, ["a", "b"], k, bits=3)
+        kept = df.filter(resampling.up_to(["a", "b"], key)).count()
+        assert kept == sum(r <= order[k - 1] for r in order), k
