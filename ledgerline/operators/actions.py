@@ -2,31 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.semantics import correlation
 from ledgerline.operators import periods as pr
-
-
-def action_matrix(lines: DataFrame, p: pr.Period) -> DataFrame:
-    """Seven rules over period results, each a row when it applies: priority, action, evidence."""
-    kpis = pr.period_kpis(lines, p)
-    delta = pr.kpi_delta(kpis)
-    keep = pr.retention_metrics(lines, p)
-    category = pr.category_period_features(lines, p)
-    found = pr.anomalies(lines, p)
-    rule = lambda df, n, action, evidence: df.select(F.lit(n).alias("priority"), F.lit(action).alias("action"), evidence.alias("evidence"))
-    say = lambda *parts: F.concat_ws(" ", *[F.lit(x) if isinstance(x, str) else F.round(x, 2).cast("string") for x in parts])
+from ledgerline.operators.scoring import rfm_app
+from ledgerline.storage import settled
+
+
+# What each rule of the action matrix is about, by its priority.
+RULES = {
+    1: ("Retention", "historical_revenue_at_risk", "inactive_valuable_count > 0", "Reactivation rate, revenue recovered"),
+    2: ("Retention", "historical_revenue_at_risk", "at_risk_monetary_sum > 0", "Reactivation rate, revenue per reactivated customer"),
+    3: ("Acquisition", "future_lifetime_value", "new_customer_share > 20%", "Second purchase rate within 30/60/90 days"),
+    4: ("Cross-sell", "aov_uplift_potential", "high_lift_pairs_count > 0", "Bundle attachment rate, AOV, units per order"),
+    5: ("Merchandising", "revenue_mix_improvement", "category_opportunities_count > 0", "Category revenue growth, share of wallet"),
+    6: ("Diagnostics", "risk_mitigation", "total_anomalies > 0", "Return to expected range"),
+    7: ("Growth", "future_revenue_potential", "champions_count > 0", "Revenue per champion, category breadth, referral rate"),
+}
+MOST_PAIRS = 5
+
+
+def category_kinds(category: DataFrame) -> DataFrame:
+    """Categories with their kind: growing below the median share (emerging), growing from there on (scale), shrinking from there
+    on (declining), or none."""
+    mid = F.broadcast(category.agg(F.percentile("revenue_share", F.lit(0.5)).alias("__mid")))  # one row, of few categories
+    large = F.col("revenue_share") >= F.col("__mid")
+    kind = F.when((F.col("growth") > 0) & ~large, "emerging").when((F.col("growth") > 0) & large, "scale").when((F.col("growth") < 0) & large, "declining")
+    return category.crossJoin(mid).withColumn("kind", kind).drop("__mid")
+
+
+def action_matrix(lines: DataFrame, p: pr.Period, pairs: DataFrame | None = None) -> DataFrame:
+    """The rules that apply to a period, a row for each: priority, category, title, impact (revenue, or null), impact_type,
+    metric_to_track, affected_count and priority_rule.
+
+    They look at valuable customers who stayed away, customers at risk and champions by RFM, new customers above a fifth,
+    ``pairs`` with a lift above 2 (five at the most), kinds of categories, and unusual days.
+    """
+    keep = settled(pr.retention_metrics(lines, p))
+    segments = settled(rfm_app(lines, p.end).groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum("monetary").alias("v")))
+    category = settled(category_kinds(pr.category_period_features(lines, p)))
+    one = lambda df: df.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("v").alias("v"))
+    risk, champions = one(segments.filter("segment IN ('At Risk High Value', 'At Risk')")), one(segments.filter("segment = 'Champions'"))
+    kinds = category.agg(F.countDistinct("kind").alias("k"), F.count(F.lit(1)).alias("n"))
+    days = pr.anomalies(lines, p).agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(None).cast("double")
+
+    def rule(df: DataFrame, priority: int, title: Column, impact: Column, count: Column) -> DataFrame:
+        about, kind, name, track = RULES[priority]
+        return df.select(F.lit(priority).alias("priority"), F.lit(about).alias("category"), title.alias("title"), impact.alias("impact"), F.lit(kind).alias("impact_type"), F.lit(track).alias("metric_to_track"), count.cast("long").alias("affected_count"), F.lit(name).alias("priority_rule"))
+
+    say = lambda before, n, after: F.concat(F.lit(before), n.cast("string"), F.lit(after))
+    share = F.format_string("%.0f", F.col("new_customer_share") * 100)
     rules = [
-        rule(delta.filter("kpi = 'revenue' AND pct_change < -5"), 1, "Stop the revenue decline", say("revenue change in percent:", F.col("pct_change"))),
-        rule(keep.filter("inactive_valuable_count > 0"), 2, "Win back valuable customers", say("customers away:", F.col("inactive_valuable_count"))),
-        rule(keep.filter("retention_rate < 0.5"), 3, "Improve retention", say("retention rate:", F.col("retention_rate"))),
-        rule(category.filter("growth < -10").agg(F.count(F.lit(1)).alias("n")).filter("n > 0"), 4, "Review shrinking categories", say("categories:", F.col("n"))),
-        rule(category.filter("growth > 10").agg(F.count(F.lit(1)).alias("n")).filter("n > 0"), 5, "Invest in growing categories", say("categories:", F.col("n"))),
-        rule(found.agg(F.count(F.lit(1)).alias("n")).filter("n > 0"), 6, "Look into unusual days", say("findings:", F.col("n"))),
-        rule(delta.filter("kpi = 'aov' AND pct_change < -5"), 7, "Raise the order value", say("order value change in percent:", F.col("pct_change"))),
+        rule(keep.filter("inactive_valuable_count > 0"), 1, say("Win back ", F.col("inactive_valuable_count"), " valuable customers who stayed away"), F.col("inactive_valuable_revenue"), F.col("inactive_valuable_count")),
+        rule(risk.filter("n > 0"), 2, say("Reach ", F.col("n"), " customers at risk"), F.col("v"), F.col("n")),
+        rule(keep.filter("new_customer_share > 0.2"), 3, say("Guide the ", share, "% new customers to a second purchase"), none, F.lit(0)),
+        rule(kinds.filter("k > 0"), 5, say("Review ", F.col("k"), " kinds of category opportunities"), none, F.col("n")),
+        rule(days.filter("n > 0"), 6, say("Look into ", F.col("n"), " unusual signals"), none, F.col("n")),
+        rule(champions.filter("n > 0"), 7, say("Deepen ties with ", F.col("n"), " champions"), F.col("v"), F.col("n")),
     ]
+    if pairs is not None:
+        found = pairs.filter("lift > 2").limit(MOST_PAIRS).agg(F.count(F.lit(1)).alias("n"))
+        rules.insert(3, rule(found.filter("n > 0"), 4, say("Try ", F.col("n"), " bundles of items bought together"), none, F.col("n")))
     out = rules[0]
     for r in rules[1:]:
         out = out.unionByName(r)

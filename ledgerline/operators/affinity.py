@@ -69,15 +69,41 @@ def candidate_baskets(lines: DataFrame, c: AffinityConfig) -> DataFrame:
     return out
 
 
-def pair_counts(held: DataFrame, seed: int = 42) -> DataFrame:
-    """Item pairs (a < b by name) with baskets and customers, also by half of the customers; a basket has few items."""
+def _pairs(held: DataFrame, seed: int) -> DataFrame:
     rows = held.select("customer_id", F.array_sort("items").alias("i"), hash_half(F.col("customer_id"), seed).alias("half"))
     left = rows.select("customer_id", "half", "i", F.posexplode("i").alias("p", "a"))
-    pairs = left.select("customer_id", "half", "a", F.explode(F.slice("i", F.col("p") + 2, F.size("i"))).alias("b"))
+    return left.select("customer_id", "half", "a", F.explode(F.slice("i", F.col("p") + 2, F.size("i"))).alias("b"))
+
+
+def _counted_pairs(pairs: DataFrame) -> DataFrame:
     by_customer = pairs.groupBy("a", "b", "customer_id", "half").agg(F.count(F.lit(1)).alias("n"))
     return by_customer.groupBy("a", "b").agg(F.sum("n").alias("pair_baskets"), F.count(F.lit(1)).alias("n_ab"), F.count_if(F.col("half") == 0).alias("n_ab_0"), F.count_if(F.col("half") == 1).alias("n_ab_1"))
 
 
+def pair_counts(held: DataFrame, seed: int = 42) -> DataFrame:
+    """Item pairs (a < b by name) with baskets and customers, also by half of the customers."""
+    return _counted_pairs(_pairs(held, seed))
+
+
+PAIR_BUCKETS = 1 << 20
+
+
+def frequent_pairs(held: DataFrame, least: float, seed: int = 42, buckets: int = PAIR_BUCKETS) -> DataFrame:
+    """What :func:`pair_counts` gives for the pairs in ``least`` baskets or more, without shuffling the others (Park, Chen and Yu
+    1995).
+
+    Items in fewer baskets go first. A first pass counts hashes of pairs, and only pairs whose bucket reaches ``least`` are
+    then counted exactly. A basket's pairs are made twice but stay in their task; shuffled are at most ``buckets`` counts of
+    each task, and rows of pairs whose bucket is full. Buckets that are full are at most pairs a basket over least share.
+    """
+    often = held.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("item")
+    rows = held.select("customer_id", "basket_key", F.explode("items").alias("item")).join(often, "item")
+    rows = settled(rows.groupBy("customer_id", "basket_key").agg(F.array_sort(F.collect_list("item")).alias("items")).filter(F.size("items") > 1))
+    paired = _pairs(rows, seed).withColumn("bucket", F.pmod(F.xxhash64("a", "b"), F.lit(buckets)))
+    full = paired.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("bucket")
+    return _counted_pairs(paired.join(full, "bucket", "left_semi")).filter(F.col("pair_baskets") >= least)
+
+
 def item_counts(held: DataFrame, seed: int = 42) -> DataFrame:
     rows = held.select("customer_id", F.explode("items").alias("item"), hash_half(F.col("customer_id"), seed).alias("half"))
     by_customer = rows.groupBy("item", "customer_id", "half").agg(F.count(F.lit(1)).alias("n"))
@@ -129,7 +155,9 @@ def associations(lines: DataFrame, c: AffinityConfig = AffinityConfig(), held: D
     items, whole = item_counts(held, c.seed), totals(held, c.seed)
     side = lambda k: items.select(F.col("item").alias(k), *[F.col(x).alias(f"{y}_{k}" if not z else f"n_{k}_{z}") for x, y, z in (("baskets", "baskets", ""), ("n", "n", ""), ("n_0", "", "0"), ("n_1", "", "1"))])
     small = F.broadcast if c.max_items is not None else lambda df: df  # at most max_items rows
-    rows = pair_counts(held, c.seed).join(small(side("a")), "a").join(small(side("b")), "b").crossJoin(F.broadcast(whole))  # totals are one row
+    least = c.min_support * (whole.first()["total_baskets"] or 0)
+    counted = frequent_pairs(held, least, c.seed) if least > 1 else pair_counts(held, c.seed)
+    rows = counted.join(small(side("a")), "a").join(small(side("b")), "b").crossJoin(F.broadcast(whole))  # totals are one row
     rows = rows.filter((F.col("N") >= c.min_customers) & (F.col("pair_baskets") >= F.col("total_baskets") * c.min_support))
     rows = benjamini_hochberg(settled(pair_statistics(rows)))
     for h in ("0", "1"):
@@ -195,9 +223,38 @@ def affinity_network(rules: DataFrame) -> DataFrame:
 
 
 def joint_revenue(lines: DataFrame, rules: DataFrame, level: str = "category") -> DataFrame:
-    """Rules with the revenue of the transactions that hold both items."""
-    rows = lines.filter(f"quantity > 0 AND transaction_id IS NOT NULL AND {level} IS NOT NULL").groupBy("transaction_id").agg(F.collect_set(level).alias("i"), F.sum("line_revenue").alias("v"))
-    left = rows.select("v", F.array_sort("i").alias("i")).select("v", "i", F.posexplode("i").alias("p", "a"))
-    pairs = left.select("v", "a", F.explode(F.slice("i", F.col("p") + 2, F.size("i"))).alias("b")).groupBy("a", "b").agg(F.sum("v").cast("double").alias("joint_revenue"))
+    """Rules with the revenue of the transactions that hold both items; transactions keep only items that rules name."""
     keyed = rules.withColumns({"a": F.least("antecedent", "consequent"), "b": F.greatest("antecedent", "consequent")})
-    return keyed.join(pairs, ["a", "b"], "left").drop("a", "b")
+    wanted = keyed.select("a", "b").distinct()
+    named = wanted.select(F.col("a").alias("item")).unionByName(wanted.select(F.col("b").alias("item"))).distinct()
+    rows = lines.filter(f"quantity > 0 AND transaction_id IS NOT NULL AND {level} IS NOT NULL")
+    value = rows.groupBy("transaction_id").agg(F.sum("line_revenue").alias("v"))
+    held = rows.select("transaction_id", F.col(level).alias("item")).join(named, "item", "left_semi").groupBy("transaction_id").agg(F.array_sort(F.collect_set("item")).alias("i"))
+    left = held.filter(F.size("i") > 1).join(value, "transaction_id").select("v", "i", F.posexplode("i").alias("p", "a"))
+    both = left.select("v", "a", F.explode(F.slice("i", F.col("p") + 2, F.size("i"))).alias("b")).join(wanted, ["a", "b"], "left_semi")
+    return keyed.join(both.groupBy("a", "b").agg(F.sum("v").cast("double").alias("joint_revenue")), ["a", "b"], "left").drop("a", "b")
+
+
+# Names of the columns of pairs in the period view.
+PAIR_NAMES = {"antecedent": "product_a", "consequent": "product_b", "pair_baskets": "co_occurrence", "confidence": "confidence_a_to_b", "basket_lift": "lift"}
+
+
+def item_metrics(lines: DataFrame, level: str = "product_id") -> DataFrame:
+    """Orders, revenue and units of each item, and its share of all orders."""
+    whole = lines.agg(F.countDistinct("transaction_id").alias("__n"))  # one row
+    out = lines.filter(F.col(level).isNotNull()).groupBy(level).agg(F.countDistinct("transaction_id").alias("orders"), F.sum("line_revenue").cast("double").alias("revenue"), F.sum("quantity").alias("units"))
+    return out.crossJoin(F.broadcast(whole)).withColumn("support", ratio(F.col("orders"), F.col("__n"))).drop("__n")
+
+
+def basket_associations(lines: DataFrame, c: AffinityConfig = AffinityConfig(level="product_id"), descriptions: bool = True) -> dict[str, DataFrame]:
+    """The period view of baskets over the period's ``lines``: ``product_metrics``, ``pairs`` under their names there, with joint
+    revenue and descriptions of both items, and ``diagnostics``."""
+    lines = settled(lines)
+    rules = settled(associations(lines, c))
+    pairs = joint_revenue(lines, rules, c.level).fillna(0.0, ["joint_revenue"])
+    if descriptions and c.level == "product_id" and "product_description" in lines.columns:
+        named = lines.filter("product_id IS NOT NULL").groupBy("product_id").agg(F.min("product_description").alias("d"))
+        for side, name in (("antecedent", "desc_a"), ("consequent", "desc_b")):
+            pairs = pairs.join(named.select(F.col("product_id").alias(side), F.col("d").alias(name)), side, "left")
+    pairs = pairs.withColumnsRenamed({"lift": "customer_lift"}).withColumnsRenamed(PAIR_NAMES)
+    return {"product_metrics": item_metrics(lines, c.level), "pairs": pairs, "diagnostics": affinity_status(lines, c)}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.ranking import running
+from ledgerline.functions.semantics import most_frequent, ratio
 
 
 def segment_difference(df: DataFrame, segment: str, a: str, b: str, metrics: list[str]) -> DataFrame:
@@ -55,3 +56,32 @@ def dashboard_cards(scored: DataFrame, survival: DataFrame, metrics: DataFrame,
         ("model_spearman", model["spearman"] if model else None),
     ]
     return scored.sparkSession.createDataFrame([(k, None if v is None else float(v)) for k, v in cards], "card string, value double")
+
+
+# How the label of a segment begins, and what to test with it.
+HINTS = (
+    ("Active / higher", "Hypothesis: protect and grow. Test retention perks against a holdout group."),
+    ("Active / lower", "Hypothesis: raise basket value or breadth. Test cross-category offers."),
+    ("Lapsing", "Hypothesis: win-back candidates. Test timed reminders against a holdout group."),
+    ("Lapsed", "Hypothesis: low-cost reactivation only. Check cost against expected revenue first."),
+)
+OTHER_HINT = "Describe first; test actions against a holdout group."
+
+
+def segment_overview(scored: DataFrame, label: str = "cluster_label", top: str = "top_category") -> DataFrame:
+    """Each segment's customers, means of what the models expect and of behaviour, most common top category, its shares of
+    customers and of expected value, and a hypothesis to test; customers without a label are one segment."""
+    rows = scored.withColumn("segment", F.coalesce(F.col(label), F.lit("Unclustered")))
+    means = [c for c in ("promo_spend_share", "return_value_ratio", "recency_days") if c in scored.columns]
+    out = rows.groupBy("segment").agg(
+        F.count(F.lit(1)).alias("customers"), F.avg("p_alive").alias("mean_p_alive"), F.avg("expected_trips").alias("expected_trips"), F.avg("expected_trip_value").alias("expected_value_per_trip"), F.coalesce(F.sum("expected_value"), F.lit(0.0)).alias("total_expected_revenue"),
+        *[F.avg(c).alias(f"mean_{c}") for c in means],
+    )
+    if top in scored.columns:
+        out = out.join(most_frequent(rows, ["segment"], top, "most_common_top_category"), "segment", "left")
+    whole = Window.partitionBy()  # a row for each segment
+    hint = F.lit(OTHER_HINT)
+    for begins, text in reversed(HINTS):
+        hint = F.when(F.col("segment").startswith(begins), text).otherwise(hint)
+    total = F.sum("total_expected_revenue").over(whole)
+    return out.withColumns({"share_of_customers": ratio(F.col("customers"), F.sum("customers").over(whole)), "share_of_expected_revenue": F.when(total > 0, F.col("total_expected_revenue") / total), "hypothesis_to_test": hint})

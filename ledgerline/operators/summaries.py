@@ -8,20 +8,53 @@ from pyspark.sql import functions as F
 from ledgerline.functions.ranking import numbered, running
 from ledgerline.functions.semantics import ratio, when_sum, wilson
 from ledgerline.operators.events import DAY
+from ledgerline.storage import settled
 
-def dimension_summary(lines: DataFrame, **by: Column) -> DataFrame:
-    """Eight measures by any dimension; missing keys form a group of their own."""
+
+def _additive() -> list[Column]:
     rev = F.col("line_revenue")
-    return lines.groupBy(*[c.alias(k) for k, c in by.items()]).agg(
+    return [
         F.count(F.lit(1)).alias("line_items"),
         when_sum(F.col("quantity") > 0, rev).alias("gross_purchase_revenue"),
         when_sum(F.col("quantity") < 0, -rev).alias("return_value"),
         F.coalesce(F.sum(rev).cast("double"), F.lit(0.0)).alias("net_revenue"),
         when_sum(F.col("quantity") > 0, F.col("quantity")).alias("units_purchased"),
         when_sum(F.col("quantity") < 0, -F.col("quantity")).alias("units_returned"),
-        F.countDistinct("customer_id").alias("distinct_customers"),
-        F.countDistinct("product_id").alias("distinct_products"),
-    )
+    ]
+
+
+def dimension_summaries(lines: DataFrame, dimensions: dict[str, Column]) -> dict[str, DataFrame]:
+    """``dimension_summary`` by each of many dimensions, of which a customer or product meets few values, from one scan.
+
+    Distinct counts are turned round: one aggregation by customer gathers the set of values that the customer has in every
+    dimension, and the customers of a value are the sets that hold it; so too for products. The lines are shuffled by customer
+    and by product once, after adding up in their tasks, whatever the number of dimensions, and never expanded by distinct count.
+    """
+    named = [c.alias(k) for k, c in dimensions.items()]
+    rows = settled(lines.select("customer_id", "product_id", "line_revenue", "quantity", *named))
+    sets = {of: settled(rows.filter(F.col(of).isNotNull()).groupBy(of).agg(*[F.collect_set(F.struct(k)).alias(k) for k in dimensions])) for of in ("customer_id", "product_id")}
+    out = {}
+    for k in dimensions:
+        got = rows.groupBy(k).agg(*_additive())
+        for of, name in (("customer_id", "distinct_customers"), ("product_id", "distinct_products")):
+            counts = sets[of].select(F.inline(k)).groupBy(F.col(k).alias("__k")).agg(F.count(F.lit(1)).alias(name))
+            got = got.join(counts, F.col(k).eqNullSafe(F.col("__k")), "left").drop("__k").fillna(0, [name])
+        out[k] = got
+    return out
+
+
+def dimension_summary(lines: DataFrame, **by: Column) -> DataFrame:
+    """Eight measures by any dimension; missing keys form a group of their own."""
+    return lines.groupBy(*[c.alias(k) for k, c in by.items()]).agg(*_additive(), F.countDistinct("customer_id").alias("distinct_customers"), F.countDistinct("product_id").alias("distinct_products"))
+
+
+# The dimensions of the report's summaries.
+DIMENSIONS = {"category": F.col, "department": F.col, "month": lambda _: F.date_format("transaction_day", "yyyy-MM"), "weekday": lambda _: F.weekday("transaction_day") + 1, "quarter": lambda _: F.concat(F.year("transaction_day").cast("string"), F.lit("Q"), F.quarter("transaction_day").cast("string")), "year": lambda _: F.year("transaction_day")}
+
+
+def report_summaries(lines: DataFrame) -> dict[str, DataFrame]:
+    """Summaries by category, department, month, weekday (Monday is 1), quarter and year, from one scan."""
+    return dimension_summaries(lines, {k: f(k) for k, f in DIMENSIONS.items()})
 
 
 def monthly_summary(lines: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators import affinity as af
 from ledgerline.operators import events as ev
+from ledgerline.operators import periods as pr
 from ledgerline.operators import survival as sv
 from ledgerline.plans.catalog import query
 from ledgerline.plans.core_queries import rounded
@@ -32,6 +36,19 @@ def affinity_pairs(spark: SparkSession, d: str) -> DataFrame:
     return af.pair_counts(af.candidate_baskets(star_lines(spark, d), FULL))
 
 
+_PRODUCT_PAIRS = f"""bi AS (SELECT DISTINCT customer_id, transaction_day, product_id AS item, {_HALF} AS half FROM lines WHERE quantity > 0 AND product_id IS NOT NULL), t AS (SELECT count(*) AS total FROM (SELECT DISTINCT customer_id, transaction_day FROM bi)),
+ pc AS (SELECT x.item AS a, y.item AS b, count(*) AS pair_baskets, count(DISTINCT x.customer_id) AS n_ab, count(DISTINCT x.customer_id) FILTER (x.half = 0) AS n_ab_0, count(DISTINCT x.customer_id) FILTER (x.half = 1) AS n_ab_1
+   FROM bi x JOIN bi y ON x.customer_id = y.customer_id AND x.transaction_day = y.transaction_day AND x.item < y.item GROUP BY 1, 2)"""
+
+
+@query("affinity_pairs_product", f"{_PRODUCT_PAIRS} SELECT pc.* FROM pc, t WHERE pair_baskets >= greatest(total * 0.00015, 2)")
+def affinity_pairs_product(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of products, of all of them, in 15 of 100,000 baskets or more (two at the least)."""
+    held = af.candidate_baskets(star_lines(spark, d), replace(FULL, level="product_id"))
+    total = af.totals(held).first()["total_baskets"]
+    return af.frequent_pairs(held, max(total * 0.00015, 2))
+
+
 _RULES = ["antecedent", "consequent", "support", "confidence", "basket_lift", "pair_baskets", "n_ab", "lift", "odds_ratio", "or_ci_lower", "or_ci_upper", "chi2", "lift_half_0", "lift_half_1"]
 
 
@@ -118,6 +135,34 @@ def pair_joint_revenue(spark: SparkSession, d: str) -> DataFrame:
     return rounded(af.joint_revenue(lines, af.associations(lines, FULL)).select("antecedent", "consequent", "joint_revenue"), 2)
 
 
+_PERIOD = "now_ AS (SELECT * FROM lines, cutoff WHERE transaction_day BETWEEN d - 89 AND d)"
+_IN_PERIOD = f"{_PERIOD}, {_PAIRS.replace('FROM lines', 'FROM now_')}"
+
+
+def _current(spark: SparkSession, d: str) -> DataFrame:
+    lines = star_lines(spark, d)
+    last = ev.latest_day(lines)
+    return pr.in_period(lines, last - dt.timedelta(days=89), last)
+
+
+@query(
+    "basket_pairs",
+    f"""{_IN_PERIOD}, x AS (SELECT transaction_id, category, sum(line_revenue) AS v FROM now_ WHERE quantity > 0 GROUP BY 1, 2), tv AS (SELECT transaction_id, sum(v) AS v FROM x GROUP BY 1),
+    jr AS (SELECT p.category AS antecedent, q.category AS consequent, sum(tv.v)::DOUBLE AS joint FROM x p JOIN x q ON p.transaction_id = q.transaction_id AND p.category <> q.category JOIN tv ON tv.transaction_id = p.transaction_id GROUP BY 1, 2)
+    SELECT antecedent AS product_a, consequent AS product_b, pair_baskets AS co_occurrence, round(pair_baskets / total, 6) AS support, round(pair_baskets / base, 6) AS confidence_a_to_b, round((pair_baskets / base) / (other / total), 6) AS lift, round(coalesce(joint, 0), 2) AS joint_revenue FROM dr LEFT JOIN jr USING (antecedent, consequent)""",
+)
+def basket_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The period's pairs of categories under the names of the period view."""
+    out = af.basket_associations(_current(spark, d), FULL)["pairs"]
+    return rounded(out.select("product_a", "product_b", "co_occurrence", "support", "confidence_a_to_b", "lift", "joint_revenue")).withColumn("joint_revenue", F.round("joint_revenue", 2))
+
+
+@query("basket_products", f"{_PERIOD}, n AS (SELECT count(DISTINCT transaction_id) AS n FROM now_) SELECT product_id, count(DISTINCT transaction_id) AS orders, round(sum(line_revenue)::DOUBLE, 2) AS revenue, sum(quantity)::DOUBLE AS units, round(count(DISTINCT transaction_id) / any_value(n), 6) AS support FROM now_, n GROUP BY 1")
+def basket_products(spark: SparkSession, d: str) -> DataFrame:
+    out = af.item_metrics(_current(spark, d))
+    return rounded(out.withColumn("units", F.col("units").cast("double"))).withColumn("revenue", F.round("revenue", 2))
+
+
 _TIMES = """f AS (SELECT customer_id, transaction_day, row_number() OVER (PARTITION BY customer_id ORDER BY transaction_day) AS i FROM trips), rt AS (SELECT customer_id, min(transaction_day) AS first_trip_day, max(transaction_day) FILTER (i = 2) AS second FROM f WHERE i <= 2 GROUP BY 1),
  times AS (SELECT customer_id, first_trip_day, first_trip_day >= (SELECT min(transaction_day) FROM trips) + 90 AS is_new, date_diff('day', first_trip_day, coalesce(second, d)) AS duration, second IS NOT NULL AS repeated FROM rt, cutoff)"""
 

@@ -89,6 +89,19 @@ _DIM = """count(*) AS line_items, coalesce(sum(line_revenue) FILTER (quantity >
   count(DISTINCT customer_id) AS distinct_customers, count(DISTINCT product_id) AS distinct_products FROM lines GROUP BY 1"""
 
 
+_GRAINS = {"category": "category", "department": "department", "month": "strftime(transaction_day, '%Y-%m')", "weekday": "isodow(transaction_day)::INTEGER", "quarter": "year(transaction_day) || 'Q' || quarter(transaction_day)", "year": "year(transaction_day)"}
+
+
+@query("dimension_summaries", "SELECT * FROM (" + " UNION ALL ".join(f"(SELECT '{k}' AS dimension, CAST({v} AS VARCHAR) AS key, {_DIM[: _DIM.index(' FROM ')]} FROM lines GROUP BY 1, 2)" for k, v in _GRAINS.items()) + ")")
+def dimension_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Six summaries from one scan of the lines, in one long table."""
+    out = None
+    for k, table in sm.report_summaries(star_lines(spark, d)).items():
+        named = table.select(F.lit(k).alias("dimension"), F.col(k).cast("string").alias("key"), *[c for c in table.columns if c != k])
+        out = named if out is None else out.unionByName(named)
+    return rounded(out, 2)
+
+
 @query("category_summary", f"SELECT category, {_DIM}")
 def category_summary(spark: SparkSession, d: str) -> DataFrame:
     return sm.dimension_summary(star_lines(spark, d), category=F.col("category"))

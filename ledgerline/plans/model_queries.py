@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators import actions as ac
+from ledgerline.operators import affinity as af
 from ledgerline.operators import events as ev
 from ledgerline.operators import joining, survival
 from ledgerline.operators import models as mo
 from ledgerline.operators import overview as ov
 from ledgerline.operators import periods as pr
 from ledgerline.operators import scoring as sc
+from ledgerline.plans.basket_queries import FULL
 from ledgerline.plans.catalog import query
-from ledgerline.plans.core_queries import CORE_SQL, RFM_SQL, rounded, scored
+from ledgerline.plans.core_queries import _APP_SQL, CORE_SQL, RFM_SQL, rounded, scored
 from ledgerline.plans.period_queries import _ANOMALY, _C, _CMP, _DRIVERS, _K, _lines
 from ledgerline.sources import synthetic as sy
 from ledgerline.sources.star import star_lines
@@ -277,13 +280,6 @@ def constraint_violations(spark: SparkSession, d: str) -> DataFrame:
     return sy.constraint_violations(star_lines(spark, d))
 
 
-@query("synthetic_lines")
-def synthetic_lines(spark: SparkSession, d: str) -> DataFrame:
-    """A generated history for as many customers as the table has."""
-    n = spark.read.parquet(f"{d}/customer.parquet").count()
-    return sy.synthetic_lines(spark, n)[0]
-
-
 @query("returns_to_purchases", "b AS (SELECT customer_id, product_id, max(transaction_date) AS last_bought FROM lines WHERE quantity > 0 GROUP BY 1, 2) SELECT customer_id, product_id, transaction_id, strftime(last_bought, '%Y-%m-%d') AS last_bought FROM lines JOIN b USING (customer_id, product_id) WHERE quantity < 0")
 def returns_to_purchases(spark: SparkSession, d: str) -> DataFrame:
     lines = star_lines(spark, d)
@@ -293,22 +289,36 @@ def returns_to_purchases(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("last_bought", F.date_format("last_bought", "yyyy-MM-dd"))
 
 
-_ACTIONS = f"""{_K}, dl AS (SELECT (a.revenue - b.revenue) / b.revenue * 100 AS revenue, (a.aov - b.aov) / b.aov * 100 AS aov FROM (FROM k WHERE period = 'current') a, (FROM k WHERE period = 'prior') b),
- {_C}, ret AS (SELECT count(*) FILTER (now AND prior) / count(*) FILTER (prior) AS rate, count(*) FILTER (k <= top AND NOT now) AS away FROM v),
- {_CMP.format(key="category")}, cg AS (SELECT count(*) FILTER (g < -10) AS down, count(*) FILTER (g > 10) AS up FROM (SELECT (revenue - prior_revenue) / nullif(prior_revenue, 0) * 100 AS g FROM n LEFT JOIN o USING (category))),
- {_ANOMALY}
- SELECT 1 AS priority, 'Stop the revenue decline' AS action, 'revenue change in percent: ' || round(revenue, 2) AS evidence FROM dl WHERE revenue < -5
- UNION ALL SELECT 2, 'Win back valuable customers', 'customers away: ' || away FROM ret WHERE away > 0
- UNION ALL SELECT 3, 'Improve retention', 'retention rate: ' || round(rate, 2) FROM ret WHERE rate < 0.5
- UNION ALL SELECT 4, 'Review shrinking categories', 'categories: ' || down FROM cg WHERE down > 0
- UNION ALL SELECT 5, 'Invest in growing categories', 'categories: ' || up FROM cg WHERE up > 0
- UNION ALL SELECT 6, 'Look into unusual days', 'findings: ' || count(*) FROM f HAVING count(*) > 0
- UNION ALL SELECT 7, 'Raise the order value', 'order value change in percent: ' || round(aov, 2) FROM dl WHERE aov < -5"""
+_APP_SEGMENTS = _APP_SQL[: _APP_SQL.rindex(" SELECT customer_id, recency")] + ", ap AS (" + _APP_SQL[_APP_SQL.rindex(" SELECT customer_id, recency") :] + ")"
+_RULE = "SELECT {n} AS priority, '{about}' AS category, {title} AS title, {impact}::DOUBLE AS impact, '{kind}' AS impact_type, '{track}' AS metric_to_track, {count}::BIGINT AS affected_count, '{rule}' AS priority_rule FROM {source}"
+
+
+def _rule(n: int, title: str, impact: str, count: str, source: str) -> str:
+    about, kind, rule, track = ac.RULES[n]
+    return _RULE.format(n=n, about=about, kind=kind, rule=rule, track=track, title=title, impact=impact, count=count, source=source)
+
+
+_ACTIONS = f"""{_K}, {_APP_SEGMENTS}, {_C}, ret AS (SELECT count(*) FILTER (now AND NOT ever) / count(*) FILTER (now) AS fresh, count(*) FILTER (k <= top AND NOT now) AS away, round(sum(revenue) FILTER (k <= top AND NOT now), 2) AS lost FROM v),
+ {_CMP.format(key="category")}, cf AS (SELECT revenue / (sum(revenue) OVER ()) * 100 AS share, (revenue - coalesce(prior_revenue, 0)) / nullif(coalesce(prior_revenue, 0), 0) * 100 AS g FROM n LEFT JOIN o USING (category)), cm AS (SELECT median(share) AS mid FROM cf),
+ ck AS (SELECT count(DISTINCT CASE WHEN g > 0 AND share < mid THEN 1 WHEN g > 0 THEN 2 WHEN g < 0 AND share >= mid THEN 3 END) AS kinds, count(*) AS n FROM cf, cm), {_ANOMALY}
+ {_rule(1, "'Win back ' || away || ' valuable customers who stayed away'", "lost", "away", "ret WHERE away > 0")}
+ UNION ALL {_rule(2, "'Reach ' || count(*) || ' customers at risk'", "round(sum(monetary), 2)", "count(*)", "ap WHERE segment IN ('At Risk High Value', 'At Risk') HAVING count(*) > 0")}
+ UNION ALL {_rule(3, "'Guide the ' || format('{:.0f}', fresh * 100) || '% new customers to a second purchase'", "NULL", "0", "ret WHERE fresh > 0.2")}
+ UNION ALL {_rule(5, "'Review ' || kinds || ' kinds of category opportunities'", "NULL", "n", "ck WHERE kinds > 0")}
+ UNION ALL {_rule(6, "'Look into ' || count(*) || ' unusual signals'", "NULL", "count(*)", "f HAVING count(*) > 0")}
+ UNION ALL {_rule(7, "'Deepen ties with ' || count(*) || ' champions'", "round(sum(monetary), 2)", "count(*)", "ap WHERE segment = 'Champions' HAVING count(*) > 0")}"""
 
 
 @query("action_matrix", _ACTIONS)
 def action_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return ac.action_matrix(*_lines(spark, d))
+    lines, p = _lines(spark, d)
+    pairs = af.basket_associations(pr.in_period(lines, p.start, p.end), replace(FULL, level="product_id"))["pairs"]
+    return ac.action_matrix(lines, p, pairs).withColumn("impact", F.round("impact", 2))
+
+
+@query("segment_overview")
+def segment_overview(spark: SparkSession, d: str) -> DataFrame:
+    return ov.segment_overview(_clusters(spark, d)[0])
 
 
 @query("executive_narrative", f"""{_DRIVERS} SELECT 'Revenue ' || CASE WHEN current_revenue >= prior_revenue THEN 'rose' ELSE 'fell' END || ' by ' || format('{{:,.2f}}', abs(current_revenue - prior_revenue)) || ', mostly through the ' || replace(primary_driver, '_', ' ') || '.' AS narrative FROM w""")

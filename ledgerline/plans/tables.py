@@ -55,7 +55,14 @@ def result_tables(lines: DataFrame, as_of: dt.date, horizon: int = 90) -> dict[s
     def snapshot_labels() -> DataFrame:
         return models.snapshot_labels(snapshots()) if snapshots() is not None else spark.createDataFrame([], "customer_id string, cluster int, cluster_label string, snapshot string")
 
-    by = lambda c: lambda: summaries.dimension_summary(lines, **{c: F.col(c)})
+    def by(dimension: str) -> Callable[[], DataFrame]:
+        def make() -> DataFrame:
+            if "dimensions" not in held:
+                held["dimensions"] = summaries.report_summaries(lines)
+            return held["dimensions"][dimension]
+
+        return make
+
     return {
         "data_quality_issues": lambda: qa.issue_counts(lines),
         "structural_checks": lambda: qa.structural_checks(lines),
@@ -82,8 +89,8 @@ def result_tables(lines: DataFrame, as_of: dt.date, horizon: int = 90) -> dict[s
         "product_repeat_behavior": lambda: summaries.product_repeat_behavior(lines),
         "category_summary": by("category"),
         "department_summary": by("department"),
-        "monthly_summary": lambda: summaries.monthly_summary(lines),
-        "weekday_summary": lambda: summaries.weekday_summary(lines),
+        "monthly_summary": by("month"),
+        "weekday_summary": by("weekday"),
     }
 
 
