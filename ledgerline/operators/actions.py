@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.semantics import correlation
+from ledgerline.functions.quantiles import grouped_quantiles
+from ledgerline.functions.semantics import correlation, small_table
 from ledgerline.operators import periods as pr
 from ledgerline.operators.scoring import rfm_app
 from ledgerline.storage import settled
@@ -114,8 +115,11 @@ def segment_z_scores(df: DataFrame, segment: str, columns: list[str]) -> DataFra
 
 
 def quartiles(df: DataFrame, by: str, value: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), q.alias("q")).select(by, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    """Rows and quartiles of each group, of which there are few."""
+    found = grouped_quantiles(df, [value], (0.25, 0.5, 0.75), [by])
+    table = small_table(df, [by], "q1 double, median double, q3 double", [(*g, *v[value]) for g, v in found.items()])
+    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(table.withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
 
 
 def mean_by(df: DataFrame, by: str, value: str, n: int = 20) -> DataFrame:

@@ -132,10 +132,19 @@ def category_shares(lines: DataFrame, as_of: dt.date, top: int = 30) -> DataFram
     return spend.select(KEY, "category", ratio(F.col("v"), F.sum("v").over(Window.partitionBy(KEY))).alias("share"))
 
 
+MOST_CATEGORIES = 1000
+
+
 def category_affinity(shares: DataFrame, categories: list[str] | None = None) -> DataFrame:
-    """Wide form with the top category (ties by name) and the entropy of shares; at most 31 columns."""
+    """Wide form with the top category (ties by name) and the entropy of shares; a column for each category.
+
+    Without a list the categories are those of ``shares``, which :func:`category_shares` keeps to 31; more than a thousand are
+    too many for columns and an error.
+    """
     if categories is None:
-        categories = sorted(r[0] for r in shares.select("category").distinct().collect())
+        categories = sorted(r[0] for r in shares.select("category").distinct().limit(MOST_CATEGORIES + 1).collect())
+        if len(categories) > MOST_CATEGORIES:
+            raise ValueError(f"more than {MOST_CATEGORIES} categories cannot be columns; give a list")
     wide = shares.groupBy(KEY).pivot("category", categories).agg(F.first("share"))
     wide = wide.select(KEY, *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(f"category_{c}_spend_share") for c in categories])
     return wide.join(category_entropy(shares), KEY)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.ranking import numbered, value_ranks
+from ledgerline.functions.quantiles import quantile_table
 from ledgerline.functions.semantics import ratio
 
 LOG = logging.getLogger(__name__)
@@ -220,8 +221,8 @@ def top_product_trends(lines: DataFrame, p: Period, n: int = 5) -> DataFrame:
 
 def quadrants(df: DataFrame, x: str, y: str, names: tuple[str, str, str, str]) -> DataFrame:
     """Rows by whether they reach the medians of x and y: (high x, high y), (high, low), (low, high), (low, low)."""
-    mid = df.agg(F.percentile(x, F.lit(0.5)).alias("mid_x"), F.percentile(y, F.lit(0.5)).alias("mid_y"))
-    out = df.crossJoin(F.broadcast(mid))  # one row
+    mid = quantile_table(df, [x, y], (0.5,))
+    out = df.withColumns({n: F.lit((mid[c] or [None])[0]).cast("double") for n, c in (("mid_x", x), ("mid_y", y))})
     right, top = F.col(x) >= F.col("mid_x"), F.col(y) >= F.col("mid_y")
     return out.withColumn("quadrant", F.when(right & top, names[0]).when(right, names[1]).when(top, names[2]).otherwise(names[3]))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.ranking import numbered, running, value_ranks
-from ledgerline.functions.quantiles import quantile_table
+from ledgerline.functions.quantiles import quantile_table, with_medians
 from ledgerline.functions.semantics import ratio, right_closed_bin
 from ledgerline.storage import settled
 
@@ -130,15 +130,14 @@ def lifecycle(first_day: Column, last_day: Column, end: dt.date, window: int = 9
 
 def segment_profile(df: DataFrame, segment: str) -> DataFrame:
     """Customers, medians, spend and repeat rate by segment."""
-    med = lambda c: F.percentile(c, F.lit(0.5)).alias(f"median_{c}")
-    return df.groupBy(segment).agg(
-        F.count(F.lit(1)).alias("customers"), med("recency_days"), med("n_trips"), med("net_spend"), F.sum("net_spend").alias("total_net_spend"), F.avg((F.col("n_trips") > 1).cast("double")).alias("repeat_rate"), F.avg("mean_trip_value").alias("avg_trip_value")
-    )
+    out = df.groupBy(segment).agg(F.count(F.lit(1)).alias("customers"), F.sum("net_spend").alias("total_net_spend"), F.avg((F.col("n_trips") > 1).cast("double")).alias("repeat_rate"), F.avg("mean_trip_value").alias("avg_trip_value"))
+    return with_medians(df, [segment], {f"median_{c}": c for c in ("recency_days", "n_trips", "net_spend")}, out)
 
 
 def compare_segments(df: DataFrame, a: str, b: str) -> DataFrame:
     """Customers of each pair of segments, with shares of both sides and medians."""
-    out = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("customers"), F.percentile("net_spend", F.lit(0.5)).alias("median_net_spend"), F.percentile("recency_days", F.lit(0.5)).alias("median_recency_days"), F.avg((F.col("n_trips") > 1).cast("double")).alias("repeat_rate"))
+    out = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("customers"), F.avg((F.col("n_trips") > 1).cast("double")).alias("repeat_rate"))
+    out = with_medians(df, [a, b], {"median_net_spend": "net_spend", "median_recency_days": "recency_days"}, out)
     return out.withColumns({f"share_of_{k}": ratio(F.col("customers"), F.sum("customers").over(Window.partitionBy(k))) for k in (a, b)})
 
 

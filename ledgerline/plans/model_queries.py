@@ -300,10 +300,14 @@ def _rule(n: int, title: str, impact: str, count: str, source: str) -> str:
 
 _ACTIONS = f"""{_K}, {_APP_SEGMENTS}, {_C}, ret AS (SELECT count(*) FILTER (now AND NOT ever) / count(*) FILTER (now) AS fresh, count(*) FILTER (k <= top AND NOT now) AS away, round(sum(revenue) FILTER (k <= top AND NOT now), 2) AS lost FROM v),
  {_CMP.format(key="category")}, cf AS (SELECT revenue / (sum(revenue) OVER ()) * 100 AS share, (revenue - coalesce(prior_revenue, 0)) / nullif(coalesce(prior_revenue, 0), 0) * 100 AS g FROM n LEFT JOIN o USING (category)), cm AS (SELECT median(share) AS mid FROM cf),
- ck AS (SELECT count(DISTINCT CASE WHEN g > 0 AND share < mid THEN 1 WHEN g > 0 THEN 2 WHEN g < 0 AND share >= mid THEN 3 END) AS kinds, count(*) AS n FROM cf, cm), {_ANOMALY}
+ ck AS (SELECT count(DISTINCT CASE WHEN g > 0 AND share < mid THEN 1 WHEN g > 0 THEN 2 WHEN g < 0 AND share >= mid THEN 3 END) AS kinds, count(*) AS n FROM cf, cm), {_ANOMALY},
+ qi AS (SELECT DISTINCT customer_id, transaction_day, product_id AS item FROM lines, cutoff WHERE quantity > 0 AND transaction_day BETWEEN d - 89 AND d), qt AS (SELECT count(*) AS total, count(DISTINCT customer_id) AS customers FROM (SELECT DISTINCT customer_id, transaction_day FROM qi)), qs AS (SELECT item, count(*) AS k FROM qi GROUP BY 1),
+ qp AS (SELECT x.item AS a, y.item AS b, count(*) AS k FROM qi x JOIN qi y ON x.customer_id = y.customer_id AND x.transaction_day = y.transaction_day AND x.item <> y.item GROUP BY 1, 2),
+ ql AS (SELECT least(count(*), 5) AS n FROM qp JOIN qs u ON u.item = a JOIN qs w ON w.item = b, qt WHERE qp.k >= total * 0.01 AND customers >= 30 AND (qp.k::DOUBLE / u.k) / (w.k::DOUBLE / total) > 2)
  {_rule(1, "'Win back ' || away || ' valuable customers who stayed away'", "lost", "away", "ret WHERE away > 0")}
  UNION ALL {_rule(2, "'Reach ' || count(*) || ' customers at risk'", "round(sum(monetary), 2)", "count(*)", "ap WHERE segment IN ('At Risk High Value', 'At Risk') HAVING count(*) > 0")}
  UNION ALL {_rule(3, "'Guide the ' || format('{:.0f}', fresh * 100) || '% new customers to a second purchase'", "NULL", "0", "ret WHERE fresh > 0.2")}
+ UNION ALL {_rule(4, "'Try ' || n || ' bundles of items bought together'", "NULL", "n", "ql WHERE n > 0")}
  UNION ALL {_rule(5, "'Review ' || kinds || ' kinds of category opportunities'", "NULL", "n", "ck WHERE kinds > 0")}
  UNION ALL {_rule(6, "'Look into ' || count(*) || ' unusual signals'", "NULL", "count(*)", "f HAVING count(*) > 0")}
  UNION ALL {_rule(7, "'Deepen ties with ' || count(*) || ' champions'", "round(sum(monetary), 2)", "count(*)", "ap WHERE segment = 'Champions' HAVING count(*) > 0")}"""

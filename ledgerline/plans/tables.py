@@ -136,7 +136,7 @@ def write_report(lines: DataFrame, folder: str, as_of: dt.date | None = None, ki
     spark = lines.sparkSession
     as_of = as_of or ev.latest_day(lines)
     lines = settled(lines)
-    qa.assert_accounting(lines, {"category": summaries.dimension_summary(lines, category=F.col("category"))})
+    qa.assert_accounting(lines, summaries.report_summaries(lines))
     meta: dict = {"as_of": as_of, "tables": {}, "skipped": {}, "failed": {}}
     for name, make in result_tables(lines, as_of).items():
         if only and name not in only:

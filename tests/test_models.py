@@ -34,7 +34,7 @@ def test_quantiles_are_exact_for_groups_and_columns(spark):
     rows = [(g, float(rng.gamma(0.3) * 10.0 ** rng.integers(-3, 6)), float(rng.integers(0, 4)), None) for g in ("a", "b") for _ in range(3000)] + [("one", 5.0, None, None), ("b", float("nan"), 1.0, None)]
     df = spark.createDataFrame(rows, "g string, x double, y double, none double")
     shares = (0.0, 0.05, 0.25, 0.5, 0.9, 1.0)
-    got = grouped_quantiles(df, ["x", "y", "none"], shares, ["g"], slices=64)
+    got = grouped_quantiles(df, ["x", "y", "none"], shares, ["g"], slices=64, small=2)
     p = df.toPandas()
     for g, part in p.groupby("g"):
         for c in ("x", "y"):
@@ -43,8 +43,10 @@ def test_quantiles_are_exact_for_groups_and_columns(spark):
                 assert np.allclose(got[g,][c], np.quantile(v, shares), rtol=1e-12)
         assert "none" not in got[g,]
     assert got["one",] == {"x": [5.0] * 6} and grouped_quantiles(df.limit(0), ["x"], shares) == {}
+    mixed = grouped_quantiles(df, ["x", "y", "none"], shares, ["g"], small=3000)  # some groups in one pass, some by slices
+    assert all(mixed[g][c] == pytest.approx(got[g][c]) for g in got for c in got[g])
     want = df.filter("NOT isnan(x)").agg(F.percentile("x", F.array(*[F.lit(s) for s in shares]))).first()[0]
-    assert grouped_quantiles(df, ["x"], shares)[()]["x"] == list(want)
+    assert grouped_quantiles(df, ["x"], shares, small=0)[()]["x"] == list(want)
 
 
 def test_levels_are_even_below_one_and_rise(spark):
@@ -292,3 +294,37 @@ def test_ranks_of_groups_equal_those_of_each(spark):
         part = df.filter(F.col("g") == g)
         p = part.toPandas()
         assert area[g] == sc.auc(part, "s", "y").first()["auc"] and rho[g] == pytest.approx(p.s.rank().corr(p.t.rank()))
+
+
+def test_hashed_pair_counts_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    baskets = [(f"C{i % 40}", f"B{i}", [f"P{j}" for j in np.unique(rng.zipf(1.6, 9) % 60)]) for i in range(400)]
+    held = spark.createDataFrame(baskets, "customer_id string, basket_key string, items array<string>")
+    counts = {}
+    for _, _, items in baskets:
+        for a in sorted(items):
+            for b in sorted(items):
+                if a < b:
+                    counts[a, b] = counts.get((a, b), 0) + 1
+    whole = {(r["a"], r["b"]): tuple(r) for r in af.pair_counts(held).collect()}
+    assert {k: v[2] for k, v in whole.items()} == counts
+    for buckets in (7, 1 << 20):
+        got = {(r["a"], r["b"]): tuple(r) for r in af.frequent_pairs(held, 5, buckets=buckets).collect()}
+        assert got == {k: v for k, v in whole.items() if v[2] >= 5}
+
+
+def test_summaries_of_many_dimensions_equal_each(spark):
+    lines = star_lines(spark, SF).withColumn("category", F.when(F.col("category") != "STANDARD", F.col("category")))
+    together = sm.report_summaries(lines)
+    for k, f in sm.DIMENSIONS.items():
+        order = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+        assert order(together[k]) == order(sm.dimension_summary(lines, **{k: f(k)})), k
+
+
+def test_segment_overview_by_hand(spark):
+    rows = [("Active / higher x", 0.9, 2.0, 10.0, 20.0, 5, "A"), ("Active / higher x", 0.7, 4.0, 20.0, 80.0, 7, "B"), ("Active / higher x", 0.8, 0.0, 0.0, 0.0, 9, "B"), (None, 0.1, 1.0, 1.0, 100.0, 300, None)]
+    df = spark.createDataFrame(rows, "cluster_label string, p_alive double, expected_trips double, expected_trip_value double, expected_value double, recency_days int, top_category string")
+    got = {r["segment"]: r for r in ov.segment_overview(df).collect()}
+    a = got["Active / higher x"]
+    assert (a["customers"], a["total_expected_revenue"], a["most_common_top_category"], a["share_of_customers"], a["share_of_expected_revenue"], a["mean_recency_days"]) == (3, 100.0, "B", 0.75, 0.5, 7.0)
+    assert a["hypothesis_to_test"].startswith("Hypothesis: protect") and got["Unclustered"]["hypothesis_to_test"].startswith("Describe")

@@ -20,7 +20,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["issue_counts", "category_summary", "returns_asof", "rfm_scores", "window_features", "gated_promo_features", "trend_features", "period_kpis", "retention_metrics", "anomaly_daily", "affinity_pair_stats", "repeat_survival", "cohort_retention"])
+@pytest.mark.parametrize("name", ["issue_counts", "category_summary", "returns_asof", "rfm_scores", "window_features", "gated_promo_features", "trend_features", "period_kpis", "retention_metrics", "anomaly_daily", "affinity_pair_stats", "repeat_survival", "cohort_retention", "dimension_summaries", "affinity_pairs_product", "affinity_significance", "action_matrix", "basket_pairs", "basket_products", "rfm_app", "rfm_segment_profile", "lorenz_segments"])
 def test_query_equals_oracle(spark, duck, name):
     got = registry.queries()[name](spark, SF).toPandas()
     want = duck.sql(registry.oracle_sql()[name]).df()
@@ -52,7 +52,7 @@ def test_affinity_queries_take_all_baskets(spark, monkeypatch):
 
 
 def test_transition_significance_follows_the_counts_of_all_baskets(spark):
-    sf = "/root/testdata/sf0.1"  # more baskets than the operator's default budget
+    sf = "/root/testdata/sf0.01"
     n = registry.queries()["next_trip_transitions"](spark, sf).toPandas().set_index(["from_item", "to_item"])
     got = registry.queries()["transition_significance"](spark, sf).toPandas().set_index(["from_item", "to_item"])
     assert len(got) == len(n)

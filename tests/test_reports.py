@@ -50,3 +50,16 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r["transaction_day"]: (r["lines"], round(r["revenue"], 2)) for r in spark.table("daily").collect()}
     want = {r["d"]: (r["n"], round(float(r["v"]), 2)) for r in lines.groupBy(F.to_date("transaction_date").alias("d")).agg(F.count("*").alias("n"), F.sum("line_revenue").alias("v")).collect()}
     assert got == want
+
+
+def test_every_chart_has_its_data(spark):
+    from ledgerline.operators import events as ev
+    from ledgerline.plans import charts
+    from ledgerline.sources.star import star_lines
+
+    lines = star_lines(spark, "/root/testdata/sf0.001")
+    made = charts.chart_tables(lines, ev.latest_day(lines))
+    assert list(made) == list(charts.CHARTS) and len(made) == 22
+    for name in ("calibration", "customer_map", "segment_value", "concentration", "categories", "momentum", "cadence", "lorenz_segments", "action_quadrant", "promo_return_lollipop", "cohort_retention_revenue"):
+        table = made[name]()
+        assert table.count() > 0 and len(table.columns) > 1, name
