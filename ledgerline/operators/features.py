@@ -58,19 +58,33 @@ def customer_core(events: DataFrame, as_of: dt.date, least_days: int = 30, facto
     })
 
 
+def daily_grain(lines: DataFrame, as_of: dt.date) -> DataFrame:
+    """A row for each customer and day: value, lines, different products and categories, units and revenue bought, and value
+    returned. What a customer buys in a day is a bounded set."""
+    buy, back, rev = F.col("quantity") > 0, F.col("quantity") < 0, F.col("line_revenue")
+    kinds = lambda c: F.size(F.collect_set(F.when(buy, F.col(c)))).cast("long")
+    rows = lines.filter(F.col(KEY).isNotNull() & (F.col("transaction_day") <= F.lit(as_of)))
+    return rows.groupBy(KEY, "transaction_day").agg(
+        F.coalesce(F.sum(F.when(buy, F.greatest(F.coalesce(rev, F.lit(0)), F.lit(0)))), F.lit(0)).alias("trip_value"), F.count_if(buy).alias("n_lines"), kinds("product_id").alias("n_products"), kinds("category").alias("n_categories"),
+        F.sum(F.when(buy, F.col("quantity"))).alias("n_units"), F.sum(F.when(buy, rev)).alias("bought"), F.sum(F.when(back, -rev)).alias("returned"),
+    )
+
+
 def window_features(lines: DataFrame, events: DataFrame, as_of: dt.date, windows: tuple[int, ...] = (30, 90, 365), recent: int = 90) -> DataFrame:
     """Gross, return and net value and trips in calendar windows, and recent against prior, from one pass each."""
+    return _windows(daily_grain(lines, as_of), events, as_of, windows, recent)
+
+
+def _windows(daily: DataFrame, events: DataFrame, as_of: dt.date, windows: tuple[int, ...], recent: int) -> DataFrame:
     day = F.col("transaction_day")
 
     def inside(a: int, b: int) -> Column:
         return day.between(_days_before(as_of, a), _days_before(as_of, b))
 
-    buy, back, rev = F.col("quantity") > 0, F.col("quantity") < 0, F.col("line_revenue")
-    total = lambda c, x, n: F.coalesce(F.sum(F.when(c, x)).cast("double"), F.lit(0.0)).alias(n)
-    rows = lines.filter(F.col(KEY).isNotNull() & (day <= F.lit(as_of)))
-    measures = [m for w in windows for m in (total(inside(w - 1, 0) & buy, rev, f"gross_spend_{w}d"), total(inside(w - 1, 0) & back, -rev, f"return_value_{w}d"))]
-    measures += [total(inside(recent - 1, 0) & buy, rev, "recent_spend"), total(inside(2 * recent - 1, recent) & buy, rev, "prior_spend")]
-    spend = rows.groupBy(KEY).agg(F.count_if(buy).alias("__buys"), *measures).filter("__buys > 0").drop("__buys")
+    total = lambda c, x, n: F.coalesce(F.sum(F.when(c, F.col(x))).cast("double"), F.lit(0.0)).alias(n)
+    measures = [m for w in windows for m in (total(inside(w - 1, 0), "bought", f"gross_spend_{w}d"), total(inside(w - 1, 0), "returned", f"return_value_{w}d"))]
+    measures += [total(inside(recent - 1, 0), "bought", "recent_spend"), total(inside(2 * recent - 1, recent), "bought", "prior_spend")]
+    spend = daily.groupBy(KEY).agg(F.sum("n_lines").alias("__buys"), *measures).filter("__buys > 0").drop("__buys")
     trips = events.filter(day <= F.lit(as_of)).groupBy(KEY).agg(
         *[F.count_if(inside(w - 1, 0)).alias(f"n_trips_{w}d") for w in windows], F.count_if(inside(recent - 1, 0)).alias("recent_trips"), F.count_if(inside(2 * recent - 1, recent)).alias("prior_trips")
     )
@@ -79,6 +93,12 @@ def window_features(lines: DataFrame, events: DataFrame, as_of: dt.date, windows
     return out.withColumns({f"net_revenue_{w}d": F.col(f"gross_spend_{w}d") - F.col(f"return_value_{w}d") for w in windows} | {"spend_change_pct": change("recent_spend", "prior_spend"), "trip_change_pct": change("recent_trips", "prior_trips")})
 
 
+def item_grain(lines: DataFrame, as_of: dt.date) -> DataFrame:
+    """What each customer spent on each product, with its category and department, in purchases; no value below 0."""
+    value = F.greatest(F.coalesce("line_revenue", F.lit(0)), F.lit(0))
+    return purchases(lines, as_of).groupBy(KEY, "product_id", "category", "department").agg(F.sum(value).alias("line_revenue"))
+
+
 def top_component(lines: DataFrame, by: str) -> DataFrame:
     """A customer's distinct values of ``by``, the leading one by spend (ties by name), and how concentrated they are."""
     value = F.greatest(F.coalesce("line_revenue", F.lit(0)), F.lit(0))
@@ -90,7 +110,10 @@ def top_component(lines: DataFrame, by: str) -> DataFrame:
 
 
 def breadth_features(lines: DataFrame, as_of: dt.date) -> DataFrame:
-    rows = purchases(lines, as_of)
+    return _breadth(item_grain(lines, as_of))
+
+
+def _breadth(rows: DataFrame) -> DataFrame:
     products = rows.groupBy(KEY).agg(F.countDistinct("product_id").alias("distinct_products"))
     return products.join(top_component(rows, "category"), KEY, "left").join(top_component(rows, "department"), KEY, "left")
 
@@ -124,8 +147,11 @@ def return_features(lines: DataFrame, as_of: dt.date) -> DataFrame:
 
 def category_shares(lines: DataFrame, as_of: dt.date, top: int = 30) -> DataFrame:
     """Long form: a customer's share of spend in each leading category, all others together."""
-    value = F.greatest(F.coalesce("line_revenue", F.lit(0)), F.lit(0))
-    rows = purchases(lines, as_of).filter("category IS NOT NULL").groupBy(KEY, "category").agg(F.sum(value).alias("v"))
+    return _shares(item_grain(lines, as_of), top)
+
+
+def _shares(items: DataFrame, top: int) -> DataFrame:
+    rows = items.filter("category IS NOT NULL").groupBy(KEY, "category").agg(F.sum("line_revenue").alias("v"))
     leading = rows.groupBy("category").agg(F.sum("v").alias("t")).orderBy(F.desc("t"), "category").limit(top).select("category", F.lit(True).alias("__top"))
     named = rows.join(leading, "category", "left").withColumn("category", F.when(F.col("__top"), F.col("category")).otherwise("__other__"))
     spend = named.groupBy(KEY, "category").agg(F.sum("v").alias("v"))
@@ -161,10 +187,14 @@ def trend_features(lines: DataFrame, as_of: dt.date, months: int = 13) -> DataFr
 
     Months without purchases count as zero; they are added by their number instead of by a grid of rows.
     """
+    return _trend(daily_grain(lines, as_of), as_of, months)
+
+
+def _trend(daily: DataFrame, as_of: dt.date, months: int = 13) -> DataFrame:
     last = as_of.replace(day=1)
     index = (months - 1) - (F.lit(last.year * 12 + last.month) - (F.year("transaction_day") * 12 + F.month("transaction_day")))
-    rows = purchases(lines, as_of).select(KEY, index.alias("i"), "line_revenue")
-    monthly = rows.groupBy(KEY, "i").agg(F.coalesce(F.sum("line_revenue").cast("double"), F.lit(0.0)).alias("v"))
+    rows = daily.filter("n_lines > 0").select(KEY, index.alias("i"), "bought")
+    monthly = rows.groupBy(KEY, "i").agg(F.coalesce(F.sum("bought").cast("double"), F.lit(0.0)).alias("v"))
     inside = F.col("i") >= 0
     y, i, v = F.when(inside, F.log1p(F.greatest(F.col("v"), F.lit(0.0)))), F.col("i"), F.when(inside, F.col("v"))
     n, si, sii = float(months), sum(range(months)), sum(k * k for k in range(months))
@@ -178,7 +208,11 @@ def trend_features(lines: DataFrame, as_of: dt.date, months: int = 13) -> DataFr
 
 def basket_composition(lines: DataFrame, as_of: dt.date) -> DataFrame:
     """Means over customer-days of distinct products, categories and units, and the variation of their revenue."""
-    days = purchases(lines, as_of).groupBy(KEY, "transaction_day").agg(F.countDistinct("product_id").alias("p"), F.countDistinct("category").alias("c"), F.sum("quantity").alias("u"), F.sum("line_revenue").cast("double").alias("v"))
+    return _composition(daily_grain(lines, as_of))
+
+
+def _composition(daily: DataFrame) -> DataFrame:
+    days = daily.filter("n_lines > 0").select(KEY, F.col("n_products").alias("p"), F.col("n_categories").alias("c"), F.col("n_units").alias("u"), F.col("bought").cast("double").alias("v"))
     cv = F.when(steady_mean("v") > 0, steady_deviation("v") / steady_mean("v"))
     return days.groupBy(KEY).agg(F.avg("p").alias("mean_products_per_day"), F.avg("c").alias("mean_categories_per_day"), steady_mean("u").alias("mean_units_per_day"), cv.alias("day_revenue_cv"))
 
@@ -186,10 +220,12 @@ def basket_composition(lines: DataFrame, as_of: dt.date) -> DataFrame:
 def customer_snapshot(lines: DataFrame, as_of: dt.date, grain: str = DAY, windows: tuple[int, ...] = (30, 90, 365), recent: int = 90) -> DataFrame:
     """All families side by side; each is keyed by customer, so the joins share one partitioning.
 
-    The columns that the families read are written once, so what makes the lines runs once for all of them.
+    The lines are read once and brought to two grains, customer and day and customer and product, which are written; all
+    families but promotions and returns, which look at single lines, derive from these.
     """
     lines = settled(lines.select(*[c for c in NEEDED if c in lines.columns]))
-    events = purchase_events(lines, as_of, grain)
+    daily, items = settled(daily_grain(lines, as_of)), settled(item_grain(lines, as_of))
+    events = daily.filter("trip_value > 0") if grain == DAY else purchase_events(lines, as_of, grain)
     out = customer_core(events, as_of)
     out = out.join(return_features(lines, as_of), KEY, "left").fillna(0, ["return_lines", "return_value", "matched_return_value", "unmatched_return_value"])
     gross, back = F.col("gross_spend"), F.col("return_value")
@@ -199,12 +235,12 @@ def customer_snapshot(lines: DataFrame, as_of: dt.date, grain: str = DAY, window
         "observed_first_purchase_cohort_month": F.date_format("first_day", "yyyy-MM"),
     })
     for family in (
-        window_features(lines, events, as_of, windows, recent),
-        breadth_features(lines, as_of),
+        _windows(daily, events, as_of, windows, recent),
+        _breadth(items),
         promo_features(lines, as_of),
-        category_entropy(category_shares(lines, as_of)),
-        trend_features(lines, as_of),
-        basket_composition(lines, as_of),
+        category_entropy(_shares(items, 30)),
+        _trend(daily, as_of),
+        _composition(daily),
     ):
         out = out.join(family, KEY, "left")
     return out.fillna(0.0, ["active_months_fraction"])
