@@ -164,8 +164,8 @@ def test_clusters_of_many_groups_equal_those_of_each_and_any_partitioning(spark)
     rows = table.toPandas()
     assert len(got) == 720 and set(rows[rows.status == "skipped"].day) == {"few"} and (rows[rows.chosen].groupby("day").size() == 1).all()
     assert (rows[rows.status == "candidate"].bootstrap_ari_p05 <= rows[rows.status == "candidate"].bootstrap_ari).all()
-    for n in (1, 5):
-        again, _ = cl.choose_clusters(df.repartition(n), "day", ks=(3, 4), bootstraps=4)
+    for n, gathered in ((1, 20_000), (5, 0)):  # groups in tasks of their own, and a job for each step
+        again, _ = cl.choose_clusters(df.repartition(n), "day", ks=(3, 4), bootstraps=4, gathered=gathered)
         assert {(r["day"], r["customer_id"]): (r["cluster"], r["cluster_label"]) for r in again.collect()} == got
     alone, own = cl.choose_clusters(df.filter("day = 'b'").drop("day"), ks=(3, 4), bootstraps=4)
     assert {r["customer_id"]: r["cluster"] for r in alone.collect()} == {c: v[0] for (d, c), v in got.items() if d == "b"}
