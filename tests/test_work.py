@@ -33,6 +33,20 @@ def work(spark, f) -> tuple[int, int]:
     return sum(v[0] for v in mine), sum(v[1] for v in mine)
 
 
+@pytest.fixture(scope="module")
+def n_lines(spark):
+    return star_lines(spark, SF).count()
+
+
+def test_days_do_not_multiply_what_is_shuffled(spark, n_lines):
+    lines = star_lines(spark, SF)
+    days = mo.snapshot_days(lines)
+    assert len(days) > 20
+    for f in (sn.promo_at, sn.returns_at, lambda lines, days: sn.category_logs_at(lines, days)[0]):
+        one, many = (work(spark, lambda d=d, f=f: f(lines, d))[1] for d in (days[-1:], days))
+        assert many < 2 * one + n_lines / 10
+
+
 @pytest.mark.parametrize("n, rows", [(50_000, 1), (50_001, 0)])
 def test_affinity_status_equals_sql_at_the_budget_of_baskets(spark, tmp_path, n, rows):
     k = F.col("id")
