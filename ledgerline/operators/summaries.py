@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,10 @@ from ledgerline.operators.events import DAY
 from ledgerline.storage import settled
 
 
+# What distinct ids are called.
+_DISTINCT = {"customer_id": "distinct_customers", "product_id": "distinct_products"}
+
+
 def _additive() -> list[Column]:
     rev = F.col("line_revenue")
     return [
@@ -44,8 +51,23 @@ def dimension_summaries(lines: DataFrame, dimensions: dict[str, Column]) -> dict
 
 
 def dimension_summary(lines: DataFrame, **by: Column) -> DataFrame:
-    """Eight measures by any dimension; missing keys form a group of their own."""
-    return lines.groupBy(*[c.alias(k) for k, c in by.items()]).agg(*_additive(), F.countDistinct("customer_id").alias("distinct_customers"), F.countDistinct("product_id").alias("distinct_products"))
+    """Eight measures by any dimension; missing keys form a group of their own.
+
+    The lines are written once. Each distinct count goes by the pairs of key and id, which tasks bring together before they are
+    shuffled, and no line is expanded by distinct count.
+    """
+    rows = settled(lines.select(*[c.alias(k) for k, c in by.items()], *[c for c in ("customer_id", "product_id", "line_revenue", "quantity") if c not in by]))
+    return _summed(rows, list(by), ("customer_id", "product_id"))
+
+
+def _summed(rows: DataFrame, keys: list[str], ids: Sequence[str]) -> DataFrame:
+    """The measures of written ``rows`` by ``keys``, with the distinct counts of ``ids``."""
+    out = rows.groupBy(*keys).agg(*_additive())
+    for of in ids:
+        counts = rows.filter(F.col(of).isNotNull()).select(*keys, of).distinct().groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias(_DISTINCT[of]))
+        on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+        out = out.join(counts, on, "left").drop(*[f"__{k}" for k in keys]).fillna(0, [_DISTINCT[of]])
+    return out
 
 
 # The dimensions of the report's summaries.
@@ -83,38 +105,68 @@ def transaction_summary(lines: DataFrame, key_mode: str = "customer-transaction"
     return out.withColumn("is_purchase_transaction", F.col("units_purchased") > 0)
 
 
+# The metadata of a product, and what they are called.
+METADATA = {"description": "product_description", "department": "department", "category": "category"}
+_METADATA_COLUMNS = (*[f"{k}_variants" for k in METADATA], *[f"observed_{k}" for k in METADATA], "has_metadata_conflict")
+
+
+def _variants(lines: DataFrame) -> DataFrame:
+    """Line counts of each product with each combination of metadata: few rows a product, added up in tasks first."""
+    return lines.filter("product_id IS NOT NULL").groupBy("product_id", *METADATA.values()).agg(F.count(F.lit(1)).alias("variant_line_items"))
+
+
 def product_metadata(lines: DataFrame) -> DataFrame:
     """One row of metadata for each product: how many variants, the least of each, and whether they conflict."""
-    names = {"description": "product_description", "department": "department", "category": "category"}
-    out = lines.filter("product_id IS NOT NULL").groupBy("product_id").agg(
-        *[F.countDistinct(c).alias(f"{k}_variants") for k, c in names.items()], *[F.min(c).alias(f"observed_{k}") for k, c in names.items()]
-    )
-    return out.withColumn("has_metadata_conflict", F.greatest(*[f"{k}_variants" for k in names]) > 1)
+    return _metadata(_variants(lines))
+
+
+def _metadata(variants: DataFrame) -> DataFrame:
+    out = variants.groupBy("product_id").agg(*[F.countDistinct(c).alias(f"{k}_variants") for k, c in METADATA.items()], *[F.min(c).alias(f"observed_{k}") for k, c in METADATA.items()])
+    return out.withColumn("has_metadata_conflict", F.greatest(*[f"{k}_variants" for k in METADATA]) > 1)
 
 
 def product_variants(lines: DataFrame) -> DataFrame:
-    """Line counts of each metadata variant of products whose metadata conflict."""
-    conflicts = product_metadata(lines).filter("has_metadata_conflict").select("product_id")
-    rows = lines.join(conflicts, "product_id", "left_semi")
-    return rows.groupBy("product_id", "product_description", "department", "category").agg(F.count(F.lit(1)).alias("variant_line_items"))
+    """Line counts of each metadata variant of products whose metadata conflict; two different values are a least and a greatest."""
+    variants = settled(_variants(lines))
+    differ = reduce(Column.__or__, [F.min(c) < F.max(c) for c in METADATA.values()])
+    conflicts = variants.groupBy("product_id").agg(F.coalesce(differ, F.lit(False)).alias("differ")).filter("differ").select("product_id")
+    return variants.join(conflicts, "product_id", "left_semi")
+
+
+def _repeat(lines: DataFrame, unit: str) -> DataFrame:
+    """Buyers of each product and those with two units or more: with a first that is not the last."""
+    rows = lines.filter(f"quantity > 0 AND customer_id IS NOT NULL AND product_id IS NOT NULL AND {unit} IS NOT NULL").select("product_id", "customer_id", unit)
+    buyers = rows.repartition("product_id", "customer_id").groupBy("product_id", "customer_id").agg((F.min(unit) < F.max(unit)).alias("again"))
+    return buyers.groupBy("product_id").agg(F.count_if("again").alias("repeat_buyers"), F.count(F.lit(1)).alias("observed_buyers"))
 
 
 def product_repeat_behavior(lines: DataFrame, grain: str = DAY) -> DataFrame:
     """Buyers of each product and those who bought it on two days (or in two transactions) or more."""
-    unit = "transaction_day" if grain == DAY else "transaction_id"
-    rows = lines.filter(f"quantity > 0 AND customer_id IS NOT NULL AND product_id IS NOT NULL AND {unit} IS NOT NULL")
-    buyers = rows.groupBy("product_id", "customer_id").agg(F.countDistinct(unit).alias("n"))
-    out = buyers.groupBy("product_id").agg(F.count_if(F.col("n") >= 2).alias("repeat_buyers"), F.count(F.lit(1)).alias("observed_buyers"))
+    out = _repeat(lines, "transaction_day" if grain == DAY else "transaction_id")
     low, high = wilson(F.col("repeat_buyers"), F.col("observed_buyers"))
     unit_name = "customer-day trips" if grain == DAY else "transaction ids"
     return out.select("*", ratio(F.col("repeat_buyers"), F.col("observed_buyers")).alias("repeat_buyer_rate"), low.alias("repeat_rate_ci95_lower"), high.alias("repeat_rate_ci95_upper"), F.lit(unit_name).alias("repeat_unit"))
 
 
 def product_summary(lines: DataFrame, grain: str = DAY) -> DataFrame:
-    """Measures, metadata and repeat buyers by product."""
-    rows = lines.filter("product_id IS NOT NULL")
-    repeat = product_repeat_behavior(lines, grain).select("product_id", "observed_buyers", "repeat_buyers", "repeat_buyer_rate")
-    return dimension_summary(rows, product_id=F.col("product_id")).join(product_metadata(lines), "product_id").join(repeat, "product_id", "left")
+    """Measures, metadata and repeat buyers by product.
+
+    The lines are written once. Measures and metadata are added up in tasks; customers and repeat buyers come from the pairs of
+    product and customer, one exchange of narrow rows. A product's only product is itself.
+    """
+    unit = "transaction_day" if grain == DAY else "transaction_id"
+    rows = settled(lines.filter("product_id IS NOT NULL").select("product_id", "customer_id", unit, *METADATA.values(), "line_revenue", "quantity"))
+    day = F.when(F.col("quantity") > 0, F.col(unit))
+    pairs = rows.filter("customer_id IS NOT NULL").select("product_id", "customer_id", day.alias("d")).repartition("product_id", "customer_id")
+    pairs = pairs.groupBy("product_id", "customer_id").agg(F.min("d").alias("first"), F.max("d").alias("last"))
+    bought = F.count("first")
+    people = pairs.groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("distinct_customers"), F.when(bought > 0, bought).alias("observed_buyers"), F.when(bought > 0, F.count_if(F.col("first") < F.col("last"))).alias("repeat_buyers")
+    )
+    people = people.withColumn("repeat_buyer_rate", ratio(F.col("repeat_buyers"), F.col("observed_buyers")))
+    out = rows.groupBy("product_id").agg(*_additive()).join(people, "product_id", "left").fillna(0, ["distinct_customers"]).withColumn("distinct_products", F.lit(1).cast("long"))
+    out = out.join(_metadata(_variants(rows)), "product_id")
+    return out.select("product_id", *[c for c in out.columns if c not in ("product_id", "observed_buyers", "repeat_buyers", "repeat_buyer_rate", *_METADATA_COLUMNS, *_DISTINCT.values())], *_DISTINCT.values(), *_METADATA_COLUMNS, "observed_buyers", "repeat_buyers", "repeat_buyer_rate")
 
 
 def customer_spend(events: DataFrame) -> DataFrame:

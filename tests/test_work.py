@@ -47,6 +47,18 @@ def test_days_do_not_multiply_what_is_shuffled(spark, n_lines):
         assert many < 2 * one + n_lines / 10
 
 
+# for each query the most rows read and shuffled, as multiples of the lines; before, queries read or shuffled more
+@pytest.mark.parametrize("name, read, shuffled", [("product_summary", 5.0, 1.8)])
+def test_lines_are_joined_once_for_many_passes(spark, n_lines, name, read, shuffled):
+    got = work(spark, lambda: queries()[name](spark, SF))
+    assert got[0] <= read * n_lines and got[1] <= shuffled * n_lines
+
+
+@pytest.mark.parametrize("f", [lambda lines: sm.dimension_summary(lines, category=F.col("category")), lambda lines: sm.dimension_summary(lines, department=F.col("department")), sm.product_variants])
+def test_distinct_counts_do_not_expand_lines(spark, f):
+    assert "Expand" not in f(star_lines(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("n, rows", [(50_000, 1), (50_001, 0)])
 def test_affinity_status_equals_sql_at_the_budget_of_baskets(spark, tmp_path, n, rows):
     k = F.col("id")
