@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.ranking import numbered, value_ranks
 from ledgerline.functions.quantiles import quantile_table
 from ledgerline.functions.semantics import ratio
+from ledgerline.storage import settled
 
 LOG = logging.getLogger(__name__)
 
@@ -130,11 +131,22 @@ def _compared(lines: DataFrame, p: Period, key: str) -> tuple[DataFrame, DataFra
     return now, prior.select(key, *[F.col(c).alias(f"prior_{c}") for c in ("revenue", "orders", "units")])
 
 
+def _both_periods(lines: DataFrame, p: Period, key: str) -> DataFrame:
+    """The lines of both periods, written once with what their measures look at."""
+    rows = lines.filter(within(p.start, p.end) | within(p.prior_start, p.prior_end))
+    return settled(rows.select(*dict.fromkeys([key, "transaction_day", "transaction_id", "customer_id", "quantity", "line_revenue"])), "periods")
+
+
 def product_period_features(lines: DataFrame, p: Period) -> DataFrame:
-    """Products of the period with penetration, shares, the prior period and the change of rank."""
+    """Products of the period with penetration, shares, the prior period and the change of rank.
+
+    The lines of both periods are written once, and so are the products, which ranks look at several times.
+    """
+    lines = _both_periods(lines, p, "product_id")
     now, prior = _compared(lines, p, "product_id")
     totals = in_period(lines, p.start, p.end).agg(F.countDistinct("transaction_id").alias("__orders"), F.sum("line_revenue").cast("double").alias("__revenue"))
     out = now.join(prior, "product_id", "left").fillna(0, ["prior_revenue", "prior_orders", "prior_units"]).crossJoin(F.broadcast(totals))  # one row
+    out = settled(out, "products")
     for c, into in (("revenue", "revenue_rank"), ("prior_revenue", "prior_revenue_rank")):
         ranks = value_ranks(out.select((-F.col(c)).alias("__down")), "__down").select("__down", (F.col("before_n") + 1).cast("int").alias(into))
         out = out.withColumn("__down", -F.col(c)).join(ranks, "__down").drop("__down")
@@ -151,7 +163,7 @@ def product_period_features(lines: DataFrame, p: Period) -> DataFrame:
 
 def category_period_features(lines: DataFrame, p: Period, key: str = "category") -> DataFrame:
     """Categories of the period with share, growth and contribution to the whole change."""
-    now, prior = _compared(lines, p, key)
+    now, prior = _compared(_both_periods(lines, p, key), p, key)
     out = now.join(prior.select(key, "prior_revenue"), key, "left").fillna(0.0, ["prior_revenue"])
     whole = Window.partitionBy()
     total, change = F.sum("revenue").over(whole), F.col("revenue") - F.col("prior_revenue")
@@ -220,7 +232,9 @@ def top_product_trends(lines: DataFrame, p: Period, n: int = 5) -> DataFrame:
 
 
 def quadrants(df: DataFrame, x: str, y: str, names: tuple[str, str, str, str]) -> DataFrame:
-    """Rows by whether they reach the medians of x and y: (high x, high y), (high, low), (low, high), (low, low)."""
+    """Rows by whether they reach the medians of x and y: (high x, high y), (high, low), (low, high), (low, low). The rows are
+    written once before their medians are sought."""
+    df = settled(df, "quadrants")
     mid = quantile_table(df, [x, y], (0.5,))
     out = df.withColumns({n: F.lit((mid[c] or [None])[0]).cast("double") for n, c in (("mid_x", x), ("mid_y", y))})
     right, top = F.col(x) >= F.col("mid_x"), F.col(y) >= F.col("mid_y")
@@ -240,6 +254,7 @@ def retention_metrics(lines: DataFrame, p: Period, inactivity: int = 90) -> Data
         F.countDistinct("transaction_id").alias("orders"),
         F.sum("line_revenue").cast("double").alias("revenue"),
     )
+    c = settled(c, "customers")
     c = numbered(c.withColumn("down", -F.col("revenue")), "down", "customer_id", "rank").crossJoin(F.broadcast(c.agg(F.floor(F.count(F.lit(1)) * 0.2).alias("top"))))  # one row
     n = lambda condition: F.count_if(condition)
     now, prior, ever, recent, again = (F.col(k) for k in ("now", "prior", "ever", "recent", "orders"))

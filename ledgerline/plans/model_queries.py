@@ -19,7 +19,7 @@ from ledgerline.operators import scoring as sc
 from ledgerline.plans.basket_queries import FULL
 from ledgerline.plans.catalog import query
 from ledgerline.plans.core_queries import _APP_SQL, CORE_SQL, RFM_SQL, rounded, scored
-from ledgerline.plans.period_queries import _ANOMALY, _C, _CMP, _DRIVERS, _K, _lines
+from ledgerline.plans.period_queries import _ANOMALY, _C, _CMP, _DRIVERS, _K, _lines, _period_of
 from ledgerline.sources import synthetic as sy
 from ledgerline.sources.star import star_lines
 from ledgerline.storage import settled
@@ -316,7 +316,8 @@ _ACTIONS = f"""{_K}, {_APP_SEGMENTS}, {_C}, ret AS (SELECT count(*) FILTER (now
 
 @query("action_matrix", _ACTIONS)
 def action_matrix(spark: SparkSession, d: str) -> DataFrame:
-    lines, p = _lines(spark, d)
+    rows = star_lines(spark, d).select("customer_id", "transaction_day", "transaction_id", "product_id", "product_description", "category", "quantity", "line_revenue")
+    lines, p = _period_of(settled(rows, "lines"))
     pairs = af.basket_associations(pr.in_period(lines, p.start, p.end), replace(FULL, level="product_id"))["pairs"]
     return ac.action_matrix(lines, p, pairs).withColumn("impact", F.round("impact", 2))
 

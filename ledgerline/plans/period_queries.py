@@ -17,7 +17,10 @@ DAYS = 90
 
 
 def _lines(spark: SparkSession, d: str, days: int = DAYS) -> tuple[DataFrame, pd_.Period]:
-    lines = star_lines(spark, d)
+    return _period_of(star_lines(spark, d), days)
+
+
+def _period_of(lines: DataFrame, days: int = DAYS) -> tuple[DataFrame, pd_.Period]:
     last = ev.latest_day(lines)
     return lines, pd_.period(last - dt.timedelta(days=days - 1), last)
 
