@@ -87,7 +87,7 @@ def decile_calibration_naive(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, d: str) -> tuple[DataFrame, list[mo.Fit], DataFrame]:
-    lines = star_lines(spark, d)
+    lines = settled(mo.purchases_and_returns(star_lines(spark, d)), "lines")
     out, fits = mo.score_customers(scored(lines), HORIZON)
     return out, fits, lines
 
@@ -108,34 +108,39 @@ def model_parameters(spark: SparkSession, d: str) -> DataFrame:
     return fits[0].row(spark).unionByName(fits[1].row(spark)).select("model", "status", "reason", "converged", F.to_json("params").alias("params"), "value", "rows", "independence_warning")
 
 
+def _bought(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with what validations look at, written once for the latest day and the events."""
+    return settled(star_lines(spark, d).select("customer_id", "transaction_day", "product_id", "quantity", "line_revenue"), "lines")
+
+
 @query("holdout_metrics")
 def holdout_metrics(spark: SparkSession, d: str) -> DataFrame:
-    lines = star_lines(spark, d)
+    lines = _bought(spark, d)
     return mo.holdout_metrics(lines, ev.latest_day(lines), HORIZON)
 
 
 @query("holdout_calibration")
 def holdout_calibration(spark: SparkSession, d: str) -> DataFrame:
-    lines = star_lines(spark, d)
+    lines = _bought(spark, d)
     return mo.holdout_calibration(lines, ev.latest_day(lines), HORIZON)
 
 
 @query("rolling_origin")
 def rolling_origin(spark: SparkSession, d: str) -> DataFrame:
-    lines = star_lines(spark, d)
+    lines = _bought(spark, d)
     return mo.aggregate_origins(mo.rolling_origins(lines, ev.latest_day(lines), HORIZON))
 
 
 @query("rolling_origin_metrics")
 def rolling_origin_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The metrics of each origin, of which rolling_origin gives the aggregate."""
-    lines = star_lines(spark, d)
+    lines = _bought(spark, d)
     return mo.rolling_origins(lines, ev.latest_day(lines), HORIZON)
 
 
 @query("rolling_origin_calibration")
 def rolling_origin_calibration(spark: SparkSession, d: str) -> DataFrame:
-    lines = star_lines(spark, d)
+    lines = _bought(spark, d)
     return mo.rolling_calibration(lines, ev.latest_day(lines), HORIZON)
 
 

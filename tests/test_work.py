@@ -48,7 +48,7 @@ def test_days_do_not_multiply_what_is_shuffled(spark, n_lines):
 
 
 # for each query the most rows read and shuffled, as multiples of the lines; before, queries read or shuffled more
-@pytest.mark.parametrize("name, read, shuffled", [("product_summary", 5.0, 1.8), ("product_quadrant", 5.0, 0.6), ("product_period_features", 5.0, 0.42), ("category_quadrant", 5.0, 0.1), ("action_matrix", 10.0, 1.5)])
+@pytest.mark.parametrize("name, read, shuffled", [("product_summary", 5.0, 1.8), ("product_quadrant", 5.0, 0.6), ("product_period_features", 5.0, 0.42), ("category_quadrant", 5.0, 0.1), ("action_matrix", 10.0, 1.5), ("rolling_origin_calibration", 11.0, 2.6), ("holdout_metrics", 7.7, 3.3)])
 def test_lines_are_joined_once_for_many_passes(spark, n_lines, name, read, shuffled):
     got = work(spark, lambda: queries()[name](spark, SF))
     assert got[0] <= read * n_lines and got[1] <= shuffled * n_lines
