@@ -59,6 +59,11 @@ def test_distinct_counts_do_not_expand_lines(spark, f):
     assert "Expand" not in f(star_lines(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_baskets_without_budgets_are_not_ranked(spark):
+    held = af.candidate_baskets(star_lines(spark, SF), bq.FULL)
+    assert held._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
 @pytest.mark.parametrize("n, rows", [(50_000, 1), (50_001, 0)])
 def test_affinity_status_equals_sql_at_the_budget_of_baskets(spark, tmp_path, n, rows):
     k = F.col("id")
