@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.semantics import ratio, steady_deviation, steady_mean, steady_sum
 from ledgerline.operators.events import DAY, match_returns, price_index_info, purchase_events, purchases
-from ledgerline.storage import settled
+from ledgerline.storage import is_settled, settled
 
 KEY = "customer_id"
 NEEDED = (KEY, "transaction_id", "transaction_date", "transaction_day", "product_id", "category", "department", "price", "quantity", "line_revenue")
@@ -223,7 +223,7 @@ def customer_snapshot(lines: DataFrame, as_of: dt.date, grain: str = DAY, window
     The lines are read once and brought to two grains, customer and day and customer and product, which are written; all
     families but promotions and returns, which look at single lines, derive from these.
     """
-    lines = settled(lines.select(*[c for c in NEEDED if c in lines.columns]))
+    lines = lines if is_settled(lines) else settled(lines.select(*[c for c in NEEDED if c in lines.columns]))
     daily, items = settled(daily_grain(lines, as_of)), settled(item_grain(lines, as_of))
     events = daily.filter("trip_value > 0") if grain == DAY else purchase_events(lines, as_of, grain)
     out = customer_core(events, as_of)

@@ -13,6 +13,7 @@ from ledgerline.operators import summaries as sm
 from ledgerline.plans.catalog import query
 from ledgerline.sources.readers import app_lines
 from ledgerline.sources.star import star_lines
+from ledgerline.storage import settled
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -432,7 +433,7 @@ SNAP_SQL = f"""{CORE_SQL}, {RETURN_SQL}, net AS (SELECT core.*, coalesce(return_
     FROM net n LEFT JOIN win USING (customer_id) LEFT JOIN breadth USING (customer_id) LEFT JOIN promo USING (customer_id) LEFT JOIN ce USING (customer_id) LEFT JOIN trend USING (customer_id) LEFT JOIN comp USING (customer_id)""",
 )
 def customer_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    lines = star_lines(spark, d)
+    lines = settled(star_lines(spark, d).select(*ft.NEEDED), "lines")
     out = ft.customer_snapshot(lines, ev.latest_day(lines)).select(
         "customer_id", "n_trips", "recency_days", "gross_spend", "net_spend", F.round("return_value_ratio", 4).alias("return_value_ratio"), "observed_first_purchase_cohort_month",
         "gross_spend_90d", "n_trips_365d", "top_category", "distinct_products", F.round("promo_spend_share", 4).alias("promo_spend_share"), "category_entropy", "active_months_fraction", "mean_products_per_day",
