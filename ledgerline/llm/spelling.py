@@ -11,7 +11,8 @@ letters that both share, either the first half stands before the change or the s
 both halves counts where the first does. No class is capped, and no pairs within a class are listed.
 
 Words are counted before they are shuffled; from then on the work follows the number of different words. Forms are followed
-to the last by doubling the steps, in at most as many rounds as doublings of ten times, from tables in the shared folder.
+to the last by doubling the steps, in at most as many rounds as doublings of ten times, from tables in the shared folder. Tables
+that grow with the words are joined by sorting, whatever their files suggest, so no broadcast grows with the input.
 
 Defined cases: null or empty texts have no words; a null doc_id counts as an empty one in what is hashed; rows that repeat
 count as often as they occur; of near words with the same count the smallest in code-point order is the form; words without
@@ -81,7 +82,8 @@ def near_words(words: DataFrame) -> DataFrame:
     m = F.length("word") - (F.col("letter") > 0).cast("int")
     first = lambda c: F.substring(c, F.lit(1), F.floor(m / 2).cast("int"))
     once = (F.col("at") % 2 == 0) | (first("word") != first("near"))
-    met = offers.join(other, ["at", "half"]).filter((F.col("letter") != F.col("other")) & once & (F.levenshtein("word", "near", 1) == 1))
+    # Spark sizes offers by the file of words, of which each makes some twenty, and so would broadcast hundreds of megabytes
+    met = offers.join(other.hint("merge"), ["at", "half"]).filter((F.col("letter") != F.col("other")) & once & (F.levenshtein("word", "near", 1) == 1))
     best = F.min(F.struct((-F.col("near_n")).alias("d"), "near"))
     # with its own count each side needs the same columns, so that one exchange serves both
     return met.groupBy("word", "n").agg(F.count(F.lit(1)).alias("n_near"), best.alias("b")).select("word", "n_near", F.col("b.near").alias("near"), (-F.col("b.d")).alias("near_n"))
@@ -93,7 +95,7 @@ def last_forms(forms: DataFrame) -> DataFrame:
     while True:
         seen = Observation()
         further = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        step = now.join(further, "root", "left").observe(seen, F.count("further").alias("n"))
+        step = now.join(further.hint("merge"), "root", "left").observe(seen, F.count("further").alias("n"))
         after = written(step.select("word", F.coalesce("further", "root").alias("root")), "roots")
         dropped(now)
         now = after
@@ -111,4 +113,4 @@ def spelling_variants(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     form = (F.col("near_n") >= F.col("n") * times) & F.col("near").isNotNull()
     found = written(found.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(form, F.col("near")).alias("form"), F.when(form, F.col("near_n")).alias("form_n")), "forms")
     roots = last_forms(found.filter("form IS NOT NULL").select("word", "form"))
-    return found.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -885,6 +885,14 @@ def test_forms_are_followed_to_the_last(spark):
     assert {r["word"]: r["root"] for r in spelling.last_forms(forms).collect()} == dict.fromkeys([f"w{i}" for i in range(11)] + ["x"], "w11")
 
 
+def test_no_table_that_grows_with_the_words_is_broadcast(spark):
+    words = spark.range(2000).select(F.concat(F.lit("word"), F.translate(F.format_string("%05d", "id"), "0123456789", "abcdefghij")).alias("word"), F.lit(2).cast("long").alias("n"))
+    docs = words.select(F.monotonically_increasing_id().alias("doc_id"), F.concat_ws(" ", "word", "word").alias("text"))
+    for df in (spelling.near_words(words), spelling.spelling_variants(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 # -- resampling
 
 
