@@ -230,6 +230,32 @@ def test_silhouette_by_brute_force(spark):
         assert got[0, k] == pytest.approx(want, abs=1e-5) and part[0, k] == pytest.approx(want, abs=0.05)
 
 
+def test_silhouette_counts_every_customer(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = np.round(np.repeat(np.concatenate([rng.normal(m, 1.0, (500, 2)) for m in (0, 2)]), rng.integers(1, 5, 1000), axis=0) * cl.SCALE) / cl.SCALE
+    centres = {2: np.array([[0.0] * 2, [2.0] * 2]), 3: np.array([[-1.0] * 2, [1.0] * 2, [3.0] * 2])}
+    monkeypatch.setattr(cl, "BLOCK", 150)  # more blocks than usual
+    got = cl.silhouettes(matrix(spark, x).unionByName(matrix(spark, x[:9], 1)), {(s, k): c for k, c in centres.items() for s in (0, 1)}, {0: len(x), 1: 9}, tile=60)
+    for s, p in ((0, x), (1, x[:9])):
+        d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+        for k, c in centres.items():
+            label = cl.nearest(p, c)
+            size = np.bincount(label, minlength=k)
+            if (size > 0).sum() < 2:
+                continue
+            sums, own = np.stack([d[:, label == j].sum(axis=1) for j in range(k)], axis=1), (np.arange(len(p)), label)
+            a, b = sums[own] / np.maximum(size[label] - 1, 1), np.where(size > 0, sums / np.maximum(size, 1), np.inf)
+            b[own] = np.inf
+            b = b.min(axis=1)
+            assert got[s, k] == pytest.approx(np.where(size[label] > 1, (b - a) / np.maximum(a, b), 0).mean(), abs=1e-6)
+
+
+def test_clusters_are_chosen_by_all_customers(spark):
+    df = blobs(spark, 3200)
+    found = [{r["k"]: r["silhouette"] for r in cl.choose_clusters(df, "day", ks=(3, 4), bootstraps=1, **more)[1].collect()} for more in ({}, {"sample": None}, {"sample": 1500})]
+    assert found[0] == found[1] and found[0] != found[2]
+
+
 def test_components_against_a_decomposition_in_memory(spark):
     lines = star_lines(spark, SF)
     days = mo.snapshot_days(lines)[-2:]
